@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemill.llm import packing, pieces, simhash, topk
+from tidemill.llm import langid, ngram, packing, pieces, quality, simhash, topk
 
-_MODULES = (topk, packing, pieces, simhash)
+_MODULES = (topk, packing, pieces, ngram, quality, langid, simhash)
 
 
 def queries() -> dict:
