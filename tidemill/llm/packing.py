@@ -16,8 +16,10 @@ salts, and looks its place up.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,37 +31,65 @@ from pyspark.sql.window import Window
 
 from tidemill.llm.storage import save, small_batches
 
-_ASCII_SPACE = b" \t\n\r\x0b\x0c"
-
 
 class WordIds:
     """ids of texts, as little-endian unsigned 32-bit integers.
 
     The tokenizer sees no word across ASCII white space, so words are encoded
-    once and remembered. The memory is bounded: it is emptied when it holds
-    `most` words, and words of over 64 bytes are never kept.
+    once and remembered. Words of plain Latin letters and marks, whose
+    normalisation is lower-casing alone, are cut by the tokenizer's own pattern
+    and only the new ones of their parts go through its merges; all others go
+    through the whole tokenizer. The memories are bounded: they are emptied when
+    they hold `most` entries, and words of over 64 bytes are never kept.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        with open(path) as f:
+            kind = json.load(f)
+        split, level = kind["pre_tokenizer"]["pretokenizers"]
+        steps = [n["type"] for n in kind["normalizer"]["normalizers"]]
+        plain = steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and level["type"] == "ByteLevel" and not level["add_prefix_space"]
+        #: Letters and marks up to Latin Extended-A, no white space and no special token's bracket.
+        self.plain = regex.compile(r"[!-;=?-~\u00a1-\u017f]+").fullmatch if plain else lambda w: None
+        self.cut = regex.compile(split["pattern"]["Regex"]).findall if plain else None
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.bytes = {b: chr(256 + hidden.index(b)) for b in hidden}
+
+    def _encode(self, word: str) -> bytes:
+        if not self.plain(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        out, parts = [], self.parts
+        for part in self.cut(word.lower()):
+            ids = parts.get(part)
+            if ids is None:
+                shown = part.encode().decode("latin-1").translate(self.bytes)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                if len(part) <= 64:
+                    parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode().split() for t in texts]
         if len(self.known) > self.most:
             self.known = {}
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        if len(self.parts) > self.most:
+            self.parts = {}
+        known, seen = self.known, set()
+        for words in split:
+            seen.update(words)
         long = []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-                if len(w) > 64:
-                    long.append(w)
-        out = [b"".join([known[w] for w in words]) for words in split]
+        for w in [w for w in seen if w not in known]:
+            known[w] = self._encode(w.decode())
+            if len(w) > 64:
+                long.append(w)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in long:
             del known[w]
         return out
@@ -164,7 +194,7 @@ def _placed(shared):
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, select: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rows_in_salt: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, select: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rows_in_salt: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns as from `token_pieces`).
 
     capacity bounds a sequence's tokens, max_docs its pieces and max_cost the sum
