@@ -108,6 +108,7 @@ class Encoder:
         self.full = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.full.id_to_piece(i) for i in range(len(self.full))]
         own = [p for i, p in enumerate(pieces) if not (self.full.is_control(i) or self.full.is_unknown(i) or self.full.is_byte(i))]
+        self.sizes = [1 if self.full.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)]
         self.end = self.full.eos_id()
         bytes_known = any(self.full.is_byte(i) for i in range(len(pieces)))
         #: May a text be cut ahead of each run of spaces and around line ends?
@@ -149,10 +150,7 @@ class Encoder:
         """Of each normalised chunk: its ids as text, its ids, and the pieces' lengths in bytes."""
         out = []
         for chunk, ids in zip(chunks, self.plain.encode(chunks, num_threads=1)):
-            if all(not self.plain.is_byte(i) for i in ids):
-                sizes = [len(self.plain.id_to_piece(i).encode()) for i in ids]
-            else:
-                sizes = [1 if self.plain.is_byte(i) else len(self.plain.id_to_piece(i).encode()) for i in ids]
+            sizes = [self.sizes[i] for i in ids]
             if sum(sizes) != len(chunk.encode()):  # unknown characters: ask the library
                 sizes = [len(p.surface.encode()) for p in self.plain.encode(chunk, out_type="immutable_proto").pieces]
             out.append((" ".join(map(str, ids)).encode(), tuple(ids), np.array(sizes, "<u4").tobytes()))
