@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemill.llm import langid, ngram, packing, pieces, quality, simhash, topk
+from tidemill.llm import langid, licenses, ngram, packing, pieces, pii, quality, rules, simhash, topk
 
-_MODULES = (topk, packing, pieces, ngram, quality, langid, simhash)
+_MODULES = (topk, packing, pieces, licenses, pii, ngram, quality, langid, simhash, rules)
 
 
 def queries() -> dict:
