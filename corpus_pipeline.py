@@ -51,19 +51,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose word 5-grams' fingerprints are linked: the one with the least id.
+    """Keeps one document of each group of near copies: the one with the least id.
 
-    Documents without a word have nothing to compare and are no group.
+    Near copies are alike to 0.8 or more on word 5-grams, as told by wide
+    fingerprints. Documents without a word have nothing to compare and are no group.
     """
     marked = _marked(docs, "copies")
-    groups = simhash.near_duplicates(_as_docs(marked), width=5)
-    groups = groups.select(F.col("doc_id").alias("row_key__"), F.col("component_id"), "fingerprint")
+    groups = simhash.similar_documents(_as_docs(marked)).select(F.col("doc_id").alias("row_key__"), "component_id")
     ids = marked.select("row_key__", F.col("doc_id").cast("long").alias("id"))
-    ranked = groups.join(ids, "row_key__")
+    ranked = save(ids.join(groups, "row_key__", "left"), "groups")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row_key__").alias("row_key__"))
-    empty = F.col("fingerprint") == "0" * 16
-    firsts = ranked.filter(~empty).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_key__").alias("row_key__"))
-    return _kept(marked, firsts.union(ranked.filter(empty).select("row_key__")))
+    firsts = ranked.filter("component_id is not null").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_key__").alias("row_key__"))
+    return _kept(marked, firsts.union(ranked.filter("component_id is null").select("row_key__")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tidemill.llm.components import components
-from tidemill.llm.simhash import fingerprint, linked, near_duplicates, op9_simhash
+from tidemill.llm.simhash import fingerprint, linked, near_duplicates, op9_simhash, similar_documents, wide_fingerprint
 
 from .conftest import SF
 
@@ -84,3 +84,23 @@ def test_components_of_chains_and_hubs(spark):
             label[int(a)] = label[int(b)] = min(label[int(a)], label[int(b)])
     assert got == {x: r for x, r in label.items() if x in got}
     assert all(r == x for x, r in label.items() if x not in got)
+
+
+def test_similar_documents(spark, odd_docs):
+    rng = random.Random(8)
+    rows, family = [], []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        for c in range(rng.randrange(1, 5)):
+            copy = list(words)
+            if c:
+                copy[rng.randrange(len(copy))] = f"x{k}{c}"
+            if c == 3:
+                copy = copy[: len(copy) // 2] + [f"y{k}{i}" for i in range(len(copy))]
+            rows.append((len(rows), " ".join(copy)))
+            family.append(k if c < 3 else 1000 + k)
+    rows += [(9000, ""), (9001, None), (9002, "one"), (9003, "ONE")]
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: family.index(f) for i, f in enumerate(family)}
+    assert {i: got[i] for i in want} == want and got[9002] == got[9003] == 9002 and 9000 not in got
+    assert wide_fingerprint(" \n", 5, 8, 12, 3) is None and len(wide_fingerprint("a b", 5, 8, 12, 3)[0]) == 64
