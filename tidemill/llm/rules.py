@@ -31,6 +31,8 @@ CONSISTENCY = 1.41
 #: A squared distance that a normal vector of 5 passes once in 10,000 times.
 CUTOFF = 25.7
 LEAST_GROUP = 30
+#: Parts into which a group's rows are dealt for joins with what is known of the group.
+SALTS = 64
 BINS = 16.0
 
 
@@ -94,9 +96,14 @@ def _estimates(rows: DataFrame, correction: float) -> DataFrame:
     return out.select("group", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i in range(P) for j in range(i + 1)))
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """One row of each group for each of its parts."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """rows with the squared Mahalanobis distance from their group's centre."""
-    out = rows.join(estimates, "group")
+    out = rows.join(_dealt(estimates), ["group", "salt"])
     for i, name in enumerate(NAMES):
         value = F.col(name) - F.col(f"m_{i}")
         for j in range(i):
@@ -112,11 +119,11 @@ def _nearest(measured: DataFrame) -> DataFrame:
     order = Window.partitionBy("group").orderBy("bin")
     share = F.sum("n").over(order) >= SHARE * F.sum("n").over(Window.partitionBy("group"))
     last = sizes.select("group", "bin", share.alias("enough")).filter("enough").groupBy("group").agg(F.min("bin").alias("last"))
-    return binned.join(last, "group").filter(F.col("bin") <= F.col("last")).select(*measured.columns)
+    return binned.join(_dealt(last), ["group", "salt"]).filter(F.col("bin") <= F.col("last")).select(*measured.columns)
 
 
 def outlying(rows: DataFrame, steps: int = 4) -> DataFrame:
-    """doc-level rows (group and the statistics' columns) with `distance` after the last step."""
+    """Rows (group, salt and the statistics) with `distance` after the last step."""
     estimates = _estimates(rows, 1.0)
     for _ in range(steps):
         kept = save(estimates, "estimates")
@@ -143,7 +150,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     small = sizes.filter(F.col("n") < LEAST_GROUP)
     pools = small.groupBy("lang_key").agg(F.sum("n").alias("pool"))
     small = small.join(pools, "lang_key").select("group", "pool")
-    rows = keyed.join(small, "group", "left").select("row", F.when(F.col("pool").isNull(), F.col("group")).otherwise(F.col("lang_key")).alias("group"), (F.coalesce("pool", F.lit(LEAST_GROUP)) >= LEAST_GROUP).alias("judged"), *NAMES)
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
+    keyed = keyed.select("*", salt)
+    rows = keyed.join(_dealt(small), ["group", "salt"], "left").select("row", "salt", F.when(F.col("pool").isNull(), F.col("group")).otherwise(F.col("lang_key")).alias("group"), (F.coalesce("pool", F.lit(LEAST_GROUP)) >= LEAST_GROUP).alias("judged"), *NAMES)
     measured = outlying(save(rows, "statistics")).select("row", "judged", "distance")
     out = table.join(measured, "row", "left")
     rejected = F.coalesce(F.col("judged") & (F.col("distance") > CUTOFF), F.lit(False))
