@@ -110,8 +110,7 @@ def train(docs: DataFrame, most: int = 3000) -> Model:
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = known.select("lang").distinct().count()
-    sample = bounded_sample(known.select("doc_id", "lang"), "lang", max(1, most // max(1, langs)))
+    sample = bounded_sample(known.select("doc_id", "lang"), "lang", most, total=most)
     x, y = sample_matrix(known, sample, "lang", features, 1 << BITS)
     return Model.fit(x, y)
 

@@ -45,10 +45,24 @@ def damped(counts: np.ndarray) -> np.ndarray:
     return x / n if n else x
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """At most `most` rows of each value of `by`: those with the least hash of doc_id."""
-    w = Window.partitionBy(by).orderBy("order", "doc_id")
-    return rows.withColumn("order", F.xxhash64("doc_id")).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("order", "nth")
+def bounded_sample(rows: DataFrame, by: str, most: int, total: int | None = None) -> DataFrame:
+    """At most `most` rows of each value of `by` (or its share of `total`): those with the least hash of doc_id.
+
+    The values are classes of a model, few by nature. Rows far from the least
+    hashes are put aside before any class is sorted, so a class with a third of
+    all rows sends no more to its task than a small one.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    if not sizes:
+        return rows.limit(0)
+    if total is not None:
+        most = max(1, total // len(sizes))
+    enough = most + 10 * int(most**0.5) + 100
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, enough / n)))), F.col(by))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    w = Window.partitionBy(by).orderBy("place", "doc_id")
+    near = rows.withColumn("place", place).filter(F.col("place") <= share)
+    return near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("place", "nth")
 
 
 def sample_matrix(docs: DataFrame, sample: DataFrame, label: str, features: Callable[[str], np.ndarray], width: int) -> tuple[np.ndarray, list]:
