@@ -36,18 +36,13 @@ def _as_docs(marked: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no letter, a null text, or too unsure."""
-    marked = _marked(docs, "language")
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"), 2, 4)))
-    found = langid.identify(_as_docs(marked), model)
-    keys = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE))
-    return _kept(marked, keys.select(F.col("doc_id").alias("row_key__")))
+    return langid.identified(docs, model, LEAST_SURE)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the weakly supervised scorer takes for junk."""
-    marked = _marked(docs, "quality")
-    keys = quality.score_quality(_as_docs(marked)).filter(F.col("score") >= quality.KEEP)
-    return _kept(marked, keys.select(F.col("doc_id").alias("row_key__")))
+    return quality.good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.linear import bounded_sample, damped, gram_counts, linear_svm, sample_matrix
-from tidemill.llm.storage import small_batches
+from tidemill.llm.storage import rows_where, small_batches
 
 #: Families of ISO 639-1 codes; a code that isn't here is a family of its own.
 FAMILIES = {
@@ -115,15 +115,20 @@ def train(docs: DataFrame, most: int = 3000) -> Model:
     return Model.fit(x, y)
 
 
+def _told(model: Model, text: str | None) -> tuple[str, float]:
+    lang, score = model.predict(features(text)) if text and model.families and has_letter(text) else ("und", 0.0)
+    return lang, min(1.0, max(0.0, score))
+
+
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                lang, score = model.predict(features(text)) if text and model.families and has_letter(text) else ("und", 0.0)
+                lang, score = _told(model, text)
                 langs.append(lang)
-                scores.append(min(1.0, max(0.0, score)))
+                scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     return run
@@ -137,6 +142,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predicted(shared), "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs whose language can be told with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return rows_where(docs, "text", lambda texts: [lang != "und" and score >= least for lang, score in (_told(shared.value, t) for t in texts)])
+
+
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.filter(~held_out(F.col("doc_id"), 2, 4)))

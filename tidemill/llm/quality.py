@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.linear import bounded_sample, damped, gram_counts, logistic, sample_matrix
-from tidemill.llm.storage import save, small_batches
+from tidemill.llm.storage import rows_where, save, small_batches
 
 BAD, GOOD, NONE = 0, 1, 2
 SYMBOLS = b"#*$%&|<>"
@@ -128,48 +128,63 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in batch.column(1).to_pylist()], pa.int32())], ["doc_id", "code"])
 
 
+def _score(weights: np.ndarray | None, posterior: dict[int, float], text: str | None) -> float:
+    if weights is None:
+        return posterior[votes(text)]
+    return float(1 / (1 + np.exp(-np.clip(weights[:-1] @ features(text or "") + weights[-1], -30, 30))))
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, posterior = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            weak = [posterior[votes(t)] for t in texts]
-            if weights is None:
-                score = weak
-            else:
-                score = [float(1 / (1 + np.exp(-np.clip(weights[:-1] @ features(t or "") + weights[-1], -30, 30)))) for t in texts]
+            weak, score = [posterior[votes(t)] for t in texts], [_score(weights, posterior, t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak, pa.float64()), pa.array(score, pa.float64())], ["doc_id", "weak_label", "score"])
 
     return run
 
 
-def score_quality(docs: DataFrame, most: int = 1500) -> DataFrame:
-    """doc_id, weak_label (posterior that it is good), score (the trained scorer's) of every document.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def train(docs: DataFrame, most: int = 1500) -> tuple[np.ndarray | None, dict[int, float]]:
+    """The scorer's weights (none where one class has no document) and the posterior of each vote pattern.
 
     The scorer learns from at most `most` documents of either posterior class;
-    votes and their statistics are over all documents. Where one class has no
-    document there is nothing to separate, and score is the posterior. A null
-    text counts as empty.
+    votes and their statistics are over all documents.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _texts(docs)
+    small_batches(docs.sparkSession)
     cast = save(rows.mapInArrow(_voted, "doc_id long, code int"), "votes")
     patterns = cast.groupBy("code").count().toPandas().sort_values("code")  # at most 3 ** labellers rows
     codes, counts = patterns["code"].to_numpy(np.int64), patterns["count"].to_numpy(np.float64)
-    model = LabelModel(codes, counts)
-    posterior = dict(zip(codes.tolist(), model.posterior(codes).tolist()))
+    posterior = dict(zip(codes.tolist(), LabelModel(codes, counts).posterior(codes).tolist()))
     good = [c for c, p in posterior.items() if p >= 0.5]
-    weights = None
-    if 0 < len(good) < len(posterior):
-        sides = cast.filter("doc_id is not null").withColumn("good", F.col("code").isin(good))
-        sample = bounded_sample(sides, "good", most)
-        x, code = sample_matrix(rows, sample, "code", features, WIDTH)
-        p = np.array([posterior[c] for c in code], np.float32)
-        if len(p) and 0 < (p >= 0.5).sum() < len(p):
-            weights = logistic(x, p).astype(np.float32)
-    shared = spark.sparkContext.broadcast((weights, posterior))
-    return rows.mapInArrow(_scored(shared), "doc_id long, weak_label double, score double")
+    if not 0 < len(good) < len(posterior):
+        return None, posterior
+    sides = cast.filter("doc_id is not null").withColumn("good", F.col("code").isin(good))
+    x, code = sample_matrix(rows, bounded_sample(sides, "good", most), "code", features, WIDTH)
+    p = np.array([posterior[c] for c in code], np.float32)
+    some = len(p) and 0 < (p >= 0.5).sum() < len(p)
+    return (logistic(x, p).astype(np.float32) if some else None), posterior
+
+
+def score_quality(docs: DataFrame, most: int = 1500) -> DataFrame:
+    """doc_id, weak_label (posterior that it is good), score (the trained scorer's) of every document.
+
+    Where one class has no document there is nothing to separate, and score is the
+    posterior. A null text counts as empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, most))
+    return _texts(docs).mapInArrow(_scored(shared), "doc_id long, weak_label double, score double")
+
+
+def good_documents(docs: DataFrame, least: float = KEEP, most: int = 1500) -> DataFrame:
+    """The rows of docs with a score of `least` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, most))
+    return rows_where(docs, "text", lambda texts: [_score(*shared.value, t) >= least for t in texts])
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

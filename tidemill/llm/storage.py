@@ -11,6 +11,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -49,3 +52,16 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
     if spark.conf.get(key, default) == default:
         spark.conf.set(key, str(rows))
+
+
+def rows_where(docs: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs whose text is to be kept, all columns as they are, in one pass and without a shuffle."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch.column(at).cast(pa.string()).to_pylist()), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
