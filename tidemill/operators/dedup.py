@@ -61,6 +61,7 @@ def _alike(threshold: float):
         same = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
         size = np.array([len(t) for t in texts], float)
         counts = np.stack([_counts(t) for t in texts])
+        matchers: dict[int, SequenceMatcher] = {}  # what is known of the second text is kept
         out = []
         for i in range(1, len(texts)):  # i comes later in the order than all before it
             total = size[:i] + size[i]
@@ -70,7 +71,10 @@ def _alike(threshold: float):
                 continue
             for j in at.tolist():
                 # The second text is the kept one: the ratio depends on the order.
-                ratio = 1.0 if texts[i] == texts[j] else SequenceMatcher(None, texts[i], texts[j]).ratio()
+                if j not in matchers:
+                    matchers[j] = SequenceMatcher(None, "", texts[j])
+                matchers[j].set_seq1(texts[i])
+                ratio = matchers[j].ratio()
                 if ratio >= threshold:
                     out.append((int(rows[i]), int(rows[j]), ratio))
         return pd.DataFrame(out, columns=["row", "kept_row", "score"])
