@@ -104,3 +104,38 @@ def test_similar_documents(spark, odd_docs):
     want = {i: family.index(f) for i, f in enumerate(family)}
     assert {i: got[i] for i in want} == want and got[9002] == got[9003] == 9002 and 9000 not in got
     assert wide_fingerprint(" \n", 5, 8, 12, 3) is None and len(wide_fingerprint("a b", 5, 8, 12, 3)[0]) == 64
+
+
+def test_similar_documents_are_as_similar_as_told(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(150):  # copies of texts of all lengths, changed here and there
+        words = [f"v{rng.randrange(9000)}" for _ in range(rng.choice([8, 9, 10, 12, 14, 30, 100, 250]))]
+        for c in range(4):
+            copy = list(words)
+            for _ in range(c and rng.randrange(1, 2 + len(words) // 25)):
+                copy[rng.choice([rng.randrange(len(copy)), -1])] = f"x{k}{c}"
+            texts.append(" ".join(copy))
+    texts += ["one two three four five six seven eight nine " + last for last in ("ten", "eleven")]
+    texts += ["a b c d e " * 200 + " ".join(f"{x}{i}" for i in range(60)) for x in "pq"]  # repeats of little
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = [*range(len(texts))]
+    pairs = [(a, b) for a in label for b in range(a) if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+    for _ in range(5):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert len({*label}) < len(texts) - 100
+    assert {r.doc_id: r.component_id for r in similar_documents(rows).collect()} == dict(enumerate(label))
+
+
+def test_confirmed_groups_in_parts():
+    from tidemill.llm.simhash import _alike, _distinct_hashes, _wide_of
+
+    words = [f"w{i}" for i in range(100)]
+    sets = [_distinct_hashes(" ".join(words[:k] + [f"y{k}"] + words[k + 1 :]), 5) for k in range(100)]
+    sets.sort(key=lambda h: sum(map(int.bit_count, _wide_of(h, 8, 1, 1)[0])))
+    bits, held = [_wide_of(h, 8, 1, 1)[0] for h in sets], [h.tobytes() for h in sets]
+    assert {*_alike(bits, held, 0.8, 144).tolist()} == {0}
+    assert (_alike(bits, held, 0.8, 144, 50) == _alike(bits, held, 0.8, 144)).all()
+    assert len({*_alike(bits, held, 0.99, 144).tolist()}) == 100

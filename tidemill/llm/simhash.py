@@ -44,8 +44,9 @@ def _shingle_digests(text: str | None, width: int, seed: int) -> bytes:
     return b"".join(map(xxh64_digest, parts, repeat(seed)))
 
 
-def _shingle_hashes(text: str | None, width: int, seed: int) -> np.ndarray:
-    return np.frombuffer(_shingle_digests(text, width, seed), ">u8").astype(np.uint64)
+def _distinct_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    return np.unique(np.frombuffer(_shingle_digests(text, width, seed), ">u8").astype(np.uint64))
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -194,6 +195,15 @@ def linked(distinct: DataFrame, n: int, radius: int = 3, tile: int = 1024, most:
     return tiled(rows, n * len(choices), radius, tile, most)
 
 
+def _pairs_of_parts(rows: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
+    """rows with a and b: the rows of groups that hot has stand once for each pair of parts with their own."""
+    rows = rows.join(hot, by, "left")
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, own).alias("a"), F.greatest(p, own).alias("b")))
+    alone = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+    return rows.select("*", F.inline(F.when(F.col("parts").isNull(), alone).otherwise(others))).drop("parts")
+
+
 def tiled(rows: DataFrame, n: int, radius: int, tile: int = 1024, most: int = 16_384) -> DataFrame:
     """u, v: a forest of the links among fingerprints that share a choice and key.
 
@@ -202,11 +212,7 @@ def tiled(rows: DataFrame, n: int, radius: int, tile: int = 1024, most: int = 16
     """
     hot = rows.groupBy("choice", "key").count().filter(F.col("count") > most)
     hot = hot.select("choice", "key", F.ceil(F.col("count") / (most // 2)).cast("int").alias("parts"))
-    rows = rows.join(hot, ["choice", "key"], "left")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, own).alias("a"), F.greatest(p, own).alias("b")))
-    alone = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
-    rows = rows.select("id", "bits", "ones", "choice", "key", F.inline(F.when(F.col("parts").isNull(), alone).otherwise(others)))
+    rows = _pairs_of_parts(rows, hot, ["choice", "key"])
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 2_000_000)
     rows = rows.repartition(parts, "choice", "key", "a", "b")
     rows = rows.sortWithinPartitions("choice", "key", "a", "b", "ones", "id")
@@ -233,14 +239,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int
 
 
 def wide_fingerprint(text: str | None, width: int, words: int, bands: int, rows: int, seed: int = 42) -> tuple[bytes, list[int]] | None:
-    """A SimHash of 64 * words bits, and a key for each band of `rows` minima of shingle hashes; null without words.
+    """A SimHash of 64 * words bits of the distinct shingles, and a key for each band of `rows` minima of their hashes; null without words.
 
     The minima are of one permutation cut in bands * rows bins; an empty bin takes
     the next one's.
     """
-    h = _shingle_hashes(text, width, seed)
-    if not len(h):
-        return None
+    h = _distinct_hashes(text, width, seed)
+    return _wide_of(h, words, bands, rows) if len(h) else None
+
+
+def _wide_of(h: np.ndarray, words: int, bands: int, rows: int) -> tuple[bytes, list[int]]:
     ones = np.zeros(64 * words, np.int64)
     spread = (np.arange(words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for at in range(0, len(h), 255 * 32):
@@ -267,39 +275,138 @@ def wide_fingerprint(text: str | None, width: int, words: int, bands: int, rows:
 
 def _wide(width: int, words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            found = [wide_fingerprint(t, width, words, bands, rows) for t in batch.column(1).to_pylist()]
+            sets = [_distinct_hashes(t, width) for t in batch.column(1).to_pylist()]
+            found = [_wide_of(h, words, bands, rows) if len(h) else None for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    pa.array([xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets], pa.binary()),
                     pa.array([f and f[0] for f in found], pa.binary()),
                     pa.array([f and int(np.bitwise_count(np.frombuffer(f[0], np.uint8)).sum()) for f in found], pa.int32()),
                     pa.array([f and f[1] for f in found], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "bits", "ones", "keys"],
+                ["doc_id", "digest", "bits", "ones", "keys"],
+            )
+
+    return run
+
+
+def _sets(width: int, words: int):
+    """The distinct shingles' hashes and the fingerprint of texts that are to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_distinct_hashes(t, width) for t in batch.column(2).to_pylist()]
+            bits = [_wide_of(h, words, 1, 1)[0] for h in sets]
+            ones = [int(np.bitwise_count(np.frombuffer(b, np.uint8)).sum()) for b in bits]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(ones, pa.int32()), pa.array([h.tobytes() for h in sets], pa.binary())],
+                ["id", "root", "bits", "ones", "shingles"],
             )
 
     return run
 
 
-def similar_documents(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 86, bands: int = 12, rows: int = 3) -> DataFrame:
+def _alike(bits: list[bytes], shingles: list[bytes], least: float, radius: int, at_once: int = 1 << 22) -> np.ndarray:
+    """Labels after all members that are as similar as `least` have been tied, each the smallest index of its set.
+
+    Members come in the order of their population counts. Only those within the
+    radius that aren't tied yet have their shingles compared.
+    """
+    fp = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    sizes = np.array([len(x) // 8 for x in shingles])
+    starts = np.cumsum(sizes) - sizes
+    values, place = np.unique(np.frombuffer(b"".join(shingles), np.uint64), return_inverse=True)
+    place, mark = place.astype(np.int32), np.zeros(len(values), bool)
+    label = np.arange(len(fp))
+    ends = np.searchsorted(ones, ones + radius, "right")
+    for i in range(len(fp) - 1):
+        near = np.arange(i + 1, ends[i])
+        near = near[np.bitwise_count(fp[i] ^ fp[i + 1 : ends[i]]).sum(axis=1, dtype=np.int64) <= radius]
+        near = near[label[near] != label[i]]
+        near = near[np.minimum(sizes[near], sizes[i]) >= least * np.maximum(sizes[near], sizes[i]) - 1e-6]
+        if not len(near):
+            continue
+        mark[place[starts[i] : starts[i] + sizes[i]]] = True
+        upto = np.cumsum(sizes[near])
+        for part in np.split(near, np.flatnonzero(np.diff(upto // at_once)) + 1):
+            n = sizes[part]
+            first = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) + np.repeat(starts[part] - first, n)
+            shared = np.add.reduceat(mark[place[at]], first, dtype=np.int64)
+            tied = np.unique(label[part[shared / (n + sizes[i] - shared) >= least]])
+            if len(tied):
+                tied = np.append(tied, label[i])
+                label[np.isin(label, tied)] = tied.min()
+        mark[place[starts[i] : starts[i] + sizes[i]]] = False
+    return label
+
+
+def _confirmed(least: float, radius: int):
+    """(u, v) ties within the groups of a partition sorted by root, a, b and population count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes, bytes]] = []
+        last = None
+
+        def flush():
+            ids = np.array([x[0] for x in held], np.int64)
+            label = _alike([x[1] for x in held], [x[2] for x in held], least, radius)
+            tied = np.flatnonzero(label != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], ["u", "v"])
+
+        for batch in batches:
+            for root, a, b, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "a", "b", "id", "bits", "shingles"))):
+                if (root, a, b) != last:
+                    if len(held) > 1:
+                        yield flush()
+                    held, last = [], (root, a, b)
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield flush()
+
+    return run
+
+
+def confirmed(sets: DataFrame, least: float, radius: int, most: int = 4_096, most_bytes: int = 1 << 25) -> DataFrame:
+    """u, v: a forest of the links, similar to `least` or more, among rows (id, bits, ones, shingles) of the same root.
+
+    Groups of over `most` rows or `most_bytes` of shingles become pairs of parts.
+    """
+    n, size = F.count("*"), F.sum(F.length("shingles"))
+    hot = sets.groupBy("root").agg(F.greatest(F.ceil(n / (most // 2)), F.ceil(size / (most_bytes // 2))).cast("int").alias("parts"), n.alias("n"), size.alias("size"))
+    hot = hot.filter((F.col("n") > most) | (F.col("size") > most_bytes)).select("root", "parts")
+    rows = _pairs_of_parts(sets, hot, ["root"])
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "root", "a", "b").sortWithinPartitions("root", "a", "b", "ones", "id")
+    return rows.mapInArrow(_confirmed(least, radius), "u long, v long")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 144, bands: int = 12, rows: int = 3, least: float = 0.8) -> DataFrame:
     """doc_id, component_id of every document with a word; doc_id has to be a key without nulls.
 
-    Documents are linked whose fingerprints of 64 * words bits differ in `radius`
-    bits at most. Of 512 bits, two documents with a Jaccard similarity of 0.8 on
-    their word shingles differ in 78 bits on average with a deviation of 8, those
-    with 0.7 in 98, so 86 stands for a similarity of 0.8 up to that noise. Tiles
-    are laid out by bands of minimum hashes: with 12 bands of 3, a pair as similar
-    as 0.8 meets in one or more with a chance of 0.9998.
+    Documents are linked whose distinct word shingles have a Jaccard similarity of
+    `least` or more. Bands of minimum hashes and fingerprints of 64 * words bits only
+    propose: with 12 bands of 3, a pair as similar as 0.8 meets in one or more with
+    a chance of 0.9998, and its 512 bits differ in 78 on average with a deviation of
+    8 (texts of few shingles: 96 and 9), so a radius of 144 loses none. What is
+    proposed makes coarse groups; each text in one has its shingles read once, and
+    they decide.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = save(texts.mapInArrow(_wide(width, words, bands, rows), "doc_id long, bits binary, ones int, keys array<long>").filter("bits is not null"), "prints")
-    same = save(prints.groupBy("bits").agg(F.min("doc_id").alias("id"), F.first("ones").alias("ones"), F.min("keys").alias("keys")), "distinct")
+    prints = save(texts.mapInArrow(_wide(width, words, bands, rows), "doc_id long, digest binary, bits binary, ones int, keys array<long>").filter("bits is not null"), "prints")
+    same = save(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("ones").alias("ones"), F.first("keys").alias("keys")), "distinct")
     dealt = same.select("id", "bits", "ones", F.posexplode("keys").alias("choice", "key"))
-    roots = components(tiled(dealt, same.count() * bands, radius))
-    named = same.join(roots.withColumnRenamed("node", "id"), "id", "left").select("bits", F.coalesce("root", "id").alias("component_id"))
-    return prints.select("doc_id", "bits").join(named, "bits").select("doc_id", "component_id")
+    coarse = save(components(tiled(dealt, same.count() * bands, radius)).select(F.col("node").alias("doc_id"), "root"), "coarse")
+    sets = texts.join(coarse, "doc_id").select("doc_id", "root", "text").mapInArrow(_sets(width, words), "id long, root long, bits binary, ones int, shingles binary")
+    roots = components(confirmed(save(sets, "sets"), least, radius))
+    named = same.join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    return prints.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
