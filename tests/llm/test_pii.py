@@ -82,3 +82,20 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail é.q@mail.example.com or +1 (234) 555-7713!"), (2, None), (3, "none")], "doc_id long, text string")
     rows = personal_data(df).join(df, "doc_id").select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t")).orderBy("doc_id").collect()
     assert [r.t for r in rows] == ["mail é[EMAIL] or [PHONE]!".replace("é[EMAIL]", "é[EMAIL]"), None, "none"]
+
+
+def test_numbers_beside_others(spark):
+    iban, card, amex = "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111", "3782 822463 10005"
+    cases = [
+        (f"IBAN {iban} BIC COBADEFFXXX", [iban]),
+        (f"{iban} GB82 WEST 1234 5698 7654 32 1234", [iban, "GB82 WEST 1234 5698 7654 32"]),
+        ("konto DE88 3704 0044 0532 0130 00 BIC", []),
+        (f"card {card} 12/27", [card]),
+        (f"x{card} 5500-0000-0000-0004 {amex}", [card, "5500-0000-0000-0004", amex]),
+        ("4222222222222 is short", ["4222222222222"]),
+        ("counts 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", []),
+        ("token = " + "aB3" * 400 + " end", ["token = " + "aB3" * 400]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in personal_data(df).collect()}
+    assert [[t[s.start : s.end] for s in rows[i] if s.kind != "phone"] for i, (t, _) in enumerate(cases)] == [want for _, want in cases]

@@ -20,12 +20,44 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: How long IBANs are, by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_COUNTRIES = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+#: An IBAN at a text's start: as long as its country's are, or as long as it goes.
+_IBAN = (
+    "^(?:"
+    + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+    + rf"|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
 MORE = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
-    "secret": r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[:=]\x20?[\"']?[A-Za-z0-9_/+.-]{16,512}+[\"']?",
+    # Where one may start; _IBAN tells where it ends.
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}(?=[0-9]{2}(?:\x20?[A-Z0-9]){11})",
+    "secret": r"(?i)(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\x20?[:=]\x20?[\"']?[A-Za-z0-9_/+.-]{16,}+[\"']?",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "account": r"(?<![0-9])[0-9]{13,19}(?![0-9])",
+    # Runs of groups of digits, as the base pattern's; _cards looks for numbers in them.
+    "account": BASE["card"],
 }
+#: Sizes of groups in which card numbers are written.
+_LAYOUTS = r"^(?:1[3-9]|4,4,4,4|4,4,4,4,[1-3]|4,4,4,[1-3]|4,6,[45]|6,1[0-3]|4,4,5|4,3,3,3)$"
 KINDS = (*BASE, *MORE)
 #: Words that speak for a kind when they stand near.
 CONTEXT = {
@@ -40,6 +72,8 @@ CONTEXT = {
 }
 #: Score by pattern and checksum alone, and what context words add.
 SCORES = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "secret": 0.6, "ssn": 0.3, "account": 0.5}
+#: An account number whose digits are grouped like no card's.
+ODD_LAYOUT = 0.3
 NEAR, BONUS, LEAST = 40, 0.2, 0.5
 
 
@@ -76,8 +110,6 @@ def _valid(kind: str, s: Column) -> Column:
         return F.forall(F.split(s, r"\."), lambda p: p.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
     if kind == "card":
         return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
-    if kind == "account":
-        return luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
     if kind == "iban":
@@ -100,6 +132,76 @@ def _placed(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def _ibans(text: Column, pattern: str) -> Column:
+    """(start, end, match) at each place where one may start, as long as it can be one."""
+
+    def whole(m: Column) -> Column:
+        match = F.regexp_extract(F.substr(text, m["start"] + 1, F.lit(70)), _IBAN, 0)
+        return F.struct(m["start"].alias("start"), (m["start"] + F.length(match)).alias("end"), match.alias("match"))
+
+    return F.filter(F.transform(_placed(text, pattern), whole), lambda m: m["match"] != "")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), the value found once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+_WINDOWS = "array<struct<start:int,end:int,match:string,usual:boolean>>"
+
+
+def _cards(text: Column, pattern: str) -> Column:
+    """(start, end, match, usual) of numbers that pass Luhn's check in runs that don't as a whole.
+
+    Every window of 13 to 19 digits that starts and ends at borders of a run's
+    groups is tried. Of those that overlap, usual layouts go first, then what
+    starts first, then the longest.
+    """
+
+    def windows(run: Column) -> Column:
+        def at(groups: Column) -> Column:
+            def wide(g: Column, i: Column) -> Column:
+                def made(k: Column) -> Column:
+                    part = F.slice(groups, i + 1, k)
+                    layout = F.array_join(F.transform(part, lambda x: F.length(x["match"]).cast("string")), ",")
+                    return F.struct(
+                        (run["start"] + g["start"]).alias("start"),
+                        (run["start"] + F.get(groups, i + k - 1)["end"]).alias("end"),
+                        F.array_join(F.transform(part, lambda x: x["match"]), "").alias("match"),
+                        layout.rlike(_LAYOUTS).alias("usual"),
+                    )
+
+                most = F.least(F.size(groups) - i, F.lit(19))
+                tried = F.transform(F.sequence(most, F.lit(1), F.lit(-1)), made)
+                return F.filter(tried, lambda w: F.when(F.length(w["match"]).between(13, 19), luhn(w["match"])).otherwise(False))
+
+            return _apart(F.flatten(F.transform(groups, wide)))
+
+        return _let(_placed(run["match"], "[0-9]+"), at)
+
+    runs = F.filter(_placed(text, pattern), lambda m: (F.length(_digits(m["match"])) >= 13) & ~_valid("card", m["match"]))
+    return F.flatten(F.transform(runs, windows))
+
+
+def _apart(windows: Column) -> Column:
+    """Windows (by start, longest first) that don't overlap, those of usual layouts before others."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_WINDOWS).alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        return F.when(w["start"] >= acc["at"], F.struct(w["end"].alias("at"), F.concat(acc["out"], F.array(w)).alias("out"))).otherwise(acc)
+
+    taken = lambda ws: F.aggregate(ws.cast(_WINDOWS), start, step, lambda acc: acc["out"])
+
+    def both(ws: Column) -> Column:
+        def rest(usual: Column) -> Column:
+            free = F.filter(ws, lambda w: ~w["usual"] & ~F.exists(usual, lambda u: (u["start"] < w["end"]) & (w["start"] < u["end"])))
+            return F.concat(usual, taken(free))
+
+        return _let(taken(F.filter(ws, lambda w: w["usual"])), rest)
+
+    return _let(windows, both)
+
+
 _SPAN = "array<struct<start:int,number:int,end:int,kind:string,base:boolean,score:double>>"
 
 
@@ -113,12 +215,14 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         near = around.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind])
         if kind == "secret":
             near = F.lit(True)
-        score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, BONUS).otherwise(0.0))
+        sure = F.when(m["usual"], SCORES[kind]).otherwise(ODD_LAYOUT) if kind == "account" else F.lit(SCORES[kind])
+        score = F.least(F.lit(1.0), sure + F.when(near, BONUS).otherwise(0.0))
         # An account number that base cards have is not told twice.
         name = "card" if kind == "account" else kind
         return F.struct(m["start"].alias("start"), F.lit(KINDS.index(name)).alias("number"), m["end"].alias("end"), F.lit(name).alias("kind"), F.lit(base).alias("base"), score.alias("score"))
 
-    found = F.transform(F.filter(_placed(text, pattern), lambda m: _valid(kind, m["match"])), scored)
+    placed = {"iban": _ibans, "account": _cards}.get(kind, _placed)(text, pattern)
+    found = F.transform(F.filter(placed, lambda m: _valid(kind, m["match"])), scored)
     return found if base else F.filter(found, lambda s: s["score"] >= LEAST)
 
 
@@ -131,7 +235,7 @@ _HINT = {
     "iban": lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]"),
     "secret": lambda t: t.rlike("[:=]") & t.rlike("(?i)token|secret|passw|key"),
     "ssn": lambda t: t.rlike("[0-9]-[0-9]{2}-[0-9]"),
-    "account": lambda t: t.rlike("[0-9]{13}"),
+    "account": lambda t: t.rlike("[0-9](?:[ -]?[0-9]){12}"),
 }
 
 
