@@ -1,43 +1,61 @@
 """Quality rules and robust multivariate outliers.
 
 Counts of each text decide the base rules. Documents that pass them are then
-compared with their own language and source: a minimum-covariance-determinant
-estimate (concentration steps: keep the share of documents nearest to the
-present centre, estimate centre and covariance anew) gives each group a centre
-that junk can't move, and a document whose transformed statistics lie too far
-from it by Mahalanobis distance is rejected.
+compared with their own language and source by a minimum-covariance-determinant
+estimate: of all subsets with SHARE of a group's vectors, the one whose covariance
+has the least determinant gives the group's centre and covariance, which junk
+can't move, and a document too far from it by Mahalanobis distance is rejected.
+
+The subset is searched from several deterministic starts (mean and covariance;
+medians and median deviations; covariances of squashed values and of directions).
+A concentration step keeps the SHARE of vectors nearest to the present centre and
+estimates anew, which can only lower the determinant. All starts take two steps,
+the start with the least determinant goes on until its determinant stops falling.
+
+Copies count once, so a template that fills a source doesn't make everything else
+in it an outlier. Counts that are zero nearly everywhere would leave a subset
+without spread; below the resolution of their rates they are spread evenly by a
+hash of the counts.
 
 DataFrame functions only. Texts are read once; the steps run over the stored
-statistics, by pre-aggregated sums and a histogram of distances for each group,
-so no group meets in one task.
+vectors, by pre-aggregated sums and a histogram of distances for each group, so
+no group meets in one task, and what they join with is one stored row for each
+group and start.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.llm.storage import save
 
-#: The statistics and the least standard deviation of each, so that a statistic
-#: which is the same in nearly all documents doesn't reject the first other one.
-FLOORS = {"size": 1.2, "word_length": 1.0, "symbols": 0.7, "repeated_lines": 0.7, "repeated_words": 0.7}
-NAMES = [*FLOORS]
+NAMES = ("size", "word_length", "symbols", "repeated_lines", "repeated_words")
 P = len(NAMES)
+RAW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+#: Rates in 100 words or lines that aren't told apart.
+RESOLUTION = {"symbols": 2.0, "repeated_lines": 10.0, "repeated_words": 5.0}
+#: The share of a group's vectors that the subset has.
 SHARE = 0.75
-#: 0.75 / P(chi-square with 7 degrees <= the 0.75 quantile with 5): what the covariance of the nearest share lacks.
-CONSISTENCY = 1.41
-#: A squared distance that a normal vector of 5 passes once in 10,000 times.
-CUTOFF = 25.7
-LEAST_GROUP = 30
-#: Parts into which a group's rows are dealt for joins with what is known of the group.
-SALTS = 64
-BINS = 16.0
+#: How often a normal vector would be rejected.
+RATE = 1e-5
+#: Vectors without which a group has no estimate of its own.
+LEAST_GROUP = 100
+STARTS = ("classic", "median", "squashed", "directions")
+#: Bins of a distance's logarithm; the last one that a subset needs is taken by a part.
+BINS = 256.0
+#: Bins of a statistic's value, for medians.
+FINE = 200.0
+#: What a variance without any spread is given.
+RIDGE = 1e-8
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text has no words."""
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words; a null text has no words."""
     space, five = r"[\x20\x09-\x0D]+", 5
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -53,8 +71,8 @@ def counts(docs: DataFrame) -> DataFrame:
     keep = ["doc_id", "lang", "source", "word_chars", "n_symbols"]
     windows = F.slice("words", F.lit(1), F.greatest(F.size("words") - (five - 1), F.lit(0)))
     hashed = F.transform(windows, lambda w, i: F.xxhash64(w, *(F.get("words", i + k) for k in range(1, five))))
-    rows = rows.select(*keep, (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("words").cast("long").alias("n_words"), hashed.alias("hashed"))
-    keep += ["n_dup_lines", "n_words"]
+    rows = rows.select(*keep, F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("words").cast("long").alias("n_words"), hashed.alias("hashed"))
+    keep += ["n_lines", "n_dup_lines", "n_words"]
     # Most texts have no window twice; only the others are sorted.
     again = F.size(F.array_distinct("hashed")) < F.size("hashed")
     pairs = F.transform("hashed", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
@@ -67,69 +85,175 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def statistics() -> dict[str, Column]:
-    """The transformed statistics of a row of counts with words."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    """The transformed statistics of a row of counts with words; short texts are drawn towards what is usual."""
+    n = F.col("n_words").cast("double")
+    spread = lambda name: RESOLUTION[name] * F.shiftrightunsigned(F.xxhash64(*RAW, F.lit(name)), 11) / F.lit(float(1 << 53))
+    rate = lambda c, of: 100 * F.col(c).cast("double") / of
     return {
         "size": F.log1p(n),
-        "word_length": F.col("word_chars") / n,
-        "symbols": F.log1p(100 * F.col("n_symbols") / n),
-        "repeated_lines": F.log1p(F.col("n_dup_lines").cast("double")),
-        "repeated_words": F.log1p(100 * F.col("n_repeat_words") / n),
+        "word_length": (F.col("word_chars") + 100) / (n + 20),
+        "symbols": F.log1p(rate("n_symbols", n + 50) + spread("symbols")),
+        "repeated_lines": F.log1p(rate("n_dup_lines", F.col("n_lines") + 5) + spread("repeated_lines")),
+        "repeated_words": F.log1p(rate("n_repeat_words", n + 50) + spread("repeated_words")),
+    }
+
+
+def _lower_gamma(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function."""
+    term = total = 1 / a
+    for k in range(1, 10_000):
+        term *= x / (a + k)
+        total += term
+        if term < total * 1e-16:
+            break
+    return total * math.exp(-x + a * math.log(x) - math.lgamma(a)) if x > 0 else 0.0
+
+
+def chi_square(x: float, degrees: int) -> float:
+    """Probability that a chi-square variable is x at most."""
+    return _lower_gamma(degrees / 2, x / 2)
+
+
+def chi_square_quantile(p: float, degrees: int) -> float:
+    low, high = 0.0, 1.0
+    while chi_square(high, degrees) < p:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, degrees) < p else (low, middle)
+    return (low + high) / 2
+
+
+def consistency(share: float = SHARE, degrees: int = P) -> float:
+    """What the covariance of the nearest share of normal vectors lacks."""
+    return share / chi_square(chi_square_quantile(share, degrees), degrees + 2)
+
+
+def cutoff(rate: float = RATE, degrees: int = P) -> float:
+    """The squared distance that a normal vector exceeds at that rate."""
+    return chi_square_quantile(1 - rate, degrees)
+
+
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _factored(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, centre (m_i), Cholesky factor (l_i_j) and log_det of rows with m_i and covariances s_i_j."""
+    out = sums
+    for i, j in _PAIRS:
+        value = F.col(f"s_{i}_{j}")
+        for k in range(j):
+            value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(RIDGE))) if i == j else value / F.col(f"l_{j}_{j}"))
+    log_det = reduce(lambda a, b: a + b, (2 * F.log(f"l_{i}_{i}") for i in range(P)))
+    return out.select(*keys, *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS), log_det.alias("log_det"))
+
+
+def _moments(x: list[Column], weight: Column | None = None) -> list[Column]:
+    """Aggregates: means m_i and mean products p_i_j of the columns x."""
+    total = lambda c: F.avg(c) if weight is None else F.sum(c * weight) / F.sum(weight)
+    return [*(total(c).alias(f"m_{i}") for i, c in enumerate(x)), *(total(x[i] * x[j]).alias(f"p_{i}_{j}") for i, j in _PAIRS)]
+
+
+def _covariances(keys: list[str]) -> list[Column]:
+    return [F.col(k) for k in keys] + [F.col(f"m_{i}") for i in range(P)] + [(F.col(f"p_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"s_{i}_{j}") for i, j in _PAIRS]
+
+
+def _medians(values: DataFrame) -> DataFrame:
+    """group and the median of each statistic, to within a bin."""
+    parts = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(n) * FINE).alias("bin")) for i, n in enumerate(NAMES))))
+    sizes = values.select("group", parts.alias("x")).groupBy("group", "x.i", "x.bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("group", "i").orderBy("bin")
+    half = 2 * F.sum("n").over(order) >= F.sum("n").over(Window.partitionBy("group", "i"))
+    middle = sizes.select("group", "i", "bin", half.alias("half")).filter("half").groupBy("group", "i").agg(((F.min("bin") + 0.5) / FINE).alias("median"))
+    return middle.groupBy("group").agg(*(F.max(F.when(F.col("i") == i, F.col("median"))).alias(f"median_{i}") for i in range(P)))
+
+
+def starts(vectors: DataFrame) -> DataFrame:
+    """group, start, m_i, l_i_j, log_det: what the searches begin with."""
+    medians = save(_medians(vectors), "medians")
+    away = vectors.join(medians, "group").select("group", *(F.abs(F.col(n) - F.col(f"median_{i}")).alias(n) for i, n in enumerate(NAMES)))
+    scales = _medians(away).select("group", *(F.greatest(1.4826 * F.col(f"median_{i}"), F.lit(0.5 / FINE)).alias(f"scale_{i}") for i in range(P)))
+    robust = save(medians.join(scales, "group"), "scales")
+    z = [(F.col(n) - F.col(f"median_{i}")) / F.col(f"scale_{i}") for i, n in enumerate(NAMES)]
+    scaled = vectors.join(robust, "group").select("group", *NAMES, *(c.alias(f"z_{i}") for i, c in enumerate(z)))
+    norm = F.sqrt(reduce(lambda a, b: a + b, (F.col(f"z_{i}") ** 2 for i in range(P))))
+    kinds = {
+        "classic": [F.col(n) for n in NAMES],
+        "squashed": [F.tanh(f"z_{i}") for i in range(P)],
+        "directions": [F.col(f"z_{i}") / F.greatest(norm, F.lit(1e-9)) for i in range(P)],
     }
+    each = scaled.select("group", F.explode(F.array(*(F.struct(F.lit(k).alias("start"), *(c.alias(f"x_{i}") for i, c in enumerate(x))) for k, x in kinds.items()))).alias("e")).select("group", "e.*")
+    moments = each.groupBy("group", "start").agg(*_moments([F.col(f"x_{i}") for i in range(P)]))
+    moments = moments.select(*_covariances(["group", "start"])).join(robust, "group")
+    own = F.col("start") == "classic"
+    shape = [F.when(own, F.col(f"m_{i}")).otherwise(F.col(f"median_{i}")).alias(f"m_{i}") for i in range(P)]
+    shape += [F.when(own, F.col(f"s_{i}_{j}")).otherwise(F.col(f"s_{i}_{j}") * F.col(f"scale_{i}") * F.col(f"scale_{j}")).alias(f"s_{i}_{j}") for i, j in _PAIRS]
+    plain = [F.col(f"median_{i}").alias(f"m_{i}") for i in range(P)] + [(F.col(f"scale_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"s_{i}_{j}") for i, j in _PAIRS]
+    both = moments.select("group", "start", *shape).union(robust.select("group", F.lit("median").alias("start"), *plain))
+    return _factored(both, ["group", "start"])
 
 
-def _estimates(rows: DataFrame, correction: float) -> DataFrame:
-    """Each group's centre and Cholesky factor, from the sums over its rows."""
-    sums = [F.count("*").alias("n")]
-    sums += [F.avg(a).alias(f"m_{i}") for i, a in enumerate(NAMES)]
-    sums += [F.avg(F.col(a) * F.col(b)).alias(f"s_{i}_{j}") for i, a in enumerate(NAMES) for j, b in enumerate(NAMES[: i + 1])]
-    out = rows.groupBy("group").agg(*sums)
-    for i in range(P):
-        for j in range(i + 1):
-            value = (F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * correction
-            if i == j:
-                value = F.greatest(value, F.lit(0.0)) + FLOORS[NAMES[i]] ** 2
-            for k in range(j):
-                value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            value = F.sqrt(F.greatest(value, F.lit(0.01))) if i == j else value / F.col(f"l_{j}_{j}")
-            out = out.withColumn(f"l_{i}_{j}", value)
-    return out.select("group", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i in range(P) for j in range(i + 1)))
-
-
-def _dealt(groups: DataFrame) -> DataFrame:
-    """One row of each group for each of its parts."""
-    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with the squared Mahalanobis distance from their group's centre."""
-    out = rows.join(_dealt(estimates), ["group", "salt"])
+def _measured(out: DataFrame) -> DataFrame:
+    """Rows with the statistics and an estimate, and the squared Mahalanobis `distance`."""
     for i, name in enumerate(NAMES):
         value = F.col(name) - F.col(f"m_{i}")
         for j in range(i):
             value = value - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
         out = out.withColumn(f"z_{i}", value / F.col(f"l_{i}_{i}"))
-    return out.select(*rows.columns, sum((F.col(f"z_{i}") ** 2 for i in range(P)), F.lit(0.0)).alias("distance"))
+    return out.withColumn("distance", reduce(lambda a, b: a + b, (F.col(f"z_{i}") ** 2 for i in range(P))))
+
+
+def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """rows, and with each estimate of their group its columns and the squared Mahalanobis `distance`."""
+    return _measured(rows.join(estimates, "group"))
 
 
-def _nearest(measured: DataFrame) -> DataFrame:
-    """The SHARE of each group's rows with the least distances (and those of the last one's bin)."""
-    binned = measured.withColumn("bin", F.floor(BINS * F.log(F.col("distance") + 1e-9)).cast("int"))
-    sizes = binned.groupBy("group", "bin").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("group").orderBy("bin")
-    share = F.sum("n").over(order) >= SHARE * F.sum("n").over(Window.partitionBy("group"))
-    last = sizes.select("group", "bin", share.alias("enough")).filter("enough").groupBy("group").agg(F.min("bin").alias("last"))
-    return binned.join(_dealt(last), ["group", "salt"]).filter(F.col("bin") <= F.col("last")).select(*measured.columns)
+def concentrated(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Estimates (group, start, ...) from the SHARE of each group's vectors that are nearest to the given ones (stored)."""
+    near = F.floor(BINS * F.log(F.col("distance") + 1e-12)).cast("int").alias("bin")
+    sizes = distances(vectors, estimates).select("group", "start", near).groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("group", "start").orderBy("bin")
+    upto, wanted = F.sum("n").over(order), SHARE * F.sum("n").over(Window.partitionBy("group", "start"))
+    part = F.struct(F.col("bin").alias("last"), ((wanted - (upto - F.col("n"))) / F.col("n")).alias("part"))
+    last = sizes.select("group", "start", part.alias("e"), (upto >= wanted).alias("enough")).filter("enough").groupBy("group", "start").agg(F.min("e").alias("e"))
+    bounded = save(estimates.join(last.select("group", "start", "e.*"), ["group", "start"]), "bounds")
+    measured = distances(vectors, bounded).select("group", "start", *NAMES, near, "last", "part").filter("bin <= last")
+    weight = F.when(F.col("bin") < F.col("last"), F.lit(1.0)).otherwise(F.col("part"))
+    moments = measured.groupBy("group", "start").agg(*_moments([F.col(n) for n in NAMES], weight))
+    return save(_factored(moments.select(*_covariances(["group", "start"])), ["group", "start"]), "estimates")
 
 
-def outlying(rows: DataFrame, steps: int = 4) -> DataFrame:
-    """Rows (group, salt and the statistics) with `distance` after the last step."""
-    estimates = _estimates(rows, 1.0)
+def estimates(vectors: DataFrame, steps: int = 50, least_fall: float = 1e-6) -> DataFrame:
+    """group, start, m_i, l_i_j, log_det: the least determinant found for each group of vectors (group, NAMES).
+
+    m is the centre and l the Cholesky factor of the nearest share's covariance,
+    not corrected for consistency. start tells which search found it.
+    """
+    now = save(starts(vectors), "starts")
+    for _ in range(2):
+        now = concentrated(vectors, now)
+    best = F.min(F.struct("log_det", F.struct(*(c for c in now.columns if c != "log_det")).alias("e")))
+    now = save(now.groupBy("group").agg(best.alias("b")).select("b.e.*", "b.log_det"), "best")
     for _ in range(steps):
-        kept = save(estimates, "estimates")
-        near = _nearest(_distances(rows, kept))
-        estimates = _estimates(near, CONSISTENCY)
-    return _distances(rows, save(estimates, "estimates"))
+        new = concentrated(vectors, now)
+        before = now.select("group", F.col("log_det").alias("before"))
+        fell = new.join(before, "group").filter(F.col("before") - F.col("log_det") > least_fall).count()
+        if not fell:
+            break
+        better = new.join(before, "group").filter(F.col("log_det") < F.col("before")).select(*new.columns)
+        now = save(better.union(now.join(better.select("group"), "group", "left_anti").select(*new.columns)), "estimates")
+    return now
+
+
+def _vectors(passed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct vectors of documents, and the group that judges those of a language and source, or null."""
+    rows = save(passed.select("lang_key", "source_key", *RAW).distinct(), "distinct")
+    sizes = rows.groupBy("lang_key", "source_key").agg(F.count("*").alias("n"))
+    pools = sizes.filter(F.col("n") < LEAST_GROUP).groupBy("lang_key").agg(F.sum("n").alias("pool"))
+    judge = F.when(F.col("n") >= LEAST_GROUP, F.concat("lang_key", F.lit("\0"), "source_key")).when(F.col("pool") >= LEAST_GROUP, F.col("lang_key"))
+    groups = save(sizes.join(pools, "lang_key", "left").select("lang_key", "source_key", judge.alias("group")), "groups")
+    return rows, groups
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -137,26 +261,23 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated windows
     of five. Others are grouped by language and source (null is a value like any
-    other); groups of fewer than LEAST_GROUP are pooled by language, and a pool
-    that is still smaller rejects nothing. distance is null for those that failed.
+    other); groups with fewer than LEAST_GROUP different vectors of counts are
+    pooled by language, and a pool that is still smaller rejects nothing. distance
+    (squared, with a consistent covariance) is null for those that failed and
+    those without a group. Repeated rows are judged alike.
     """
-    table = save(counts(docs).select(F.monotonically_increasing_id().alias("row"), "*"), "counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    passed = table.filter(~failed)
-    lang = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit("-"))
-    source = F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-"))
-    keyed = passed.select("row", lang.alias("lang_key"), F.concat(lang, F.lit("\0"), source).alias("group"), *(c.alias(n) for n, c in statistics().items()))
-    sizes = keyed.groupBy("lang_key", "group").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") < LEAST_GROUP)
-    pools = small.groupBy("lang_key").agg(F.sum("n").alias("pool"))
-    small = small.join(pools, "lang_key").select("group", "pool")
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt")
-    keyed = keyed.select("*", salt)
-    rows = keyed.join(_dealt(small), ["group", "salt"], "left").select("row", "salt", F.when(F.col("pool").isNull(), F.col("group")).otherwise(F.col("lang_key")).alias("group"), (F.coalesce("pool", F.lit(LEAST_GROUP)) >= LEAST_GROUP).alias("judged"), *NAMES)
-    measured = outlying(save(rows, "statistics")).select("row", "judged", "distance")
-    out = table.join(measured, "row", "left")
-    rejected = F.coalesce(F.col("judged") & (F.col("distance") > CUTOFF), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "distance", (~failed & ~rejected).alias("kept"))
+    key = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-")).alias(f"{c}_key")
+    table = save(counts(docs).select("*", failed.alias("base_failed"), key("lang"), key("source")), "counts")
+    rows, groups = _vectors(table.filter("not base_failed"))
+    shown = [c.alias(n) for n, c in statistics().items()]
+    vectors = save(rows.join(groups.filter("group is not null"), ["lang_key", "source_key"]).select("group", *shown), "vectors")
+    found = groups.join(estimates(vectors), "group")
+    found = save(found.drop("start", "log_det"), "groups")
+    judged = table.select("*", *shown).join(found.withColumnRenamed("group", "of"), ["lang_key", "source_key"], "left")
+    distance = F.when(~F.col("base_failed"), F.col("distance") / consistency())
+    kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff(), F.lit(True))
+    return _measured(judged).select("doc_id", *RAW, "base_failed", distance.alias("distance"), kept.alias("kept"))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
