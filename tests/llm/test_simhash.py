@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tidemill.llm.components import components
-from tidemill.llm.simhash import fingerprint, linked, near_duplicates, op9_simhash, similar_documents, wide_fingerprint
+from tidemill.llm.simhash import compare, fingerprint, linked, near_duplicates, op9_simhash, similar_documents, tile_pairs, wide_fingerprint
 
 from .conftest import SF
 
@@ -55,6 +55,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert near_duplicates(no_docs).collect() == []
 
 
+def test_tiles_beyond_the_radius_are_skipped():
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 1 << 63, (4000, 1), np.uint64)
+    fp[2000:] = fp[:2000] ^ np.uint64(1 << 5) ^ np.uint64(1 << 40)
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    order = np.argsort(ones, kind="stable")
+    fp, ones = fp[order], ones[order]
+    met = [*tile_pairs(ones, 0, len(fp), 3, 128)]
+    tiles = -(-len(fp) // 128)
+    assert tiles < len(met) < 0.8 * tiles * (tiles + 1) / 2  # tiles are compared, and many pairs of them are not
+    u, v = compare(fp, np.zeros(len(fp), int), 3, 128)
+    apart = np.bitwise_count(fp[:, None, 0] ^ fp[None, :, 0]) <= 3
+    assert len(u) >= 2000 and apart[u].any(axis=1).all()
+    held = np.zeros((len(fp), len(fp)), bool)
+    for x, y in met:
+        held[x, y] = True
+    assert not (np.triu(apart, 1) & ~held).any()
+
+
+def test_buckets_are_compared_by_tiles(spark):
+    rng = random.Random(3)
+    prints = sorted({rng.getrandbits(63) for _ in range(3000)})
+    prints += [x ^ 1 << 7 ^ 1 << 33 ^ 1 << 60 for x in prints[:500]]
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    found = {r.node: r.root for r in components(linked(df, len(prints), in_bucket=500)).collect()}
+    want = classes([(x, x) for x in prints[:20] + prints[3000:3020]])
+    assert len(found) >= 1000 and all(found[x] == want[x] for x in want)
+
+
 @pytest.mark.parametrize("most, n", [(16_384, 1), (64, 1), (16_384, 1 << 23)])
 def test_links_against_all_pairs(spark, most, n):
     rng = random.Random(11)

@@ -1,14 +1,14 @@
 """SimHash near-duplicates by tiled exact comparison.
 
 Fingerprints are compared exactly, by numpy's exclusive-or and bit counts, tile
-against tile. Tiles are laid out so that most pairs of tiles need no look: of the
-m segments of a fingerprint, m - 3 or more are the same in any two fingerprints
-that differ in 3 bits at most, so fingerprints are grouped by each choice of
-m - 3 segments, and within a group, in the order of their population counts, a
-pair of tiles whose counts differ beyond the radius is skipped. Groups that are
-too large for a task are dealt out as pairs of parts. A task returns a spanning
-forest of its links, not the links, so a family of copies costs as many rows as it
-has members.
+against tile: in the order of their population counts, rows are cut in tiles, and
+a pair of tiles whose counts differ beyond the radius is skipped. Not all tiles of
+a corpus need meet: of the m segments of a fingerprint, m - 3 or more are the same
+in any two that differ in 3 bits at most, so each choice of m - 3 segments deals
+fingerprints into buckets of some thousands by the segments' hash, and tiles meet
+within a bucket. Buckets that are too large for a task are dealt out as pairs of
+parts. A task returns a spanning forest of its links, not the links, so a family
+of copies costs as many rows as it has members.
 """
 
 from __future__ import annotations
@@ -97,47 +97,46 @@ def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = new
 
 
+def tile_pairs(ones: np.ndarray, start: int, end: int, radius: int, tile: int) -> Iterator[tuple[slice, slice]]:
+    """Pairs of tiles of rows start..end, in the order of their population counts, that can hold a link."""
+    for i in range(start, end, tile):
+        most = ones[min(i + tile, end) - 1] + radius
+        for j in range(i, end, tile):
+            if ones[j] > most:
+                break  # and so do all that follow
+            yield slice(i, min(i + tile, end)), slice(j, min(j + tile, end))
+
+
+def compare(fp: np.ndarray, group: np.ndarray, radius: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, representative) indices of a forest of the links within whole groups.
+
+    fp has a row of words for each fingerprint; group numbers ascend, and within a
+    group population counts.
+    """
+    label = np.arange(len(fp))
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(starts, len(fp)))
+    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        for x, y in tile_pairs(ones, start, start + size, radius, tile):
+            apart = np.bitwise_count(fp[x, None, 0] ^ fp[None, y, 0]).astype(np.uint16)
+            for w in range(1, fp.shape[1]):
+                apart += np.bitwise_count(fp[x, None, w] ^ fp[None, y, w])
+            a, b = np.nonzero(apart <= radius)
+            a, b = a + x.start, b + y.start
+            fresh = a < b
+            if fresh.any():
+                label = _unite(label, a[fresh], b[fresh])
+    tied = np.flatnonzero(label != np.arange(len(fp)))
+    return tied, label[tied]
+
+
 def _links(radius: int, tile: int, at_once: int = 1 << 16):
     """(u, v) ties within the groups of a partition sorted by group and population count.
 
     About `at_once` rows are held, and always whole groups.
     """
 
-    def compare(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(member, representative) indices of a forest of the links within whole groups.
-
-        fp has a row of words for each fingerprint; group numbers ascend.
-        """
-        label = np.arange(len(fp))
-        ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
-        starts = np.flatnonzero(np.diff(group, prepend=-1))
-        sizes = np.diff(np.append(starts, len(fp)))
-        small = np.repeat(sizes <= tile // 8, sizes)
-        for shift in range(1, tile // 8):
-            at = np.flatnonzero(small[:-shift] & (group[:-shift] == group[shift:]))
-            if not len(at):
-                break
-            at = at[ones[at + shift] - ones[at] <= radius]
-            at = at[np.bitwise_count(fp[at] ^ fp[at + shift]).sum(axis=1, dtype=np.int64) <= radius]
-            label = _unite(label, at, at + shift)
-        for start, size in zip(starts[sizes > tile // 8].tolist(), sizes[sizes > tile // 8].tolist()):
-            end = start + size
-            for i in range(start, end, tile):
-                i_end = min(i + tile, end)
-                for j in range(i, end, tile):
-                    if ones[j] - ones[i_end - 1] > radius:
-                        break  # and so do all that follow
-                    j_end = min(j + tile, end)
-                    apart = np.zeros((i_end - i, j_end - j), np.uint16)
-                    for w in range(fp.shape[1]):
-                        apart += np.bitwise_count(fp[i:i_end, None, w] ^ fp[None, j:j_end, w])
-                    a, b = np.nonzero(apart <= radius)
-                    a, b = a + i, b + j
-                    fresh = a < b
-                    label = _unite(label, a[fresh], b[fresh])
-        tied = np.flatnonzero(label != np.arange(len(fp)))
-        return tied, label[tied]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
@@ -150,7 +149,7 @@ def _links(radius: int, tile: int, at_once: int = 1 << 16):
             new = np.zeros(len(fp), bool)
             for k in keys:
                 new[1:] |= k[1:] != k[:-1]
-            u, v = compare(fp, np.cumsum(new))
+            u, v = compare(fp, np.cumsum(new), radius, tile)
             return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], ["u", "v"])
 
         for batch in batches:
@@ -176,12 +175,17 @@ def _links(radius: int, tile: int, at_once: int = 1 << 16):
     return run
 
 
-def linked(distinct: DataFrame, n: int, radius: int = 3, tile: int = 1024, most: int = 16_384) -> DataFrame:
+def _bucket(key, n: int, rows: int):
+    """Deals keys into buckets of about that many of n rows."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, n // rows)))
+
+
+def linked(distinct: DataFrame, n: int, radius: int = 3, tile: int = 256, most: int = 16_384, in_bucket: int = 2_048) -> DataFrame:
     """u, v: a forest that ties fingerprints (column fp, no two alike) as their links do.
 
-    n is their number; from it follows how finely they are cut in segments (a
-    matter of speed alone). Groups of over `most` rows are compared as pairs of
-    parts, by different tasks.
+    n is their number; from it follows how finely they are cut in segments and
+    dealt into buckets (a matter of speed alone). Buckets of over `most` rows are
+    compared as pairs of parts, by different tasks.
     """
     segments = radius + (1 if n < 1 << 22 else 2 if n < 1 << 31 else 3)
     bounds = [round(64 * i / segments) for i in range(segments + 1)]
@@ -189,7 +193,7 @@ def linked(distinct: DataFrame, n: int, radius: int = 3, tile: int = 1024, most:
     for number, chosen in enumerate(combinations(range(segments), segments - radius)):
         mask = sum(((1 << (bounds[i + 1] - bounds[i])) - 1) << bounds[i] for i in chosen)
         mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        choices.append(F.struct(F.lit(number).alias("choice"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")))
+        choices.append(F.struct(F.lit(number).alias("choice"), _bucket(F.col("fp").bitwiseAND(F.lit(mask)), n, in_bucket).alias("key")))
     bits = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
     rows = distinct.select(F.col("fp").alias("id"), bits.alias("bits"), F.bit_count("fp").alias("ones"), F.inline(F.array(*choices)))
     return tiled(rows, n * len(choices), radius, tile, most)
@@ -204,7 +208,7 @@ def _pairs_of_parts(rows: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame
     return rows.select("*", F.inline(F.when(F.col("parts").isNull(), alone).otherwise(others))).drop("parts")
 
 
-def tiled(rows: DataFrame, n: int, radius: int, tile: int = 1024, most: int = 16_384) -> DataFrame:
+def tiled(rows: DataFrame, n: int, radius: int, tile: int = 256, most: int = 16_384) -> DataFrame:
     """u, v: a forest of the links among fingerprints that share a choice and key.
 
     rows: id, bits (binary), ones (how many bits are 1), choice and key (long); n is
@@ -386,7 +390,7 @@ def confirmed(sets: DataFrame, least: float, radius: int, most: int = 4_096, mos
     return rows.mapInArrow(_confirmed(least, radius), "u long, v long")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 144, bands: int = 12, rows: int = 3, least: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, words: int = 8, radius: int = 144, bands: int = 12, rows: int = 3, least: float = 0.8, in_bucket: int = 64) -> DataFrame:
     """doc_id, component_id of every document with a word; doc_id has to be a key without nulls.
 
     Documents are linked whose distinct word shingles have a Jaccard similarity of
@@ -401,8 +405,9 @@ def similar_documents(docs: DataFrame, width: int = 5, words: int = 8, radius: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = save(texts.mapInArrow(_wide(width, words, bands, rows), "doc_id long, digest binary, bits binary, ones int, keys array<long>").filter("bits is not null"), "prints")
     same = save(prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bits").alias("bits"), F.first("ones").alias("ones"), F.first("keys").alias("keys")), "distinct")
-    dealt = same.select("id", "bits", "ones", F.posexplode("keys").alias("choice", "key"))
-    coarse = save(components(tiled(dealt, same.count() * bands, radius)).select(F.col("node").alias("doc_id"), "root"), "coarse")
+    n = same.count()
+    dealt = same.select("id", "bits", "ones", F.posexplode("keys").alias("choice", "key")).withColumn("key", _bucket(F.col("key"), n, in_bucket))
+    coarse = save(components(tiled(dealt, n * bands, radius)).select(F.col("node").alias("doc_id"), "root"), "coarse")
     sets = texts.join(coarse, "doc_id").select("doc_id", "root", "text").mapInArrow(_sets(width, words), "id long, root long, bits binary, ones int, shingles binary")
     roots = components(confirmed(save(sets, "sets"), least, radius))
     named = same.join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
