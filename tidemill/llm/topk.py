@@ -1,12 +1,15 @@
 """Exact top-k search by inner product over sparse integer vectors.
 
 Exhaustive term-at-a-time accumulation. Query rows and candidate rows are packed
-into blocks; every query block meets every candidate block in one equi-join on
-(query block, slot). In a block the candidates' non-zero entries are turned into
-postings by term; each query scatters its weighted postings into a dense score
-array, a partition selection takes the best k, and a window merges the blocks'
-lists. Nothing is collected and nothing is broadcast: memory of a task is one
-pair of blocks and k rows for each query of the blocks it has met.
+into blocks. A task has a group of query blocks and a slot of the candidate
+blocks: it holds its query blocks and reads the candidate blocks one by one, so
+candidates are sent once for each group of GROUP query blocks, queries once for
+each slot, and no pair of blocks is ever a row. In a candidate block the non-zero
+entries are turned into postings by term; each query scatters its weighted
+postings into a dense score array, a partition selection takes the best k, and a
+window merges the tasks' lists. Nothing is collected and nothing is broadcast:
+memory of a task is its query blocks, one candidate block and k rows for each
+query.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 _PACKED = "part int, ids binary, ends binary, terms binary, weights binary"
+#: Query blocks in a task, and candidate blocks in a slot.
+GROUP, SLOT = 32, 64
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: float = 256.0) -> DataFrame:
@@ -84,45 +89,61 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[at], ids[at]
 
 
+_ARRAYS = (("ids", np.int64), ("ends", np.int64), ("terms", np.int32), ("weights", np.int64))
+
+
+def _postings(ids: np.ndarray, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[dict, set]:
+    """Places and weights of a block's rows by term, and the terms that all of them have."""
+    order = np.argsort(terms, kind="stable")
+    docs = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))[order]
+    weights = weights[order]
+    names, first = np.unique(terms[order], return_index=True)
+    bounds = np.append(first, len(terms))
+    postings = {int(t): (docs[a:b], weights[a:b]) for t, a, b in zip(names, bounds[:-1], bounds[1:])}
+    return postings, {t for t, (d, _) in postings.items() if len(d) == len(ids)}
+
+
 def _scored(k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: list[list[np.ndarray]] = []
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        at = None
+
+        def done():
+            n = [len(s) for s, _ in best.values()]
+            values = [np.repeat(np.fromiter(best, np.int64), n), *(np.concatenate([x[i] for x in best.values()]).astype(np.int64) for i in (1, 0))]
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q_ends, q_terms, q_weights = (np.frombuffer(row[c], t) for c, t in (("q_ids", np.int64), ("q_ends", np.int64), ("q_terms", np.int32), ("q_weights", np.int64)))
-                ids, ends, terms, weights = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("ends", np.int64), ("terms", np.int32), ("weights", np.int64)))
-                order = np.argsort(terms, kind="stable")
-                docs = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))[order]
-                weights = weights[order]
-                names, first = np.unique(terms[order], return_index=True)
-                bounds = np.append(first, len(terms))
-                postings = {int(t): (docs[a:b], weights[a:b]) for t, a, b in zip(names, bounds[:-1], bounds[1:])}
-                full = {t for t, (d, _) in postings.items() if len(d) == len(ids)}
-                start = 0
-                for q, end in zip(q_ids.tolist(), q_ends.tolist()):
-                    scores = np.zeros(len(ids), np.int64)
-                    for t, w in zip(q_terms[start:end].tolist(), q_weights[start:end].tolist()):
-                        if t in full:
-                            scores += w * postings[t][1]
-                        elif t in postings:
-                            d, x = postings[t]
-                            scores[d] += w * x
-                    start = end
-                    other = ids != q
-                    found = _best(scores[other], ids[other], k)
-                    if q in best:
-                        found = _best(*(np.concatenate(x) for x in zip(best[q], found)), k)
-                    best[q] = found
+            for row in batch.to_pylist():  # blocks: query blocks of a cell ahead of its candidate blocks
+                arrays = [np.frombuffer(row[c], t) for c, t in _ARRAYS]
+                if (row["q_group"], row["slot"]) != at:
+                    if best:
+                        yield done()
+                    at, queries, best = (row["q_group"], row["slot"]), [], {}
+                if not row["side"]:
+                    queries.append(arrays)
+                    continue
+                ids = arrays[0]
+                postings, full = _postings(*arrays)
+                for q_ids, q_ends, q_terms, q_weights in queries:
+                    start = 0
+                    for q, end in zip(q_ids.tolist(), q_ends.tolist()):
+                        scores = np.zeros(len(ids), np.int64)
+                        for t, w in zip(q_terms[start:end].tolist(), q_weights[start:end].tolist()):
+                            if t in full:
+                                scores += w * postings[t][1]
+                            elif t in postings:
+                                d, x = postings[t]
+                                scores[d] += w * x
+                        start = end
+                        other = ids != q
+                        found = _best(scores[other], ids[other], k)
+                        if q in best:
+                            found = _best(*(np.concatenate(x) for x in zip(best[q], found)), k)
+                        best[q] = found
         if best:
-            n = [len(s) for s, _ in best.values()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.fromiter(best, np.int64), n)),
-                    pa.array(np.concatenate([i for _, i in best.values()]).astype(np.int64)),
-                    pa.array(np.concatenate([s for s, _ in best.values()]).astype(np.int64)),
-                ],
-                ["query_id", "vec_id", "score"],
-            )
+            yield done()
 
     return score
 
@@ -134,29 +155,22 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, query_block: in
     (array<long>); see `quantised`. A candidate with the query's own id is not a
     candidate for it. Ties go to the smaller id; with fewer than k candidates all
     are returned; with none, or with no query, the result is empty. Ids are keys:
-    of query rows that repeat an id one is used; candidates that repeat an id
-    each keep a place.
+    of query rows that repeat an id the one with the least terms, then weights,
+    is used; candidates that repeat an id each keep a place.
     """
     spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, math.ceil(n / query_block))
-    slots = max(1, math.ceil(2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) / blocks))
-    parts = blocks * slots
-    packed = queries.dropDuplicates(["id"]).repartition(blocks, "id").mapInArrow(_pack(query_block), _PACKED)
-    left = (
-        packed.select(F.spark_partition_id().alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "ends", "terms", "weights")))
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        .repartition(parts, "q_block", "slot")
-    )
-    right = (
-        candidates.mapInArrow(_pack(candidate_block), _PACKED)
-        .withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .drop("part")
-        .repartition(parts, "q_block", "slot")
-    )
+    groups = max(1, math.ceil(queries.count() / (query_block * GROUP)))
+    tasks = 2 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slots = max(math.ceil(tasks / groups), math.ceil(candidates.count() / (candidate_block * SLOT)), 1)
+    once = queries.groupBy("id").agg(F.min(F.struct("terms", "weights")).alias("v")).select("id", "v.terms", "v.weights")
+    columns = ["q_group", "slot", "side", "ids", "ends", "terms", "weights"]
+    of = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = once.repartition(groups, "id").mapInArrow(_pack(query_block), _PACKED).select("*", of(groups).alias("q_group"), F.lit(0).alias("side")).withColumn("slot", every(slots))
+    right = candidates.mapInArrow(_pack(candidate_block), _PACKED).select("*", of(slots).alias("slot"), F.lit(1).alias("side")).withColumn("q_group", every(groups))
+    cells = left.select(*columns).union(right.select(*columns)).repartition(groups * slots, "q_group", "slot").sortWithinPartitions("q_group", "slot", "side")
     out = T.StructType([T.StructField(c, T.LongType()) for c in ("query_id", "vec_id", "score")])
-    lists = left.join(right, ["q_block", "slot"]).drop("q_block", "slot").mapInArrow(_scored(k), out)
+    lists = cells.mapInArrow(_scored(k), out)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return lists.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
