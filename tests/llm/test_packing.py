@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tidemill.llm.packing import op2_best_fit_packing, pack_documents, plan
+from tidemill.llm.packing import WEIGHTS, op2_best_fit_packing, pack_documents, plan
 
 from .conftest import SF
 
@@ -65,3 +65,24 @@ def test_plan_keeps_every_constraint(select, limits):
     assert all(sorted(ranks[a]) == list(range(b)) for a, b in zip(lengths.tolist(), counts.tolist()))
     if select == "norm" and limits == (100, 100, 10_000):
         assert bins <= -(-int(lengths @ counts) // 100) * 1.03 + 1
+
+
+def test_documents_and_cost_decide_too_without_more_sequences():
+    rng = np.random.default_rng(8)
+    differ = 0
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 4097, 200))
+        counts = rng.integers(1, 30, len(lengths))
+        table, bins = plan(lengths, counts, 4096, 4096, 4096 * 4096)
+        tokens, fewest = plan(lengths, counts, 4096, 4096, 4096 * 4096, weights=(1.0, 0.0, 0.0))
+        differ += table.shape != tokens.shape or (table != tokens).any()
+        assert bins <= fewest
+    assert differ and min(WEIGHTS) > 0
+
+
+def test_limits_of_documents_and_cost_are_kept(spark, docs):
+    rows = pack_documents(docs, max_docs=3, max_cost=4096 * 4096).collect()
+    used = defaultdict(list)
+    for r in rows:
+        used[r.sequence_id].append(r.length)
+    assert max(map(len, used.values())) == 3 and max(sum(x * x for x in v) for v in used.values()) <= 4096 * 4096

@@ -31,6 +31,11 @@ from pyspark.sql.window import Window
 
 from tidemill.llm.storage import save, small_batches
 
+#: What tokens, documents and attention cost weigh in the choice of a bin: tokens
+#: first, so that no more sequences are opened than by tokens alone; the others
+#: decide among bins that are about as full.
+WEIGHTS = (1.0, 0.1, 0.1)
+
 
 class WordIds:
     """ids of texts, as little-endian unsigned 32-bit integers.
@@ -126,7 +131,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     return rows.mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, max_docs: int, max_cost: int, select: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> tuple[np.ndarray, int]:
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, max_docs: int, max_cost: int, select: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, int]:
     """Placements of a histogram, and the number of sequences.
 
     A placement is a row (length, first rank, pieces a sequence, sequences, first
@@ -194,12 +199,13 @@ def _placed(shared):
     return place
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, select: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rows_in_salt: int = 1000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, max_cost: int | None = None, select: str = "norm", weights: tuple[float, float, float] = WEIGHTS, rows_in_salt: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns as from `token_pieces`).
 
     capacity bounds a sequence's tokens, max_docs its pieces and max_cost the sum
     of their squared lengths; None leaves the last two at what a sequence of that
-    capacity can hold at most. Sequence ids run from 0 without a gap. Repeated
+    capacity can hold at most (then they weigh in the choice, but refuse nothing).
+    Sequence ids run from 0 without a gap. Repeated
     rows are packed each for itself; an empty table gives an empty result.
     """
     spark = pieces.sparkSession
@@ -220,9 +226,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, m
     return ranked.mapInArrow(_placed(shared), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """Packs whole documents (doc_id, text); only longer ones than a sequence are cut."""
-    return pack(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, capacity), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, **options) -> DataFrame:
+    """Packs whole documents (doc_id, text); only longer ones than a sequence are cut. options: those of `pack`."""
+    return pack(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, capacity), capacity, **options)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
