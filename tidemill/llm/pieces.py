@@ -63,6 +63,10 @@ class CharacterMap:
         size = struct.unpack_from("<I", compiled)[0] if compiled else 0
         self.units = np.frombuffer(compiled[4 : 4 + size], "<u4").tolist()
         self.replacements = compiled[4 + size :]
+        base = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6) if self.units else 0
+        known = [c for c in range(256) if self.units and (base ^ c) < len(self.units) and self.units[base ^ c] & 0x800000FF == c]
+        #: Bytes that a known prefix may begin with.
+        self.first = np.isin(np.arange(256), known)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of data from `at` on, and its replacement."""
@@ -84,6 +88,24 @@ class CharacterMap:
                 found = i + 1 - at, self.replacements[value : self.replacements.index(b"\0", value)]
         return found
 
+    def replaced(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """data with the longest known prefix at each position replaced, and the source offset of each byte.
+
+        The walk stops only where a known prefix may begin; what lies between is
+        copied as it is.
+        """
+        out, at, done = [], [], 0
+        for i in np.flatnonzero(self.first[np.frombuffer(data, np.uint8)]).tolist():
+            found = self.longest(data, i) if i >= done else None
+            if found:
+                size, new = found
+                out += [data[done:i], new]
+                at += [np.arange(done, i), i + (np.arange(size) if new == data[i : i + size] else np.zeros(len(new), np.int64))]
+                done = i + size
+        out.append(data[done:])
+        at.append(np.arange(done, len(data)))
+        return b"".join(out), np.concatenate(at)
+
 
 class Encoder:
     """ids, pieces' source spans and decoding of a SentencePiece model.
@@ -113,38 +135,24 @@ class Encoder:
         bytes_known = any(self.full.is_byte(i) for i in range(len(pieces)))
         #: May a text be cut ahead of each run of spaces and around line ends?
         self.divisible = bytes_known and self.escape and not any(SPACE in p.lstrip(SPACE) or "\n" in p or " " in p for p in own)
-        self.simple = self.divisible and not self.map.units and self.dummy and not self.trim
         self.most, self.known = most, {}
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text in UTF-8, and the source offset of each of its bytes and of its end."""
         data = text.encode()
-        out, at, i = bytearray(), [], 0
+        out, at = self.map.replaced(data)
+        if self.trim and b" " in out:
+            space = np.frombuffer(out, np.uint8) == 32
+            keep = ~(space & np.append(True, space[:-1]))
+            keep[len(out.rstrip(b" ")) :] = False
+            out, at = np.frombuffer(out, np.uint8)[keep].tobytes(), at[keep]
         mark = SPACE.encode() if self.escape else b" "
-        while i < len(data):
-            found = self.map.longest(data, i)
-            if found:
-                size, new = found
-            else:
-                size = 1 if data[i] < 128 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-                new = data[i : i + size]
-            for k, byte in enumerate(new):
-                if byte == 32:
-                    if self.trim and (not out or out.endswith(mark)):
-                        continue
-                    out += mark
-                    at += [i] * len(mark)
-                else:
-                    out.append(byte)
-                    at.append(i + (k if new == data[i : i + size] else 0))
-            i += size
-        if self.trim:
-            while out.endswith(mark):
-                del out[-len(mark) :], at[-len(mark) :]
+        if self.escape:
+            at = np.repeat(at, np.where(np.frombuffer(out, np.uint8) == 32, len(mark), 1))
+            out = out.replace(b" ", mark)
         if self.dummy and out:
-            out[:0] = mark
-            at[:0] = [at[0]] * len(mark)
-        return bytes(out), np.array([*at, len(data)], np.int64)
+            out, at = mark + out, np.concatenate([np.repeat(at[:1], len(mark)), at])
+        return out, np.append(at, len(data))
 
     def _encode_plain(self, chunks: list[str]) -> list[tuple[bytes, tuple[int, ...], bytes]]:
         """Of each normalised chunk: its ids as text, its ids, and the pieces' lengths in bytes."""
@@ -162,16 +170,16 @@ class Encoder:
         self.known.update(zip(new, self._encode_plain([c[1:] if c[:1] == "\0" else c for c in chunks])))
         return [k for k in new if len(k) > 64]
 
-    def _chunks(self, text: str) -> tuple[list[str], np.ndarray | None]:
-        """Keys of a text's chunks, and its alignment where that isn't plain.
+    def _chunks(self, text: str) -> tuple[list[str], np.ndarray]:
+        """Keys of a text's chunks, and its alignment.
 
         A key stands for itself with a space ahead, unless it begins with a line
         end, a space mark or a zero byte, which stands for a chunk as it is.
         """
-        if self.simple and text and text[0] not in " \n" and "  " not in text and SPACE not in text and "\0" not in text:
-            return text.replace("\n", " \n").split(" "), None
         normal, at = self.normalise(text)
         whole = normal.decode()
+        if self.divisible and whole[:1] == SPACE and whole[1:2] != "\n" and SPACE + SPACE not in whole and whole[-1] != SPACE and "\0" not in whole:
+            return whole[1:].replace("\n", SPACE + "\n").split(SPACE), at
         if self.divisible:
             parts = re.findall(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", whole)
         else:
@@ -185,28 +193,19 @@ class Encoder:
         cut = [self._chunks(t or "") for t in texts]
         long = self._learn({k for keys, _ in cut for k in keys})
         known, out = self.known, []
-        for text, (keys, at) in zip(texts, cut):
+        for keys, at in cut:
             got = [known[k] for k in keys]
             ids = list(chain.from_iterable([g[1] for g in got]))
             where = None
             if spans:
                 ends = np.cumsum(np.frombuffer(b"".join([g[2] for g in got]), "<u4"), dtype=np.int64)
                 begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                if at is None:
-                    at = self._plain_alignment(text)
                 where = np.stack([at[begins], at[ends]], axis=1) if len(ends) else np.zeros((0, 2), np.int64)
             out.append((b" ".join([g[0] for g in got]), ids, where))
         for k in long:
             del known[k]
         return out
 
-    @staticmethod
-    def _plain_alignment(text: str) -> np.ndarray:
-        """As from `normalise`, for an empty map and a text with a leading space mark that is no part of it."""
-        data = np.frombuffer(text.encode(), np.uint8)
-        wide = np.where(data == 32, 3, 1)
-        return np.concatenate([np.zeros(3, np.int64), np.repeat(np.arange(len(data)), wide), [len(data)]])
-
     def decode(self, ids: list[int]) -> str:
         return self.full.decode(ids)
 
