@@ -3,7 +3,7 @@ import re
 
 import duckdb
 
-from tidemill.llm.licenses import ORACLES, PHRASES, TEMPLATES, op4_license_scan, scan
+from tidemill.llm.licenses import BLOCK, ORACLES, PHRASES, TEMPLATES, op4_license_scan, scan
 
 from .conftest import SF
 
@@ -24,8 +24,13 @@ def plain(doc_id, text):
         base |= {label} if at else set()
     for label, template in TEMPLATES:
         t = {*template.split()}
-        for line in (text or "").split("\n"):
-            n = len(t & {*words_of(line)})
+        lines = [w for w in map(words_of, (text or "").split("\n")) if w]
+        for i in range(len(lines)):
+            block: list = []
+            for line in lines[i:]:
+                if len(block) < BLOCK:
+                    block += line
+            n = len(t & {*block})
             if n >= math.ceil(0.85 * len(t) - 1e-9):
                 more.add(label)
                 best = max(best, n / len(t))
@@ -58,6 +63,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
         "Redistribution and use in source or binary forms with or without modification are permitted provided that following conditions are met.",
         "released the mit under license " * 3000,
         "permission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
+        "Text.\n\n  Permission is hereby granted, free of charge, to any person\n  obtaining a copy of this software and associated\n\n  documentation files (the Software)\nmore",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted " + "x\n" * 70 + "provided that the following conditions are met",
     ]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    assert sorted(map(tuple, scan(df).collect())) == sorted(plain(i, t) for i, t in enumerate(texts))
+    got = sorted(map(tuple, scan(df).collect()))
+    assert got == sorted(plain(i, t) for i, t in enumerate(texts))
+    assert [r[6] for r in got[-2:]] == ["mit", ""]

@@ -1,6 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-Blocks are lines. Tokens are ordered by how many documents hold them, rarest
+A block begins at each line that has a word and takes the lines after it, until it
+has BLOCK words: so it holds any notice that begins in its first line, however the
+notice is wrapped. Tokens are ordered by how many documents hold them, rarest
 first. A template of n words is contained in a block to the threshold t if they
 share o = ceil(t n) words; then one of the template's first n - o + 1 words (its
 prefix) is among the block's first words. So blocks and templates are joined on
@@ -17,6 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.llm.storage import save
 
@@ -40,6 +43,9 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+#: Words from which on a block takes no further line; more than any template has.
+BLOCK = 60
+
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -78,8 +84,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document.
 
     Base columns tell where the fixed phrases stand, words counted from 0. labels
-    adds those of templates that some line contains to the threshold (the share
-    of the template's distinct words that it has); score is 1 where a phrase
+    adds those of templates that some block of lines contains to the threshold (the
+    share of the template's distinct words that it has); score is 1 where a phrase
     stands, else the largest such share, else 0. A null text counts as empty, a
     repeated row is a document of its own.
     """
@@ -102,17 +108,17 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
 
     rank_of = F.create_map(*(F.lit(x) for w, i in order.items() for x in (w, i)))
     ranks_of = lambda line: F.array_sort(F.array_distinct(F.transform(_all(line, any_word), lambda w: F.element_at(rank_of, F.lower(w)))))
-    lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(_words_pattern(prefixes)))
-    text, none = F.col("text"), F.array().cast("array<array<int>>")
-    # The phrases have these words, and lines that can match have a prefix word.
-    likely = text.rlike(_words_pattern([*prefixes, "license", "nc"]))
-    first = rows.select("doc_id", "text", _n_words(text).alias("n_words"), likely.alias("likely"))
+    lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(_WORD))
+    told = F.transform(lines, lambda line: F.struct(_n_words(line).alias("n"), ranks_of(line).alias("ranks")))
+    text, none = F.col("text"), F.array().cast("array<struct<n:int,ranks:array<int>>>")
+    # The phrases have these words, and blocks that can match have a prefix word.
+    promising, likely = text.rlike(_words_pattern(prefixes)), text.rlike(_words_pattern([*prefixes, "license", "nc"]))
+    first = rows.select("doc_id", "text", _n_words(text).alias("n_words"), likely.alias("likely"), (likely & promising).alias("promising"))
     counts = {p: F.when(F.col("likely"), F.regexp_count(text, F.lit(_words_pattern([p])))).otherwise(0) for p in PHRASES}
-    blocks = F.when(F.col("likely"), F.transform(lines, ranks_of)).otherwise(none).alias("blocks")
-    first = first.select("doc_id", "text", "n_words", blocks, *(c.alias(f"places_{i}") for i, c in enumerate(counts.values())))
+    first = first.select("doc_id", "text", "n_words", F.when(F.col("promising"), told).otherwise(none).alias("lines"), *(c.alias(f"places_{i}") for i, c in enumerate(counts.values())))
     places = {p: F.col(f"places_{i}") for i, p in enumerate(PHRASES)}
     n_base = sum(places.values(), F.lit(0)).cast("long").alias("n_base")
-    found = first.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.col("n_words").cast("long").alias("n_words"), n_base, *_base(text, F.col("n_words"), places), "blocks")
+    found = first.select(F.monotonically_increasing_id().alias("at"), "doc_id", F.col("n_words").cast("long").alias("n_words"), n_base, *_base(text, F.col("n_words"), places), "lines")
     found = save(found, "licenses")
 
     index = spark.createDataFrame(
@@ -121,14 +127,19 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     )
     smallest = min((least for *_, least in sets), default=1)
     long_enough = F.size("block") >= smallest
-    parts = found.select("at", F.posexplode("blocks").alias("line", "block")).filter(long_enough)
+    # Within a document, lines by the number of words ahead of them; a promising document's lines are few.
+    ahead = Window.partitionBy("at").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    block = Window.partitionBy("at").orderBy("ahead").rangeBetween(Window.currentRow, BLOCK - 1)
+    parts = found.filter(F.size("lines") > 0).select("at", F.posexplode("lines").alias("line", "x"))
+    parts = parts.select("at", "line", F.col("x.ranks").alias("ranks"), F.coalesce(F.sum("x.n").over(ahead), F.lit(0)).alias("ahead"))
+    parts = parts.select("at", "line", F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranks").over(block)))).alias("block")).filter(long_enough)
     parts = parts.select("at", "line", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - smallest + 1)).alias("j", "rank"))
     pairs = parts.join(F.broadcast(index), "rank")  # the templates are a parameter
     pairs = pairs.filter((F.size("block") >= F.col("least")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("block") - F.col("j") - 1) >= F.col("least")))
     shared = F.size(F.array_intersect("block", "ranks"))
     pairs = pairs.select("at", "label", "least", "size", shared.alias("shared")).filter(F.col("shared") >= F.col("least"))
     matches = pairs.groupBy("at").agg(F.collect_set("label").alias("more"), F.max(F.col("shared") / F.col("size")).alias("best"))
-    out = found.drop("blocks").join(matches, "at", "left")
+    out = found.drop("lines").join(matches, "at", "left")
     empty = F.array().cast("array<string>")
     return out.select(
         "doc_id",
@@ -157,8 +168,11 @@ p(phrase, label) AS (VALUES {phrases}),
 b AS (SELECT doc_key, i, label FROM e JOIN p ON words[i + 1 : i + len(phrase)] = phrase),
 base AS (SELECT doc_key, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM b GROUP BY doc_key),
 tpl(n, label, tokens) AS (VALUES {templates}),
-l AS (SELECT doc_key, unnest(string_split(text, chr(10))) AS line FROM w),
-m AS (SELECT doc_key, label, len(list_intersect(tokens, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS shared, len(tokens) AS size FROM l JOIN tpl ON true),
+r AS (SELECT doc_key, string_split(text, chr(10)) AS lines FROM w),
+l AS (SELECT doc_key, unnest(range(len(lines))) AS i, regexp_extract_all(unnest(lines), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM r),
+c AS (SELECT doc_key, i, words, coalesce(sum(len(words)) OVER (PARTITION BY doc_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM l WHERE len(words) > 0),
+k AS (SELECT doc_key, list_distinct(flatten(list(words) OVER (PARTITION BY doc_key ORDER BY ahead RANGE BETWEEN CURRENT ROW AND {BLOCK - 1} FOLLOWING))) AS words FROM c),
+m AS (SELECT doc_key, label, len(list_intersect(tokens, words)) AS shared, len(tokens) AS size FROM k JOIN tpl ON true),
 h AS (SELECT doc_key, list_distinct(list(label)) AS labels, max(shared / size) AS best FROM m WHERE shared >= ceil(0.85 * size - 1e-9) GROUP BY doc_key)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
