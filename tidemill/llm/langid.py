@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.linear import bounded_sample, damped, gram_counts, linear_svm, sample_matrix
+from tidemill.llm.linear import bounded_sample, damped, gram_counts, linear_svm, sample_matrix, text_key
 from tidemill.llm.storage import rows_where, small_batches
 
 #: Families of ISO 639-1 codes; a code that isn't here is a family of its own.
@@ -110,7 +110,7 @@ def train(docs: DataFrame, most: int = 3000) -> Model:
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample = bounded_sample(known.select("doc_id", "lang"), "lang", most, total=most)
+    sample = bounded_sample(known.select("doc_id", text_key().alias("key"), "lang"), "lang", most, total=most)
     x, y = sample_matrix(known, sample, "lang", features, 1 << BITS)
     return Model.fit(x, y)
 

@@ -2,7 +2,7 @@
 
 Models are small and are fitted on the driver, from a bounded sample of rows; a
 sample is the same whatever the partitioning, as its rows are those with the
-least hash of their id.
+least hash of their id and text. Rows that are the same in both count once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,12 +45,18 @@ def damped(counts: np.ndarray) -> np.ndarray:
     return x / n if n else x
 
 
+def text_key(text: str = "text") -> Column:
+    """What tells rows with the same id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def bounded_sample(rows: DataFrame, by: str, most: int, total: int | None = None) -> DataFrame:
-    """At most `most` rows of each value of `by` (or its share of `total`): those with the least hash of doc_id.
+    """At most `most` rows (doc_id, key, by) of each value of `by` (or its share of `total`): those with the least hash of doc_id and key.
 
     The values are classes of a model, few by nature. Rows far from the least
-    hashes are put aside before any class is sorted, so a class with a third of
-    all rows sends no more to its task than a small one.
+    hashes are put aside before any class is sorted, and repeated rows are
+    collapsed by each task first, so a class with a third of all rows sends no
+    more to its task than a small one, and neither does an id with a third.
     """
     sizes = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
     if not sizes:
@@ -59,32 +65,34 @@ def bounded_sample(rows: DataFrame, by: str, most: int, total: int | None = None
         most = max(1, total // len(sizes))
     enough = most + 10 * int(most**0.5) + 100
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, enough / n)))), F.col(by))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    w = Window.partitionBy(by).orderBy("place", "doc_id")
-    near = rows.withColumn("place", place).filter(F.col("place") <= share)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 11) / F.lit(float(1 << 53))
+    w = Window.partitionBy(by).orderBy("place", "doc_id", "key")
+    near = rows.select("doc_id", "key", by).withColumn("place", place).filter(F.col("place") <= share).distinct()
     return near.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("place", "nth")
 
 
 def sample_matrix(docs: DataFrame, sample: DataFrame, label: str, features: Callable[[str], np.ndarray], width: int) -> tuple[np.ndarray, list]:
-    """Features of the sample's documents (all rows with its ids), and the labels.
+    """Features of the sample's documents, and the labels.
 
-    sample (doc_id, label) is bounded by its maker; texts stay on the executors,
-    and only the non-zero features come to the driver.
+    sample (doc_id, key, label) is bounded by its maker and has a row for each id
+    and key at most, so no more rows come back however often docs repeats one;
+    texts stay on the executors, and only the non-zero features come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, values = [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 x = features(t or "")
                 nz = np.flatnonzero(x)
                 at.append(nz.astype(np.uint16 if width <= 1 << 16 else np.uint32).tobytes())
                 values.append(x[nz].astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "label", "at", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "label", "at", "values"])
 
     small_batches(docs.sparkSession)
     kind = dict(sample.dtypes)[label]
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", F.col(label).alias("label"))), "doc_id")
+    rows = docs.select("doc_id", text_key().alias("key"), "text").join(F.broadcast(sample.select("doc_id", "key", F.col(label).alias("label"))), ["doc_id", "key"])
+    rows = rows.groupBy("doc_id", "key", "label").agg(F.min("text").alias("text")).select("doc_id", "label", "text")
     found = rows.mapInArrow(run, f"doc_id long, label {kind}, at binary, values binary").collect()
     found.sort(key=lambda r: (r.doc_id, r["at"]))
     x = np.zeros((len(found), width), np.float32)

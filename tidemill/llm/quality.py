@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.linear import bounded_sample, damped, gram_counts, logistic, sample_matrix
+from tidemill.llm.linear import bounded_sample, damped, gram_counts, logistic, sample_matrix, text_key
 from tidemill.llm.storage import rows_where, save, small_batches
 
 BAD, GOOD, NONE = 0, 1, 2
@@ -125,7 +125,7 @@ def features(text: str) -> np.ndarray:
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in batch.column(1).to_pylist()], pa.int32())], ["doc_id", "code"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([votes(t) for t in batch.column(1).to_pylist()], pa.int32())], ["doc_id", "key", "code"])
 
 
 def _score(weights: np.ndarray | None, posterior: dict[int, float], text: str | None) -> float:
@@ -157,7 +157,7 @@ def train(docs: DataFrame, most: int = 1500) -> tuple[np.ndarray | None, dict[in
     """
     rows = _texts(docs)
     small_batches(docs.sparkSession)
-    cast = save(rows.mapInArrow(_voted, "doc_id long, code int"), "votes")
+    cast = save(rows.withColumn("key", text_key()).mapInArrow(_voted, "doc_id long, key long, code int"), "votes")
     patterns = cast.groupBy("code").count().toPandas().sort_values("code")  # at most 3 ** labellers rows
     codes, counts = patterns["code"].to_numpy(np.int64), patterns["count"].to_numpy(np.float64)
     posterior = dict(zip(codes.tolist(), LabelModel(codes, counts).posterior(codes).tolist()))
@@ -165,7 +165,9 @@ def train(docs: DataFrame, most: int = 1500) -> tuple[np.ndarray | None, dict[in
     if not 0 < len(good) < len(posterior):
         return None, posterior
     sides = cast.filter("doc_id is not null").withColumn("good", F.col("code").isin(good))
-    x, code = sample_matrix(rows, bounded_sample(sides, "good", most), "code", features, WIDTH)
+    sample = bounded_sample(sides, "good", most)
+    codes_of = cast.select("doc_id", "key", "code").join(F.broadcast(sample), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("code").alias("code"))
+    x, code = sample_matrix(rows, codes_of, "code", features, WIDTH)
     p = np.array([posterior[c] for c in code], np.float32)
     some = len(p) and 0 < (p >= 0.5).sum() < len(p)
     return (logistic(x, p).astype(np.float32) if some else None), posterior

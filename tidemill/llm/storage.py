@@ -1,62 +1,34 @@
-"""Places that the driver and all executors share, and what is written there.
-
-Everything that has to outlive a stage goes to the folder named by
-``spark.checkpoint.dir``; a lost executor costs no more than the tasks it was
-running. Only where a session names no such folder (tests, a notebook) a
-temporary one is made.
-"""
+"""What the operators here add to the shared storage: bounded Arrow batches, and rows kept by their texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder's URI, without a slash at its end."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        root = _own[app]
-    return root.rstrip("/")
-
+from tidemill.sources.storage import new_path, save, shared_root
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["new_path", "rows_where", "save", "shared_root", "small_batches"]
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and returns the stored table.
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
+    """Bounds the rows and bytes of an Arrow batch, as single texts may be very long.
 
-    It cuts the lineage, and what follows reads only the columns it needs.
+    Values that the session's owner has set stay.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for name, default, value in (("maxRecordsPerBatch", "10000", rows), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, as single texts may be very long.
+def rows_where(docs: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs whose text is to be kept, all columns as they are, in one pass and without a shuffle.
 
-    A value that the session's owner has set stays.
+    The name is looked for as Spark does, without regard to case.
     """
-    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, str(rows))
-
-
-def rows_where(docs: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
-    """The rows of docs whose text is to be kept, all columns as they are, in one pass and without a shuffle."""
-    at = docs.columns.index(text)
+    at = [c.lower() for c in docs.columns].index(text.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
