@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemill.llm.pii import luhn, mod97, op5_pii, personal_data, redacted
+from tidemill.llm.pii import luhn, mod97, op5_pii, personal_data, redacted, with_spans
 
 from .conftest import SF
 
@@ -99,3 +99,18 @@ def test_numbers_beside_others(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     rows = {r.doc_id: r.spans for r in personal_data(df).collect()}
     assert [[t[s.start : s.end] for s in rows[i] if s.kind != "phone"] for i, (t, _) in enumerate(cases)] == [want for _, want in cases]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", 2, 3, 4)], "doc_id long, TEXT string, found_email int, c_0 int, chunks__ int")
+    row = with_spans(df, "text", "spans").first()
+    assert row[:5] == (1, "a@b.cd", 2, 3, 4) and [(s.start, s.end) for s in row.spans] == [(0, 6)]
+
+
+def test_many_matches_in_long_texts(spark):
+    text = "".join(f"é mail{i}@host{i}.example.com, 10.0.{i % 256}.{i % 200} " for i in range(8_000))
+    df = spark.createDataFrame([(1, text), (2, "x" * 511 + " a@b.cd " + "y" * 5000 + " 1.2.3.4")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in with_spans(df, "text", "spans").select("*", redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert [(s.start, s.number, s.end, s.kind) for s in rows[1].spans] == base(text)
+    assert rows[1].t == "".join("é [EMAIL], [IP] " for _ in range(8_000))
+    assert rows[2].t == "x" * 511 + " [EMAIL] " + "y" * 5000 + " [IP]"

@@ -117,40 +117,72 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+#: Values in a run of a prefix sum, and code points in a chunk of a text.
+_RUN, _CHUNK = 128, 512
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), the value found once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array, by runs of _RUN values, so that no array grows value by value to its full length."""
+
+    def summed(values: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(values, begin, add, lambda acc: acc["out"])
+
+    def joined(runs: Column) -> Column:
+        before = summed(F.transform(runs, lambda r: F.element_at(r, -1)))
+        return F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: x + F.when(i > 0, F.get(before, i - 1)).otherwise(0))))
+
+    def cut(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int"))
+        return _let(F.transform(starts, lambda k: summed(F.slice(values, k * _RUN + 1, F.lit(_RUN)))), joined)
+
+    return F.when(F.size(sizes) > 0, _let(sizes, cut)).otherwise(F.array().cast("array<int>"))
+
+
+def _chunked(text: Column) -> Column:
+    """A text cut once in chunks, from which parts are taken without counting from its head."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _part(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from one offset to another, start being no negative number."""
+    first = F.floor(start / _CHUNK).cast("int")
+    n = F.greatest(F.floor((end - 1) / _CHUNK).cast("int") - first + 1, F.lit(0))
+    return F.substr(F.array_join(F.slice(chunks, first + 1, n), ""), start - first * _CHUNK + 1, F.greatest(end - start, F.lit(0)))
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """(start, end, match) of a pattern's matches, leftmost and without overlaps."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["match"])
-        new = F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
+    def at(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found))
+        ends = _ends(F.zip_with(gaps, found, lambda g, m: g + F.length(m)))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return _let(matches, at)
 
 
-def _ibans(text: Column, pattern: str) -> Column:
+def _ibans(text: Column, chunks: Column, pattern: str) -> Column:
     """(start, end, match) at each place where one may start, as long as it can be one."""
 
     def whole(m: Column) -> Column:
-        match = F.regexp_extract(F.substr(text, m["start"] + 1, F.lit(70)), _IBAN, 0)
+        match = F.regexp_extract(_part(chunks, m["start"], m["start"] + 70), _IBAN, 0)
         return F.struct(m["start"].alias("start"), (m["start"] + F.length(match)).alias("end"), match.alias("match"))
 
     return F.filter(F.transform(_placed(text, pattern), whole), lambda m: m["match"] != "")
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), the value found once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 _WINDOWS = "array<struct<start:int,end:int,match:string,usual:boolean>>"
 
 
-def _cards(text: Column, pattern: str) -> Column:
+def _cards(text: Column, chunks: Column, pattern: str) -> Column:
     """(start, end, match, usual) of numbers that pass Luhn's check in runs that don't as a whole.
 
     Every window of 13 to 19 digits that starts and ends at borders of a run's
@@ -205,13 +237,13 @@ def _apart(windows: Column) -> Column:
 _SPAN = "array<struct<start:int,number:int,end:int,kind:string,base:boolean,score:double>>"
 
 
-def _spans(text: Column, kind: str, pattern: str) -> Column:
+def _spans(text: Column, chunks: Column, kind: str, pattern: str) -> Column:
     """The kind's confirmed spans with their scores."""
     base = kind in BASE
 
     def scored(m: Column) -> Column:
-        around = F.lower(F.substr(text, F.greatest(m["start"] - NEAR, F.lit(0)) + 1, F.least(m["start"], F.lit(NEAR)) + F.lit(0)))
-        after = F.lower(F.substr(text, m["end"] + 1, F.lit(NEAR)))
+        around = F.lower(_part(chunks, F.greatest(m["start"] - NEAR, F.lit(0)), m["start"]))
+        after = F.lower(_part(chunks, m["end"], m["end"] + NEAR))
         near = around.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind])
         if kind == "secret":
             near = F.lit(True)
@@ -221,7 +253,8 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         name = "card" if kind == "account" else kind
         return F.struct(m["start"].alias("start"), F.lit(KINDS.index(name)).alias("number"), m["end"].alias("end"), F.lit(name).alias("kind"), F.lit(base).alias("base"), score.alias("score"))
 
-    placed = {"iban": _ibans, "account": _cards}.get(kind, _placed)(text, pattern)
+    own = {"iban": _ibans, "account": _cards}.get(kind)
+    placed = own(text, chunks, pattern) if own else _placed(text, pattern)
     found = F.transform(F.filter(placed, lambda m: _valid(kind, m["match"])), scored)
     return found if base else F.filter(found, lambda s: s["score"] >= LEAST)
 
@@ -239,26 +272,26 @@ _HINT = {
 }
 
 
-def find(text: Column) -> list[Column]:
-    """A column of spans for each kind of pattern."""
-    none = F.array().cast(_SPAN)
-    return [F.when(_HINT[k](text), _spans(text, k, p)).otherwise(none).cast(_SPAN).alias(f"found_{k}") for k, p in (BASE | MORE).items()]
-
-
 def with_spans(docs: DataFrame, text: str, column: str) -> DataFrame:
     """docs and the sorted spans of a text column.
 
     Base spans are all kept; others stay if they score LEAST or more and don't
-    lie within a base span. A null text has none.
+    lie within a base span. A null text has none. docs may have columns of any
+    names but `column`.
     """
-    names = [f"found_{k}" for k in (*BASE, *MORE)]
-    clash = {f"found_{k}": F.col(f"found_{k}").alias(f"found_{k}") for k in KINDS}
-    if clash.keys() & {*docs.columns}:
-        raise ValueError(f"columns named {sorted(clash)} are needed for the search")
-    found = docs.select("*", *find(F.coalesce(F.col(text), F.lit(""))))
+    names, of = [*docs.columns], F.coalesce(F.col("text__"), F.lit(""))
+    at = [c.lower() for c in names].index(text.lower())
+    held = docs.toDF(*(f"c_{i}" for i in range(len(names)))).withColumn("text__", F.col(f"c_{at}").cast("string"))
+    hints = {k: _HINT[k](of) for k in (*BASE, *MORE)}
+    some = F.array(*hints.values())
+    held = held.withColumn("hints__", some)
+    none = F.array().cast("array<string>")
+    held = held.withColumn("chunks__", F.when(F.exists("hints__", lambda h: h), _chunked(of)).otherwise(none))
+    cells = [F.when(F.get("hints__", F.lit(i)), _spans(of, F.col("chunks__"), k, p)).otherwise(F.array().cast(_SPAN)).cast(_SPAN).alias(f"found_{k}") for i, (k, p) in enumerate((BASE | MORE).items())]
+    found = held.select("*", *cells)
     base = F.concat(*(F.col(f"found_{k}") for k in BASE))
     more = F.filter(F.concat(*(F.col(f"found_{k}") for k in MORE)), lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    return found.select(*docs.columns, F.array_sort(F.concat(base, more)).alias(column)).drop(*names)
+    return found.select(*(f"c_{i}" for i in range(len(names))), F.array_sort(F.concat(base, more)).alias("spans__")).toDF(*names, column)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -269,16 +302,24 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # Runs of overlapping spans: those that start behind all ends ahead of them.
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        kept = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(
-            s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, mark).alias("out"))
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        span = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        last = F.element_at(acc["out"], -1)
+        wider = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["kind"].alias("kind"))
+        joined = F.when(s["end"] > acc["at"], F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), F.array(wider))).otherwise(acc["out"])
+        out = F.when((F.size(acc["out"]) == 0) | (s["start"] >= acc["at"]), F.concat(acc["out"], F.array(span))).otherwise(joined)
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    def told(runs: Column, chunks: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            return F.concat(_part(chunks, F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+        return F.concat(F.array_join(F.transform(runs, piece), ""), _part(chunks, F.element_at(runs, -1)["end"], F.length(text)))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    done = _let(F.aggregate(spans, begin, step, lambda acc: acc["out"]), lambda runs: _let(_chunked(text), lambda chunks: told(runs, chunks)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
