@@ -1,26 +1,32 @@
-"""Interpolated modified Kneser-Ney bigram model: counting, storage and scoring.
-
-Words are hashed to 64 bits. Each task counts what it has read and sends, for
-each shard, one block of sorted hashes and counts; a shard's blocks are merged,
-summed and written to the shared folder as sorted hash arrays:
-
-    words/<shard>   hash, count, number of distinct words seen ahead of it
-    pairs/<shard>   hash of the pair, count
-    heads/<shard>   hash of the first word, pairs' total, pairs seen once, twice, more often
-
-Workers map these files into memory and look their texts' distinct words and
-pairs up by binary search, so a model may be larger than a worker's memory.
-Pairs lie in the shard of their first word, but those of very frequent words
-(a share of 1 / HOT of all tokens or more, hence no more than HOT words) are
-dealt out by the whole pair.
+"""Interpolated modified Kneser-Ney n-gram model of order 3 (or 2): counting, storage and scoring.
+
+Words are hashed to 64 bits. Each task counts the trigrams (u, v, w) it has read
+and sends, for each shard, one block: the distinct words' hashes, and trigrams as
+runs of v and u with small indices. A trigram lies in the shard of its middle word,
+so that both its context (u, v) and its suffix (v, w) are whole there; those of
+frequent middle words are dealt out by the context, and their suffixes are summed
+once more. A shard's blocks are merged and written to the shared folder as sorted
+hash arrays:
+
+    grams/<shard>     hash of the trigram, count
+    contexts/<shard>  hash of (u, v): total, trigrams seen once, twice, more often;
+                      contexts with a total of 1 are left out, as they are known from
+                      the pair (u, v) itself
+    pairs/<shard>     hash of (v, w), number of distinct words seen ahead of it
+    heads/<shard>     hash of v: the pairs' total, pairs of a number of 1, 2, more
+    words/<shard>     hash of w, count, number of distinct words seen ahead of it
+
+An array keeps 32 bits of each hash behind those that an index of buckets stands
+for (words: all 64), and a byte for a number, larger ones aside. Workers map these
+files into memory and look their texts' distinct words, pairs and trigrams up by
+binary search, so a model may be larger than a worker's memory.
 """
 
 from __future__ import annotations
 
-import io
 import os
-import tempfile
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,11 +37,13 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.storage import new_path, save, small_batches
 
-HOT = 2000
+#: Middle words that may count as frequent at most: 8 bytes each go to every task.
+HOT = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_BLOCK = "shard int, kind int, a binary, b binary, c binary, d binary"
-_NAMES = ["shard", "kind", "a", "b", "c", "d"]
+_BLOCK = "shard int, kind int, data array<binary>"
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2127599BF4325C37)
+#: Kinds of blocks: trigrams; pairs of frequent words; words with counts or numbers of words ahead; sums for the driver.
+_GRAMS, _PAIRS, _WORDS, _SUMS = range(4)
 
 
 class _Words(dict):
@@ -49,8 +57,8 @@ class _Words(dict):
 _known = _Words()
 
 
-def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(heads, words, tokens of each text): every token with the one ahead of it; the end counts as a token."""
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, w, tokens of each text): every token w with the two ahead of it; the end counts as a token."""
     if len(_known) > 1_000_000:
         _known.clear()
     ends, parts, sizes = [_END], [], []
@@ -58,14 +66,15 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         words = (text or "").encode().translate(_LOWER).split()
         parts += [[_START], np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)), ends]
         sizes.append(len(words) + 1)
+    sizes = np.array(sizes, np.int64)
     flat = np.concatenate(parts).astype(np.uint64) if parts else np.zeros(0, np.uint64)
-    first = np.ones(len(flat), bool)
-    bounds = np.cumsum(np.array(sizes, np.int64) + 1)
-    first[bounds - 1] = False  # the end is no head
-    heads = flat[first]
-    first[:] = True
-    first[bounds - np.array(sizes, np.int64) - 1] = False  # the start is no word
-    return heads, flat[first], np.array(sizes, np.int64)
+    word = np.ones(len(flat), bool)
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    word[begins] = False  # the start is no word
+    at = np.flatnonzero(word)
+    u = flat[np.maximum(at - 2, 0)]
+    u[np.cumsum(sizes) - sizes] = _START
+    return u, flat[at - 1], flat[at], sizes
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -73,16 +82,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pair_hash(heads: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return _mixed(_mixed(heads) + words * np.uint64(0xD6E8FEB86659FD93))
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(_mixed(a) + b * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return (_mixed(h) % np.uint64(shards)).astype(np.int64)
+    return (_mixed(h ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(shards)).astype(np.int64)
 
 
-def _pair_shard(heads: np.ndarray, pairs: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    return _shard(np.where(_among(heads, hot)[0], pairs, heads), shards)
+def _home(v: np.ndarray, whole: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of what belongs to v; of a frequent v by the whole's hash."""
+    return _shard(np.where(_among(v, hot)[0], whole, v), shards)
 
 
 def _among(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,194 +103,288 @@ def _among(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at] == x, at
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys, the index of one row of each, and the sums of counts."""
     order = np.argsort(keys)
     k = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    starts = _runs(k)
     sums = [np.add.reduceat(c[order], starts) if len(k) else c for c in counts]
     return (k[starts], order[starts], *sums)
 
 
-def _blocks(shard: np.ndarray, kind: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Rows of binary columns, one for each shard; the columns are sorted by shard already."""
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(shard))
-    data = [pa.array([c[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary()) for c in columns]
-    data += [pa.array([b""] * len(starts), pa.binary())] * (4 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(shard[starts].astype(np.int32)), pa.array(np.full(len(starts), kind, np.int32)), *data], _NAMES)
+def _small(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, as few as all of them need, and how many planes."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() + bytes([width])
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Counts in as few bytes each as all of them allow, a mark of the width behind them."""
-    width = 1 if counts.max(initial=0) < 1 << 8 else 4 if counts.max(initial=0) < 1 << 32 else 8
-    return np.frombuffer(counts.astype(f"<u{width}").tobytes() + bytes([width]), np.uint8)
+def _read(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8)[:-1].reshape(data[-1], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[-1]] = planes.T
+    return out.view("<u8")[:, 0].astype(np.int64)
 
 
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data[:-1], f"<u{data[-1]}").astype(np.int64)
+def _hashes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
-def _send(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, kind: int) -> pa.RecordBatch:
-    """Blocks of (keys, counts) by shard."""
-    order = np.argsort(shard, kind="stable")
-    shard, keys, counts = shard[order], keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(shard))
-    rows = [[int(shard[i]) for i in starts], [kind] * len(starts), [keys[i:j].tobytes() for i, j in zip(starts, ends)], [_small(counts[i:j]).tobytes() for i, j in zip(starts, ends)]]
-    empty = [b""] * len(starts)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), *(pa.array(x, pa.binary()) for x in (rows[2], rows[3], empty, empty))], _NAMES)
+def _batch(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
+    shard, kind, data = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.list_(pa.binary()))], ["shard", "kind", "data"])
 
 
-def _count_words(shards: int, at_once: int = 1 << 22):
+def _dealt(shard: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[tuple[int, int, list[bytes]]]:
+    """Rows of hashes and numbers (the first columns are hashes), a block for each shard."""
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [c[order] for c in columns]
+    bounds = np.append(_runs(shard), len(shard)).tolist() if len(shard) else []
+    return [(int(shard[i]), kind, [c[i:j].tobytes() if c.dtype == np.uint64 else _small(c[i:j]) for c in columns]) for i, j in zip(bounds[:-1], bounds[1:])]
+
+
+def _gram_blocks(u: np.ndarray, v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray, order: int) -> pa.RecordBatch:
+    context, suffix = pair_hash(u, v), pair_hash(v, w)
+    gram = pair_hash(context, suffix) if order > 2 else suffix
+    shard = _home(v, context if order > 2 else suffix, hot, shards)
+    # One sort by shard, then the leading bits of v, context and trigram: equal ones lie together.
+    free = 64 - max(1, int(shards - 1).bit_length())
+    each = free // 3
+    key = shard.astype(np.uint64) << np.uint64(free)
+    for x, bits, at in ((v, each, free - each), (context, each, free - 2 * each), (gram, free - 2 * each, 0)):
+        key |= (x >> np.uint64(64 - bits)) << np.uint64(at)
+    place = np.argsort(key)
+    starts = _runs(gram[place])
+    counts = np.diff(np.append(starts, len(gram)))
+    place = place[starts]
+    shard, u, v, w = shard[place], u[place], v[place], w[place]
+    bounds = np.append(_runs(shard), len(shard)).tolist() if len(shard) else []
+    rows = []
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        new_v, new_u = _runs(v[i:j]), _runs(v[i:j], u[i:j])
+        names, index = np.unique(np.concatenate([v[i:j][new_v], u[i:j][new_u], w[i:j]]), return_inverse=True)
+        n, m = len(new_v), len(new_v) + len(new_u)
+        sizes_v, sizes_u = np.diff(np.append(new_v, j - i)), np.diff(np.append(new_u, j - i))
+        rows.append((int(shard[i]), _GRAMS, [names.tobytes(), _small(index[:n]), _small(sizes_v), _small(index[n:m]), _small(sizes_u), _small(index[m:]), _small(counts[i:j])]))
+    return _batch(rows)
+
+
+def _count_grams(shards: int, hot: np.ndarray, order: int, at_once: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush():
-            keys, _, counts = _summed(np.concatenate(held), np.ones(n, np.int64))
-            return _send(_shard(keys, shards), keys, counts, 0)
-
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
-            held.append(hashed(batch.column(0).to_pylist())[1])
-            n += len(held[-1])
+            held.append(hashed(batch.column(0).to_pylist())[:3])
+            n += len(held[-1][0])
             if n >= at_once:
-                yield flush()
+                yield _gram_blocks(*(np.concatenate(x) for x in zip(*held)), shards, hot, order)
                 held, n = [], 0
         if n:
-            yield flush()
+            yield _gram_blocks(*(np.concatenate(x) for x in zip(*held)), shards, hot, order)
 
     return run
 
 
-def _merge_words(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()])
-    keys, _, counts = _summed(keys, np.concatenate([_wide(x) for x in table["b"].to_pylist()]))
-    return pa.table({"shard": table["shard"].slice(0, 1), "kind": table["kind"].slice(0, 1), "a": pa.array([keys.tobytes()], pa.binary()), "b": pa.array([_small(counts).tobytes()], pa.binary()), "c": pa.array([b""], pa.binary()), "d": pa.array([b""], pa.binary()), "n": pa.array([int(counts.sum())]), "v": pa.array([len(keys)])})
+def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, counts = np.unique(hashed(batch.column(0).to_pylist())[2], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "n"])
+
+
+class Table:
+    """Sorted hashes with numbers, in one stretch of bytes that can be mapped into memory."""
+
+    def __init__(self, data: np.ndarray):
+        n, bits, width, n_over, self.exact = (int(x) for x in data[:40].view(np.int64))
+        self.bits, self.width, at = bits, width, 40
+
+        def take(count: int, kind) -> np.ndarray:
+            nonlocal at
+            size = count * np.dtype(kind).itemsize
+            out = data[at : at + size].view(kind)
+            at += size
+            return out
+
+        self.over, self.large = take(n_over, np.int64), take(n_over * width, np.int64).reshape(width, n_over)
+        self.low = take(n, np.uint64) if self.exact else take(n, np.uint32)
+        self.index, self.numbers = take((1 << bits) + 1, np.uint32), take(n * width, np.uint8).reshape(width, n)
+
+    @staticmethod
+    def packed(keys: np.ndarray, numbers: list[np.ndarray], exact: bool = False) -> bytes:
+        """keys ascend; numbers are rows of whole numbers for them."""
+        n, numbers = len(keys), np.stack(numbers).astype(np.int64)
+        bits = max(0, (n // 8).bit_length() - 1)
+        buckets = keys >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64)
+        index = np.searchsorted(buckets, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+        over = np.flatnonzero((numbers > 254).any(axis=0))
+        parts = [np.array([n, bits, len(numbers), len(over), exact], np.int64), over, numbers[:, over], keys if exact else Table._rest(keys, bits), index, np.minimum(numbers, 255).astype(np.uint8)]
+        return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+
+    @staticmethod
+    def _rest(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers (width, n) of keys, zeros for those that aren't there."""
+        out = np.zeros((self.width, len(keys)), np.int64)
+        n = len(self.low)
+        if not n:
+            return out
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        x = keys if self.exact else self._rest(keys, self.bits)
+        low, high = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        end = high
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = self.low[np.minimum(middle, n - 1)] < x
+            low, high = np.where(open_ & less, middle + 1, low), np.where(open_ & ~less, middle, high)
+        at = np.minimum(low, n - 1)
+        found = np.flatnonzero((low < end) & (self.low[at] == x))
+        at = at[found]
+        values = self.numbers[:, at].astype(np.int64)
+        if len(self.over):
+            large, where = _among(at, self.over)
+            values[:, large] = self.large[:, where[large]]
+        out[:, found] = values
+        return out
 
 
-def _frequent(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = np.frombuffer(row["a"], np.uint64)[_wide(row["b"]) >= least]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["word"])
+def _write(path: str, data: bytes) -> None:
+    """Stores bytes in the shared folder; a second attempt replaces them with the same."""
+    store, place = pyarrow.fs.FileSystem.from_uri(path)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    part = f"{place}.{os.getpid()}-{os.urandom(4).hex()}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, place)
 
-    return run
 
+class _Tables:
+    """Opened tables: mapped where the shared folder is mounted, else read, the least used dropped beyond `most` bytes."""
 
-def _count_pairs(shards: int, hot: np.ndarray, at_once: int = 1 << 22):
-    """Blocks of pairs: distinct heads (a), pairs of each (b), their words (c), counts (d)."""
+    def __init__(self, most: int = 256 << 20):
+        self.open: OrderedDict[str, tuple[Table | None, int]] = OrderedDict()
+        self.most, self.held = most, 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush():
-            heads, words = (np.concatenate(x) for x in zip(*held))
-            pairs = pair_hash(heads, words)
-            pairs, at, counts = _summed(pairs, np.ones(len(pairs), np.int64))
-            heads, words = heads[at], words[at]
-            shard = _pair_shard(heads, pairs, hot, shards)
-            order = np.lexsort((heads, shard))
-            shard, heads, words, counts = shard[order], heads[order], words[order], counts[order]
-            starts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-            rows: list[list] = [[], [], [], [], [], []]
-            for i, j in zip(starts[:-1], starts[1:]):
-                h = heads[i:j]
-                new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                sizes = np.diff(np.append(new, len(h)))
-                for column, x in zip(rows, (int(shard[i]), 1, h[new].tobytes(), _small(sizes).tobytes(), words[i:j].tobytes(), _small(counts[i:j]).tobytes())):
-                    column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k < 2 else pa.binary()) for k, x in enumerate(rows)], _NAMES)
+    def __getitem__(self, path: str) -> Table | None:
+        if path in self.open:
+            self.open.move_to_end(path)
+            return self.open[path][0]
+        store, place = pyarrow.fs.FileSystem.from_uri(path)
+        table, size = None, 0
+        if store.get_file_info(place).type != pyarrow.fs.FileType.NotFound:
+            if isinstance(store, pyarrow.fs.LocalFileSystem):
+                table = Table(np.memmap(place, np.uint8, "r").view(np.ndarray))
+            else:
+                with store.open_input_file(place) as f:
+                    data = np.frombuffer(f.read(), np.uint8)
+                table, size = Table(data), len(data)
+        self.open[path] = table, size
+        self.held += size
+        while len(self.open) > 1 and (self.held > self.most or len(self.open) > 20_000):
+            self.held -= self.open.popitem(last=False)[1][1]
+        return table
 
-        n = 0
-        for batch in batches:
-            held.append(hashed(batch.column(0).to_pylist())[:2])
-            n += len(held[-1][0])
-            if n >= at_once:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
 
-    return run
+_tables = _Tables()
 
 
-def _write(path: str, array: np.ndarray) -> None:
-    """Stores an array in the shared folder; a second attempt replaces it with the same."""
-    store, place = pyarrow.fs.FileSystem.from_uri(path)
-    buffer = io.BytesIO()
-    np.save(buffer, array)
-    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    part = f"{place}.{os.getpid()}-{os.urandom(4).hex()}"
-    with store.open_output_stream(part) as f:
-        f.write(buffer.getvalue())
-    store.move(part, place)
+def _classes(n: np.ndarray) -> list[np.ndarray]:
+    return [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)]
 
 
-def _open(path: str) -> np.ndarray:
-    """The stored array, mapped into memory; None-like empty where there is no such shard."""
-    store, place = pyarrow.fs.FileSystem.from_uri(path)
-    if store.get_file_info(place).type == pyarrow.fs.FileType.NotFound:
-        return np.zeros((0,), np.uint64)
-    if isinstance(store, pyarrow.fs.LocalFileSystem):
-        return np.load(place, mmap_mode="r")
-    with tempfile.NamedTemporaryFile() as local, store.open_input_stream(place) as f:  # gone from the disk once unmapped
-        while data := f.read(1 << 24):
-            local.write(data)
-        local.flush()
-        return np.load(local.name, mmap_mode="r")
+def _seen(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _sums(level: int, n: np.ndarray) -> tuple[int, int, list[bytes]]:
+    """A row for the driver: how many items of a level have each number up to 4."""
+    return (0, _SUMS, [np.array([level, *_seen(n)], np.int64).tobytes()])
+
+
+def _merge_grams(path: str, hot: np.ndarray, shards: int, order: int):
+    """Writes a shard's trigrams, contexts, pairs and heads; sends on what other shards and the model need."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        parts: list[tuple[np.ndarray, ...]] = []
+        for names, vi, vn, ui, un, wi, c in table["data"].to_pylist():
+            names = _hashes(names)
+            parts.append((np.repeat(names[_read(ui)], _read(un)), np.repeat(names[_read(vi)], _read(vn)), names[_read(wi)], _read(c)))
+        u, v, w, counts = (np.concatenate(x) for x in zip(*parts))
+        suffix = pair_hash(v, w)
+        if order > 2:
+            context = pair_hash(u, v)
+            gram, at, counts = _summed(pair_hash(context, suffix), counts)
+            v, w, suffix, context = v[at], w[at], suffix[at], context[at]
+            _write(f"{path}/grams/{shard}", Table.packed(gram, [counts]))
+            keys, _, total, *classes = _summed(context, counts, *_classes(counts))
+            wide = total > 1
+            _write(f"{path}/contexts/{shard}", Table.packed(keys[wide], [x[wide] for x in (total, *classes)]))
+            del gram, context, u
+        rows = [_sums(3, counts)] if order > 2 else []
+        names, _, total = _summed(np.where(v == _START, _END, v), counts)  # a text has as many ends as starts
+        rows += _dealt(_shard(names, shards), _WORDS, [names, total, np.zeros_like(total)])
+        pairs, at, n = _summed(suffix, np.ones_like(counts) if order > 2 else counts)
+        v, w = v[at], w[at]
+        is_hot = _among(v, hot)[0]
+        rows += _dealt(_shard(pairs[is_hot], shards), _PAIRS, [v[is_hot], w[is_hot], n[is_hot]])
+        rows += _finished(path, "pairs", shard, pairs[~is_hot], v[~is_hot], w[~is_hot], n[~is_hot], shards)
+        heads, _, *facts = _summed(v[~is_hot], n[~is_hot], *_classes(n[~is_hot]))
+        _write(f"{path}/heads/{shard}", Table.packed(heads, facts))
+        return pa.Table.from_batches([_batch(rows)])
+
+    return run
 
 
-def _merge_pairs(path: str, hot: np.ndarray, shards: int):
-    """Writes a shard's pairs and heads; sends on what the words' shards and the model need."""
+def _finished(path: str, name: str, shard: int, pairs: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> list:
+    """Writes a shard's pairs, and tells the words how many words they follow."""
+    _write(f"{path}/{name}/{shard}", Table.packed(pairs, [n]))
+    words, _, ahead = _summed(w, np.ones_like(n))
+    return [*_dealt(_shard(words, shards), _WORDS, [words, np.zeros_like(ahead), ahead]), _sums(2, n)]
+
+
+def _merge_pairs(path: str, shards: int):
+    """The same for a shard's pairs of frequent words; sends on their heads' facts."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        rows = table.to_pylist()
-        heads = np.concatenate([np.repeat(np.frombuffer(r["a"], np.uint64), _wide(r["b"])) for r in rows])
-        words = np.concatenate([np.frombuffer(r["c"], np.uint64) for r in rows])
-        pairs, at, counts = _summed(pair_hash(heads, words), np.concatenate([_wide(r["d"]) for r in rows]))
-        heads, words = heads[at], words[at]
-        low = np.minimum(counts, 255).astype(np.uint8)
-        over = np.flatnonzero(low == 255)
-        _write(f"{path}/pairs/{shard}.key", pairs)
-        _write(f"{path}/pairs/{shard}.count", low)
-        _write(f"{path}/pairs/{shard}.over", np.stack([over, counts[over]]))
-        names, _, total, one, two, more = _summed(heads, counts, *((x).astype(np.int64) for x in (counts == 1, counts == 2, counts > 2)))
-        facts = np.stack([total, one, two, more]).astype(np.int64)
-        is_hot = _among(names, hot)[0]
-        _write(f"{path}/heads/{shard}.key", names[~is_hot])
-        _write(f"{path}/heads/{shard}.facts", facts[:, ~is_hot].astype(np.int32 if facts.max(initial=0) < 1 << 31 else np.int64))
-        after, _, n = _summed(words, np.ones(len(words), np.int64))
-        out = [_send(_shard(after, shards), after, n, 2)]
-        if is_hot.any():
-            out.append(_blocks(np.zeros(int(is_hot.sum()), np.int64), 3, [names[is_hot], np.ascontiguousarray(facts[:, is_hot].T)]))
-        seen = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64)
-        out.append(_blocks(np.zeros(1, np.int64), 4, [seen[None]]))
-        return pa.Table.from_batches(out)
+        rows = table["data"].to_pylist()
+        v, w = (np.concatenate([_hashes(r[i]) for r in rows]) for i in (0, 1))
+        pairs, at, n = _summed(pair_hash(v, w), np.concatenate([_read(r[2]) for r in rows]))
+        v, w = v[at], w[at]
+        heads, _, *facts = _summed(v, n, *_classes(n))
+        out = [*_finished(path, "hot", shard, pairs, v, w, n, shards), (0, _SUMS, [np.array([0], np.int64).tobytes(), heads.tobytes(), np.stack(facts, axis=1).tobytes()])]
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
-def _merge_followers(path: str):
-    """Writes a shard's words: hash, count, and number of distinct heads."""
+def _merge_words(path: str):
+    """Writes a shard's words: hash, count, and number of distinct words ahead."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        rows = table.to_pylist()
-        keys = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
-        n = [_wide(r["b"]) for r in rows]
-        zero = [np.zeros_like(x) for x in n]
-        keys, _, counts, heads = _summed(keys, np.concatenate([x if r["kind"] == 0 else z for r, x, z in zip(rows, n, zero)]), np.concatenate([x if r["kind"] == 2 else z for r, x, z in zip(rows, n, zero)]))
-        _write(f"{path}/words/{shard}.key", keys)
-        _write(f"{path}/words/{shard}.facts", np.stack([counts, heads]).astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64))
-        seen = [int((heads == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({k: pa.array([v], pa.int64()) for k, v in zip(("n1", "n2", "n3", "n4", "more", "total"), (*seen, int((heads > 2).sum()), int(heads.sum())))})
+        rows = table["data"].to_pylist()
+        keys, _, counts, ahead = _summed(np.concatenate([_hashes(r[0]) for r in rows]), *(np.concatenate([_read(r[i]) for r in rows]) for i in (1, 2)))
+        _write(f"{path}/words/{shard}", Table.packed(keys, [counts, ahead], exact=True))
+        values = (int(counts.sum()), len(keys), *_seen(ahead), int((ahead > 2).sum()), int(ahead.sum()))
+        return pa.table({k: pa.array([x], pa.int64()) for k, x in zip(_WORD_SUMS, values)})
 
     return run
 
 
+_WORD_SUMS = ("tokens", "types", "n1", "n2", "n3", "n4", "more", "total")
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Chen and Goodman's three discounts from the numbers of items seen once to four times."""
     if not n1:
@@ -290,130 +394,154 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), float(k)) for k, x in zip((1, 2, 3), d))  # type: ignore[return-value]
 
 
+def _share(n: np.ndarray, facts: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Discounted shares of numbers n, with the rest dealt by the lower order; facts: total, items of 1, 2, more."""
+    total, one, two, more = facts.astype(float)
+    known = total > 0
+    total = np.where(known, total, 1.0)
+    rest = (d[0] * one + d[1] * two + d[2] * more) / total
+    return np.where(known, (n - np.array((0.0, *d))[np.minimum(n, 3)]) / total + rest * lower, lower)
+
+
 @dataclass
 class Model:
-    """What a worker needs beside the arrays under `path`."""
+    """What a worker needs beside the tables under `path`."""
 
     path: str
     shards: int
-    tokens: int
-    types: int
-    pair_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    order: int = 3
+    tokens: int = 0
+    types: int = 0
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
     followers: int = 0
     word_rest: float = 1.0
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     hot_facts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.int64))
 
-    def _array(self, name: str) -> np.ndarray:
-        key = f"{self.path}/{name}"
-        if key not in _maps:
-            if len(_maps) > 20_000:
-                _maps.clear()
-            _maps[key] = _open(key)
-        return _maps[key]
-
-    def _look(self, kind: str, facts: str, shard: np.ndarray, keys: np.ndarray, width: int, read: Callable) -> np.ndarray:
-        """Facts (width, n) of keys by their shards; zeros for those that aren't there."""
+    def _look(self, name: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+        """Numbers (width, n) of ascending keys by their shards; zeros for those that aren't there."""
         out = np.zeros((width, len(keys)), np.int64)
-        order = np.lexsort((keys, shard))
+        order = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(bounds)).tolist():
-            at = order[bounds[s] : bounds[s + 1]]
-            stored = self._array(f"{kind}/{s}.key")
-            found, where = _among(keys[at], stored)
-            if found.any():
-                out[:, at[found]] = read(s, self._array(f"{kind}/{s}.{facts}"), where[found])
+            table = _tables[f"{self.path}/{name}/{s}"]
+            if table:
+                at = order[bounds[s] : bounds[s + 1]]
+                out[:, at] = table.look(keys[at])
         return out
 
-    def _pair_counts(self, s: int, low: np.ndarray, where: np.ndarray) -> np.ndarray:
-        n = low[where].astype(np.int64)
-        if (n == 255).any():
-            over = self._array(f"pairs/{s}.over")
-            big = n == 255
-            n[big] = over[1][np.searchsorted(over[0], where[big])]
-        return n[None]
+    def _pairs(self, v: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        is_hot = _among(v, self.hot)[0]
+        out = np.zeros(len(pairs), np.int64)
+        for name, of, where in (("pairs", v, ~is_hot), ("hot", pairs, is_hot)):
+            out[where] = self._look(name, _shard(of[where], self.shards), pairs[where], 1)[0]
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens, known tokens, base score and the model's log10 probability."""
-        heads, words, sizes = hashed(texts)
+        u, v, w, sizes = hashed(texts)
         starts = np.cumsum(sizes) - sizes
-        word, word_at = np.unique(words, return_inverse=True)
-        count, follows = self._look("words", "facts", _shard(word, self.shards), word, 2, lambda s, a, w: a[:, w])
+        word, word_at = np.unique(w, return_inverse=True)
+        count, ahead = self._look("words", _shard(word, self.shards), word, 2)
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
-        single = np.full(len(word), self.word_rest / (self.types + 1))
+        p = np.full(len(word), self.word_rest / (self.types + 1))
         if self.followers:
-            single += (follows - np.array((0.0, *self.word_discounts))[np.minimum(follows, 3)]) / self.followers
-        pairs = pair_hash(heads, words)
-        pair, first, pair_at = np.unique(pairs, return_index=True, return_inverse=True)
-        of, at = heads[first], word_at[first]
-        n = self._look("pairs", "count", _pair_shard(of, pair, self.hot, self.shards), pair, 1, self._pair_counts)[0]
+            p += (ahead - np.array((0.0, *self.discounts[1]))[np.minimum(ahead, 3)]) / self.followers
+
+        pair, first, pair_at = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
+        of, n = v[first], self._pairs(v[first], pair)
         head, head_at = np.unique(of, return_inverse=True)
-        facts = self._look("heads", "facts", _shard(head, self.shards), head, 4, lambda s, a, w: a[:, w])
+        facts = self._look("heads", _shard(head, self.shards), head, 4)
         is_hot, where = _among(head, self.hot)
-        if is_hot.any():
-            facts[:, is_hot] = self.hot_facts[where[is_hot]].T
-        total, one, two, more = facts[:, head_at].astype(float)
-        d = self.pair_discounts
-        seen = total > 0
-        total = np.where(seen, total, 1.0)
-        p = np.where(seen, (n - np.array((0.0, *d))[np.minimum(n, 3)]) / total + (d[0] * one + d[1] * two + d[2] * more) / total * single[at], single[at])
+        facts[:, is_hot] = self.hot_facts[where[is_hot]].T
+        p = _share(n, facts[:, head_at], self.discounts.get(2, (0.0, 0.0, 0.0)), p[word_at[first]])
+        if self.order > 2:
+            gram, third, gram_at = np.unique(pair_hash(pair_hash(u, v), pair[pair_at]), return_index=True, return_inverse=True)
+            # The context of a token is the pair that ends ahead of it.
+            opening = np.zeros(len(w), bool)
+            opening[starts] = True
+            before = np.where(opening, -1, np.roll(pair_at, 1))[third]
+            first_pair = pair_hash(np.array([_START]), np.array([_START]))
+            contexts, middle = np.append(pair, first_pair), np.append(w[first], _START)
+            asked = np.unique(before)
+            ordered = asked[np.argsort(contexts[asked])]
+            keys = contexts[ordered]
+            told = self._look("contexts", _home(middle[ordered], keys, self.hot, self.shards), keys, 4)
+            known = np.append(n, 1 if self.tokens else 0)[ordered] > 0
+            told[:2, known & (told[0] == 0)] = 1  # seen once
+            facts = np.zeros((4, len(contexts)), np.int64)
+            facts[:, ordered] = told
+            v3 = v[third]
+            seen = self._look("grams", _home(v3, contexts[before], self.hot, self.shards), gram, 1)[0]
+            p = _share(seen, facts[:, before], self.discounts.get(3, (0.0, 0.0, 0.0)), p[pair_at[third]])[gram_at]
+        else:
+            p = p[pair_at]
         add = lambda x: np.add.reduceat(x, starts)
-        return sizes, add((count > 0).astype(np.int64)[word_at]), add(base[word_at]), add(np.log10(p)[pair_at])
+        return sizes, add((count > 0).astype(np.int64)[word_at]), add(base[word_at]), add(np.log10(p))
+
+
+def _parsed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(level, key, n0, n1, n2, n3) of the rows for the driver: numbers of items, or facts of a frequent word (level 0)."""
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            level, *seen = np.frombuffer(data[0], np.int64).tolist()
+            rows = np.array([seen], np.int64) if level else np.frombuffer(data[2], np.int64).reshape(-1, 4)
+            keys = np.zeros(1, np.int64) if level else np.frombuffer(data[1], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level, np.int32)), pa.array(keys), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4))], ["level", "key", "n0", "n1", "n2", "n3"])
 
 
-_maps: dict[str, np.ndarray] = {}
+def _frequent(texts: DataFrame, tokens: int, in_shard: int) -> np.ndarray:
+    """Words of which some shard would have too many trigrams, told from a sample of texts.
+
+    It decides where trigrams lie, not what is counted. A word with a quarter of a
+    shard's tokens is expected 20 times in the sample.
+    """
+    enough = max(in_shard // 4, tokens // HOT)
+    share = min(1.0, max(20 / enough, 2_000_000 / max(tokens, 1)))
+    some = texts.sample(share, 1) if share < 1 else texts
+    words = some.mapInArrow(_frequent_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = words.filter(F.col("n") >= max(2.0, enough * share)).toPandas()["word"]  # HOT rows or so at most
+    return np.unique(np.append(rows.to_numpy(np.int64).view(np.uint64), [_START, _END]))
 
 
-def train(docs: DataFrame, tokens_in_shard: int = 4_000_000) -> Model:
+def train(docs: DataFrame, order: int = 3, tokens_in_shard: int = 2_000_000) -> Model:
     """Counts all of docs (text) and stores the model in the shared folder.
 
-    A null text counts as empty: it has the end as its only token. Without any
-    document the model gives each token the probability 1.
+    order is 3 or 2. A null text counts as empty: it has the end as its only token.
+    Without any document the model gives each token the probability 1.
     """
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    shards = max(8, int(size / 6 // tokens_in_shard))
+    n, size = texts.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()
+    if not n:
+        return Model(new_path(spark, "ngrams"), 1, order)
+    about = int(size / 6) + n
+    shards = max(8, about // tokens_in_shard)
     path = new_path(spark, "ngrams")
-    words = texts.mapInArrow(_count_words(shards), _BLOCK).groupBy("shard").applyInArrow(_merge_words, f"{_BLOCK}, n long, v long")
-    words = save(words, "words")
-    tokens, types = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
-    model = Model(path, shards, tokens, types)
-    if not tokens:
-        return model
-    frequent = words.select("a", "b").mapInArrow(_frequent(max(2, -(-tokens // HOT))), "word long").toPandas()["word"]  # HOT rows at most
-    model.hot = np.sort(np.append(frequent.to_numpy(np.int64).view(np.uint64), _START))
-    pairs = texts.mapInArrow(_count_pairs(shards, model.hot), _BLOCK).groupBy("shard").applyInArrow(_merge_pairs(path, model.hot, shards), _BLOCK)
-    pairs = save(pairs, "followers")
+    model = Model(path, shards, order, hot=_frequent(texts, about, tokens_in_shard))
+    by_shard = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    blocks = texts.mapInArrow(_count_grams(shards, model.hot, order), _BLOCK)
+    grams = save(by_shard(blocks).applyInArrow(_merge_grams(path, model.hot, shards, order), _BLOCK), "grams")
+    pairs = save(by_shard(grams.filter(f"kind = {_PAIRS}")).applyInArrow(_merge_pairs(path, shards), _BLOCK), "pairs")
+    both = grams.union(pairs)
+    sums = both.filter(f"kind = {_SUMS}").select("data").mapInArrow(_parsed_sums, "level int, key long, n0 long, n1 long, n2 long, n3 long")
     facts = np.zeros((len(model.hot), 4), np.int64)
-    for row in pairs.filter("kind = 3").mapInArrow(_hot_rows, "word long, f0 long, f1 long, f2 long, f3 long").groupBy("word").agg(*(F.sum(f"f{k}").alias(f"f{k}") for k in range(4))).collect():  # HOT rows at most
-        facts[np.searchsorted(model.hot, np.array([row.word], np.int64).view(np.uint64)[0])] = row[1:]
+    for row in sums.groupBy("level", "key").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4))).toPandas().itertuples(index=False):  # a row for each level and hot word
+        if row.level:
+            model.discounts[int(row.level)] = discounts(*(int(x) for x in row[2:]))
+        else:
+            facts[np.searchsorted(model.hot, np.array([row.key], np.int64).view(np.uint64)[0])] = row[2:]
     model.hot_facts = facts
-    seen = pairs.filter("kind = 4").mapInArrow(_seen_rows, "n1 long, n2 long, n3 long, n4 long").agg(*(F.sum(f"n{k}") for k in range(1, 5))).first()
-    model.pair_discounts = discounts(*seen)
-    blocks = pairs.filter("kind = 2").union(words.select(*_NAMES))
-    merged = blocks.groupBy("shard").applyInArrow(_merge_followers(path), "n1 long, n2 long, n3 long, n4 long, more long, total long")
-    n1, n2, n3, n4, more, total = merged.agg(*(F.sum(c) for c in ("n1", "n2", "n3", "n4", "more", "total"))).first()
-    model.word_discounts = d = discounts(n1, n2, n3, n4)
+    merged = by_shard(both.filter(f"kind = {_WORDS}")).applyInArrow(_merge_words(path), ", ".join(f"{c} long" for c in _WORD_SUMS))
+    model.tokens, model.types, n1, n2, n3, n4, more, total = merged.agg(*(F.sum(c) for c in _WORD_SUMS)).first()
+    model.discounts[1] = d = discounts(n1, n2, n3, n4)
     model.followers, model.word_rest = total, (d[0] * n1 + d[1] * n2 + d[2] * more) / total
     return model
 
 
-def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            facts = np.frombuffer(row["b"], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["a"], np.int64)), *(pa.array(np.ascontiguousarray(facts[:, k])) for k in range(4))], ["word", "f0", "f1", "f2", "f3"])
-
-
-def _seen_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in np.frombuffer(row["a"], np.int64).tolist()], ["n1", "n2", "n3", "n4"])
-
-
 def _scores(shared, at_once: int = 6_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
