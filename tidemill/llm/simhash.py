@@ -201,7 +201,7 @@ def linked(distinct: DataFrame, n: int, radius: int = 3, tile: int = 256, most:
 
 def _pairs_of_parts(rows: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
     """rows with a and b: the rows of groups that hot has stand once for each pair of parts with their own."""
-    rows = rows.join(hot, by, "left")
+    rows = rows.join(save(hot, "hot"), by, "left")  # stored, so that its size decides how it is joined
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, own).alias("a"), F.greatest(p, own).alias("b")))
     alone = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
