@@ -20,18 +20,9 @@ LEAST_SURE = 0.2
 
 
 def _marked(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a key of its own for each row, so that repeated or null ids stay apart."""
-    return save(docs.select(F.monotonically_increasing_id().alias("row_key__"), "*"), name)
-
-
-def _kept(marked: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of marked whose key is among keys (row_key__)."""
-    return marked.join(keys, "row_key__", "left_semi").drop("row_key__")
-
-
-def _as_docs(marked: DataFrame) -> DataFrame:
-    """Texts under the row's key in place of the document's id."""
-    return marked.select(F.col("row_key__").alias("doc_id"), "text")
+    """docs under the names c_0, c_1 ..., with a key of its own for each row, so that repeated or null ids stay apart and no name clashes."""
+    renamed = docs.toDF(*(f"c_{i}" for i in range(len(docs.columns))))
+    return save(renamed.select(F.monotonically_increasing_id().alias("row_key__"), "*"), name)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,35 +39,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one with the least id.
 
-    Near copies are alike to 0.8 or more on word 5-grams, as told by wide
-    fingerprints. Documents without a word have nothing to compare and are no group.
+    Near copies have a Jaccard similarity of 0.8 or more on distinct word 5-grams:
+    wide fingerprints propose them, the 5-grams decide. Documents without a word have nothing to compare and are no group.
     """
     marked = _marked(docs, "copies")
-    groups = simhash.similar_documents(_as_docs(marked)).select(F.col("doc_id").alias("row_key__"), "component_id")
-    ids = marked.select("row_key__", F.col("doc_id").cast("long").alias("id"))
+    at = {c.lower(): F.col(f"c_{i}") for i, c in enumerate(docs.columns)}
+    keyed = marked.select(F.col("row_key__").alias("doc_id"), at["text"].alias("text"))
+    groups = simhash.similar_documents(keyed).select(F.col("doc_id").alias("row_key__"), "component_id")
+    ids = marked.select("row_key__", at["doc_id"].cast("long").alias("id"))
     ranked = save(ids.join(groups, "row_key__", "left"), "groups")
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("row_key__").alias("row_key__"))
     firsts = ranked.filter("component_id is not null").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row_key__").alias("row_key__"))
-    return _kept(marked, firsts.union(ranked.filter("component_id is null").select("row_key__")))
+    kept = firsts.union(ranked.filter("component_id is null").select("row_key__"))
+    return marked.join(kept, "row_key__", "left_semi").drop("row_key__").toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; n_chars follows the text."""
-    marked = docs.select(*(F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns)))
-    at = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
-    found = pii.with_spans(marked, at["text"], "spans__")
-    text = pii.redacted(F.col(at["text"]), F.col("spans__"))
-    found = found.withColumn("text__", text)
-    changed = F.size("spans__") > 0
-    out = []
-    for c, held in at.items():
-        if c == "text":
-            out.append(F.col("text__").alias(c))
-        elif c == "n_chars":
-            out.append(F.when(changed, F.length("text__")).otherwise(F.col(held)).cast(dict(docs.dtypes)[c]).alias(c))
+    names = [f"c_{i}" for i in range(len(docs.columns))]
+    text = names[[c.lower() for c in docs.columns].index("text")]
+    out, types = [], dict(docs.dtypes)
+    found = pii.with_spans(docs.toDF(*names), text, "spans__")
+    found = found.withColumn("text__", pii.redacted(F.col(text), F.col("spans__")))
+    for c, held in zip(docs.columns, names):
+        if held == text:
+            out.append(F.col("text__").alias(held))
+        elif c.lower() == "n_chars":
+            out.append(F.when(F.size("spans__") > 0, F.length("text__")).otherwise(F.col(held)).cast(types[c]).alias(held))
         else:
-            out.append(F.col(held).alias(c))
-    return found.select(*out)
+            out.append(F.col(held))
+    return found.select(*out).toDF(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
