@@ -39,10 +39,9 @@ def test_stages(spark):
     grams = {i: shingles(r.text) for i, r in kept.items()}
     ids = sorted(kept)
     pairs = [(alike(grams[a], grams[b]), a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if grams[a] & grams[b]]
-    assert not [p for p in pairs if p[0] >= 0.87 and p[1] in left and p[2] in left]
+    assert not [p for p in pairs if p[0] >= 0.8 and p[1] in left and p[2] in left]
     gone = {*ids} - left
-    assert all(max(p[0] for p in pairs if i in p[1:]) >= 0.6 for i in gone)
-    assert len([p for p in pairs if p[0] >= 0.8 and p[1] in left and p[2] in left]) <= 2
+    assert all(max(p[0] for p in pairs if i in p[1:]) >= 0.8 for i in gone)
 
     single = cp.save(single, "single")
     clean = cp.personal_data(spark, single, SF)
@@ -61,7 +60,7 @@ def test_stages(spark):
 def test_run_and_odd_rows(spark, odd_docs, no_docs, tmp_path):
     for rows in (odd_docs, no_docs):
         place = str(tmp_path / f"d{rows.count()}")
-        odd = rows.withColumn("spans", F.lit(1)).withColumn("row", F.lit(2))
+        odd = rows.withColumn("spans", F.lit(1)).withColumn("row", F.lit(2)).withColumn("row_key__", F.lit(3)).withColumn("c_0", F.lit(4)).withColumnRenamed("text", "TEXT")
         odd.write.parquet(f"{place}/documents.parquet")
         docs = spark.read.parquet(f"{place}/documents.parquet")
         for name, stage in cp.STAGES[:-1]:
