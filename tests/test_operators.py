@@ -50,18 +50,18 @@ def brute(sigs, order, blocks, threshold):
 
 
 @pytest.mark.parametrize("keep", ["first", "most_complete"])
-@pytest.mark.parametrize("tile", [2000, 40])
-def test_fuzzy_duplicates_against_brute_force(spark, keep, tile, monkeypatch):
+@pytest.mark.parametrize("tile, in_task", [(2000, 200_000), (40, 0)])
+def test_fuzzy_duplicates_against_brute_force(spark, keep, tile, in_task, monkeypatch):
     from tidemill.operators import dedup
 
     rng = random.Random(5)
-    first, last = ["ana", "anna", "beto", "carla", None, ""], ["ruiz", "ruis", "gomez", "lopez", "Lopéz"]
-    rows = [(" ".join(filter(None, (rng.choice(first), rng.choice(last), rng.choice(last)))) if rng.random() > 0.1 else rng.choice([None, "", "N/A"]), rng.choice(["x", "y", None])) for _ in range(150)]
-    monkeypatch.setattr(dedup.fuzzy_pairs, "__defaults__", (tile,))
+    first, last = ["ana", "anna", "ANA", "beto", "carla", None, ""], ["ruiz", "ruis", "Ruiz", "gomez", "lopez", "Lopéz"]
+    rows = [(" ".join(filter(None, (rng.choice(first), rng.choice(last), rng.choice(last)))) if rng.random() > 0.1 else rng.choice([None, "", "N/A"]), rng.choice(["x", "y", None])) for _ in range(200)]
+    monkeypatch.setattr(dedup.fuzzy_pairs, "__defaults__", (tile, in_task))
     c = Cleaner(frame(spark, rows, "name string, city string").repartition(5))
     c.deduplicate("name", keep=keep, fuzzy=True, threshold=0.85, flag=True)
     got = {r[ROW]: r.duplicate_of for r in c.frame.collect() if r.is_duplicate}
-    order = sorted(range(150), key=lambda i: (sum(clean_key_of(v) == "" for v in rows[i]) if keep == "most_complete" else 0, i))
+    order = sorted(range(200), key=lambda i: (sum(clean_key_of(v) == "" for v in rows[i]) if keep == "most_complete" else 0, i))
     exact, seen = {}, {}
     for i in order:
         if rows[i][0] in seen:

@@ -32,74 +32,91 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def votes(c: Column) -> dict[str, Column]:
-    """Is a numeric date day-first, month-first, or could it be either?"""
-    s = strip(c)
-    shaped = s.rlike(NUMERIC + r"(?:[T\x20].*)?$")
-    a, b = (_int(F.regexp_extract(s, NUMERIC, k)) for k in (1, 2))
-    return {"day": shaped & (a > 12) & (b <= 12), "month": shaped & (b > 12) & (a <= 12), "either": shaped & (a <= 12) & (b <= 12)}
+def _parts(s: Column, pattern: str, order: str, mark: str = "") -> Column:
+    """[year, month, day, hour, minute, second, half, mark] of a text with the pattern, matched once; no date: one element.
+
+    order is the replacement that puts the pattern's own groups in order.
+    """
+    return F.split(F.regexp_replace(s, pattern + _TIME, f"{order}|$4|$5|$6|$7|{mark}"), r"\|")
 
 
-def vote_columns(df: DataFrame, columns: list[str], row: str, sample: int = 5000) -> dict[str, tuple[bool, int]]:
-    """For each text column: are dates day-first, and how many could be either.
+def read_date(c: Column) -> Column:
+    """The text's date in parts, each layout's pattern matched once: (iso, year, a, b, numeric, hour, minute, second, half).
 
-    The vote is of the first `sample` present values in row order; the count is
-    over all.
+    iso is the timestamp of an ISO text; else a and b are month and day, or of a
+    numeric date the first and second number. Null for what has no date's shape.
     """
+
+    def layout(s: Column) -> Column:
+        month_year = F.split(F.regexp_replace(s, _MONTH_YEAR, "$2|$1|1|||||"), r"\|")
+        return (
+            F.when(s.rlike("^[0-9]{3}"), _parts(s, YEAR_FIRST, "$1|$2|$3"))
+            .when(s.rlike("^[0-9]{1,2}[-/.][0-9]"), _parts(s, NUMERIC, "$3|$1|$2", "n"))
+            .when(s.rlike("^[0-9]") | s.rlike(rf"(?i)^{_WEEKDAY}[0-9]"), _parts(s, _DAY_MONTH, "$3|$2|$1"))
+            .when(s.rlike(_MONTH_YEAR), month_year)
+            .otherwise(_parts(s, _MONTH_DAY, "$3|$1|$2"))
+        )
+
+    def told(s: Column) -> Column:
+        is_iso = s.rlike(ISO)
+        stamp = s.try_cast("timestamp")
+        iso = F.when(s.rlike(_OFFSET), F.to_utc_timestamp(stamp, F.current_timezone())).otherwise(stamp).cast("timestamp_ntz")
+
+        def fields(p: Column) -> Column:
+            month = F.coalesce(_int(p[1]), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(p[1], 1, 3))).cast("int"))
+            whole = (F.size(p) == 8) & ~is_iso
+            values = {"iso": F.when(is_iso, iso), "year": F.when(whole, p[0]), "a": F.when(whole, month), "b": F.when(whole, _int(p[2])), "numeric": whole & (p[7] == "n")}
+            values |= {"hour": F.when(whole, _int(p[3])), "minute": F.when(whole, _int(p[4])), "second": F.when(whole, p[5].try_cast("decimal(8,6)")), "half": F.when(whole, F.lower(p[6]))}
+            return F.struct(*(v.alias(k) for k, v in values.items()))
+
+        return let(F.when(is_iso, F.array().cast("array<string>")).otherwise(layout(s)), fields)
+
+    return F.when(looks_like_date(c), let(strip(c), told))
+
+
+def votes(read: Column) -> dict[str, Column]:
+    """Is a numeric date day-first, month-first, or could it be either?"""
+    a, b = read["a"], read["b"]
+    return {"day": read["numeric"] & (a > 12) & (b <= 12), "month": read["numeric"] & (b > 12) & (a <= 12), "either": read["numeric"] & (a <= 12) & (b <= 12)}
+
+
+def vote(df: DataFrame, reads: dict[str, Column]) -> dict[str, tuple[bool, int]]:
+    """For each column's read dates: are they day-first, and how many could be either; all rows vote, in one aggregate."""
+    if not reads:
+        return {}
+    got = iter(df.agg(*(F.count_if(v) for read in reads.values() for v in votes(read).values())).first())
     out = {}
-    for c in columns:
-        v = F.col(f"`{c}`")
-        present = df.filter(v.isNotNull()).select(row, v.alias("v"))
-        first = present.orderBy(row).limit(sample)
-        kinds = votes(F.col("v"))
-        day, month = first.agg(F.count_if(kinds["day"]), F.count_if(kinds["month"])).first()
-        either = present.agg(F.count_if(kinds["either"])).first()[0]
+    for c in reads:
+        day, month, either = next(got), next(got), next(got)
         out[c] = (day > 0 and day >= month, either)
     return out
 
 
-def parse_date(c: Column, dayfirst: bool = False) -> Column:
-    """The date, null where the text is none or names a day that does not exist.
-
-    An offset is converted to UTC. A numeric date that can be read only one way is
-    read that way whatever the vote; two-digit years lie within 50 years of now.
-    """
-    now = date.today().year
-
-    def at(s: Column, pattern: str, year: Column, month: Column, day: Column) -> Column:
-        part = lambda k: F.regexp_extract(s, pattern + _TIME, k)
-        half = F.lower(part(7))
-        hour = F.coalesce(_int(part(4)), F.lit(0))
-        hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), F.lit(0)).otherwise(hour)
-        second = F.coalesce(part(6).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
-        minute = F.coalesce(_int(part(5)), F.lit(0))
-        return F.when(s.rlike(pattern + _TIME), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
+def vote_columns(df: DataFrame, columns: list[str]) -> dict[str, tuple[bool, int]]:
+    """`vote` of text columns."""
+    rows = df.select(*(read_date(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)))
+    return vote(rows, {c: F.col(f"v{i}") for i, c in enumerate(columns)})
 
-    def group(s: Column, pattern: str, k: int) -> Column:
-        return F.regexp_extract(s, pattern, k)
 
-    def number(s: Column, pattern: str, k: int) -> Column:
-        return _int(group(s, pattern, k))
+def as_timestamp(read: Column, dayfirst: bool = False) -> Column:
+    """The date of what `read_date` has read, null where it names a day that does not exist.
 
-    def month(s: Column, pattern: str, k: int) -> Column:
-        return F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(group(s, pattern, k), 1, 3))).cast("int")
+    A numeric date that can be read only one way is read that way whatever the
+    vote; two-digit years lie within 50 years of now.
+    """
+    now = date.today().year
+    y, a, b = _int(read["year"]), read["a"], read["b"]
+    guess = y + (now // 100) * 100
+    near = F.when(guess >= now + 50, guess - 100).when(guess < now - 50, guess + 100).otherwise(guess)
+    year = F.when(read["numeric"] & (F.length(read["year"]) == 2), near).otherwise(y)
+    day_first = read["numeric"] & F.when(a > 12, True).when(b > 12, False).otherwise(dayfirst)
+    hour = F.coalesce(read["hour"], F.lit(0))
+    hour = F.when((read["half"] == "p") & (hour < 12), hour + 12).when((read["half"] == "a") & (hour == 12), F.lit(0)).otherwise(hour)
+    second = F.coalesce(read["second"], F.lit(0).cast("decimal(8,6)"))
+    made = F.try_make_timestamp_ntz(year, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b), hour, F.coalesce(read["minute"], F.lit(0)), second)
+    return F.coalesce(read["iso"], made).cast("timestamp_ntz")
 
-    def read(s: Column) -> Column:
-        stamp = s.try_cast("timestamp")
-        iso = F.when(s.rlike(_OFFSET), F.to_utc_timestamp(stamp, F.current_timezone())).otherwise(stamp).cast("timestamp_ntz")
-        a, b, y = (number(s, NUMERIC, k) for k in (1, 2, 3))
-        short = F.length(group(s, NUMERIC, 3)) == 2
-        guess = y + (now // 100) * 100
-        y = F.when(short, F.when(guess >= now + 50, guess - 100).when(guess < now - 50, guess + 100).otherwise(guess)).otherwise(y)
-        day_first = F.when(a > 12, True).when(b > 12, False).otherwise(dayfirst)
-        numeric = at(s, NUMERIC, y, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b))
-        return (
-            F.when(s.rlike(ISO), iso)
-            .when(s.rlike(YEAR_FIRST), at(s, YEAR_FIRST, number(s, YEAR_FIRST, 1), number(s, YEAR_FIRST, 2), number(s, YEAR_FIRST, 3)))
-            .when(s.rlike(NUMERIC), numeric)
-            .when(s.rlike(_MONTH_DAY), at(s, _MONTH_DAY, number(s, _MONTH_DAY, 3), month(s, _MONTH_DAY, 1), number(s, _MONTH_DAY, 2)))
-            .when(s.rlike(_DAY_MONTH), at(s, _DAY_MONTH, number(s, _DAY_MONTH, 3), month(s, _DAY_MONTH, 2), number(s, _DAY_MONTH, 1)))
-            .when(s.rlike(_MONTH_YEAR), F.try_make_timestamp_ntz(number(s, _MONTH_YEAR, 2), month(s, _MONTH_YEAR, 1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
-        )
 
-    return F.when(looks_like_date(c), let(strip(c), read)).cast("timestamp_ntz")
+def parse_date(c: Column, dayfirst: bool = False) -> Column:
+    """The date of a text; an offset is converted to UTC."""
+    return let(read_date(c), lambda r: as_timestamp(r, dayfirst))

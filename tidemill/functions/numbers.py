@@ -54,7 +54,9 @@ def core(c: Column) -> Column:
         fine = text.rlike("^[0-9.,]+$") & ~text.isin(".", ",")
         return F.when(fine, F.struct(text.alias("text"), negative.alias("negative"), percent.alias("percent")))
 
-    return let(strip(c), lambda s: F.when(s.isNotNull() & ~F.lower(s).isin(*NULL_TOKENS), bare(s))).cast(_CORE)
+    simple = lambda s: F.struct(F.regexp_replace(s, "^-", "").alias("text"), s.startswith("-").alias("negative"), F.lit(False).alias("percent"))
+    known = lambda s: s.isNotNull() & ~F.lower(s).isin(*NULL_TOKENS)
+    return let(strip(c), lambda s: F.when(s.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), simple(s)).when(known(s), bare(s))).cast(_CORE)
 
 
 def ambiguous_mark(text: Column) -> Column:
@@ -96,15 +98,23 @@ def parse_number(c: Column, kind: str = "string", hints: tuple[str | None, str |
         d = c.cast("double")
         return F.when(~F.isnan(d), d)
 
-    def value(k: Column) -> Column:
-        mark = ambiguous_mark(k["text"])
-        hint = F.when(mark == ".", F.lit(hints[0])).when(mark == ",", F.lit(hints[1])).otherwise(F.lit(None).cast("string"))
-        number = _plain(k["text"], hint).try_cast("double")
-        number = F.when(k["percent"], number / 100.0).otherwise(number)
-        return F.when(k["negative"], -number).otherwise(number)
+    return let(read_number(c), lambda r: number_of(r, hints))
 
-    stripped = strip(c)
-    return F.when(stripped.rlike(EXPONENT), stripped.try_cast("double")).otherwise(let(core(c), value))
+
+def read_number(c: Column) -> Column:
+    """A text's number before its separators are decided on: (exact, core); exact where it is written with an exponent."""
+    read = lambda s: F.struct(F.when(s.rlike(EXPONENT), s.try_cast("double")).alias("exact"), F.when(~s.rlike(EXPONENT), core(s)).alias("core"))
+    return let(strip(c), read)
+
+
+def number_of(read: Column, hints: tuple[str | None, str | None]) -> Column:
+    """The number of what `read_number` has read."""
+    k = read["core"]
+    mark = ambiguous_mark(k["text"])
+    hint = F.when(mark == ".", F.lit(hints[0])).when(mark == ",", F.lit(hints[1])).otherwise(F.lit(None).cast("string"))
+    number = _plain(k["text"], hint).try_cast("double")
+    number = F.when(k["percent"], number / 100.0).otherwise(number)
+    return F.coalesce(read["exact"], F.when(k["negative"], -number).otherwise(number))
 
 
 def parse_boolean(c: Column, kind: str = "string") -> Column:
@@ -122,8 +132,8 @@ def round_half_away(c: Column) -> Column:
 BUCKETS = tuple(f"{what}{mark}" for what in ("thousands", "decimal", "decimal3") for mark in ".,")
 
 
-def shown(c: Column) -> Column:
-    """Which of BUCKETS a value is evidence for, or `ambiguous`."""
+def shown(text: Column) -> Column:
+    """Which of BUCKETS a number's core is evidence for, or `ambiguous`."""
 
     def labels(s: Column) -> Column:
         comma, dot = _last(s, ","), _last(s, ".")
@@ -137,7 +147,7 @@ def shown(c: Column) -> Column:
             out = out.when((at > 0) & many & grouped, F.array(F.lit(f"thousands{mark}"))).when((at > 0) & ~many, F.array(tail(mark)))
         return out.otherwise(none)
 
-    return F.coalesce(let(core(c)["text"], labels), F.array().cast("array<string>"))
+    return F.coalesce(let(text, labels), F.array().cast("array<string>"))
 
 
 @dataclass
@@ -170,19 +180,23 @@ class Reading:
         return bool(self.counts["decimal."] and self.counts["decimal,"])
 
 
-def read_columns(df: DataFrame, columns: list[str], row: str) -> dict[str, Reading]:
-    """The evidence of text columns, of all of them in one aggregate. Examples are the first in row order."""
+def read_columns(df: DataFrame, columns: list[str], row: str, reads: dict[str, Column] | None = None) -> dict[str, Reading]:
+    """The evidence of text columns, of all of them in one aggregate. Examples are the first in row order.
+
+    reads: what `read_number` has read of them, where that is at hand.
+    """
     if not columns:
         return {}
-    seen = df.select(row, *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)))
-    seen = seen.select("*", *(shown(F.col(f"v{i}")).alias(f"e{i}") for i in range(len(columns))))
+    texts = {c: (reads or {}).get(c, read_number(F.col(f"`{c}`")))["core"]["text"] for c in columns}
+    seen = df.select(row, *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)), *(shown(texts[c]).alias(f"e{i}") for i, c in enumerate(columns)))
     aggs = []
     for i in range(len(columns)):
         for k, bucket in enumerate((*BUCKETS, "ambiguous")):
             has = F.array_contains(f"e{i}", bucket)
-            aggs += [F.count_if(has).alias(f"n{i}_{k}"), F.min(F.when(has, F.struct(F.col(row), strip(F.col(f"v{i}")).alias("v")))).alias(f"x{i}_{k}")]
+            aggs += [F.count_if(has).alias(f"n{i}_{k}"), F.min(F.when(has, F.struct(F.col(row), F.col(f"v{i}").alias("v")))).alias(f"x{i}_{k}")]
     got = seen.agg(*aggs).first().asDict()
     out = {}
     for i, c in enumerate(columns):
-        out[c] = Reading({b: got[f"n{i}_{k}"] for k, b in enumerate(BUCKETS)}, {b: got[f"x{i}_{k}"]["v"] for k, b in enumerate(BUCKETS) if got[f"x{i}_{k}"]}, got[f"n{i}_{len(BUCKETS)}"])
+        found = {b: got[f"x{i}_{k}"]["v"].strip() for k, b in enumerate(BUCKETS) if got[f"x{i}_{k}"]}
+        out[c] = Reading({b: got[f"n{i}_{k}"] for k, b in enumerate(BUCKETS)}, found, got[f"n{i}_{len(BUCKETS)}"])
     return out

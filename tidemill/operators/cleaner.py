@@ -149,11 +149,18 @@ class Cleaner:
         known = {c: TYPES.get(str(t).lower()) for c, t in mapping.items() if c in self.columns}
         kinds = dict(self.frame.dtypes)
         textual = [c for c in known if C.is_text(kinds[c])]
-        readings = numbers.read_columns(self.frame, [c for c in textual if known[c] in ("integer", "float")], ROW)
-        dayfirst = dates.vote_columns(self.frame, [c for c in textual if known[c] == "datetime"], ROW)
+        # Texts are parsed once and stored with what was read of them; evidence, counts and examples come from there.
+        reads = {c: numbers.read_number(col(c)) for c in textual if known[c] in ("integer", "float")}
+        reads |= {c: dates.read_date(col(c)) for c in textual if known[c] == "datetime"}
+        held = {c: f"__r{i}" for i, c in enumerate(reads)}
+        parsed = save(self.frame.withColumns({held[c]: r for c, r in reads.items()}), "parsed") if reads else self.frame
+        reads = {c: F.col(h) for c, h in held.items()}
+        numeric = {c: r for c, r in reads.items() if known[c] != "datetime"}
+        readings = numbers.read_columns(parsed, [*numeric], ROW, numeric)
+        dayfirst = dates.vote(parsed, {c: r for c, r in reads.items() if known[c] == "datetime"})
         # Numbers first, in a projection of their own: what follows uses them more than once.
         number = {c: f"__n{i}" for i, c in enumerate(known) if known[c] in ("integer", "float")}
-        parsed = self.frame.withColumns({n: numbers.parse_number(col(c), kinds[c], readings[c].hints if c in readings else (None, None)) for c, n in number.items()})
+        parsed = parsed.withColumns({n: numbers.number_of(reads[c], readings[c].hints) if c in readings else numbers.parse_number(col(c), kinds[c]) for c, n in number.items()})
         new: dict[str, Column] = {}
         for c, target in known.items():
             v, kind = col(c), kinds[c]
@@ -166,7 +173,7 @@ class Cleaner:
             elif target == "boolean":
                 new[c] = numbers.parse_boolean(v, kind)
             elif target == "datetime":
-                new[c] = dates.parse_date(v, dayfirst[c][0]) if c in dayfirst else v.cast("timestamp_ntz")
+                new[c] = dates.as_timestamp(reads[c], dayfirst[c][0]) if c in dayfirst else v.cast("timestamp_ntz")
             elif target == "string":
                 new[c] = F.when(~self._missing(c), C.as_text(v, kind))
         told = parsed.select(ROW, *number.values(), *(col(c).alias(f"o{i}") for i, c in enumerate(new)), *(v.alias(f"v{i}") for i, v in enumerate(new.values())))
@@ -178,7 +185,7 @@ class Cleaner:
                 self._record("coerce_types", f"Unknown target type '{mapping[c]}' for '{c}'; left unchanged.", columns=[c], skipped=True)
             else:
                 self._record_coercion(c, mapping[c], known[c], on_fraction, readings.get(c), dayfirst.get(c), facts[c])
-        self.frame = parsed.withColumns(new).drop(*number.values())
+        self.frame = parsed.withColumns(new).drop(*number.values(), *held.values())
         return self._stored()
 
     def _coercion_facts(self, told: DataFrame, known: dict, new: list[str], kinds: dict, readings: dict, number: dict[str, str]) -> dict[str, dict[str, Any]]:
@@ -407,7 +414,7 @@ class Cleaner:
             if c not in self.columns:
                 raise ValueError(f"deduplicate: column '{c}' not found")
         keys = [k for k in (names(fuzzy_keys) or subset or self.columns) if k in self.columns]
-        pairs = dedup.duplicate_pairs(self.frame, subset, keep, fuzzy, keys, float(threshold), block_on)
+        pairs = save(dedup.duplicate_pairs(self.frame, subset, keep, fuzzy, keys, float(threshold), block_on), "pairs")
         counts = dict(pairs.groupBy("match").count().collect())
         exact, near = counts.get("exact", 0), counts.get("fuzzy", 0)
         listed = [{k: v for k, v in r.asDict().items() if v is not None} for r in pairs.orderBy("row").limit(LISTED).collect()]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import as_text, is_missing
 from tidemill.functions.text import canonical_key
+from tidemill.sources.storage import save
 from tidemill.sources.tables import ROW
 
 PAIRS = "row long, kept_row long, match string, score double, key string, kept_key string"
@@ -58,26 +59,36 @@ def _alike(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "row"]).reset_index(drop=True)
         texts, rows, chunk = pdf["key"].tolist(), pdf["row"].to_numpy(), pdf["chunk"].to_numpy()
+        place, last = [*zip(pdf["a"].tolist(), pdf["row"].tolist())], [*zip(pdf["last_a"].tolist(), pdf["last_row"].tolist())]
         same = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
-        size = np.array([len(t) for t in texts], float)
-        counts = np.stack([_counts(t) for t in texts])
-        matchers: dict[int, SequenceMatcher] = {}  # what is known of the second text is kept
+        size = np.array([len(t) for t in texts], np.int32)
+        counts = np.stack([_counts(t) for t in texts]).astype(np.int16)
         out = []
-        for i in range(1, len(texts)):  # i comes later in the order than all before it
-            total = size[:i] + size[i]
-            at = np.flatnonzero((2 * np.minimum(size[:i], size[i]) >= threshold * total - 1e-9) & (same | (chunk[:i] != chunk[i])))
-            at = at[2 * np.minimum(counts[at], counts[i]).sum(axis=1) >= threshold * total[at] - 1e-9]
+        # Texts by length: the later text (first of a ratio) is compared with those whose length can reach the threshold.
+        order = np.argsort(size, kind="stable")
+        by_size, ordered = size[order], counts[order]
+        for j, kept in enumerate(texts):  # what a matcher knows of the second text is kept, so it is the outer loop
+            low = np.searchsorted(by_size, threshold * size[j] / (2 - threshold) - 1e-9)
+            high = np.searchsorted(by_size, (2 - threshold) * size[j] / threshold + 1e-9, "right")
+            at = order[low:high]
+            near = np.minimum(ordered[low:high], counts[j]).sum(axis=1, dtype=np.int32)
+            at = at[(2 * near >= threshold * (by_size[low:high] + size[j]) - 1e-9) & (at > j)]
+            if not same:
+                at = at[chunk[at] != chunk[j]]
             if not len(at):
                 continue
-            for j in at.tolist():
-                # The second text is the kept one: the ratio depends on the order.
-                if j not in matchers:
-                    matchers[j] = SequenceMatcher(None, "", texts[j])
-                matchers[j].set_seq1(texts[i])
-                ratio = matchers[j].ratio()
+            matcher = SequenceMatcher(None, "", kept)
+            for i in at.tolist():
+                # The ratio depends on the order: the later text is the first, the kept one the second.
+                matcher.set_seq1(texts[i])
+                ratio = matcher.ratio()
                 if ratio >= threshold:
-                    out.append((int(rows[i]), int(rows[j]), ratio))
-        return pd.DataFrame(out, columns=["row", "kept_row", "score"])
+                    out.append((int(rows[i]), int(rows[j]), ratio, False))
+                if last[j] > place[i]:  # another row with j's key comes later than i
+                    ratio = SequenceMatcher(None, kept, texts[i]).ratio()
+                    if ratio >= threshold:
+                        out.append((int(rows[j]), int(rows[i]), ratio, True))
+        return pd.DataFrame(out, columns=["row", "kept_row", "score", "back"])
 
     return run
 
@@ -85,39 +96,82 @@ def _alike(threshold: float):
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Visits rows in order: one that is like a kept row is its duplicate, else it is kept."""
     dropped: set[int] = set()
-    out = []
+    best: dict[int, tuple[float, int]] = {}
     pdf = pdf.sort_values(["la", "row", "ka", "kept_row"])
-    for row, group in pdf.groupby("row", sort=False):
-        kept = group[~group["kept_row"].isin(dropped)]
-        if len(kept):
-            best = kept.loc[kept["score"].idxmax()]  # the first of equal ones, in keep order
-            out.append((int(row), int(best["kept_row"]), float(best["score"])))
-            dropped.add(int(row))
-    return pd.DataFrame(out, columns=["row", "kept_row", "score"])
+    for row, kept, score in zip(pdf["row"].tolist(), pdf["kept_row"].tolist(), pdf["score"].tolist()):
+        # Rows ahead of this one are decided; of equal scores the first in keep order stays.
+        if kept not in dropped and (row not in best or score > best[row][0]):
+            best[row] = (score, kept)
+            dropped.add(row)
+    return pd.DataFrame([(r, k, s) for r, (s, k) in best.items()], columns=["row", "kept_row", "score"])
 
 
-def fuzzy_pairs(df: DataFrame, keys: list[str], keep: str, threshold: float, block_on: list[str], tile: int = 2000) -> DataFrame:
+def _visited(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """What `_greedy` finds, by rounds of joins, so that no block has to meet in one task.
+
+    A row without an undecided earlier neighbour is kept if no earlier neighbour is
+    kept, and its later neighbours are duplicates then. Each round decides at least
+    the first undecided row of every chain.
+    """
+    nodes = lambda df, c: df.select(F.col(c).alias("node")).distinct()
+    edges = pairs.select("row", "kept_row")
+    fresh = kept = save(nodes(edges, "kept_row").join(nodes(edges, "row"), "node", "left_anti"), "kept")
+    for _ in range(rounds):
+        # Later neighbours of rows kept anew are duplicates; pairs with a duplicate on either side are done with.
+        gone = save(nodes(edges.join(fresh.withColumnRenamed("node", "kept_row"), "kept_row", "left_semi"), "row"), "gone")
+        rest = edges.join(gone.withColumnRenamed("node", "row"), "row", "left_anti")
+        left = save(rest.join(gone.withColumnRenamed("node", "kept_row"), "kept_row", "left_anti").select("row", "kept_row"), "edges")
+        # Rows of those pairs without an earlier neighbour any more are kept.
+        fresh = save(nodes(rest, "row").join(nodes(left, "row"), "node", "left_anti"), "fresh")
+        kept, edges = save(kept.union(fresh), "kept"), left
+        if fresh.isEmpty():
+            break
+    best = F.max(F.struct("score", (-F.col("ka")).alias("a"), (-F.col("kept_row")).alias("r"))).alias("b")
+    alive = pairs.join(kept.select(F.col("node").alias("kept_row")), "kept_row", "left_semi")
+    return alive.groupBy("row").agg(best).select("row", (-F.col("b.r")).alias("kept_row"), F.col("b.score").alias("score"))
+
+
+def fuzzy_pairs(df: DataFrame, keys: list[str], keep: str, threshold: float, block_on: list[str], tile: int = 2000, in_task: int = 200_000) -> DataFrame:
     """Rows like a kept row of their block, with the likest one.
 
-    Blocks are the key's first character and the keys of `block_on`. A block is
-    dealt out as pairs of tiles, so a large one is scored by many tasks; the visit
-    in keep order then runs over the pairs that reached the threshold alone.
+    Blocks are the key's first character and the keys of `block_on`. Rows of a block
+    with the same key are one for the search: the first stands for them. A block is
+    dealt out as pairs of tiles, so a large one is scored by many tasks. The visit
+    in keep order runs over the pairs that reached the threshold: block by block in
+    tasks while they are `in_task` in all or fewer, else by rounds of joins.
     """
     kinds = dict(df.dtypes)
     first = rank(df, keep)
     marks = [canonical_key(as_text(F.col(f"`{c}`"), kinds[c])) for c in block_on]
     rows = df.select(F.col(ROW).alias("row"), first["a"].alias("a"), signature(df, keys).alias("key"), F.array(*marks).cast("array<string>").alias("marks")).filter("key <> ''")
-    rows = rows.select("row", "a", "key", F.to_json(F.struct(F.substring("key", 1, 1).alias("c"), "marks")).alias("block"))
-    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("n"))
-    dealt = rows.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
+    rows = save(rows.select("row", "a", "key", F.to_json(F.struct(F.substring("key", 1, 1).alias("c"), "marks")).alias("block")), "keys")
+    place = F.struct("a", "row")
+    alike = rows.groupBy("block", "key").agg(F.min(place).alias("f"), F.max(place).alias("l"))
+    heads = save(alike.select("block", "key", "f.a", "f.row", F.col("l.a").alias("last_a"), F.col("l.row").alias("last_row")), "heads")
+    sizes = save(heads.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "blocks")
+    dealt = heads.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("row", "a", "key", "block", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
-    near = dealt.groupBy("block", "x", "y").applyInPandas(_alike(threshold), "row long, kept_row long, score double")
-    at = rows.select("row", "a", "block", "key")
-    later = near.join(at.select("row", F.col("a").alias("la"), "block", "key"), "row")
-    both = later.join(at.select(F.col("row").alias("kept_row"), F.col("a").alias("ka"), F.col("key").alias("kept_key")), "kept_row")
-    found = both.select("block", "row", "kept_row", "score", "la", "ka").groupBy("block").applyInPandas(_greedy, "row long, kept_row long, score double")
-    named = found.join(at.select("row", "key"), "row").join(at.select(F.col("row").alias("kept_row"), F.col("key").alias("kept_key")), "kept_row")
+    dealt = dealt.select("row", "a", "last_a", "last_row", "key", "block", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+    near = dealt.groupBy("block", "x", "y").applyInPandas(_alike(threshold), "row long, kept_row long, score double, back boolean")
+    later = near.join(heads.select("row", F.col("a").alias("la"), "block"), "row")
+    both = save(later.join(heads.select(F.col("row").alias("kept_row"), F.col("a").alias("ka")), "kept_row"), "near")
+    ahead = both.filter("not back")
+    if ahead.count() <= in_task:
+        found = ahead.groupBy("block").applyInPandas(_greedy, "row long, kept_row long, score double")
+    else:
+        found = _visited(ahead)
+    found = save(found, "found")
+    # The other rows of a key: duplicates of the first if it is kept, else of the likest of all kept rows ahead of them.
+    members = rows.join(heads.filter("row <> last_row").select("block", "key", F.col("row").alias("head")), ["block", "key"]).filter("row <> head")
+    first_dropped = found.select(F.col("row").alias("head"))
+    same = members.join(first_dropped, "head", "left_anti").select("row", F.col("head").alias("kept_row"), F.lit(1.0).alias("score"))
+    kept = both.select(F.col("row").alias("head"), "kept_row", "score", "ka").join(found.select(F.col("row").alias("kept_row")), "kept_row", "left_anti")
+    tried = members.join(first_dropped, "head", "left_semi").select("head", "row", "a").join(kept, "head")
+    tried = tried.filter(F.struct(F.col("ka").alias("a"), F.col("kept_row").alias("row")) < F.struct("a", "row"))
+    best = F.max(F.struct("score", (-F.col("ka")).alias("ka"), (-F.col("kept_row")).alias("kept_row"))).alias("b")
+    other = tried.groupBy("row").agg(best).select("row", (-F.col("b.kept_row")).alias("kept_row"), F.col("b.score").alias("score"))
+    out = found.select("row", "kept_row", "score").union(same).union(other).join(rows.select("row", "key"), "row")
+    named = out.join(heads.select(F.col("row").alias("kept_row"), F.col("key").alias("kept_key")), "kept_row")
     return named.select("row", "kept_row", F.lit("fuzzy").alias("match"), F.round("score", 4).alias("score"), "key", "kept_key")
 
 

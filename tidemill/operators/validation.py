@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from datetime import date, datetime
 from typing import Any
 
+import pandas as pd
 import yaml
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import columns as C
@@ -82,9 +83,27 @@ def _number_text(n: Column) -> Column:
     return F.when(n == F.floor(n), F.format_string("%.0f", n)).otherwise(n.cast("string"))
 
 
-def _java_safe(pattern: str) -> str:
-    r"""A Python pattern for Java's engine: \d, \w, \s and \b know Unicode there as here, and \Z is the very end."""
-    return "(?U)" + pattern.replace(r"\Z", r"\z").replace("(?P<", "(?<")
+def _found(v: Column, pattern: str) -> Column:
+    r"""Is a Python pattern found in the value?
+
+    Java's engine is asked where it reads the pattern alike: \d, \w, \s and \b know
+    Unicode, line ends are \n alone and \Z is the very end. Python's own, in Arrow
+    batches, is asked where Java's can't compile it or knows other constructs.
+    """
+    finder = re.compile(pattern)
+    java = "(?Ud)" + pattern.replace(r"\Z", r"\z").replace("(?P<", "(?<")
+    if not re.search(r"\(\?P[=>]|\(\?\(|\[\^?[^\]]*(?:\[|&&)", pattern):
+        try:
+            SparkSession.active().range(1).select(F.lit("x").rlike(java)).collect()
+            return v.rlike(java)
+        except Exception:  # the engine's own complaint about the pattern
+            pass
+
+    @F.pandas_udf("boolean")
+    def search(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else finder.search(x) is not None).astype(object)
+
+    return search(v)
 
 
 def _broken(name: str, kind: str, rule: str, spec: Any) -> tuple[Column, Column] | None:
@@ -100,8 +119,7 @@ def _broken(name: str, kind: str, rule: str, spec: Any) -> tuple[Column, Column]
         message = F.when(n.isNull(), "value is not numeric").when(small, F.concat(_number_text(n), F.lit(f" < min {low}"))).otherwise(F.concat(_number_text(n), F.lit(f" > max {high}")))
         return present & (n.isNull() | small | large), message
     if rule == "regex":
-        re.compile(str(spec))
-        return present & ~C.as_text(v, kind).rlike(_java_safe(str(spec))), F.lit("does not match pattern")
+        return present & ~_found(C.as_text(v, kind), str(spec)), F.lit("does not match pattern")
     if rule == "allowed":
         return present & ~C.as_text(v, kind).isin(*[str(x) for x in spec or []]), F.lit("value not in allowed set")
     target = str(spec).lower()
@@ -120,14 +138,14 @@ def _broken(name: str, kind: str, rule: str, spec: Any) -> tuple[Column, Column]
 
 
 def _sniff(df: DataFrame, name: str) -> str:
-    """What a column is compared as: datetime, number or text; text columns by their first 200 present values."""
+    """What a column is compared as: datetime, number or text; text columns by all their present values."""
     kind = dict(df.dtypes)[name]
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return "datetime"
     if not C.is_text(kind):
         return "text" if kind == "boolean" else "number"
     v = col(name)
-    some = df.filter(~C.is_na(v, kind)).orderBy(ROW).limit(200).select(dates.looks_like_date(v).alias("d"), numbers.parse_number(v).isNotNull().alias("n"))
+    some = df.filter(~C.is_na(v, kind)).select(dates.looks_like_date(v).alias("d"), numbers.parse_number(v).isNotNull().alias("n"))
     n, share, number = some.agg(F.count("*"), F.avg(F.col("d").cast("int")), F.bool_and("n")).first()
     return "text" if not n else "datetime" if share >= 0.8 else "number" if number else "text"
 
@@ -139,7 +157,7 @@ def _side(df: DataFrame, operand: Any, own: str, other: str) -> tuple[Column, Co
         absent = C.is_na(v, kind)
         if own == "datetime":
             if C.is_text(kind):
-                v = dates.parse_date(v, dates.vote_columns(df, [operand], ROW)[operand][0])
+                v = dates.parse_date(v, dates.vote_columns(df, [operand])[operand][0])
             return v.cast("timestamp_ntz"), absent | v.isNull()
         if own == "number":
             v = numbers.parse_number(v, kind)
