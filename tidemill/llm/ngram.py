@@ -1,8 +1,9 @@
 """Interpolated modified Kneser-Ney n-gram model of order 3 (or 2): counting, storage and scoring.
 
-Words are hashed to 64 bits. Each task counts the trigrams (u, v, w) it has read
-and sends, for each shard, one block: the distinct words' hashes, and trigrams as
-runs of v and u with small indices. A trigram lies in the shard of its middle word,
+Words are hashed to 64 bits, of which what lies within a shard keeps 48: the last
+word of a pair, and the pair that is a trigram's context. Each task counts the
+trigrams (u, v, w) it has read and sends, for each shard, one block: trigrams as
+runs of v and of the context. A trigram lies in the shard of its middle word,
 so that both its context (u, v) and its suffix (v, w) are whole there; those of
 frequent middle words are dealt out by the context, and their suffixes are summed
 once more. A shard's blocks are merged and written to the shared folder as sorted
@@ -14,7 +15,8 @@ hash arrays:
                       the pair (u, v) itself
     pairs/<shard>     hash of (v, w), number of distinct words seen ahead of it
     heads/<shard>     hash of v: the pairs' total, pairs of a number of 1, 2, more
-    words/<shard>     hash of w, count, number of distinct words seen ahead of it
+    words/<shard>     hash of w, count
+    ahead/<shard>     hash of w, number of distinct words seen ahead of it
 
 An array keeps 32 bits of each hash behind those that an index of buckets stands
 for (words: all 64), and a byte for a number, larger ones aside. Workers map these
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import os
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,36 +44,43 @@ HOT = 1_000_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = "shard int, kind int, data array<binary>"
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x2127599BF4325C37)
-#: Kinds of blocks: trigrams; pairs of frequent words; words with counts or numbers of words ahead; sums for the driver.
-_GRAMS, _PAIRS, _WORDS, _SUMS = range(4)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
-        self[word] = h = xxh64_intdigest(word, 7)
-        return h
-
-
-_known = _Words()
+#: Kinds of blocks: trigrams; pairs of frequent words; words' counts; words' numbers of words ahead; sums for the driver.
+_GRAMS, _PAIRS, _COUNTS, _AHEAD, _SUMS = range(5)
+#: The 48 bits that are kept of a hash within a shard.
+_KEPT = np.uint64(0xFFFFFFFFFFFF0000)
+#: Random numbers for each byte at each of 64 places, and a factor for each further 64 places: words are hashed by their sum.
+_PLACES = np.random.default_rng(7).integers(0, 1 << 64, (64, 256), np.uint64)
+_FURTHER = np.uint64(0x9E3779B97F4A7C15)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, w, tokens of each text): every token w with the two ahead of it; the end counts as a token."""
-    if len(_known) > 1_000_000:
-        _known.clear()
-    ends, parts, sizes = [_END], [], []
-    for text in texts:
-        words = (text or "").encode().translate(_LOWER).split()
-        parts += [[_START], np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)), ends]
-        sizes.append(len(words) + 1)
-    sizes = np.array(sizes, np.int64)
-    flat = np.concatenate(parts).astype(np.uint64) if parts else np.zeros(0, np.uint64)
-    word = np.ones(len(flat), bool)
-    begins = np.cumsum(sizes + 1) - sizes - 1
-    word[begins] = False  # the start is no word
-    at = np.flatnonzero(word)
+    encoded = [(t or "").encode().translate(_LOWER) for t in texts]
+    data = np.frombuffer(b" ".join([*encoded, b""]), np.uint8)
+    begins_of_texts = np.cumsum([0, *(len(e) + 1 for e in encoded)])
+    inside = ~_IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begins, lengths = edges[::2], edges[1::2] - edges[::2]
+    n_words = np.diff(np.searchsorted(begins, begins_of_texts))
+    letters = data[inside]
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    value = _PLACES[place & 63, letters]
+    if len(lengths) and lengths.max() > 64:
+        far = np.flatnonzero(place > 63)
+        value[far] *= np.power(_FURTHER, (place[far] >> 6).astype(np.uint64))
+    words = np.add.reduceat(value, first) if len(first) else np.zeros(0, np.uint64)
+    words = _mixed(words ^ lengths.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    # Each text gets a start ahead and an end behind.
+    sizes = n_words.astype(np.int64) + 1
+    flat = np.empty(int(sizes.sum()) + len(sizes), np.uint64)
+    ends = np.cumsum(sizes + 1) - 1
+    inner = np.ones(len(flat), bool)
+    inner[ends], inner[ends - sizes] = False, False
+    flat[inner], flat[ends], flat[ends - sizes] = words, _END, _START
+    inner[ends] = True  # all tokens
+    at = np.flatnonzero(inner)
     u = flat[np.maximum(at - 2, 0)]
     u[np.cumsum(sizes) - sizes] = _START
     return u, flat[at - 1], flat[at], sizes
@@ -86,6 +95,11 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(_mixed(a) + b * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two words that follow each other."""
+    return pair_hash(a, b & _KEPT)
+
+
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (_mixed(h ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(shards)).astype(np.int64)
 
@@ -138,42 +152,56 @@ def _hashes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
+def _short(h: np.ndarray) -> bytes:
+    """The 48 bits kept of hashes."""
+    return np.ascontiguousarray((h >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def _batch(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
     shard, kind, data = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.list_(pa.binary()))], ["shard", "kind", "data"])
 
 
-def _dealt(shard: np.ndarray, kind: int, columns: list[np.ndarray]) -> list[tuple[int, int, list[bytes]]]:
-    """Rows of hashes and numbers (the first columns are hashes), a block for each shard."""
+def _dealt(shard: np.ndarray, kind: int, columns: list[tuple[np.ndarray, Callable[[np.ndarray], bytes]]]) -> list[tuple[int, int, list[bytes]]]:
+    """A block of columns, each with what writes it, for each shard."""
     order = np.argsort(shard, kind="stable")
-    shard, columns = shard[order], [c[order] for c in columns]
+    shard, columns = shard[order], [(c[order], write) for c, write in columns]
     bounds = np.append(_runs(shard), len(shard)).tolist() if len(shard) else []
-    return [(int(shard[i]), kind, [c[i:j].tobytes() if c.dtype == np.uint64 else _small(c[i:j]) for c in columns]) for i, j in zip(bounds[:-1], bounds[1:])]
+    return [(int(shard[i]), kind, [write(c[i:j]) for c, write in columns]) for i, j in zip(bounds[:-1], bounds[1:])]
+
+
+def _sort_key(shard: np.ndarray, shards: int, *hashes: np.ndarray) -> np.ndarray:
+    """A number that orders by shard, then by the leading bits of hashes; equal hashes lie together, but for few."""
+    free = 64 - max(1, int(shards - 1).bit_length())
+    key = shard.astype(np.uint64) << np.uint64(free)
+    for k, h in enumerate(hashes):
+        bits = free // (len(hashes) - k)
+        free -= bits
+        key |= (h >> np.uint64(64 - bits)) << np.uint64(free)
+    return key
 
 
 def _gram_blocks(u: np.ndarray, v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray, order: int) -> pa.RecordBatch:
-    context, suffix = pair_hash(u, v), pair_hash(v, w)
+    context, suffix = pair_of(u, v) & _KEPT, pair_of(v, w)
     gram = pair_hash(context, suffix) if order > 2 else suffix
     shard = _home(v, context if order > 2 else suffix, hot, shards)
-    # One sort by shard, then the leading bits of v, context and trigram: equal ones lie together.
-    free = 64 - max(1, int(shards - 1).bit_length())
-    each = free // 3
-    key = shard.astype(np.uint64) << np.uint64(free)
-    for x, bits, at in ((v, each, free - each), (context, each, free - 2 * each), (gram, free - 2 * each, 0)):
-        key |= (x >> np.uint64(64 - bits)) << np.uint64(at)
-    place = np.argsort(key)
+    place = np.argsort(_sort_key(shard, shards, v, context, gram))
     starts = _runs(gram[place])
     counts = np.diff(np.append(starts, len(gram)))
     place = place[starts]
-    shard, u, v, w = shard[place], u[place], v[place], w[place]
+    shard, context, v, w = shard[place], context[place], v[place], w[place]
     bounds = np.append(_runs(shard), len(shard)).tolist() if len(shard) else []
     rows = []
     for i, j in zip(bounds[:-1], bounds[1:]):
-        new_v, new_u = _runs(v[i:j]), _runs(v[i:j], u[i:j])
-        names, index = np.unique(np.concatenate([v[i:j][new_v], u[i:j][new_u], w[i:j]]), return_inverse=True)
-        n, m = len(new_v), len(new_v) + len(new_u)
-        sizes_v, sizes_u = np.diff(np.append(new_v, j - i)), np.diff(np.append(new_u, j - i))
-        rows.append((int(shard[i]), _GRAMS, [names.tobytes(), _small(index[:n]), _small(sizes_v), _small(index[n:m]), _small(sizes_u), _small(index[m:]), _small(counts[i:j])]))
+        new_v, new_c = _runs(v[i:j]), _runs(v[i:j], context[i:j])
+        sizes = [_small(np.diff(np.append(x, j - i))) for x in (new_v, new_c)]
+        rows.append((int(shard[i]), _GRAMS, [v[i:j][new_v].tobytes(), sizes[0], _short(context[i:j][new_c]), sizes[1], _short(w[i:j]), _small(counts[i:j])]))
     return _batch(rows)
 
 
@@ -316,28 +344,27 @@ def _merge_grams(path: str, hot: np.ndarray, shards: int, order: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         parts: list[tuple[np.ndarray, ...]] = []
-        for names, vi, vn, ui, un, wi, c in table["data"].to_pylist():
-            names = _hashes(names)
-            parts.append((np.repeat(names[_read(ui)], _read(un)), np.repeat(names[_read(vi)], _read(vn)), names[_read(wi)], _read(c)))
-        u, v, w, counts = (np.concatenate(x) for x in zip(*parts))
-        suffix = pair_hash(v, w)
+        for names, vn, contexts, cn, w, c in table["data"].to_pylist():
+            parts.append((np.repeat(_hashes(names), _read(vn)), np.repeat(_long(contexts), _read(cn)), _long(w), _read(c)))
+        v, context, w, counts = (np.concatenate(x) for x in zip(*parts))
+        suffix = pair_of(v, w)
         if order > 2:
-            context = pair_hash(u, v)
             gram, at, counts = _summed(pair_hash(context, suffix), counts)
             v, w, suffix, context = v[at], w[at], suffix[at], context[at]
             _write(f"{path}/grams/{shard}", Table.packed(gram, [counts]))
             keys, _, total, *classes = _summed(context, counts, *_classes(counts))
             wide = total > 1
             _write(f"{path}/contexts/{shard}", Table.packed(keys[wide], [x[wide] for x in (total, *classes)]))
-            del gram, context, u
+            del gram
+        del context
         rows = [_sums(3, counts)] if order > 2 else []
         names, _, total = _summed(np.where(v == _START, _END, v), counts)  # a text has as many ends as starts
-        rows += _dealt(_shard(names, shards), _WORDS, [names, total, np.zeros_like(total)])
+        rows += _dealt(_shard(names, shards), _COUNTS, [(names, np.ndarray.tobytes), (total, _small)])
         pairs, at, n = _summed(suffix, np.ones_like(counts) if order > 2 else counts)
         v, w = v[at], w[at]
         is_hot = _among(v, hot)[0]
-        rows += _dealt(_shard(pairs[is_hot], shards), _PAIRS, [v[is_hot], w[is_hot], n[is_hot]])
-        rows += _finished(path, "pairs", shard, pairs[~is_hot], v[~is_hot], w[~is_hot], n[~is_hot], shards)
+        rows += _dealt(_shard(pairs[is_hot], shards), _PAIRS, [(v[is_hot], np.ndarray.tobytes), (w[is_hot], _short), (n[is_hot], _small)])
+        rows += _finished(path, "pairs", shard, pairs[~is_hot], w[~is_hot], n[~is_hot], shards)
         heads, _, *facts = _summed(v[~is_hot], n[~is_hot], *_classes(n[~is_hot]))
         _write(f"{path}/heads/{shard}", Table.packed(heads, facts))
         return pa.Table.from_batches([_batch(rows)])
@@ -345,11 +372,11 @@ def _merge_grams(path: str, hot: np.ndarray, shards: int, order: int):
     return run
 
 
-def _finished(path: str, name: str, shard: int, pairs: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> list:
+def _finished(path: str, name: str, shard: int, pairs: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> list:
     """Writes a shard's pairs, and tells the words how many words they follow."""
     _write(f"{path}/{name}/{shard}", Table.packed(pairs, [n]))
     words, _, ahead = _summed(w, np.ones_like(n))
-    return [*_dealt(_shard(words, shards), _WORDS, [words, np.zeros_like(ahead), ahead]), _sums(2, n)]
+    return [*_dealt(_shard(words, shards), _AHEAD, [(words, _short), (ahead, _small)]), _sums(2, n)]
 
 
 def _merge_pairs(path: str, shards: int):
@@ -358,25 +385,33 @@ def _merge_pairs(path: str, shards: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         rows = table["data"].to_pylist()
-        v, w = (np.concatenate([_hashes(r[i]) for r in rows]) for i in (0, 1))
-        pairs, at, n = _summed(pair_hash(v, w), np.concatenate([_read(r[2]) for r in rows]))
+        v, w = (np.concatenate([read(r[i]) for r in rows]) for i, read in enumerate((_hashes, _long)))
+        pairs, at, n = _summed(pair_of(v, w), np.concatenate([_read(r[2]) for r in rows]))
         v, w = v[at], w[at]
         heads, _, *facts = _summed(v, n, *_classes(n))
-        out = [*_finished(path, "hot", shard, pairs, v, w, n, shards), (0, _SUMS, [np.array([0], np.int64).tobytes(), heads.tobytes(), np.stack(facts, axis=1).tobytes()])]
+        out = [*_finished(path, "hot", shard, pairs, w, n, shards), (0, _SUMS, [np.array([0], np.int64).tobytes(), heads.tobytes(), np.stack(facts, axis=1).tobytes()])]
         return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
 def _merge_words(path: str):
-    """Writes a shard's words: hash, count, and number of distinct words ahead."""
+    """Writes a shard's words and their counts, and the numbers of words ahead of a shard's words."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        rows = table["data"].to_pylist()
-        keys, _, counts, ahead = _summed(np.concatenate([_hashes(r[0]) for r in rows]), *(np.concatenate([_read(r[i]) for r in rows]) for i in (1, 2)))
-        _write(f"{path}/words/{shard}", Table.packed(keys, [counts, ahead], exact=True))
-        values = (int(counts.sum()), len(keys), *_seen(ahead), int((ahead > 2).sum()), int(ahead.sum()))
+        kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
+        values = [0] * len(_WORD_SUMS)
+        for kind, name, read in ((_COUNTS, "words", _hashes), (_AHEAD, "ahead", _long)):
+            rows = [d for k, d in zip(kinds, data) if k == kind]
+            if not rows:
+                continue
+            keys, _, n = _summed(np.concatenate([read(r[0]) for r in rows]), np.concatenate([_read(r[1]) for r in rows]))
+            _write(f"{path}/{name}/{shard}", Table.packed(keys, [n], exact=kind == _COUNTS))
+            if kind == _COUNTS:
+                values[:2] = int(n.sum()), len(keys)
+            else:
+                values[2:] = *_seen(n), int((n > 2).sum()), int(n.sum())
         return pa.table({k: pa.array([x], pa.int64()) for k, x in zip(_WORD_SUMS, values)})
 
     return run
@@ -418,68 +453,79 @@ class Model:
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     hot_facts: np.ndarray = field(default_factory=lambda: np.zeros((0, 4), np.int64))
 
-    def _look(self, name: str, shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-        """Numbers (width, n) of ascending keys by their shards; zeros for those that aren't there."""
+    def _look(self, names: tuple[str, ...], shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+        """Numbers (width, n) of keys by their shards, which ascend; zeros for those that aren't there.
+
+        Shards from `shards` on are those of the next name.
+        """
         out = np.zeros((width, len(keys)), np.int64)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(bounds)).tolist():
-            table = _tables[f"{self.path}/{name}/{s}"]
+        bounds = np.append(_runs(shard), len(shard)).tolist() if len(shard) else []
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            name, s = divmod(int(shard[i]), self.shards)
+            table = _tables[f"{self.path}/{names[name]}/{s}"]
             if table:
-                at = order[bounds[s] : bounds[s + 1]]
-                out[:, at] = table.look(keys[at])
+                out[:, i:j] = table.look(keys[i:j])
         return out
 
-    def _pairs(self, v: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        is_hot = _among(v, self.hot)[0]
-        out = np.zeros(len(pairs), np.int64)
-        for name, of, where in (("pairs", v, ~is_hot), ("hot", pairs, is_hot)):
-            out[where] = self._look(name, _shard(of[where], self.shards), pairs[where], 1)[0]
+    def _facts(self, names: tuple[str, ...], shard: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
+        """`_look` for keys in any order."""
+        order = np.argsort(_sort_key(shard, self.shards * len(names), keys))
+        out = np.empty((width, len(keys)), np.int64)
+        out[:, order] = self._look(names, shard[order], keys[order], width)
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens, known tokens, base score and the model's log10 probability."""
         u, v, w, sizes = hashed(texts)
         starts = np.cumsum(sizes) - sizes
-        word, word_at = np.unique(w, return_inverse=True)
-        count, ahead = self._look("words", _shard(word, self.shards), word, 2)
+        opening = np.zeros(len(w), bool)
+        opening[starts] = True
+        word, word_at, _ = _distinct(w, w)
+        count = self._facts(("words",), _shard(word, self.shards), word, 1)[0]
+        ahead = self._facts(("ahead",), _shard(word & _KEPT, self.shards), word & _KEPT, 1)[0]
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
         p = np.full(len(word), self.word_rest / (self.types + 1))
         if self.followers:
             p += (ahead - np.array((0.0, *self.discounts[1]))[np.minimum(ahead, 3)]) / self.followers
-
-        pair, first, pair_at = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-        of, n = v[first], self._pairs(v[first], pair)
-        head, head_at = np.unique(of, return_inverse=True)
-        facts = self._look("heads", _shard(head, self.shards), head, 4)
+        # What is known of words as heads; the start is one too.
+        head = np.append(word, _START)
+        facts = self._facts(("heads",), _shard(head, self.shards), head, 4)
         is_hot, where = _among(head, self.hot)
         facts[:, is_hot] = self.hot_facts[where[is_hot]].T
-        p = _share(n, facts[:, head_at], self.discounts.get(2, (0.0, 0.0, 0.0)), p[word_at[first]])
+        head_at = np.where(opening, len(word), np.roll(word_at, 1))
+
+        pairs = pair_of(v, w)
+        home = np.where(is_hot[head_at], _shard(pairs, self.shards) + self.shards, _shard(v, self.shards))
+        pair, pair_at, first = _distinct(pairs, _sort_key(home, 2 * self.shards, pairs))
+        n = self._look(("pairs", "hot"), home[first], pair, 1)[0]
+        p = _share(n, facts[:, head_at[first]], self.discounts.get(2, (0.0, 0.0, 0.0)), p[word_at[first]])
         if self.order > 2:
-            gram, third, gram_at = np.unique(pair_hash(pair_hash(u, v), pair[pair_at]), return_index=True, return_inverse=True)
             # The context of a token is the pair that ends ahead of it.
-            opening = np.zeros(len(w), bool)
-            opening[starts] = True
-            before = np.where(opening, -1, np.roll(pair_at, 1))[third]
-            first_pair = pair_hash(np.array([_START]), np.array([_START]))
-            contexts, middle = np.append(pair, first_pair), np.append(w[first], _START)
-            asked = np.unique(before)
-            ordered = asked[np.argsort(contexts[asked])]
-            keys = contexts[ordered]
-            told = self._look("contexts", _home(middle[ordered], keys, self.hot, self.shards), keys, 4)
-            known = np.append(n, 1 if self.tokens else 0)[ordered] > 0
+            before = np.where(opening, len(pair), np.roll(pair_at, 1))
+            context = np.append(pair, pair_of(np.array([_START]), np.array([_START]))) & _KEPT
+            middle, middle_hot = np.append(w[first], _START), np.append(is_hot[word_at[first]], is_hot[-1])
+            home = np.where(middle_hot, _shard(context, self.shards), _shard(middle, self.shards))
+            told = self._facts(("contexts",), home, context, 4)
+            known = np.append(n, 1 if self.tokens else 0) > 0
             told[:2, known & (told[0] == 0)] = 1  # seen once
-            facts = np.zeros((4, len(contexts)), np.int64)
-            facts[:, ordered] = told
-            v3 = v[third]
-            seen = self._look("grams", _home(v3, contexts[before], self.hot, self.shards), gram, 1)[0]
-            p = _share(seen, facts[:, before], self.discounts.get(3, (0.0, 0.0, 0.0)), p[pair_at[third]])[gram_at]
+            gram = pair_hash(context[before], pairs)
+            seen = self._facts(("grams",), home[before], gram, 1)[0]
+            p = _share(seen, told[:, before], self.discounts.get(3, (0.0, 0.0, 0.0)), p[pair_at])
         else:
             p = p[pair_at]
         add = lambda x: np.add.reduceat(x, starts)
         return sizes, add((count > 0).astype(np.int64)[word_at]), add(base[word_at]), add(np.log10(p))
 
 
+def _distinct(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values in the order of their keys, the place of each x among them, and one place of each in x."""
+    order = np.argsort(key)
+    starts = _runs(x[order])
+    at = np.empty(len(x), np.int64)
+    at[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+    return x[order[starts]], at, order[starts]
+
+
 def _parsed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(level, key, n0, n1, n2, n3) of the rows for the driver: numbers of items, or facts of a frequent word (level 0)."""
     for batch in batches:
@@ -535,7 +581,7 @@ def train(docs: DataFrame, order: int = 3, tokens_in_shard: int = 2_000_000) ->
         else:
             facts[np.searchsorted(model.hot, np.array([row.key], np.int64).view(np.uint64)[0])] = row[2:]
     model.hot_facts = facts
-    merged = by_shard(both.filter(f"kind = {_WORDS}")).applyInArrow(_merge_words(path), ", ".join(f"{c} long" for c in _WORD_SUMS))
+    merged = by_shard(both.filter(F.col("kind").isin(_COUNTS, _AHEAD))).applyInArrow(_merge_words(path), ", ".join(f"{c} long" for c in _WORD_SUMS))
     model.tokens, model.types, n1, n2, n3, n4, more, total = merged.agg(*(F.sum(c) for c in _WORD_SUMS)).first()
     model.discounts[1] = d = discounts(n1, n2, n3, n4)
     model.followers, model.word_rest = total, (d[0] * n1 + d[1] * n2 + d[2] * more) / total
