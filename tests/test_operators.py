@@ -97,7 +97,7 @@ def test_pipeline_end_to_end(spark, messy):
     assert {r["country"] for r in rows} == {"Panama", "Colombia"} and rows[4]["age"] < 200
     assert result.before["rows"] == 7 and result.after["duplicate_rows"] == 0
     assert any("column not found" in e["message"] for e in result.audit_log)
-    assert run_pipeline(read_csv(spark, messy), {"steps": steps}).output_hash == result.output_hash
+    assert run_pipeline(read_csv(spark, messy), {"steps": steps}).after["hash"] == result.after["hash"]
     assert "## Audit log" in result.to_markdown() and len(result.audit_log) == 14
 
 
@@ -159,7 +159,7 @@ def test_small_helpers(tmp_path):
     assert record_lines(str(path), 2) == [2, 5]
 
 
-@pytest.mark.parametrize("config, told", [({"steps": []}, "non-empty"), ({"steps": [{"op": "dedup"}]}, "unknown op"), ({"steps": [{"op": "handle_outliers"}]}, "missing required"), ({"steps": [{"op": "deduplicate", "keeep": "first"}]}, "Did you mean 'keep'"), ({"steps": [{"op": "coerce_types", "mapping": {"a": "intt"}}]}, "not a known type"), ({"steps": [{"op": "deduplicate", "subset": 3}]}, "column name or a list")])
+@pytest.mark.parametrize("config, told", [({"steps": []}, "non-empty"), ({"steps": [{"op": "dedup"}]}, "unknown op"), ({"steps": [{"op": "handle_outliers"}]}, "missing required"), ({"steps": [{"op": "deduplicate", "keeep": "first"}]}, "Did you mean 'keep'"), ({"steps": [{"op": "coerce_types", "mapping": {"a": "intt"}}]}, "not a known type"), ({"steps": [{"op": "deduplicate", "subset": 3}]}, "column name or a list"), ({"steps": [{"op": "coerce_types", "on_fraction": None}]}, "bare null")])
 def test_bad_steps(config, told):
     with pytest.raises(ValueError, match=told):
         check_steps(config)
@@ -175,3 +175,48 @@ def test_cli(spark, messy, tmp_path, capsys):
     assert cli.main(["validate", messy, "--rules", str(tmp_path / "own.yaml")], spark) == 1
     assert "(line 5)" in capsys.readouterr().out
     assert cli.main(["profile", str(tmp_path / "none.csv")], spark) == 2
+    for name, begin in (("p.html", "<!doctype html>"), ("p.json", "{"), ("p.md", "# Data profile")):
+        assert cli.main(["profile", messy, "--out", str(tmp_path / name)], spark) == 0
+        assert (tmp_path / name).read_text(encoding="utf-8").startswith(begin)
+    (tmp_path / "broken.yaml").write_text("steps: [\n")
+    assert cli.main(["run-pipeline", messy, "--steps", str(tmp_path / "broken.yaml")], spark) == 2
+    assert "not valid YAML" in capsys.readouterr().err
+    (tmp_path / "l1.csv").write_bytes("id,name\n1,Zo\xeb\n".encode("latin-1"))
+    assert cli.main(["validate", str(tmp_path / "l1.csv"), "--rules", str(tmp_path / "own.yaml")], spark) == 2
+    assert "--encoding" in capsys.readouterr().err
+
+
+def test_two_reviews_and_a_named_output(spark, tmp_path, monkeypatch):
+    path = tmp_path / "d.csv"
+    path.write_text("id,name\n1,ana\n1,ana\n2,beto cruz\n3,beto cruzz\n")
+    steps = tmp_path / "s.yaml"
+    steps.write_text("steps:\n- {op: deduplicate}\n- {op: deduplicate, subset: name, fuzzy: true, threshold: 0.9}\n")
+    review = tmp_path / "r.csv"
+    assert cli.main(["run-pipeline", str(path), "--steps", str(steps), "--review-out", str(review)], spark) == 0
+    lines = review.read_text().splitlines()
+    assert [x.split(",")[:5] for x in lines[1:]] == [["1", "duplicate", "1", "3", "exact"], ["1", "kept", "0", "2", "exact"], ["2", "duplicate", "3", "5", "fuzzy"], ["2", "kept", "2", "4", "fuzzy"]]
+    assert (tmp_path / "d_out.csv").read_text() == "id,name\n1,ana\n2,beto cruz\n"
+    assert cli.main(["run-pipeline", str(path), "--steps", str(steps)], spark) == 2  # its name is taken
+
+
+def test_regular_expressions_as_python_reads_them(spark):
+    df = frame(spark, [("ab\n",), ("ab",), ("aa",), ("a\u2028b",), (None,)], "a string")
+    for pattern, bad in (("b$", {2}), (r"b\Z", {0, 2}), (r"(?P<first_letter>a)(?P=first_letter)", {0, 1, 3}), ("a.b", {0, 1, 2}), (r"^(a)(?(1)b|c)", {2, 3}), (r"[[]|b", {2})):
+        found = validate(df, {"columns": {"a": {"regex": pattern}}}).failures.collect()
+        assert {r.row for r in found} == bad, pattern
+
+
+def test_findings(spark):
+    rows = [("1.000", "05/02/2023"), ("2,500", "13/02/2023"), ("7.250,50", "14/02/2023"), ("3", "bad"), ("4", "15/02/2023")]
+    p = profile(frame(spark, rows, "amount string, day string"))
+    amount, day = p.column("amount"), p.column("day")
+    told = dict(zip(amount.codes, amount.issues))
+    assert "'1.000' as 1000" in amount.issues[amount.codes.index("ambiguous")] and "separators" in told
+    assert {"order", "dates"} <= {*day.codes} and day.details["dayfirst"]
+
+
+def test_all_rows_vote(spark):
+    rows = [(f"0{1 + i % 9}/02/2023", str(i)) for i in range(6000)] + [("25/02/2023", "x")]
+    df = frame(spark, rows, "d string, n string")
+    c = Cleaner(df).coerce_types({"d": "datetime"})
+    assert "Day-first" in c.messages()[-1] and str(c.frame.orderBy(ROW).first().d) == "2023-02-01 00:00:00"

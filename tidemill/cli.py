@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import os
 import sys
 
+import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from tidemill.config import setting
@@ -31,7 +34,8 @@ def _write(path: str, content: str) -> None:
 
 def _profile(spark: SparkSession, a: argparse.Namespace) -> int:
     report = profile(read_csv(spark, a.input, a.sep, a.encoding))
-    content = {"md": report.to_markdown, "html": report.to_html, "json": report.to_json}[a.format]()
+    named = {".html": "html", ".htm": "html", ".json": "json"}.get(os.path.splitext(a.out or "")[1].lower(), "md")
+    content = {"md": report.to_markdown, "html": report.to_html, "json": report.to_json}[a.format or named]()
     if a.out:
         _write(a.out, content)
     else:
@@ -52,12 +56,21 @@ def _suggest(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _output(a: argparse.Namespace) -> str:
+    """--out, or a name made of the input's, which must be free then."""
+    path = a.out or f"{os.path.splitext(a.input)[0]}_{'clean' if a.command == 'clean' else 'out'}.csv"
+    if not a.out and os.path.exists(path):
+        raise FileExistsError(f"{path} exists; name another file with --out")
+    return path
+
+
 def _report(result: Result, a: argparse.Namespace) -> int:
-    write_csv(result.df, a.out)
-    print(f"Wrote pipeline output to {a.out}")
+    path = _output(a)
+    write_csv(result.df, path)
+    print(f"Wrote pipeline output to {path}")
     b, c = result.before, result.after
     print(f"Rows {b['rows']} -> {c['rows']}, missing cells {b['missing_cells']} -> {c['missing_cells']}, duplicate rows {b['duplicate_rows']} -> {c['duplicate_rows']}.")
-    print(f"Input hash {result.input_hash} -> output hash {result.output_hash}")
+    print(f"Input hash {b['hash']} -> output hash {c['hash']}")
     for i, e in enumerate(result.audit_log, 1):
         print(f"  {i}. {e['op']}: {e['message']}")
     if getattr(a, "report", None):
@@ -66,9 +79,7 @@ def _report(result: Result, a: argparse.Namespace) -> int:
         write_json(result.as_dict(), a.audit)
         print(f"Wrote audit JSON to {a.audit}")
     if a.review_out:
-        n = 0
-        for pairs in result.reviews:
-            n += write_review(pairs, pairs.schema["values"].dataType.names, a.review_out, record_lines(a.input, b["rows"], a.sep, a.encoding))
+        n = write_review(result.reviews, a.review_out, record_lines(a.input, b["rows"], a.sep, a.encoding))
         print(f"Wrote {n} duplicate pair(s) to {a.review_out}")
     return 0
 
@@ -125,16 +136,39 @@ def parser(env_file: str | None = ".env") -> argparse.ArgumentParser:
 
     region = ("--region", {"default": setting("TIDEMILL_REGION", env_file)})
     files = [(f, {"default": None}) for f in ("--audit", "--review-out")]
-    command("profile", _profile, ("--out", {}), ("--format", {"choices": ["md", "html", "json"], "default": "md"}))
+    command("profile", _profile, ("--out", {}), ("--format", {"choices": ["md", "html", "json"], "default": None}))
     command("suggest", _suggest, region, ("--steps-out", {"default": "steps.yaml"}), ("--rules-out", {"default": "rules.yaml"}), ("--name", {"default": "suggested"}), ("--force", {"action": "store_true"}))
     flags = [(f, {"action": "store_true"}) for f in ("--no-coerce", "--no-contacts", "--no-categoricals", "--keep-duplicates")]
-    command("clean", _clean, region, ("--out", {"default": "cleaned.csv"}), *files, *flags, ("--keep", {"default": "first"}), *((f, {"default": None}) for f in ("--dedupe-on", "--fuzzy-keys", "--block-on")), ("--threshold", {"type": float, "default": 0.9}))
+    command("clean", _clean, region, ("--out", {"default": None}), *files, *flags, ("--keep", {"default": "first"}), *((f, {"default": None}) for f in ("--dedupe-on", "--fuzzy-keys", "--block-on")), ("--threshold", {"type": float, "default": 0.9}))
     command("validate", _validate, ("--rules", {"required": True}), ("--report", {}), ("--json", {}), ("--max-show", {"type": int, "default": 20}))
-    command("run-pipeline", _run, ("--steps", {"required": True}), ("--out", {"default": "cleaned.csv"}), ("--report", {}), *files)
+    command("run-pipeline", _run, ("--steps", {"required": True}), ("--out", {"default": None}), ("--report", {}), *files)
     return out
 
 
+def _first_line(e: Exception) -> str:
+    return (str(e).strip() or type(e).__name__).splitlines()[0]
+
+
+#: What is told of unusable input, by the kind of error; others are faults of this program.
+ERRORS = (
+    (UnicodeError, lambda e, a: f"{a.input} can't be read as {a.encoding}; name its encoding with --encoding, such as latin-1"),
+    (yaml.YAMLError, lambda e, a: f"not valid YAML: {' '.join(str(e).split())}"),
+    (KeyError, lambda e, a: f"{e} is missing"),
+    (PySparkException, lambda e, a: f"Spark could not do it: {_first_line(e)}"),
+    ((OSError, ValueError, TypeError), lambda e, a: _first_line(e)),
+)
+
+
+def _utf8() -> None:
+    """Names of any script can be printed, wherever the output goes."""
+    for stream in (sys.stdout, sys.stderr):
+        if hasattr(stream, "reconfigure"):
+            with contextlib.suppress(ValueError, OSError):
+                stream.reconfigure(encoding="utf-8", errors="replace")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    _utf8()
     argv = sys.argv[1:] if argv is None else argv
     first = argparse.ArgumentParser(add_help=False)
     first.add_argument("--env-file", default=".env")
@@ -143,10 +177,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not os.path.exists(a.input):
             raise FileNotFoundError(f"no such file: {a.input}")
         return a.run(spark or _session(), a)
-    except (OSError, ValueError) as e:
+    except Exception as e:
         if a.debug:
             raise
-        print(f"error: {e}", file=sys.stderr)
+        told = next((say(e, a) for kind, say in ERRORS if isinstance(e, kind)), None)
+        if told is None:
+            raise
+        print(f"error: {told}", file=sys.stderr)
         return 2
 
 

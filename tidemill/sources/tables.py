@@ -33,9 +33,11 @@ def with_row_ids(df: DataFrame) -> DataFrame:
         starts[p], total = total, total + sizes[p]
     if not starts:
         return keyed.select(F.col("__at").alias(ROW), *(F.col(f"`{c}`") for c in df.columns))
-    offset = F.element_at(F.create_map(*(F.lit(x) for p, s in starts.items() for x in (p, s))), part)
-    place = (offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
-    return keyed.select(place.alias(ROW), *(F.col(f"`{c}`") for c in df.columns))
+    # A row for each partition: 16 bytes each, so a table of them is broadcast for any number of partitions.
+    offsets = df.sparkSession.createDataFrame([*starts.items()], "__p long, __start long")
+    placed = keyed.withColumn("__p", part.cast("long")).join(F.broadcast(offsets), "__p")
+    place = (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return placed.select(place.alias(ROW), *(F.col(f"`{c}`") for c in df.columns))
 
 
 def renumbered(df: DataFrame, bucket: int = 100_000) -> DataFrame:
@@ -58,10 +60,12 @@ def _header(path: str, sep: str, encoding: str) -> list[str]:
         return next(csv.reader(f, delimiter=sep), [])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8-sig") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8-sig", multiline: bool = True) -> DataFrame:
     """A CSV file as text: every column a string, only the empty field null, with ROW.
 
-    Headers that repeat get a number behind them, `Name`, `Name.1`.
+    Headers that repeat get a number behind them, `Name`, `Name.1`. A file whose
+    fields may hold line ends is read by one task; with multiline off, for files
+    whose records are lines, it is split among many.
     """
     names: list[str] = []
     for name in _header(path, sep, encoding):
@@ -72,7 +76,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
         names.append(new)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     charset = "UTF-8" if encoding.lower().replace("_", "-") in ("utf-8-sig", "utf-8", "utf8") else encoding
-    df = spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=True, escape='"', encoding=charset, enforceSchema=True)
+    df = spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=multiline, escape='"', encoding=charset, enforceSchema=True)
     return with_row_ids(df)
 
 
@@ -127,17 +131,21 @@ def write_json(value: Any, path: str) -> None:
         json.dump(value, f, indent=2, ensure_ascii=False, default=str)
 
 
-def write_review(pairs: DataFrame, columns: list[str], path: str, lines: list[int] | None = None) -> int:
-    """Duplicate pairs in long form, a `duplicate` and a `kept` line for each; returns their number.
+def write_review(reviews: list[DataFrame], path: str, lines: list[int] | None = None) -> int:
+    """Duplicate pairs of all reviews in long form, a `duplicate` and a `kept` line for each; returns their number.
 
-    pairs: row, kept_row, match, score, and the structs `values` and `kept_values`.
+    A review has row, kept_row, match, score, and the structs `values` and
+    `kept_values`. Columns are those of all reviews, in the order they first occur.
     """
+    columns = list(dict.fromkeys(c for r in reviews for c in r.schema["values"].dataType.names))
     n = 0
     with open(path, "w", newline="", encoding="utf-8") as f:
         out = csv.writer(f, lineterminator="\n")
         out.writerow(["pair", "role", "row", "line", "match", "score", *columns])
-        for n, p in enumerate(pairs.orderBy("row").toLocalIterator(), 1):
-            for role, row, values in (("duplicate", p["row"], p["values"]), ("kept", p["kept_row"], p["kept_values"])):
-                line = lines[row] if lines and row < len(lines) else row + 2
-                out.writerow([n, role, row, line, p["match"], p["score"], *(_shown(values[c]) for c in columns)])
+        for pairs in reviews:
+            for p in pairs.orderBy("row").toLocalIterator():
+                n += 1
+                for role, row, values in (("duplicate", p["row"], p["values"].asDict()), ("kept", p["kept_row"], p["kept_values"].asDict())):
+                    line = lines[row] if lines and row < len(lines) else row + 2
+                    out.writerow([n, role, row, line, p["match"], p["score"], *(_shown(values.get(c)) for c in columns)])
     return n
