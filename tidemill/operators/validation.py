@@ -7,6 +7,7 @@ breaks and explodes it. `unique` asks a pre-aggregated table of repeated values.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime
 from typing import Any
@@ -137,17 +138,24 @@ def _broken(name: str, kind: str, rule: str, spec: Any) -> tuple[Column, Column]
     return present & ~F.coalesce(fine, F.lit(False)), F.lit(f"not a valid {target}")
 
 
-def _sniff(df: DataFrame, name: str) -> str:
-    """What a column is compared as: datetime, number or text; text columns by all their present values."""
-    kind = dict(df.dtypes)[name]
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return "datetime"
-    if not C.is_text(kind):
-        return "text" if kind == "boolean" else "number"
-    v = col(name)
-    some = df.filter(~C.is_na(v, kind)).select(dates.looks_like_date(v).alias("d"), numbers.parse_number(v).isNotNull().alias("n"))
-    n, share, number = some.agg(F.count("*"), F.avg(F.col("d").cast("int")), F.bool_and("n")).first()
-    return "text" if not n else "datetime" if share >= 0.8 else "number" if number else "text"
+def _compared_as(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """What columns are compared as: datetime, number or text; text columns by all their present values, in one aggregate."""
+    kinds, out, asked = dict(df.dtypes), {}, []
+    for name in dict.fromkeys(columns):
+        if C.is_text(kinds[name]):
+            asked.append(name)
+        else:
+            out[name] = "datetime" if kinds[name] in ("date", "timestamp", "timestamp_ntz") else "text" if kinds[name] == "boolean" else "number"
+    facts = []
+    for name in asked:
+        v = col(name)
+        present = ~C.is_na(v, kinds[name])
+        facts += [F.count_if(present), F.count_if(present & dates.looks_like_date(v)), F.count_if(present & numbers.parse_number(v).isNull())]
+    got = iter(df.agg(*facts).first() if facts else ())
+    for name in asked:
+        n, shaped, other = next(got), next(got), next(got)
+        out[name] = "text" if not n else "datetime" if shaped >= 0.8 * n else "text" if other else "number"
+    return out
 
 
 def _side(df: DataFrame, operand: Any, own: str, other: str) -> tuple[Column, Column]:
@@ -181,21 +189,21 @@ def _shown(v: Column, kind: str) -> Column:
     return F.concat(F.lit("'"), v, F.lit("'"))
 
 
-def _cross(df: DataFrame, check: dict[str, Any]) -> tuple[Column, Column, Column] | str:
+def _cross(check: dict[str, Any], types: dict[str, str], compared: dict[str, str], side: Callable[[Any, str, str], tuple[Column, Column]]) -> tuple[Column, Column, Column] | str:
     """(is it broken, value, message) of a check on two operands, or what is wrong with the check."""
     op, left, right = str(check.get("op", "==")), check.get("left"), check.get("right")
     if op not in COMPARE:
         return f"unknown operator '{op}'"
     if left is None or right is None:
         return "cross-field check needs 'left' and 'right'"
-    own = [_sniff(df, x) if isinstance(x, str) and x in df.columns else "literal" for x in (left, right)]
-    (a, no_a), (b, no_b) = _side(df, left, own[0], own[1]), _side(df, right, own[1], own[0])
+    own = [compared.get(x, "literal") if isinstance(x, str) else "literal" for x in (left, right)]
+    (a, no_a), (b, no_b) = side(left, own[0], own[1]), side(right, own[1], own[0])
     kinds = [k if k != "literal" else (o if o in ("datetime", "number") else "text") for k, o in (own, own[::-1])]
     sa, sb = _shown(a, kinds[0]), _shown(b, kinds[1])
     if kinds[0] != kinds[1]:  # not comparable: as texts
         a, b = a.cast("string"), b.cast("string")
     holds = getattr(a, COMPARE[op])(b)
-    raw = C.as_text(col(left), dict(df.dtypes)[left]) if own[0] != "literal" else F.lit(str(left))
+    raw = C.as_text(col(left), types[left]) if own[0] != "literal" else F.lit(str(left))
     return ~no_a & ~no_b & ~holds, raw, F.concat(F.lit(f"expected {left} {op} {right}, got "), sa, F.lit(" vs "), sb)
 
 
@@ -221,9 +229,24 @@ def validate(df: DataFrame, rules: dict[str, Any], lines: DataFrame | None = Non
                 unique += [(at, name)] if spec else []
             elif found := _broken(name, kinds[name], rule, spec):
                 tests.append((at, f"{name}.{rule}", name, found[0], C.as_text(col(name), kinds[name]), found[1]))
-    for check in rules.get("checks") or []:
+    checks = rules.get("checks") or []
+    sides = [check.get(side) for check in checks for side in ("left", "right")]
+    checked = list(dict.fromkeys(x for x in sides if isinstance(x, str) and x in kinds))
+    compared = _compared_as(df, checked)
+    held: dict[str, Column] = {}
+
+    def side(operand: Any, own: str, other: str) -> tuple[Column, Column]:
+        """A column's value is made once, in a projection ahead of the checks."""
+        value, absent = _side(df, operand, own, other)
+        if own == "literal":
+            return value, absent
+        at = checked.index(operand)
+        held.update({f"__value{at}": value, f"__absent{at}": absent})
+        return F.col(f"__value{at}"), F.col(f"__absent{at}")
+
+    for check in checks:
         at, position = position, position + 1
-        name, found = str(check.get("name", "cross_field")), _cross(df, check)
+        name, found = str(check.get("name", "cross_field")), _cross(check, kinds, compared, side)
         if isinstance(found, str):
             alone.append((at, name, "" if "operator" in found else str(check.get("left") or ""), found))
         else:
@@ -233,7 +256,7 @@ def validate(df: DataFrame, rules: dict[str, Any], lines: DataFrame | None = Non
     parts = []
     if tests:
         broken = [F.when(bad, F.struct(F.lit(at).alias("position"), F.lit(rule).alias("rule"), F.lit(c).alias("column"), value.alias("value"), message.alias("message"))) for at, rule, c, bad, value, message in tests]
-        hit = df.select(F.col(ROW).alias("row"), F.explode(F.array_compact(F.array(*broken).cast(f"array<{FAILURE}>"))).alias("f"))
+        hit = df.withColumns(held).select(F.col(ROW).alias("row"), F.explode(F.array_compact(F.array(*broken).cast(f"array<{FAILURE}>"))).alias("f"))
         parts.append(hit.select("f.position", "f.rule", "f.column", "row", "f.value", "f.message"))
     for at, name in unique:
         rows = df.select(F.col(ROW).alias("row"), col(name).alias("v")).filter(~C.is_na(F.col("v"), kinds[name]))

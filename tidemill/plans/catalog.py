@@ -22,7 +22,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _register(sql: str | None = None) -> Callable[[Query], Query]:
+def register(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
@@ -32,7 +32,7 @@ def _register(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _messy(spark: SparkSession, sf_dir: str, table: str, key: str, **columns: str) -> Cleaner:
+def messy(spark: SparkSession, sf_dir: str, table: str, key: str, **columns: str) -> Cleaner:
     """A table's key and columns made by SQL expressions, as a Cleaner with the key for row id."""
     return Cleaner(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(key, *(f"{e} AS {c}" for c, e in columns.items())), key)
 
@@ -43,65 +43,65 @@ _ORDERS = {"status": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus
 _O = ", ".join(f"{e} AS {c}" for c, e in _ORDERS.items())
 
 
-@_register(f"SELECT * FROM (SELECT o_orderkey, {_O} FROM orders) WHERE NOT (status IS NULL OR lower(trim(priority)) = 'n/a')")
+@register(f"SELECT * FROM (SELECT o_orderkey, {_O} FROM orders) WHERE NOT (status IS NULL OR lower(trim(priority)) = 'n/a')")
 def missing_drop_rows_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "orders", "o_orderkey", **_ORDERS).handle_missing("drop_rows", ["status", "priority"]).df
+    return messy(spark, sf_dir, "orders", "o_orderkey", **_ORDERS).handle_missing("drop_rows", ["status", "priority"]).df
 
 
-@_register(f"SELECT * FROM (SELECT o_orderkey, {_O} FROM orders) WHERE NOT (status IS NULL AND total IS NULL AND lower(trim(priority)) = 'n/a')")
+@register(f"SELECT * FROM (SELECT o_orderkey, {_O} FROM orders) WHERE NOT (status IS NULL AND total IS NULL AND lower(trim(priority)) = 'n/a')")
 def missing_drop_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "orders", "o_orderkey", **_ORDERS).handle_missing("drop_rows", ["status", "priority", "total"], how="all").df
+    return messy(spark, sf_dir, "orders", "o_orderkey", **_ORDERS).handle_missing("drop_rows", ["status", "priority", "total"], how="all").df
 
 
-@_register(f"SELECT *, (status IS NULL OR total IS NULL OR lower(trim(priority)) = 'n/a') AS has_missing FROM (SELECT o_orderkey, {_O} FROM orders)")
+@register(f"SELECT *, (status IS NULL OR total IS NULL OR lower(trim(priority)) = 'n/a') AS has_missing FROM (SELECT o_orderkey, {_O} FROM orders)")
 def missing_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "orders", "o_orderkey", **_ORDERS).handle_missing().df
+    return messy(spark, sf_dir, "orders", "o_orderkey", **_ORDERS).handle_missing().df
 
 
-@_register("SELECT o_orderkey, o_orderstatus AS status FROM orders")
+@register("SELECT o_orderkey, o_orderstatus AS status FROM orders")
 def missing_drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "orders", "o_orderkey", status="o_orderstatus", none="CASE WHEN o_orderkey % 2 = 0 THEN '-' END", gone="CAST(NULL AS DOUBLE)").handle_missing("drop_columns").df
+    return messy(spark, sf_dir, "orders", "o_orderkey", status="o_orderstatus", none="CASE WHEN o_orderkey % 2 = 0 THEN '-' END", gone="CAST(NULL AS DOUBLE)").handle_missing("drop_columns").df
 
 
 _BALANCE = "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END"
 
 
-@_register(f"WITH t AS (SELECT c_custkey, {_BALANCE} AS balance FROM customer) SELECT c_custkey, round(coalesce(balance, (SELECT avg(balance) FROM t)), 4) AS balance FROM t")
+@register(f"WITH t AS (SELECT c_custkey, {_BALANCE} AS balance FROM customer) SELECT c_custkey, round(coalesce(balance, (SELECT avg(balance) FROM t)), 4) AS balance FROM t")
 def missing_fill_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "customer", "c_custkey", balance=_BALANCE).handle_missing("fill", "balance", "mean").df.withColumn("balance", F.round("balance", 4))
+    return messy(spark, sf_dir, "customer", "c_custkey", balance=_BALANCE).handle_missing("fill", "balance", "mean").df.withColumn("balance", F.round("balance", 4))
 
 
-@_register(f"WITH t AS (SELECT c_custkey, {_BALANCE} AS balance FROM customer) SELECT c_custkey, round(coalesce(balance, (SELECT median(balance) FROM t)), 4) AS balance FROM t")
+@register(f"WITH t AS (SELECT c_custkey, {_BALANCE} AS balance FROM customer) SELECT c_custkey, round(coalesce(balance, (SELECT median(balance) FROM t)), 4) AS balance FROM t")
 def missing_fill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "customer", "c_custkey", balance=_BALANCE).handle_missing("fill", "balance", "median").df.withColumn("balance", F.round("balance", 4))
+    return messy(spark, sf_dir, "customer", "c_custkey", balance=_BALANCE).handle_missing("fill", "balance", "median").df.withColumn("balance", F.round("balance", 4))
 
 
 _SEGMENT = "CASE WHEN c_custkey % 6 = 0 THEN 'unknown' ELSE c_mktsegment END"
 
 
-@_register(f"""WITH t AS (SELECT c_custkey, {_SEGMENT} AS segment FROM customer),
+@register(f"""WITH t AS (SELECT c_custkey, {_SEGMENT} AS segment FROM customer),
 m AS (SELECT segment FROM t WHERE segment <> 'unknown' GROUP BY 1 ORDER BY count(*) DESC, segment LIMIT 1)
 SELECT c_custkey, CASE WHEN segment = 'unknown' THEN (SELECT segment FROM m) ELSE segment END AS segment FROM t""")
 def missing_fill_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "customer", "c_custkey", segment=_SEGMENT).handle_missing("fill", "segment", "mode").df
+    return messy(spark, sf_dir, "customer", "c_custkey", segment=_SEGMENT).handle_missing("fill", "segment", "mode").df
 
 
 _VALUE = "CASE WHEN event_id % 3 <> 0 THEN NULL ELSE value END"
 
 
-@_register(f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id) AS v FROM (SELECT event_id, {_VALUE} AS v FROM events)")
+@register(f"SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id) AS v FROM (SELECT event_id, {_VALUE} AS v FROM events)")
 def missing_fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", v=_VALUE).handle_missing("fill", "v", "ffill").df
+    return messy(spark, sf_dir, "events", "event_id", v=_VALUE).handle_missing("fill", "v", "ffill").df
 
 
-@_register(f"SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM (SELECT event_id, {_VALUE} AS v FROM events)")
+@register(f"SELECT event_id, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM (SELECT event_id, {_VALUE} AS v FROM events)")
 def missing_fill_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", v=_VALUE).handle_missing("fill", "v", "bfill").df
+    return messy(spark, sf_dir, "events", "event_id", v=_VALUE).handle_missing("fill", "v", "bfill").df
 
 
-@_register(f"SELECT c_custkey, CASE WHEN {_SEGMENT} = 'unknown' THEN 'NONE GIVEN' ELSE c_mktsegment END AS segment, coalesce({_BALANCE}, 1234.5) AS balance FROM customer")
+@register(f"SELECT c_custkey, CASE WHEN {_SEGMENT} = 'unknown' THEN 'NONE GIVEN' ELSE c_mktsegment END AS segment, coalesce({_BALANCE}, 1234.5) AS balance FROM customer")
 def missing_fill_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _messy(spark, sf_dir, "customer", "c_custkey", segment=_SEGMENT, balance=_BALANCE)
+    c = messy(spark, sf_dir, "customer", "c_custkey", segment=_SEGMENT, balance=_BALANCE)
     return c.handle_missing("fill", "segment", "NONE GIVEN").handle_missing("fill", "balance", "1,234.5").df
 
 
@@ -116,81 +116,81 @@ _PRICE = """CASE CAST(o_orderkey % 6 AS INT)
   ELSE 'n/a' END"""
 
 
-@_register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN floor(o_totalprice) + 0.5 WHEN 1 THEN -floor(o_totalprice)
+@register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN floor(o_totalprice) + 0.5 WHEN 1 THEN -floor(o_totalprice)
   WHEN 2 THEN floor(o_totalprice) + 0.25 WHEN 3 THEN floor(o_totalprice) / 100.0
   WHEN 4 THEN 1234000 + 100 + CAST(floor(o_totalprice) AS BIGINT) % 900 + 0.5 ELSE NULL END::DOUBLE AS price FROM orders""")
 def coerce_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "orders", "o_orderkey", price=_PRICE).coerce_types({"price": "float"}).df
+    return messy(spark, sf_dir, "orders", "o_orderkey", price=_PRICE).coerce_types({"price": "float"}).df
 
 
-@_register("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN -(p_size + 1) WHEN p_partkey % 4 = 1 THEN p_size + 1 ELSE p_size END AS BIGINT) AS size FROM part""")
+@register("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN -(p_size + 1) WHEN p_partkey % 4 = 1 THEN p_size + 1 ELSE p_size END AS BIGINT) AS size FROM part""")
 def coerce_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = "CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN concat(' ', p_size, ' ') WHEN 1 THEN concat(p_size, '.5') WHEN 2 THEN concat('-', p_size, ',5') ELSE concat(p_size, ' years') END"
-    return _messy(spark, sf_dir, "part", "p_partkey", size=size).coerce_types({"size": "integer"}).df
+    return messy(spark, sf_dir, "part", "p_partkey", size=size).coerce_types({"size": "integer"}).df
 
 
-@_register("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false ELSE NULL END AS done FROM orders")
+@register("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false ELSE NULL END AS done FROM orders")
 def coerce_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = "CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN ' Yes' ELSE 'ON' END WHEN 'O' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'No.' ELSE '0' END ELSE 'maybe' END"
-    return _messy(spark, sf_dir, "orders", "o_orderkey", done=done).coerce_types({"done": "boolean"}).df
+    return messy(spark, sf_dir, "orders", "o_orderkey", done=done).coerce_types({"done": "boolean"}).df
 
 
-@_register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) END AS day FROM orders")
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) END AS day FROM orders")
 def coerce_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = """CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'dd/MM/yyyy')
       WHEN 2 THEN date_format(o_orderdate, 'MMM d, yyyy') WHEN 3 THEN date_format(o_orderdate, 'yyyy.M.d') ELSE '31/02/2023' END"""
-    return _messy(spark, sf_dir, "orders", "o_orderkey", day=day).coerce_types({"day": "datetime"}).df
+    return messy(spark, sf_dir, "orders", "o_orderkey", day=day).coerce_types({"day": "datetime"}).df
 
 
 # Headers and white space.
 
 
-@_register("SELECT c_custkey AS customer_key, c_name AS full_name, c_acctbal AS acct_bal_usd, c_nationkey AS full_name_1 FROM customer")
+@register("SELECT c_custkey AS customer_key, c_name AS full_name, c_acctbal AS acct_bal_usd, c_nationkey AS full_name_1 FROM customer")
 def standardize_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS `CustomerKey`", "c_name AS ` Full Name`", "c_acctbal AS `Acct. Bal (USD)`", "c_nationkey AS full_name")
     c = Cleaner(df, "CustomerKey")
     return c.standardize_column_names().df
 
 
-@_register("SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE regexp_replace(c_name, '#', ' ', 'g') END AS name FROM customer")
+@register("SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE regexp_replace(c_name, '#', ' ', 'g') END AS name FROM customer")
 def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = r"CASE WHEN c_custkey % 9 = 0 THEN ' \t ' WHEN c_custkey % 2 = 0 THEN concat('  ', replace(c_name, '#', ' \t  ')) ELSE concat(replace(c_name, '#', ' '), '\n') END"
-    return _messy(spark, sf_dir, "customer", "c_custkey", name=name).normalize_whitespace().df
+    return messy(spark, sf_dir, "customer", "c_custkey", name=name).normalize_whitespace().df
 
 
 # Duplicates.
 
 
-@_register("SELECT doc_id, text, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+@register("SELECT doc_id, text, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
 def deduplicate_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "documents", "doc_id", text="text", lang="lang").deduplicate("text").df
+    return messy(spark, sf_dir, "documents", "doc_id", text="text", lang="lang").deduplicate("text").df
 
 
-@_register("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+@register("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def deduplicate_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", user_id="user_id", event_type="event_type").deduplicate(["user_id", "event_type"], keep="last").df
+    return messy(spark, sf_dir, "events", "event_id", user_id="user_id", event_type="event_type").deduplicate(["user_id", "event_type"], keep="last").df
 
 
 _GAPS = {"user_id": "CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END", "kind": "event_type", "v": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END", "p": "CASE WHEN event_id % 5 < 2 THEN '-' ELSE props END"}
 
 
-@_register(f"""SELECT event_id, user_id, kind, v, p FROM (SELECT event_id, {", ".join(f"{e} AS {c}" for c, e in _GAPS.items())} FROM events)
+@register(f"""SELECT event_id, user_id, kind, v, p FROM (SELECT event_id, {", ".join(f"{e} AS {c}" for c, e in _GAPS.items())} FROM events)
 QUALIFY row_number() OVER (PARTITION BY user_id, kind ORDER BY CAST(user_id IS NULL AS INT) + CAST(v IS NULL AS INT) + CAST(p = '-' AS INT), event_id) = 1""")
 def deduplicate_most_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", **_GAPS).deduplicate(["user_id", "kind"], keep="most_complete").df
+    return messy(spark, sf_dir, "events", "event_id", **_GAPS).deduplicate(["user_id", "kind"], keep="most_complete").df
 
 
-@_register("""SELECT doc_id, doc_id <> f AS is_duplicate, CASE WHEN doc_id <> f THEN f END AS duplicate_of
+@register("""SELECT doc_id, doc_id <> f AS is_duplicate, CASE WHEN doc_id <> f THEN f END AS duplicate_of
 FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents)""")
 def deduplicate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "documents", "doc_id", text="text").deduplicate("text", flag=True).df.drop("text")
+    return messy(spark, sf_dir, "documents", "doc_id", text="text").deduplicate("text", flag=True).df.drop("text")
 
 
-@_register()
+@register()
 def deduplicate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names that differ little; the ratio of matching blocks has no SQL."""
     name = "CASE WHEN p_partkey % 10 = 0 THEN concat(upper(p_name), '.') ELSE p_name END"
-    return _messy(spark, sf_dir, "part", "p_partkey", name=name, brand="p_brand").deduplicate("name", fuzzy=True, threshold=0.9, block_on="brand", flag=True).df
+    return messy(spark, sf_dir, "part", "p_partkey", name=name, brand="p_brand").deduplicate("name", fuzzy=True, threshold=0.9, block_on="brand", flag=True).df
 
 
 # Outliers.
@@ -198,19 +198,19 @@ def deduplicate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q = "SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, avg(value) AS m, stddev_pop(value) AS s FROM events"
 
 
-@_register(f"WITH q AS ({_Q}) SELECT event_id, value, value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS value_is_outlier FROM events, q")
+@register(f"WITH q AS ({_Q}) SELECT event_id, value, value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a) AS value_is_outlier FROM events, q")
 def outliers_iqr_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", value="value").handle_outliers("value").df
+    return messy(spark, sf_dir, "events", "event_id", value="value").handle_outliers("value").df
 
 
-@_register(f"WITH q AS ({_Q}) SELECT event_id, round(greatest(least(value, b + 1.5 * (b - a)), a - 1.5 * (b - a)), 6) AS value FROM events, q")
+@register(f"WITH q AS ({_Q}) SELECT event_id, round(greatest(least(value, b + 1.5 * (b - a)), a - 1.5 * (b - a)), 6) AS value FROM events, q")
 def outliers_iqr_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", value="value").handle_outliers("value", action="cap").df.withColumn("value", F.round("value", 6))
+    return messy(spark, sf_dir, "events", "event_id", value="value").handle_outliers("value", action="cap").df.withColumn("value", F.round("value", 6))
 
 
-@_register(f"WITH q AS ({_Q}) SELECT event_id, value, value < m - 2 * s OR value > m + 2 * s AS value_is_outlier FROM events, q")
+@register(f"WITH q AS ({_Q}) SELECT event_id, value, value < m - 2 * s OR value > m + 2 * s AS value_is_outlier FROM events, q")
 def outliers_zscore_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "events", "event_id", value="value").handle_outliers("value", method="zscore", z=2.0).df
+    return messy(spark, sf_dir, "events", "event_id", value="value").handle_outliers("value", method="zscore", z=2.0).df
 
 
 # Contacts and categories.
@@ -219,26 +219,26 @@ _MAIL = """CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN concat(' C', c_custkey, '
   WHEN 2 THEN concat('<c', c_custkey, '@shop.example.org>') WHEN 3 THEN concat('c', c_custkey, 'hotmail.com') ELSE 'N/A' END"""
 
 
-@_register("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'c' || c_custkey || '@gmail.com' WHEN 1 THEN 'c' || c_custkey || '@yahoo.com'
+@register("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'c' || c_custkey || '@gmail.com' WHEN 1 THEN 'c' || c_custkey || '@yahoo.com'
   WHEN 2 THEN 'c' || c_custkey || '@shop.example.org' WHEN 3 THEN 'c' || c_custkey || 'hotmail.com' ELSE NULL END AS mail, c_custkey % 5 = 3 AS mail_is_invalid FROM customer""")
 def standardize_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy(spark, sf_dir, "customer", "c_custkey", mail=_MAIL).standardize_emails("mail", invalid="flag").df
+    return messy(spark, sf_dir, "customer", "c_custkey", mail=_MAIL).standardize_emails("mail", invalid="flag").df
 
 
-@_register("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '+5076' || (1000000 + c_custkey) WHEN 1 THEN '+5073' || (100000 + c_custkey)
+@register("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '+5076' || (1000000 + c_custkey) WHEN 1 THEN '+5073' || (100000 + c_custkey)
   WHEN 2 THEN '+573' || (100000000 + c_custkey) ELSE NULL END AS phone FROM customer""")
 def standardize_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     phone = """CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN concat('6', CAST(1000000 + c_custkey AS STRING)) WHEN 1 THEN concat('(507) 3', CAST(100000 + c_custkey AS STRING))
       WHEN 2 THEN concat('3', CAST(100000000 + c_custkey AS STRING)) ELSE '12' END"""
     country = "CASE WHEN c_custkey % 4 = 2 THEN 'Rep. de Colombia' ELSE 'Panamá' END"
-    return _messy(spark, sf_dir, "customer", "c_custkey", phone=phone, country=country).standardize_phones("phone", region_column="country", invalid="null").df.drop("country")
+    return messy(spark, sf_dir, "customer", "c_custkey", phone=phone, country=country).standardize_phones("phone", region_column="country", invalid="null").df.drop("country")
 
 
-@_register("SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'other' ELSE o_orderpriority END AS priority FROM orders")
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 0 THEN 'other' ELSE o_orderpriority END AS priority FROM orders")
 def standardize_categoricals(spark: SparkSession, sf_dir: str) -> DataFrame:
     priority = "CASE WHEN o_orderkey % 8 = 0 THEN 'other' WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 3 = 1 THEN concat(replace(o_orderpriority, '-', ' / '), '!') ELSE substring(o_orderpriority, 1, 1) END"
     labels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    return _messy(spark, sf_dir, "orders", "o_orderkey", priority=priority).standardize_categoricals("priority", labels, 0.8, {x[0]: x for x in labels}).df
+    return messy(spark, sf_dir, "orders", "o_orderkey", priority=priority).standardize_categoricals("priority", labels, 0.8, {x[0]: x for x in labels}).df
 
 
 # Rules.
@@ -246,19 +246,19 @@ def standardize_categoricals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = {"columns": {"total": {"not_null": True, "range": {"min": 1000, "max": 400000}}, "priority": {"allowed": ["1-URGENT", "2-HIGH"], "regex": "^[1-4]-"}, "cust": {"unique": True}}}
 
 
-@_register("""WITH t AS (SELECT o_orderkey AS "row", CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS total, o_orderpriority AS priority, o_custkey AS cust FROM orders)
+@register("""WITH t AS (SELECT o_orderkey AS "row", CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS total, o_orderpriority AS priority, o_custkey AS cust FROM orders)
 SELECT 'total.not_null' AS rule, "row", 'value is null' AS message FROM t WHERE total IS NULL
 UNION ALL SELECT 'total.range', "row", 'out' FROM t WHERE total < 1000 OR total > 400000
 UNION ALL SELECT 'priority.allowed', "row", 'value not in allowed set' FROM t WHERE priority NOT IN ('1-URGENT', '2-HIGH')
 UNION ALL SELECT 'priority.regex', "row", 'does not match pattern' FROM t WHERE NOT regexp_matches(priority, '^[1-4]-')
 UNION ALL SELECT 'cust.unique', "row", 'duplicate value violates uniqueness' FROM t QUALIFY count(*) OVER (PARTITION BY cust) > 1""")
 def validate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _messy(spark, sf_dir, "orders", "o_orderkey", total=_ORDERS["total"], priority="o_orderpriority", cust="o_custkey")
+    c = messy(spark, sf_dir, "orders", "o_orderkey", total=_ORDERS["total"], priority="o_orderpriority", cust="o_custkey")
     found = validate(c.frame, _RULES).failures
     return found.select("rule", "row", F.when(F.col("rule") == "total.range", "out").otherwise(F.col("message")).alias("message"))
 
 
-@_register("""SELECT l_orderkey * 10 + l_linenumber AS "row", count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+@register("""SELECT l_orderkey * 10 + l_linenumber AS "row", count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 WHERE NOT (l_shipdate <= o_orderdate + INTERVAL 60 DAY) GROUP BY 1""")
 def validate_cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
@@ -267,11 +267,11 @@ def validate_cross_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("row").agg(F.count("*").alias("n"))
 
 
-@_register("""SELECT 'size.dtype' AS rule, count(*) AS n FROM part WHERE p_partkey % 4 = 3
+@register("""SELECT 'size.dtype' AS rule, count(*) AS n FROM part WHERE p_partkey % 4 = 3
 UNION ALL SELECT 'price above size', count(*) FROM part WHERE p_partkey % 4 <> 3 AND NOT (p_retailprice > p_size * 30)""")
 def validate_types_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = "CASE WHEN p_partkey % 4 = 3 THEN 'large' ELSE concat('$', p_size) END"
-    c = _messy(spark, sf_dir, "part", "p_partkey", size=size, price="CAST(p_retailprice AS STRING)", bound="CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE CAST(p_size * 30 AS DOUBLE) END")
+    c = messy(spark, sf_dir, "part", "p_partkey", size=size, price="CAST(p_retailprice AS STRING)", bound="CASE WHEN p_partkey % 4 = 3 THEN NULL ELSE CAST(p_size * 30 AS DOUBLE) END")
     rules = {"columns": {"size": {"dtype": "integer"}}, "checks": [{"name": "price above size", "left": "price", "op": ">", "right": "bound"}]}
     return validate(c.frame, rules).failures.groupBy("rule").agg(F.count("*").alias("n"))
 
@@ -279,25 +279,25 @@ def validate_types_and_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Profiles.
 
 
-@_register(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_total, count({c}) AS n_present, count(DISTINCT {c}) AS n_unique FROM lineitem" for c in ("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")))
+@register(" UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_total, count({c}) AS n_present, count(DISTINCT {c}) AS n_unique FROM lineitem" for c in ("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")))
 def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate")
     return profiling.count_table(df).select("name", "n_total", "n_present", "n_unique")
 
 
-@_register(" UNION ALL ".join(f"SELECT '{c}' AS name, min({c}) AS min, max({c}) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.75), 4) AS p75 FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
+@register(" UNION ALL ".join(f"SELECT '{c}' AS name, min({c}) AS min, max({c}) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.75), 4) AS p75 FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def profile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_discount")
     return profiling.number_table(df, df.columns)
 
 
-@_register("""SELECT * FROM (SELECT 'p_brand' AS name, p_brand AS value, count(*) AS n FROM part GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
+@register("""SELECT * FROM (SELECT 'p_brand' AS name, p_brand AS value, count(*) AS n FROM part GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'p_type' AS name, p_type AS value, count(*) AS n FROM part GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10)""")
 def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.top_values(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand", "p_type"])
 
 
-@_register("""SELECT count(*) AS "rows", CAST(2 AS BIGINT) AS cols, count(*) FILTER (event_type IS NULL) + count(*) FILTER (user_id % 4 = 0) AS missing_cells,
+@register("""SELECT count(*) AS "rows", CAST(2 AS BIGINT) AS cols, count(*) FILTER (event_type IS NULL) + count(*) FILTER (user_id % 4 = 0) AS missing_cells,
 count(*) - (SELECT count(*) FROM (SELECT DISTINCT event_type, CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END AS u FROM events)) AS duplicate_rows FROM events""")
 def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_type", "CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id END AS u")
@@ -305,7 +305,7 @@ def table_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["rows"], s["cols"], s["missing_cells"], s["duplicate_rows"])], "rows long, cols long, missing_cells long, duplicate_rows long")
 
 
-@_register("""SELECT p_brand AS brand, count(*) AS n_rows, true AS repeated, count(DISTINCT (p_type, p_size)) > 1 AS conflicting FROM part GROUP BY 1 HAVING count(*) > 1""")
+@register("""SELECT p_brand AS brand, count(*) AS n_rows, true AS repeated, count(DISTINCT (p_type, p_size)) > 1 AS conflicting FROM part GROUP BY 1 HAVING count(*) > 1""")
 def profile_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_brand AS brand", "p_type AS type", "CAST(p_size AS STRING) AS size")
     return profiling.repeated_keys(df, "brand").select("brand", "n_rows", F.lit(True).alias("repeated"), "conflicting")
@@ -314,15 +314,19 @@ def profile_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One complete, typed row for each customer: drop gaps, coerce prices, keep the most complete order."""
     columns = {"cust": "o_custkey", "status": _ORDERS["status"], "price": _PRICE, "priority": _ORDERS["priority"]}
-    c = _messy(spark, sf_dir, "orders", "o_orderkey", **columns)
+    c = messy(spark, sf_dir, "orders", "o_orderkey", **columns)
     return c.handle_missing("drop_rows", ["status"]).coerce_types({"price": "float"}).deduplicate("cust", keep="most_complete").df
 
 
 def queries() -> dict[str, Query]:
+    from tidemill.plans import values  # noqa: F401  it registers more
+
     return {**_QUERIES, "flagship": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tidemill.plans import values  # noqa: F401
+
     price = """CASE o_orderkey % 6 WHEN 0 THEN floor(o_totalprice) + 0.5 WHEN 1 THEN -floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) + 0.25
       WHEN 3 THEN floor(o_totalprice) / 100.0 WHEN 4 THEN 1234000 + 100 + CAST(floor(o_totalprice) AS BIGINT) % 900 + 0.5 ELSE NULL END::DOUBLE"""
     sql = f"""SELECT o_orderkey, cust, status, price, priority FROM (
