@@ -1,8 +1,11 @@
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.functions.quantiles import quantiles
 from tidemill.functions import contacts, dates, numbers, text
 from tidemill.sources.tables import ROW
 
@@ -71,3 +74,16 @@ def test_text():
     assert text.snake_case_all(["Name", "name", "name_1"]) == ["name", "name_2", "name_1"]
     assert [text.snake_case(x) for x in ("Balance (USD)", "customerID", "2nd Línea", "%%", "HTTPServer")] == ["balance_usd", "customer_id", "col_2nd_linea", "column", "http_server"]
     assert text.normalised("a  b​ ") == "a b" and text.normalised(" \t ") is None and text.normalised("ﬁ") == "fi"
+
+
+@pytest.mark.parametrize("in_memory, bins", [(1_000_000, 1024), (10, 4), (10, 1024)])
+def test_quantiles_are_exact(spark, in_memory, bins):
+    rng = random.Random(3)
+    rows = [(rng.choice([rng.gauss(0, 1e6), float(rng.randrange(5)), 1e300, -1e300]), float(i % 3), None, 7.5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = quantiles(df, df.columns, shares, in_memory, bins)
+    for i, c in enumerate("abd"):
+        values = sorted(r["abcd".index(c)] for r in rows)
+        assert np.allclose(got[c], np.quantile(values, shares), rtol=1e-12), c
+    assert got["c"] is None

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions import columns as C
 from tidemill.functions import contacts, dates, numbers, text
+from tidemill.functions.quantiles import quantiles
 from tidemill.operators import dedup
 from tidemill.operators.options import TYPES, chosen, names
 from tidemill.sources.storage import save
@@ -367,7 +368,8 @@ class Cleaner:
             if kind == "boolean":
                 raise ValueError(f"handle_missing: cannot fill boolean column '{c}' with the {value}; use 'mode' or a constant")
             v = F.unix_micros(col(c).cast("timestamp")).cast("double") if stamp else self._numbers(c)
-            result = self.frame.select(v.alias("v")).agg(F.avg("v") if value == "mean" else F.percentile("v", F.lit(0.5))).first()[0]
+            rows = self.frame.select(v.alias("v"))
+            result = rows.agg(F.avg("v")).first()[0] if value == "mean" else (quantiles(rows, ["v"], [0.5])["v"] or [None])[0]
             if result is None:
                 return None, ""
             if stamp:
@@ -569,24 +571,23 @@ class Cleaner:
 
 
 def fences(df: DataFrame, values: dict[str, Column], method: str, factor: float, z: float) -> dict[str, tuple[float, float]]:
-    """Bounds of columns with four numbers or more and some spread, from one aggregate."""
+    """Bounds of columns with four numbers or more and some spread."""
     if not values:
         return {}
     rows = df.select(*(v.alias(f"v{i}") for i, v in enumerate(values.values())))
-    aggs = []
-    for i in range(len(values)):
-        v = f"v{i}"
-        spread = F.array(F.avg(v), F.stddev_pop(v)) if method == "zscore" else F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-        aggs += [F.count(v).alias(f"n{i}"), spread.alias(f"s{i}")]
-    got = rows.agg(*aggs).first()
+    got = rows.agg(*(x for v in rows.columns for x in (F.count(v), F.avg(v), F.stddev_pop(v)))).first()
+    quarters = quantiles(rows, rows.columns, [0.25, 0.75]) if method == "iqr" else {}
     out = {}
     for i, c in enumerate(values):
-        if got[f"n{i}"] < 4:
+        n, mean, deviation = got[3 * i : 3 * i + 3]
+        if n < 4:
             continue
-        a, b = got[f"s{i}"]
-        if method == "zscore" and b:
-            out[c] = (a - z * b, a + z * b)
-        elif method == "iqr" and b != a:
+        if method == "zscore":
+            if deviation:
+                out[c] = (mean - z * deviation, mean + z * deviation)
+            continue
+        a, b = quarters[f"v{i}"]
+        if a != b:
             out[c] = (a - factor * (b - a), b + factor * (b - a))
     return out
 
