@@ -27,6 +27,7 @@ binary search, so a model may be larger than a worker's memory.
 from __future__ import annotations
 
 import os
+import zlib
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -136,13 +137,13 @@ def _summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _small(x: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, as few as all of them need, and how many planes."""
+    """Numbers byte plane by byte plane, as few as all of them need, compressed (most are 1); and how many planes."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes() + bytes([width])
+    return zlib.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1) + bytes([width])
 
 
 def _read(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8)[:-1].reshape(data[-1], -1)
+    planes = np.frombuffer(zlib.decompress(data[:-1]), np.uint8).reshape(data[-1], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, : data[-1]] = planes.T
     return out.view("<u8")[:, 0].astype(np.int64)
