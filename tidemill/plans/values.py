@@ -190,7 +190,7 @@ def validate_literals_and_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Name, values by key, type, role, kinds of findings.
 COLUMNS = [
     ("Client Key", None, "integer", "identifier", []),
-    ("Amount", ["$1,200.50", "3.4", "2", "7"], "float", None, ["separators", "separators"]),
+    ("Amount", ["$1,200.50", "1100.4", "1000", "1300"], "float", None, ["separators", "separators"]),
     ("Joined", ["2023-01-05", "13/02/2023", "14/02/2023", "15/02/2023"], "datetime", None, ["formats", "order"]),
     ("Active", ["yes", "no", "Y", "N"], "boolean", None, ["spellings"]),
     ("Mail", ["a@gmial.com", "b@x.example", "c@x.example", "d@x.example"], "email", None, ["addresses"]),
