@@ -39,13 +39,3 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds the rows of an Arrow batch, as single texts may be very long.
-
-    A value that the session's owner has set stays.
-    """
-    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if spark.conf.get(key, default) == default:
-        spark.conf.set(key, str(rows))

@@ -8,36 +8,52 @@ import os
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemill.sources.storage import save
+
 #: The hidden column that tells a row's place in its source, from 0.
 ROW = "__row_id"
 
 
+def _starts(spark: SparkSession, sizes: dict[Any, int], kind: str) -> DataFrame:
+    """(part, start): the rows ahead of each part, parts in their natural order."""
+    total, rows = 0, []
+    for part in sorted(sizes):
+        rows.append((part, total))
+        total += sizes[part]
+    table = spark.createDataFrame(rows, f"__part {kind}, __start long")
+    return F.broadcast(table) if len(rows) <= 100_000 else table  # a number for each partition or file
+
+
+def _placed(rows: DataFrame, starts: DataFrame, inner: Column) -> DataFrame:
+    """rows, that have __part, with ROW; a part that wasn't counted is an error, never a loss."""
+    lost = F.raise_error(F.lit("rows belong to a part of the table that wasn't there when its rows were counted"))
+    place = F.when(F.col("__start").isNull(), lost).otherwise(F.col("__start") + inner)
+    return rows.join(starts, "__part", "left").withColumn(ROW, place.cast("long"))
+
+
 def with_row_ids(df: DataFrame) -> DataFrame:
-    """df with ROW: places 0, 1, ... in the order in which its source is read.
+    """df with ROW: places 0, 1, ... in the order of its partitions and of the rows in them.
 
-    Two passes over the rows' keys and no global sort: partitions are counted
-    first (one number for each comes to the driver), then offset. The source's
-    partitions must be the same when it is read again, as those of files are.
+    df is computed once and stored, with each row's partition and its place there;
+    the partitions' sizes (a number for each comes to the driver) are then summed
+    up. Both the sizes and the result are read from what is stored: a frame whose
+    partitions come out otherwise when it is computed anew (after a join, an
+    aggregate or a sort, under adaptive execution) keeps all its rows.
     """
-    spot = F.monotonically_increasing_id()
-    keyed = df.withColumn("__at", spot)
-    part = F.shiftright("__at", 33)
-    sizes = dict(keyed.groupBy(part.alias("p")).agg(F.count("*")).collect())
-    total, starts = 0, {}
-    for p in sorted(sizes):
-        starts[p], total = total, total + sizes[p]
-    if not starts:
-        return keyed.select(F.col("__at").alias(ROW), *(F.col(f"`{c}`") for c in df.columns))
-    # A row for each partition: 16 bytes each, so a table of them is broadcast for any number of partitions.
-    offsets = df.sparkSession.createDataFrame([*starts.items()], "__p long, __start long")
-    placed = keyed.withColumn("__p", part.cast("long")).join(F.broadcast(offsets), "__p")
-    place = (F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
-    return placed.select(place.alias(ROW), *(F.col(f"`{c}`") for c in df.columns))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    void = {n for n, (_, kind) in zip(names, df.dtypes) if kind == "void"}
+    at = F.monotonically_increasing_id()
+    stored = save(df.toDF(*names).drop(*void).select("*", at.alias("__at")), "places")
+    part = F.shiftright("__at", 33).cast("long")
+    sizes = {r["__part"]: r["n"] for r in stored.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).collect()}
+    inner = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = _placed(stored.withColumn("__part", part), _starts(df.sparkSession, sizes, "long"), inner)
+    return placed.select(ROW, *((F.lit(None) if n in void else F.col(n)).alias(c) for n, c in zip(names, df.columns)))
 
 
 def renumbered(df: DataFrame, bucket: int = 100_000) -> DataFrame:
@@ -81,7 +97,17 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return with_row_ids(spark.read.parquet(path))
+    """Parquet files with ROW: files by their paths, rows as they stand in them.
+
+    Places come from the files' own row numbers, so nothing is stored and it doesn't
+    matter how files are split among tasks.
+    """
+    files = spark.read.parquet(path)
+    spot = F.col("_metadata.file_path").alias("__part"), F.col("_metadata.row_index").alias("__at")
+    sizes = files.select(*spot).groupBy("__part").agg((F.max("__at") + 1).alias("n")).collect()
+    starts = _starts(spark, {r["__part"]: r["n"] for r in sizes}, "string")
+    placed = _placed(files.select("*", *spot), starts, F.col("__at"))
+    return placed.select(ROW, *(F.col(f"`{c}`") for c in files.columns))
 
 
 def record_lines(path: str, n_rows: int, sep: str = ",", encoding: str = "utf-8-sig") -> list[int]:
