@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemill.llm import langid, licenses, ngram, packing, pieces, pii, quality, rules, simhash, topk
+from tidemill.llm import langid, licenses, ngram, packing, pieces, pii, quality, repair, rules, simhash, topk
 
-_MODULES = (topk, packing, pieces, licenses, pii, ngram, quality, langid, simhash, rules)
+_MODULES = (topk, packing, pieces, licenses, pii, ngram, quality, langid, simhash, rules, repair)
 
 
 def queries() -> dict:
