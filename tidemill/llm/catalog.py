@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemill.llm import langid, licenses, ngram, packing, pieces, pii, quality, repair, rules, simhash, topk
+from tidemill.llm import langid, licenses, ngram, packing, phrases, pieces, pii, quality, repair, resample, rules, simhash, topk
 
-_MODULES = (topk, packing, pieces, licenses, pii, ngram, quality, langid, simhash, rules, repair)
+_MODULES = (topk, packing, phrases, pieces, licenses, pii, ngram, quality, langid, simhash, rules, resample, repair, phrases)
 
 
 def queries() -> dict:
