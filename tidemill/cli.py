@@ -16,7 +16,7 @@ from tidemill.operators.profiling import profile
 from tidemill.operators.validation import load_rules, validate
 from tidemill.plans.pipeline import Result, load_pipeline, run_pipeline
 from tidemill.plans.suggest import suggest
-from tidemill.sources.tables import read_csv, record_lines, write_csv, write_json, write_review
+from tidemill.sources.tables import read_csv, read_csv_and_lines, record_lines, write_csv, write_json, write_review
 
 SKIPS = {"no_coerce": ("coerce_types",), "no_categoricals": ("standardize_categoricals",), "no_contacts": ("standardize_emails", "standardize_phones", "standardize_names", "clean_addresses")}
 
@@ -64,7 +64,7 @@ def _output(a: argparse.Namespace) -> str:
     return path
 
 
-def _report(result: Result, a: argparse.Namespace) -> int:
+def _report(spark: SparkSession, result: Result, a: argparse.Namespace) -> int:
     path = _output(a)
     write_csv(result.df, path)
     print(f"Wrote pipeline output to {path}")
@@ -79,7 +79,7 @@ def _report(result: Result, a: argparse.Namespace) -> int:
         write_json(result.as_dict(), a.audit)
         print(f"Wrote audit JSON to {a.audit}")
     if a.review_out:
-        n = write_review(result.reviews, a.review_out, record_lines(a.input, b["rows"], a.sep, a.encoding))
+        n = write_review(result.reviews, a.review_out, record_lines(spark, a.input, a.sep, a.encoding))
         print(f"Wrote {n} duplicate pair(s) to {a.review_out}")
     return 0
 
@@ -95,14 +95,12 @@ def _clean(spark: SparkSession, a: argparse.Namespace) -> int:
         if a.fuzzy_keys:
             step |= {"fuzzy": True, "fuzzy_keys": listed(a.fuzzy_keys), "threshold": a.threshold, "block_on": listed(a.block_on)}
         config["steps"].append(step)
-    return _report(run_pipeline(df, config), a)
+    return _report(spark, run_pipeline(df, config), a)
 
 
 def _validate(spark: SparkSession, a: argparse.Namespace) -> int:
-    df = read_csv(spark, a.input, a.sep, a.encoding)
-    lines = record_lines(a.input, df.count(), a.sep, a.encoding)
-    table = spark.createDataFrame(list(enumerate(lines)), "row long, line long")
-    report = validate(df, load_rules(a.rules), table)
+    df, lines = read_csv_and_lines(spark, a.input, a.sep, a.encoding)
+    report = validate(df, load_rules(a.rules), lines)
     for f in report.first(a.max_show):
         where = f"row {f['row']} (line {f['line']})" if f["row"] is not None else ""
         print(f"  {f['rule']}: {where} {f['message']}".rstrip())
@@ -115,7 +113,7 @@ def _validate(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
-    return _report(run_pipeline(read_csv(spark, a.input, a.sep, a.encoding), load_pipeline(a.steps)), a)
+    return _report(spark, run_pipeline(read_csv(spark, a.input, a.sep, a.encoding), load_pipeline(a.steps)), a)
 
 
 def parser(env_file: str | None = ".env") -> argparse.ArgumentParser:

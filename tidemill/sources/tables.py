@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemill.functions.columns import as_text
+from tidemill.sources import csvfiles
 from tidemill.sources.storage import save
 
 #: The hidden column that tells a row's place in its source, from 0.
@@ -71,29 +73,54 @@ def renumbered(df: DataFrame, bucket: int = 100_000) -> DataFrame:
     return out.select(df.columns)
 
 
-def _header(path: str, sep: str, encoding: str) -> list[str]:
-    with open(path, newline="", encoding=encoding) as f:
-        return next(csv.reader(f, delimiter=sep), [])
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8-sig") -> DataFrame:
+    """A CSV file as text: every column a string, the empty field null, with ROW.
+
+    Headers that repeat get a number behind them, `Name`, `Name.1`. Records have the
+    header's number of fields: further ones are left out, absent ones null. Tasks
+    read ranges of the file, whether or not fields hold line ends, and the records
+    are stored once; only a separator of several characters, or an encoding that
+    isn't ASCII's in its quotes and line ends, is left to one task.
+    """
+    return read_csv_and_lines(spark, path, sep, encoding)[0]
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8-sig", multiline: bool = True) -> DataFrame:
-    """A CSV file as text: every column a string, only the empty field null, with ROW.
+def read_csv_and_lines(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8-sig") -> tuple[DataFrame, DataFrame]:
+    """What read_csv returns, and (row, line): the line on which each record begins.
 
-    Headers that repeat get a number behind them, `Name`, `Name.1`. A file whose
-    fields may hold line ends is read by one task; with multiline off, for files
-    whose records are lines, it is split among many.
+    Lines are counted from 1, quoted line ends and blank lines included. They are row
+    + 2 where one task reads the file.
     """
+    if not csvfiles.splittable(sep, encoding):
+        return _read_whole(spark, path, sep, encoding)
+    names = _distinct(csvfiles.header(spark, path, sep, encoding))
+    rows = csvfiles.rows(spark, path, sep, encoding, len(names))
+    place = F.col("place") - 1
+    return rows.select(place.alias(ROW), *(F.col(f"c{i}").alias(n) for i, n in enumerate(names))), rows.select(place.alias("row"), "line")
+
+
+def record_lines(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8-sig") -> DataFrame:
+    return read_csv_and_lines(spark, path, sep, encoding)[1]
+
+
+def _distinct(header: list[str]) -> list[str]:
     names: list[str] = []
-    for name in _header(path, sep, encoding):
+    for name in header:
         k, new = 0, name
         while new in names:
             k += 1
             new = f"{name}.{k}"
         names.append(new)
+    return names
+
+
+def _read_whole(spark: SparkSession, path: str, sep: str, encoding: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda **more: spark.read.csv(path, sep=sep, multiLine=True, escape='"', encoding=encoding, **more)
+    first = read(header=False).first()
+    names = _distinct(["" if x is None else x for x in first or []])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    charset = "UTF-8" if encoding.lower().replace("_", "-") in ("utf-8-sig", "utf-8", "utf8") else encoding
-    df = spark.read.csv(path, schema=schema, header=True, sep=sep, multiLine=multiline, escape='"', encoding=charset, enforceSchema=True)
-    return with_row_ids(df)
+    df = with_row_ids(read(schema=schema, header=True, enforceSchema=True))
+    return df, df.select(F.col(ROW).alias("row"), (F.col(ROW) + 2).alias("line"))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -110,24 +137,6 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return placed.select(ROW, *(F.col(f"`{c}`") for c in files.columns))
 
 
-def record_lines(path: str, n_rows: int, sep: str = ",", encoding: str = "utf-8-sig") -> list[int]:
-    """The line on which each record of a CSV file begins, quoted line ends and blank lines counted.
-
-    Falls back to row + 2 where the separator is no single character or the count
-    of records differs.
-    """
-    lines: list[int] = []
-    if len(sep) == 1:
-        with open(path, newline="", encoding=encoding) as f:
-            reader, begin = csv.reader(f, delimiter=sep), 1
-            for record in reader:
-                if record:
-                    lines.append(begin)
-                begin = reader.line_num + 1
-        lines = lines[1:]
-    return lines if len(lines) == n_rows else [i + 2 for i in range(n_rows)]
-
-
 def ordered_rows(df: DataFrame, order: str = ROW) -> Iterator[dict[str, Any]]:
     """The rows in order, without the order column, a partition at a time."""
     for row in df.orderBy(order).toLocalIterator():
@@ -136,19 +145,9 @@ def ordered_rows(df: DataFrame, order: str = ROW) -> Iterator[dict[str, Any]]:
         yield out
 
 
-def _shown(value: Any) -> Any:
-    return "" if value is None else value
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file in row order; booleans as True and False, nulls empty."""
-    names = [c for c in df.columns if c != ROW]
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(names)
-        for row in ordered_rows(df) if ROW in df.columns else (r.asDict() for r in df.toLocalIterator()):
-            out.writerow([_shown(row[c]) for c in names])
+    csvfiles.write_ordered(df if ROW in df.columns else with_row_ids(df), [ROW], path)
 
 
 def write_json(value: Any, path: str) -> None:
@@ -157,21 +156,35 @@ def write_json(value: Any, path: str) -> None:
         json.dump(value, f, indent=2, ensure_ascii=False, default=str)
 
 
-def write_review(reviews: list[DataFrame], path: str, lines: list[int] | None = None) -> int:
+def write_review(reviews: list[DataFrame], path: str, lines: DataFrame | None = None) -> int:
     """Duplicate pairs of all reviews in long form, a `duplicate` and a `kept` line for each; returns their number.
 
     A review has row, kept_row, match, score, and the structs `values` and
     `kept_values`. Columns are those of all reviews, in the order they first occur.
+    lines (row, line) tells where records stand in their file; without it, row + 2.
     """
-    columns = list(dict.fromkeys(c for r in reviews for c in r.schema["values"].dataType.names))
-    n = 0
+    kinds = [{f.name: f.dataType.simpleString() for f in r.schema["values"].dataType.fields} for r in reviews]
+    columns = list(dict.fromkeys(c for k in kinds for c in k))
+    if not reviews:
+        return _write_lines(path, ["pair", "role", "row", "line", "match", "score"])
+    texts = lambda struct, kind: F.array(*(as_text(F.col(struct)[c], kind[c]) if c in kind else F.lit(None).cast("string") for c in columns)).cast("array<string>")
+    pairs = None
+    for i, (r, kind) in enumerate(zip(reviews, kinds)):
+        both = F.array(*(F.struct(F.lit(role).alias("role"), F.col(row).alias("row"), texts(values, kind).alias("texts")) for role, row, values in (("duplicate", "row", "values"), ("kept", "kept_row", "kept_values"))))
+        one = r.select(F.lit(i).alias("review"), "row", both.alias("both"), "match", "score")
+        pairs = one if pairs is None else pairs.union(one)
+    pairs = with_row_ids(pairs.orderBy("review", "row"))
+    long = pairs.select((F.col(ROW) + 1).alias("pair"), F.posexplode("both").alias("at", "x"), "match", "score")
+    long = long.select("pair", "at", F.col("x.role").alias("role"), F.col("x.row").alias("row"), "match", "score", *(F.col("x.texts")[i].alias(f"v{i}") for i in range(len(columns))))
+    long = long.join(lines, "row", "left") if lines is not None else long.withColumn("line", F.lit(None).cast("long"))
+    values = [F.col(f"v{i}").alias(f"value {i}") for i in range(len(columns))]
+    out = long.select("at", "pair", "role", "row", F.coalesce("line", F.col("row") + 2).alias("line"), "match", "score", *values)
+    csvfiles.write_ordered(out, ["pair", "at"], path, out.columns[1:], ["pair", "role", "row", "line", "match", "score", *columns])
+    return pairs.count()
+
+
+def _write_lines(path: str, header: list[str]) -> int:
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(["pair", "role", "row", "line", "match", "score", *columns])
-        for pairs in reviews:
-            for p in pairs.orderBy("row").toLocalIterator():
-                n += 1
-                for role, row, values in (("duplicate", p["row"], p["values"].asDict()), ("kept", p["kept_row"], p["kept_values"].asDict())):
-                    line = lines[row] if lines and row < len(lines) else row + 2
-                    out.writerow([n, role, row, line, p["match"], p["score"], *(_shown(values.get(c)) for c in columns)])
-    return n
+        csv.writer(f, lineterminator="\n").writerow(header)
+    return 0
