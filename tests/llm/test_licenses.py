@@ -26,10 +26,11 @@ def plain(doc_id, text):
         t = {*template.split()}
         lines = [w for w in map(words_of, (text or "").split("\n")) if w]
         for i in range(len(lines)):
-            block: list = []
-            for line in lines[i:]:
-                if len(block) < BLOCK:
+            block, behind = [*lines[i]], 0
+            for line in lines[i + 1 :]:
+                if behind < BLOCK:
                     block += line
+                    behind += len(line)
             n = len(t & {*block})
             if n >= math.ceil(0.85 * len(t) - 1e-9):
                 more.add(label)
@@ -65,8 +66,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
         "permission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
         "Text.\n\n  Permission is hereby granted, free of charge, to any person\n  obtaining a copy of this software and associated\n\n  documentation files (the Software)\nmore",
         "Redistribution and use in source and binary forms, with or without\nmodification, are permitted " + "x\n" * 70 + "provided that the following conditions are met",
+        "y " * 58 + "permission is hereby granted free of charge to any person\nobtaining a copy of this software and associated documentation files",
+        "y " * 300 + "permission is hereby granted free of charge to any person\n\nobtaining a copy of this software\nand associated documentation files",
     ]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = sorted(map(tuple, scan(df).collect()))
     assert got == sorted(plain(i, t) for i, t in enumerate(texts))
-    assert [r[6] for r in got[-2:]] == ["mit", ""]
+    assert [r[6] for r in got[-4:]] == ["mit", "", "mit", "mit"]

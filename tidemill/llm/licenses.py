@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with templates.
 
-A block begins at each line that has a word and takes the lines after it, until it
-has BLOCK words: so it holds any notice that begins in its first line, however the
-notice is wrapped. Tokens are ordered by how many documents hold them, rarest
+A block is a line that has a word and the lines after it that begin within BLOCK
+words of its end: so it holds any notice that begins in its first line, however
+long that line is and however the notice is wrapped. Tokens are ordered by how many documents hold them, rarest
 first. A template of n words is contained in a block to the threshold t if they
 share o = ceil(t n) words; then one of the template's first n - o + 1 words (its
 prefix) is among the block's first words. So blocks and templates are joined on
@@ -43,7 +43,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
-#: Words from which on a block takes no further line; more than any template has.
+#: Words behind a block's first line from which on it takes no further line; more than any template has.
 BLOCK = 60
 
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -129,10 +129,12 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
     long_enough = F.size("block") >= smallest
     # Within a document, lines by the number of words ahead of them; a promising document's lines are few.
     ahead = Window.partitionBy("at").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    block = Window.partitionBy("at").orderBy("ahead").rangeBetween(Window.currentRow, BLOCK - 1)
+    onward = Window.partitionBy("at").orderBy("ahead").rangeBetween(Window.currentRow, BLOCK - 1)
     parts = found.filter(F.size("lines") > 0).select("at", F.posexplode("lines").alias("line", "x"))
     parts = parts.select("at", "line", F.col("x.ranks").alias("ranks"), F.coalesce(F.sum("x.n").over(ahead), F.lit(0)).alias("ahead"))
-    parts = parts.select("at", "line", F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranks").over(block)))).alias("block")).filter(long_enough)
+    parts = parts.select("at", "line", "ahead", "ranks", F.array_distinct(F.flatten(F.collect_list("ranks").over(onward))).alias("onward"))
+    behind = F.lead("onward").over(Window.partitionBy("at").orderBy("ahead"))  # what begins within BLOCK words of the line's end
+    parts = parts.select("at", "line", F.array_sort(F.array_union("ranks", F.coalesce(behind, F.array().cast("array<int>")))).alias("block")).filter(long_enough)
     parts = parts.select("at", "line", "block", F.posexplode(F.slice("block", F.lit(1), F.size("block") - smallest + 1)).alias("j", "rank"))
     pairs = parts.join(F.broadcast(index), "rank")  # the templates are a parameter
     pairs = pairs.filter((F.size("block") >= F.col("least")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("block") - F.col("j") - 1) >= F.col("least")))
@@ -171,7 +173,8 @@ tpl(n, label, tokens) AS (VALUES {templates}),
 r AS (SELECT doc_key, string_split(text, chr(10)) AS lines FROM w),
 l AS (SELECT doc_key, unnest(range(len(lines))) AS i, regexp_extract_all(unnest(lines), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM r),
 c AS (SELECT doc_key, i, words, coalesce(sum(len(words)) OVER (PARTITION BY doc_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM l WHERE len(words) > 0),
-k AS (SELECT doc_key, list_distinct(flatten(list(words) OVER (PARTITION BY doc_key ORDER BY ahead RANGE BETWEEN CURRENT ROW AND {BLOCK - 1} FOLLOWING))) AS words FROM c),
+n AS (SELECT doc_key, i, words, flatten(list(words) OVER (PARTITION BY doc_key ORDER BY ahead RANGE BETWEEN CURRENT ROW AND {BLOCK - 1} FOLLOWING)) AS onward FROM c),
+k AS (SELECT doc_key, list_distinct(list_concat(words, coalesce(lead(onward) OVER (PARTITION BY doc_key ORDER BY i), []))) AS words FROM n),
 m AS (SELECT doc_key, label, len(list_intersect(tokens, words)) AS shared, len(tokens) AS size FROM k JOIN tpl ON true),
 h AS (SELECT doc_key, list_distinct(list(label)) AS labels, max(shared / size) AS best FROM m WHERE shared >= ceil(0.85 * size - 1e-9) GROUP BY doc_key)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
