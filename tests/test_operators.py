@@ -220,3 +220,56 @@ def test_all_rows_vote(spark):
     df = frame(spark, rows, "d string, n string")
     c = Cleaner(df).coerce_types({"d": "datetime"})
     assert "Day-first" in c.messages()[-1] and str(c.frame.orderBy(ROW).first().d) == "2023-02-01 00:00:00"
+
+
+def greedy(pairs):
+    """pairs: (row, kept_row, score). Rows in order: one that is like a kept row ahead of it is its duplicate."""
+    near, out = {}, {}
+    for row, kept, score in pairs:
+        near.setdefault(row, []).append((score, -kept))
+    for row in sorted(near):
+        alive = [x for x in near[row] if -x[1] not in out]
+        if alive:
+            out[row] = -max(alive)[1]
+    return out
+
+
+@pytest.mark.parametrize("in_task", [7, 60, 100_000])
+def test_visit_of_chains_hubs_and_others(spark, in_task):
+    from tidemill.operators import dedup
+
+    rng = random.Random(2)
+    chain = [(i + 1, i) for i in range(120)]
+    hub = [(1_000 + i, 500) for i in range(300)]
+    loose = {tuple(sorted(rng.sample(range(5_000, 5_090), 2), reverse=True)) for _ in range(160)}
+    pairs = [(a, b, rng.choice([0.9, 0.95])) for a, b in [*chain, *hub, *loose]]
+    df = spark.createDataFrame([(*p, 0, 0) for p in pairs], "row long, kept_row long, score double, la long, ka long")
+    if in_task == 7:
+        df = df.filter("row < 40 OR row >= 5000")
+        pairs = [p for p in pairs if p[0] < 40 or p[0] >= 5_000]
+    got = {r.row for r in dedup._visited(df, in_task).collect()}
+    assert got == {*greedy(pairs)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.88, 0.95, 1.0])
+def test_similarity_join_finds_the_pairs_of_brute_force(spark, threshold):
+    from tidemill.operators import dedup
+
+    rng = random.Random(int(threshold * 100))
+    texts = {"a", "ab", "aa", "aab", "abc", "abab", "a b", "ba", "aé"}
+    while len(texts) < 160:
+        old = rng.choice([*texts])
+        i = rng.randrange(1, len(old) + 1)
+        texts.add(rng.choice([old[:i] + rng.choice("ab c1") + old[i:], old[: i - 1] + old[i:] or "a", old + old[:i], old[:i] + rng.choice("abz") + old[i + 1 :]]).strip() or "a")
+    texts = sorted(texts)
+    rng.shuffle(texts)
+    heads = spark.createDataFrame([(t[:1], t, 0, i, 0, i + 500 * (i % 5 == 0)) for i, t in enumerate(texts)], "block string, key string, a long, row long, last_a long, last_row long")
+    want = set()
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts[:i]):
+            if x[:1] == y[:1]:
+                want |= {(i, j, False)} if SequenceMatcher(None, x, y).ratio() >= threshold else set()
+                want |= {(j, i, True)} if j % 5 == 0 and j + 500 > i and SequenceMatcher(None, y, x).ratio() >= threshold else set()
+    for tile in (10_000, 25):
+        got = [(r.row, r.kept_row, r.back) for r in dedup.near_pairs(heads, threshold, tile).collect()]
+        assert len(got) == len({*got}) and {*got} == want

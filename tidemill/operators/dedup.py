@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import as_text, is_missing
 from tidemill.functions.text import canonical_key
+from tidemill.operators.graph import components
 from tidemill.sources.storage import save
 from tidemill.sources.tables import ROW
 
-PAIRS = "row long, kept_row long, match string, score double, key string, kept_key string"
-_ALPHABET = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789 ")}
+_FOUND = "row long, kept_row long, score double"
+#: Keys are made of these; others count as the last.
+_ALPHABET = b"abcdefghijklmnopqrstuvwxyz0123456789 "
+_CODES = np.array([_ALPHABET.index(b) if b in _ALPHABET else len(_ALPHABET) - 1 for b in range(256)])
 
 
 def rank(df: DataFrame, keep: str) -> Column:
@@ -46,53 +54,225 @@ def signature(df: DataFrame, keys: list[str]) -> Column:
     return F.concat(*spaced)
 
 
-def _counts(text: str) -> np.ndarray:
-    out = np.zeros(len(_ALPHABET), np.int32)
-    for c in text:
-        out[_ALPHABET.get(c, len(_ALPHABET) - 1)] += 1
-    return out
-
-
-def _alike(threshold: float):
-    """Pairs of a tile pair whose ratio reaches the threshold; bounds from above discard the others."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "row"]).reset_index(drop=True)
-        texts, rows, chunk = pdf["key"].tolist(), pdf["row"].to_numpy(), pdf["chunk"].to_numpy()
-        place, last = [*zip(pdf["a"].tolist(), pdf["row"].tolist())], [*zip(pdf["last_a"].tolist(), pdf["last_row"].tolist())]
-        same = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
-        size = np.array([len(t) for t in texts], np.int32)
-        counts = np.stack([_counts(t) for t in texts]).astype(np.int16)
-        out = []
-        # Texts by length: the later text (first of a ratio) is compared with those whose length can reach the threshold.
-        order = np.argsort(size, kind="stable")
-        by_size, ordered = size[order], counts[order]
-        for j, kept in enumerate(texts):  # what a matcher knows of the second text is kept, so it is the outer loop
-            low = np.searchsorted(by_size, threshold * size[j] / (2 - threshold) - 1e-9)
-            high = np.searchsorted(by_size, (2 - threshold) * size[j] / threshold + 1e-9, "right")
-            at = order[low:high]
-            near = np.minimum(ordered[low:high], counts[j]).sum(axis=1, dtype=np.int32)
-            at = at[(2 * near >= threshold * (by_size[low:high] + size[j]) - 1e-9) & (at > j)]
-            if not same:
-                at = at[chunk[at] != chunk[j]]
-            if not len(at):
+def _bounds(threshold: float):
+    """Functions of two lengths: the least number of characters that must match, and of positional bigrams.
+
+    The matched characters are a common subsequence of m characters, and 2 m / (a + b)
+    is the ratio. Of a's a - 1 bigrams each of a's other characters breaks two at most,
+    and each of b's other characters one.
+    """
+
+    def matched(a, b):
+        return np.ceil(threshold * (a + b) / 2 - 1e-9).astype(np.int64)
+
+    return matched, lambda a, b: 3 * matched(a, b) - a - b - 1
+
+
+@functools.lru_cache(100_000)
+def _prefix(size: int, threshold: float) -> tuple[int, int]:
+    """How many of a text's rarest bigrams, and of its rarest characters, a text that is alike to the threshold has to share one of.
+
+    The rarest of the n bigrams that two texts must share is among the first
+    size - n of either. Characters are needed only where some length of the other
+    text doesn't make sure that there is a common bigram.
+    """
+    matched, shared = _bounds(threshold)
+    others = np.arange(math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9) + 1)
+    if not len(others):
+        return 0, 0
+    least = int(shared(size, others).min())
+    return size - max(least, 1), size - int(matched(size, others).min()) + 1 if least < 1 else 0
+
+
+class _Index:
+    """A text's rarest bigrams (or characters) with their places, in the order of their frequencies."""
+
+    def __init__(self, threshold: float, frequency: dict[str, int]):
+        self.threshold, self.frequency = threshold, frequency
+        self.prefix = functools.lru_cache(20_000)(self._prefix)
+        self.places = functools.lru_cache(20_000)(self._places)
+
+    def _prefix(self, key: str) -> list[tuple[str, int]]:
+        pairs, chars = _prefix(len(key), self.threshold)
+        often = self.frequency.get
+        grams = sorted((often(g, 0), g, i) for i, g in enumerate(map(str.__add__, key, key[1:])))[:pairs]
+        single = sorted((often(c, 0), c, i) for i, c in enumerate(key))[:chars]
+        return [(g, i) for _, g, i in grams + single]
+
+    def _places(self, key: str) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
+        for g, i in self.prefix(key):
+            out.setdefault(g, []).append(i)
+        return out
+
+
+def _tokens(threshold: float, frequency: dict[str, int]):
+    """A row for each of the prefix's bigrams (or characters), with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix = _Index(threshold, frequency)._prefix
+        for batch in batches:
+            found = [prefix(k) for k in batch.column("key").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            own = [pa.array([g for f in found for g, _ in f], pa.string()), pa.array([i for f in found for _, i in f], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), *own], [*batch.schema.names, "gram", "at"])
+
+    return run
+
+
+def _unary(keys: pa.Array) -> np.ndarray:
+    """Characters' counts in unary, so that a product of rows is the number of characters that two texts have in common."""
+    data = keys.cast(pa.large_string())
+    ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    codes = _CODES[np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    counts = np.bincount(np.repeat(np.arange(len(data)), np.diff(ends)) * len(_ALPHABET) + codes, minlength=len(data) * len(_ALPHABET)).reshape(len(data), -1)
+    counts = counts[:, counts.any(axis=0)]
+    return np.concatenate([counts > k for k in range(int(counts.max(initial=0)))] or [counts > 0], axis=1).astype(np.float32)
+
+
+def _common(a: str, masks: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence of a and the text whose characters' places are masks."""
+    whole = s = (1 << size) - 1
+    for c in a:
+        u = s & masks.get(c, 0)
+        s = (s + u) | (s - u)
+    return size - (s & whole).bit_count()
+
+
+class _Bucket:
+    """Texts that share a bigram among their rarest ones."""
+
+    def __init__(self, rows: pa.Table, index: _Index):
+        rows = rows.sort_by([("a", "ascending"), ("row", "ascending"), ("at", "ascending")])
+        own = {name: rows[name].combine_chunks() for name in ("key", "gram", "block")}
+        self.c = own | {name: rows[name].to_numpy() for name in ("a", "row", "last_a", "last_row", "at", "chunk")}
+        self.threshold, self.index, self.n = index.threshold, index, rows.num_rows
+        self.size = pc.utf8_length(own["key"]).to_numpy().astype(np.int64)
+        self.block = own["block"].dictionary_encode().indices.to_numpy()
+        self.across = rows["x"][0] != rows["y"][0]
+        self.masks: dict[int, dict[str, int]] = {}
+
+    def _first(self, i: int, j: int, later: str, kept: str) -> bool:
+        """Is this gram the first that the prefixes have in common at fitting places? Pairs meet in several buckets."""
+        m = math.ceil(self.threshold * (len(later) + len(kept)) / 2 - 1e-9)
+        a, b = len(later) - m, len(kept) - m
+        other = self.index.places(kept)
+        for g, p in self.index.prefix(later):
+            for q in other.get(g, ()):
+                if -b <= p - q <= a:
+                    return (g, p, q) == (self.c["gram"][i].as_py(), self.c["at"][i], self.c["at"][j])
+        return False
+
+    def _alike(self, i: int, j: int, later: str, kept: str) -> bool:
+        """May the ratio reach the threshold? It can't if the longest common subsequence is too short."""
+        if j not in self.masks:
+            masks: dict[str, int] = {}
+            for k, ch in enumerate(kept):
+                masks[ch] = masks.get(ch, 0) | 1 << k
+            self.masks[j] = masks
+        return _common(later, self.masks[j], len(kept)) >= math.ceil(self.threshold * (len(later) + len(kept)) / 2 - 1e-9)
+
+    def pairs(self) -> Iterator[tuple]:
+        """(row, kept_row, score, back, la, ka, block) of pairs whose ratio reaches the threshold, the later row first."""
+        c, t = self.c, self.threshold
+        unary = _unary(c["key"])
+        for begin in range(0, self.n - 1, 128):
+            kept = np.arange(begin, min(begin + 128, self.n))
+            later = np.arange(begin + 1, self.n)
+            a, b = self.size[later], self.size[kept, None]
+            m = np.ceil(t * (a + b) / 2 - 1e-9)
+            shift = c["at"][later] - c["at"][kept, None]
+            fits = (later > kept[:, None]) & (self.block[later] == self.block[kept, None]) & (shift <= a - m) & (-shift <= b - m)
+            if self.across:
+                fits &= c["chunk"][later] != c["chunk"][kept, None]
+            fits &= c["row"][later] != c["row"][kept, None]
+            fits &= unary[kept] @ unary[later].T >= m
+            for k, l in zip(*(x.tolist() for x in np.nonzero(fits))):
+                yield from self._scored(l + begin + 1, k + begin)
+
+    def _scored(self, i: int, j: int) -> Iterator[tuple]:
+        c = self.c
+        later, kept = c["key"][i].as_py(), c["key"][j].as_py()
+        if not (self._first(i, j, later, kept) and self._alike(i, j, later, kept)):
+            return
+        (li, lj), (ri, rj), block = c["a"][[i, j]].tolist(), c["row"][[i, j]].tolist(), c["block"][i].as_py()
+        # The ratio depends on the order: the later text is the first, the kept one the second.
+        ratio = SequenceMatcher(None, later, kept).ratio()
+        if ratio >= self.threshold:
+            yield ri, rj, ratio, False, li, lj, block
+        if (c["last_a"][j], c["last_row"][j]) > (li, ri):  # another row with j's key comes later than i
+            ratio = SequenceMatcher(None, kept, later).ratio()
+            if ratio >= self.threshold:
+                yield rj, ri, ratio, True, lj, li, block
+
+
+_NEAR = "row long, kept_row long, score double, back boolean, la long, ka long, block string"
+
+
+def _scored(threshold: float, frequency: dict[str, int]):
+    """Streams over rows by bucket, one bucket at a time."""
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in _NEAR.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now, index = None, _Index(threshold, frequency)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held and sum(h.num_rows for h in held) > 1:
+                found = [*_Bucket(pa.Table.from_batches(held), index).pairs()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*found), types)], names)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            matcher = SequenceMatcher(None, "", kept)
-            for i in at.tolist():
-                # The ratio depends on the order: the later text is the first, the kept one the second.
-                matcher.set_seq1(texts[i])
-                ratio = matcher.ratio()
-                if ratio >= threshold:
-                    out.append((int(rows[i]), int(rows[j]), ratio, False))
-                if last[j] > place[i]:  # another row with j's key comes later than i
-                    ratio = SequenceMatcher(None, kept, texts[i]).ratio()
-                    if ratio >= threshold:
-                        out.append((int(rows[j]), int(rows[i]), ratio, True))
-        return pd.DataFrame(out, columns=["row", "kept_row", "score", "back"])
+            marks = np.stack([batch.column(n).to_numpy() for n in ("bucket", "x", "y")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if (mark := tuple(marks[:, a].tolist())) != now:
+                    yield from close()
+                    now = mark
+                held.append(batch.slice(a, b - a))
+        yield from close()
 
     return run
 
 
+def near_pairs(heads: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Pairs of texts of a block whose ratio reaches the threshold, found by an index of positional bigrams.
+
+    Bigrams are ordered by how many texts' places have them, rarest first; texts
+    that are alike share one of a few rarest ones, at places that don't differ by more
+    than the characters that may be unmatched. A bucket is a block's texts with such a
+    bigram. In it lengths, places and counts of characters discard pairs, then the
+    longest common subsequence, and the ratio decides. All bounds hold for any pair
+    that reaches the threshold. A bucket of more than `tile` texts is dealt out as
+    pairs of parts.
+    """
+    grams = F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substr("key", i, F.lit(2))))
+    single = F.explode(F.split("key", ""))
+    counted = heads.select(grams.alias("g")).union(heads.select(single.alias("g"))).groupBy("g").count()
+    # Keys have 37 characters, so there are some 1,400 bigrams; what is rarer than the first 100,000 counts as not there.
+    frequency = dict(counted.orderBy(F.desc("count"), "g").limit(100_000).collect())
+    kinds = "block string, key string, a long, row long, last_a long, last_row long"
+    columns = [x.split()[0] for x in kinds.split(", ")]
+    tokens = heads.select(columns).mapInArrow(_tokens(threshold, frequency), f"{kinds}, gram string, at int")
+    tokens = tokens.withColumn("bucket", F.xxhash64("block", "gram"))
+    one = F.lit(0)
+    longest = 2 if threshold > 0.75 else 1  # the least tokens that many texts have
+    if max((n for g, n in frequency.items() if len(g) >= longest), default=0) <= tile:
+        dealt = tokens.select("*", one.alias("chunk"), one.alias("x"), one.alias("y"))
+    else:
+        tokens = save(tokens, "tokens")
+        hot = save(tokens.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")).filter("n > 1"), "hot")
+        parted = tokens.join(hot, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        parted = parted.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = parted.select(*tokens.columns, "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
+    return dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_scored(threshold, frequency), _NEAR)
+
+
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Visits rows in order: one that is like a kept row is its duplicate, else it is kept."""
     dropped: set[int] = set()
@@ -106,39 +286,60 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(r, k, s) for r, (s, k) in best.items()], columns=["row", "kept_row", "score"])
 
 
-def _visited(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """What `_greedy` finds, by rounds of joins, so that no block has to meet in one task.
+def _visited(pairs: DataFrame, in_task: int) -> DataFrame:
+    """The rows that `_greedy` finds to be duplicates, where not all pairs can meet in one task.
 
-    A row without an undecided earlier neighbour is kept if no earlier neighbour is
-    kept, and its later neighbours are duplicates then. Each round decides at least
-    the first undecided row of every chain.
+    Components of the pairs' graph are visited each in a task, as long as they have
+    up to in_task pairs. Of larger ones a row without an undecided earlier neighbour
+    is kept, and its later neighbours are duplicates; what is left may fall apart into
+    smaller components. Where that decides little, as along a chain, the first in_task
+    pairs in keep order, which depend on no others, are visited in a task. Each round
+    decides some pairs, so the rounds end.
     """
-    nodes = lambda df, c: df.select(F.col(c).alias("node")).distinct()
-    edges = pairs.select("row", "kept_row")
-    fresh = kept = save(nodes(edges, "kept_row").join(nodes(edges, "row"), "node", "left_anti"), "kept")
-    for _ in range(rounds):
-        # Later neighbours of rows kept anew are duplicates; pairs with a duplicate on either side are done with.
-        gone = save(nodes(edges.join(fresh.withColumnRenamed("node", "kept_row"), "kept_row", "left_semi"), "row"), "gone")
-        rest = edges.join(gone.withColumnRenamed("node", "row"), "row", "left_anti")
-        left = save(rest.join(gone.withColumnRenamed("node", "kept_row"), "kept_row", "left_anti").select("row", "kept_row"), "edges")
-        # Rows of those pairs without an earlier neighbour any more are kept.
-        fresh = save(nodes(rest, "row").join(nodes(left, "row"), "node", "left_anti"), "fresh")
-        kept, edges = save(kept.union(fresh), "kept"), left
-        if fresh.isEmpty():
-            break
-    best = F.max(F.struct("score", (-F.col("ka")).alias("a"), (-F.col("kept_row")).alias("r"))).alias("b")
-    alive = pairs.join(kept.select(F.col("node").alias("kept_row")), "kept_row", "left_semi")
-    return alive.groupBy("row").agg(best).select("row", (-F.col("b.r")).alias("kept_row"), F.col("b.score").alias("score"))
-
-
-def fuzzy_pairs(df: DataFrame, keys: list[str], keep: str, threshold: float, block_on: list[str], tile: int = 2000, in_task: int = 200_000) -> DataFrame:
+    nodes = lambda df, c, name="node": df.select(F.col(c).alias(name)).distinct()
+    edges = save(pairs.select("row", "kept_row", "score", "la", "ka"), "edges")
+    dropped, n = nodes(edges.limit(0), "row", "row"), edges.count()
+    while n:
+        roots = components(edges.select(F.col("row").alias("u"), F.col("kept_row").alias("v")))
+        rooted = save(edges.join(roots.withColumnRenamed("node", "row"), "row"), "rooted")
+        sizes = save(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+        small = rooted.join(sizes.filter(F.col("n") <= in_task), "root", "left_semi")
+        dropped = save(dropped.union(small.groupBy("root").applyInPandas(_greedy, _FOUND).select("row")), "dropped")
+        edges = save(rooted.join(sizes.filter(F.col("n") > in_task), "root", "left_semi").drop("root"), "edges")
+        n = edges.count()
+        for _ in range(3):
+            if not n:
+                break
+            fresh = save(nodes(edges, "kept_row").join(nodes(edges, "row"), "node", "left_anti"), "fresh")
+            gone = nodes(edges.join(fresh.withColumnRenamed("node", "kept_row"), "kept_row", "left_semi"), "row", "row")
+            dropped, edges, left = _without(dropped, edges, gone)
+            if left and left > 0.8 * n:
+                last = edges.select(F.struct("la", "row").alias("p")).orderBy("p").limit(in_task).agg(F.max("p")).first()[0]
+                first = edges.filter(F.struct("la", "row") <= F.struct(F.lit(last.la).alias("la"), F.lit(last.row).alias("row")))
+                found = first.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_greedy, _FOUND).select("row")
+                decided = nodes(first, "row", "row")
+                dropped, edges, left = _without(dropped, edges, found, decided)
+            if left >= n:
+                raise RuntimeError("a round of the visit decided no pair")
+            n = left
+    return dropped.distinct()
+
+
+def _without(dropped: DataFrame, edges: DataFrame, gone: DataFrame, decided: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The duplicates with those found anew, the pairs that are still undecided, and their number."""
+    gone = save(gone, "gone")
+    left = edges.join(gone if decided is None else decided, "row", "left_anti")
+    left = save(left.join(gone.withColumnRenamed("row", "kept_row"), "kept_row", "left_anti").select(edges.columns), "edges")
+    return save(dropped.union(gone), "dropped"), left, left.count()
+
+
+def fuzzy_pairs(df: DataFrame, keys: list[str], keep: str, threshold: float, block_on: list[str], tile: int = 8192, in_task: int = 200_000) -> DataFrame:
     """Rows like a kept row of their block, with the likest one.
 
     Blocks are the key's first character and the keys of `block_on`. Rows of a block
-    with the same key are one for the search: the first stands for them. A block is
-    dealt out as pairs of tiles, so a large one is scored by many tasks. The visit
-    in keep order runs over the pairs that reached the threshold: block by block in
-    tasks while they are `in_task` in all or fewer, else by rounds of joins.
+    with the same key are one for the search: the first stands for them. The visit in
+    keep order runs in tasks, for blocks while there are up to in_task pairs that
+    reached the threshold, else for components of their graph.
     """
     kinds = dict(df.dtypes)
     first = rank(df, keep)
@@ -148,29 +349,30 @@ def fuzzy_pairs(df: DataFrame, keys: list[str], keep: str, threshold: float, blo
     place = F.struct("a", "row")
     alike = rows.groupBy("block", "key").agg(F.min(place).alias("f"), F.max(place).alias("l"))
     heads = save(alike.select("block", "key", "f.a", "f.row", F.col("l.a").alias("last_a"), F.col("l.row").alias("last_row")), "heads")
-    sizes = save(heads.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("int").alias("n")), "blocks")
-    dealt = heads.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("row", "a", "last_a", "last_row", "key", "block", "chunk", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"))
-    near = dealt.groupBy("block", "x", "y").applyInPandas(_alike(threshold), "row long, kept_row long, score double, back boolean")
-    later = near.join(heads.select("row", F.col("a").alias("la"), "block"), "row")
-    both = save(later.join(heads.select(F.col("row").alias("kept_row"), F.col("a").alias("ka")), "kept_row"), "near")
+    both = save(near_pairs(heads, threshold, tile), "near")
     ahead = both.filter("not back")
     if ahead.count() <= in_task:
-        found = ahead.groupBy("block").applyInPandas(_greedy, "row long, kept_row long, score double")
+        found = ahead.groupBy("block").applyInPandas(_greedy, _FOUND)
     else:
-        found = _visited(ahead)
+        gone = _visited(ahead, in_task)
+        best = F.max(F.struct("score", (-F.col("ka")).alias("a"), (-F.col("kept_row")).alias("r"))).alias("b")
+        alive = ahead.join(gone.withColumnRenamed("row", "kept_row"), "kept_row", "left_anti")
+        found = alive.groupBy("row").agg(best).select("row", (-F.col("b.r")).alias("kept_row"), F.col("b.score").alias("score"))
     found = save(found, "found")
+    out = found.select("row", "kept_row", "score")
     # The other rows of a key: duplicates of the first if it is kept, else of the likest of all kept rows ahead of them.
-    members = rows.join(heads.filter("row <> last_row").select("block", "key", F.col("row").alias("head")), ["block", "key"]).filter("row <> head")
-    first_dropped = found.select(F.col("row").alias("head"))
-    same = members.join(first_dropped, "head", "left_anti").select("row", F.col("head").alias("kept_row"), F.lit(1.0).alias("score"))
-    kept = both.select(F.col("row").alias("head"), "kept_row", "score", "ka").join(found.select(F.col("row").alias("kept_row")), "kept_row", "left_anti")
-    tried = members.join(first_dropped, "head", "left_semi").select("head", "row", "a").join(kept, "head")
-    tried = tried.filter(F.struct(F.col("ka").alias("a"), F.col("kept_row").alias("row")) < F.struct("a", "row"))
-    best = F.max(F.struct("score", (-F.col("ka")).alias("ka"), (-F.col("kept_row")).alias("kept_row"))).alias("b")
-    other = tried.groupBy("row").agg(best).select("row", (-F.col("b.kept_row")).alias("kept_row"), F.col("b.score").alias("score"))
-    out = found.select("row", "kept_row", "score").union(same).union(other).join(rows.select("row", "key"), "row")
+    repeated = heads.filter("row <> last_row")
+    if not repeated.isEmpty():
+        members = rows.join(repeated.select("block", "key", F.col("row").alias("head")), ["block", "key"]).filter("row <> head")
+        first_dropped = found.select(F.col("row").alias("head"))
+        same = members.join(first_dropped, "head", "left_anti").select("row", F.col("head").alias("kept_row"), F.lit(1.0).alias("score"))
+        kept = both.select(F.col("row").alias("head"), "kept_row", "score", "ka").join(found.select(F.col("row").alias("kept_row")), "kept_row", "left_anti")
+        tried = members.join(first_dropped, "head", "left_semi").select("head", "row", "a").join(kept, "head")
+        tried = tried.filter(F.struct(F.col("ka").alias("a"), F.col("kept_row").alias("row")) < F.struct("a", "row"))
+        best = F.max(F.struct("score", (-F.col("ka")).alias("ka"), (-F.col("kept_row")).alias("kept_row"))).alias("b")
+        other = tried.groupBy("row").agg(best).select("row", (-F.col("b.kept_row")).alias("kept_row"), F.col("b.score").alias("score"))
+        out = out.union(same).union(other)
+    out = out.join(rows.select("row", "key"), "row")
     named = out.join(heads.select(F.col("row").alias("kept_row"), F.col("key").alias("kept_key")), "kept_row")
     return named.select("row", "kept_row", F.lit("fuzzy").alias("match"), F.round("score", 4).alias("score"), "key", "kept_key")
 
