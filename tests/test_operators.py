@@ -2,11 +2,14 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill import cli
 from tidemill.functions.text import clean_key_of
 from tidemill.operators.cleaner import Cleaner
-from tidemill.operators.profiling import Profile, clusters, date_layout, profile
+from tidemill.operators.evidence import layout
+from tidemill.operators.profiling import Profile, profile
+from tidemill.operators.spellings import clusters, spelling_clusters
 from tidemill.operators.validation import validate
 from tidemill.plans.pipeline import check_steps, content_hash, run_pipeline
 from tidemill.plans.suggest import outward, suggest
@@ -151,7 +154,9 @@ def test_profile_and_suggestion(spark, messy):
 
 def test_small_helpers(spark, tmp_path):
     assert [outward(125, True), outward(-8450, False), outward(0, True)] == [130, -8500, 0]
-    assert date_layout("15 de enero de 2023") == "DD Mon YYYY" and date_layout("31/02/2023") is None and date_layout("2/13/2023") == "MM/DD/YYYY"
+    days = ["15 de enero de 2023", "31/02/2023", "2/13/2023", "3/4/23", "2023-02-28T10:00:00Z", "2023.2.30", "Sept. 5, 2020", "5-ene-2020", "5-xyz-2020", "1/2/2023 x"]
+    shown = [r[0] for r in spark.createDataFrame([(d,) for d in days], "v string").select(layout(F.col("v"))).collect()]
+    assert shown == ["DD Mon YYYY", None, "MM/DD/YYYY", "DD/MM/YY", "YYYY-MM-DD", None, "Mon DD YYYY", "DD-Mon-YYYY", None, None]
     found = clusters([("Panamá", 2), ("panama", 1), ("Colombia", 3), ("Columbia", 1)])
     assert [(c["canonical"], c["count"]) for c in found] == [("Colombia", 4), ("Panamá", 3)]
     path = tmp_path / "a.csv"
@@ -273,3 +278,30 @@ def test_similarity_join_finds_the_pairs_of_brute_force(spark, threshold):
     for tile in (10_000, 25):
         got = [(r.row, r.kept_row, r.back) for r in dedup.near_pairs(heads, threshold, tile).collect()]
         assert len(got) == len({*got}) and {*got} == want
+
+
+def test_spelling_clusters_equal_all_pairs(spark):
+    from tidemill.functions.text import same_value
+
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abcde", k=rng.randint(3, 8))) for _ in range(500)]
+    words = list(dict.fromkeys(w for w in (rng.choice([x, x.upper(), x[:2] + x[3:], "Rep. de " + x, x[:1] + x[2:3] + x[1:2] + x[3:], x + rng.choice("ab1")]) for x in names * 3)))
+    counts = [(w, rng.randint(1, 9)) for w in words]
+    keys = sorted({clean_key_of(w) for w in words})
+    got = {(c["canonical"], c["count"], tuple(map(tuple, c["variants"]))) for c in clusters(counts)}
+    rows = spelling_clusters(spark.createDataFrame([(w, n, i) for i, (w, n) in enumerate(counts)], "v string, n long, at long")).collect()
+    assert {(r.canonical, r["count"], tuple((x.value, x.n) for x in r.variants)) for r in rows} == got
+    group = {w: i for i, (*_, variants) in enumerate(got) for w, _ in variants}
+    alone = {k: k for k in keys}
+
+    def root(k):
+        while alone[k] != k:
+            k = alone[k]
+        return k
+
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if root(a) != root(b) and same_value(a, b):
+                alone[root(a)] = root(b)
+    roots = {w: root(clean_key_of(w)) for w in words}
+    assert len({*roots.values()}) == len(got) and len({(roots[w], group[w]) for w in words}) == len(got)

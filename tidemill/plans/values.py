@@ -225,10 +225,10 @@ def profile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c["canonical"], c["count"], len(c["variants"])) for c in found], "canonical string, n long, spellings long")
 
 
-@register("""WITH s AS (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 2000) SELECT 'YYYY-MM-DD' AS layout, count(*) AS n FROM s WHERE o_orderkey % 3 = 0
+@register("""WITH s AS (SELECT o_orderkey FROM orders) SELECT 'YYYY-MM-DD' AS layout, count(*) AS n FROM s WHERE o_orderkey % 3 = 0
 UNION ALL SELECT 'DD/MM/YYYY', count(*) FROM s WHERE o_orderkey % 3 = 1 UNION ALL SELECT 'DD Mon YYYY', count(*) FROM s WHERE o_orderkey % 3 = 2""")
 def profile_date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layouts of the profile's sample, the first 2,000 values."""
+    """Layouts among the profile's first 2,000 distinct values, counted over all rows."""
     day = text("o_orderkey", ["2023-01-05", "13/02/2023", "5 de enero de 2023"])
     found = profile(messy(spark, sf_dir, "orders", "o_orderkey", day=day).frame.select(ROW, "day")).column("day").details["date_formats"]
     return spark.createDataFrame([*found.items()], "layout string, n long")
