@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.cleaner import Cleaner
-from tidemill.sources.tables import ROW, read_csv, read_csv_and_lines, read_parquet, with_row_ids, write_csv, write_review
+from tidemill.sources.tables import ROW, before_each, read_csv, read_csv_and_lines, read_parquet, renumbered, with_row_ids, write_csv, write_review
 
 
 def whole(df, n):
@@ -147,3 +147,18 @@ def test_review_file(spark, tmp_path):
     assert write_review([one, two], str(path), lines) == 2
     assert path.read_text() == "pair,role,row,line,match,score,x,y,z\n1,duplicate,4,10,fuzzy,0.9,a,2.0,\n1,kept,1,5,fuzzy,0.9,b,,\n2,duplicate,3,9,exact,1.0,,,True\n2,kept,0,2,exact,1.0,,,True\n"
     assert write_review([], str(path)) == 0
+
+
+def test_prefix_results_as_trees(spark):
+    rng = random.Random(4)
+    parts = [(k, rng.choice([None, None, f"v{k}"])) for k in sorted(rng.sample(range(400), 150))]
+    df = spark.createDataFrame(parts, "k long, v string")
+    for forward in (True, False):
+        want, last = {}, None
+        for k, v in parts if forward else parts[::-1]:
+            want[k] = last
+            last = v or last
+        assert dict(before_each(df, "k", "v", forward, 3).collect()) == want
+    places = spark.createDataFrame([(k * 7,) for k, _ in parts], f"`{ROW}` long").repartition(3)
+    assert sorted(r[0] for r in renumbered(places, 5).collect()) == [*range(150)]
+    assert renumbered(places.limit(0), 5).count() == 0

@@ -23,7 +23,7 @@ from tidemill.functions.quantiles import quantiles
 from tidemill.operators import dedup
 from tidemill.operators.options import TYPES, chosen, names
 from tidemill.sources.storage import save
-from tidemill.sources.tables import ROW, with_row_ids
+from tidemill.sources.tables import ROW, before_each, with_row_ids
 
 BUCKET = 100_000
 #: Variants listed in a log entry; counts are of all.
@@ -346,10 +346,9 @@ class Cleaner:
         kept = F.when(~self._missing(c), col(c))
         rows = self.frame.select("*", bucket.alias("__b"), kept.alias("__v"))
         inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        last = rows.filter(F.col("__v").isNotNull()).groupBy("__b").agg((F.max_by if forward else F.min_by)("__v", ROW).alias("v"))
+        last = rows.filter(F.col("__v").isNotNull()).groupBy("__b").agg((F.max_by if forward else F.min_by)("__v", ROW).alias("__x"))
         buckets = rows.select("__b").distinct().join(last, "__b", "left")
-        across = Window.orderBy(F.col("__b") if forward else -F.col("__b")).rowsBetween(Window.unboundedPreceding, -1)
-        carried = buckets.select("__b", F.last("v", ignorenulls=True).over(across).alias("__c"))
+        carried = before_each(save(buckets, "buckets"), "__b", "__x", forward, BUCKET).select("__b", F.col("__x").alias("__c"))
         filled = rows.withColumn("__v", F.last("__v", ignorenulls=True).over(inside)).join(carried, "__b", "left")
         self.frame = filled.withColumn(c, F.coalesce("__v", "__c")).select(self.frame.columns)
 
@@ -376,7 +375,10 @@ class Cleaner:
                 return self.frame.sparkSession.range(1).select(F.timestamp_micros(F.lit(int(result))).cast("timestamp_ntz")).first()[0], ""
             value = float(result)
         elif value == "mode":
-            return self.frame.filter(~self._missing(c)).agg(F.mode(col(c), True)).first()[0], ""
+            # Values are summed up by their groups, so that no task has to hold all of them; of equal ones the least.
+            counts = self.frame.filter(~self._missing(c)).groupBy(col(c).alias("v")).agg(F.count("*").alias("n"))
+            best = counts.orderBy(F.desc("n"), "v").first()
+            return (best["v"] if best else None), ""
         if whole or real:
             n = float(value) if isinstance(value, int | float) and not isinstance(value, bool) else self._scalar(numbers.parse_number, value)
             if n is None:

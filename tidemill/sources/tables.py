@@ -58,16 +58,43 @@ def with_row_ids(df: DataFrame) -> DataFrame:
     return placed.select(ROW, *((F.lit(None) if n in void else F.col(n)).alias(c) for n, c in zip(names, df.columns)))
 
 
+def before_each(parts: DataFrame, key: str, value: str, forward: bool = True, fan: int = 100_000) -> DataFrame:
+    """(key, value): for each of the parts, numbered by key, the last value that isn't null of the parts before it (or, not forward, of those behind).
+
+    A tree of prefix results: parts are windowed in groups of `fan` neighbours, and
+    what a group carries on comes from the groups' own table by the same rule, so no
+    window orders all parts.
+    """
+    rows = parts.select(F.col(key).alias("k"), F.col(value).alias("v"), F.floor(F.col(key) / fan).alias("g"))
+    inside = Window.partitionBy("g").orderBy(F.col("k") if forward else -F.col("k")).rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.select("k", "g", F.last("v", ignorenulls=True).over(inside).alias("v"))
+    groups = rows.groupBy("g").agg((F.max_by if forward else F.min_by)("v", F.when(F.col("v").isNotNull(), F.col("k"))).alias("u"))
+    if groups.count() > 1:
+        ahead = before_each(save(groups, "groups"), "g", "u", forward, fan)
+        told = told.join(ahead, "g").withColumn("v", F.coalesce("v", "u"))
+    return told.select(F.col("k").alias(key), F.col("v").alias(value))
+
+
+def _sums_before(parts: DataFrame, fan: int) -> DataFrame:
+    """(__b, __s): for each part the sum of __n of the parts before it, by a tree like that of before_each."""
+    rows = parts.withColumn("__g", F.floor(F.col("__b") / fan))
+    inside = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    told = rows.select("__b", "__g", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__s"))
+    groups = rows.groupBy("__g").agg(F.sum("__n").alias("__n"))
+    if groups.count() <= 1:
+        return told.select("__b", "__s")
+    ahead = _sums_before(save(groups.withColumnRenamed("__g", "__b"), "groups"), fan)
+    return told.join(ahead.select(F.col("__b").alias("__g"), F.col("__s").alias("__a")), "__g").select("__b", (F.col("__s") + F.col("__a")).alias("__s"))
+
+
 def renumbered(df: DataFrame, bucket: int = 100_000) -> DataFrame:
     """df with ROW made dense: 0, 1, ... in the order it had.
 
-    Rows are counted and numbered in buckets of neighbouring places; only one
-    number for each bucket is summed up across.
+    Rows are counted and numbered in buckets of neighbouring places; the buckets'
+    numbers are summed up as a tree.
     """
     rows = df.withColumn("__b", F.floor(F.col(ROW) / bucket))
-    sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    starts = _sums_before(save(rows.groupBy("__b").agg(F.count("*").alias("__n")), "sizes"), bucket)
     own = F.row_number().over(Window.partitionBy("__b").orderBy(ROW))
     out = rows.withColumn("__i", own).join(starts, "__b").withColumn(ROW, (F.col("__s") + F.col("__i") - 1).cast("long"))
     return out.select(df.columns)
