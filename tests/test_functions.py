@@ -52,15 +52,27 @@ def test_emails(spark):
     "raw, region, value, valid",
     [("6123-4567", "PA", "+50761234567", True), ("507 6123 4567", "PA", "+50761234567", True), ("+52 1 55 1234 5678", "PA", "+525512345678", True), ("0099887766", "PA", "+99887766", False), ("3105551234", "CO", "+573105551234", True), ("+593 0 991234567", "PA", "+593991234567", True), ("305-555-0199 ext. 12", "US", "+13055550199;ext=12", True), ("12", "PA", "+50712", False), ("n/a", "PA", None, False)],
 )
-def test_phones(raw, region, value, valid):
-    p = contacts.e164(raw, region)
+def test_phones(spark, raw, region, value, valid):
+    df = spark.createDataFrame([(raw, region), (None, None)], "raw string, region string")
+    p, none = (r.p for r in contacts.with_phones(df, F.col("raw"), F.col("region"), region, "p").collect())
     assert (p.value, p.valid) == (value, valid)
+    assert tuple(none) == (None, None, None, None, region, None)
+
+
+def test_phones_by_detours(spark):
+    rows = [("+507 6123-4567", "MX"), ("61234567", "MX"), ("5215512345678", "PA"), ("0099887766", "PA"), ("+50761234 ext 567", "PA"), ("ext. 5", "PA"), ("809 012 3456", "US"), (" N/A ", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, raw string, region string")
+    found = contacts.with_phones(df, F.col("raw"), F.col("region"), "PA", "p")
+    assert not {"Python", "Pandas", "Arrow"} & {w for w in ("Python", "Pandas", "Arrow") if w in found._jdf.queryExecution().executedPlan().toString()}
+    got = [(r.p.value, r.p.valid, r.p.region, r.p.via) for r in found.orderBy("i").collect()]
+    other, default = "international without '+'", "default region"
+    assert got == [("+50761234567", True, "PA", None), ("+50761234567", True, "PA", default), ("+525512345678", True, "MX", other), ("+99887766", False, None, None), ("+50761234567", True, "PA", other), (None, False, None, None), ("+18090123456", True, "DO", None), (None, False, None, None)]
 
 
 def test_regions_names_addresses():
     assert [contacts.region_of(x) for x in ("Rep. de Panamá", "méxico", "CO", "Columbia", "Nowhere", None)] == ["PA", "MX", "CO", "CO", None, None]
     with pytest.raises(ValueError, match="unknown phone region"):
-        contacts.e164("1", "XX")
+        contacts.known_region("XX")
     names = {"  JUAN   de la CRUZ ": "Juan de la Cruz", "maría josé": "María José", "o'brien": "O'Brien", "mcdonald": "McDonald", "jean-paul": "Jean-Paul", "j.r. smith": "J.R. Smith", "de la torre": "De la Torre", " ": None}
     assert {k: contacts.name_of(k) for k in names} == names
     addresses = {"ave balboa , edif 12b": "Avenida Balboa, Edificio 12B", "CRA 7 NO 12": "Carrera 7 No. 12", "PH Ocean, apto 3": "PH Ocean, Apartamento 3", "calle 5TA, CDMX": "Calle 5ta, CDMX", ", ,": None}

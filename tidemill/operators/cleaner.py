@@ -514,7 +514,12 @@ class Cleaner:
         for c in self._present("standardize_phones", columns):
             raw, gap = C.as_text(col(c), self._kind(c)), self._missing(c)
             country = C.as_text(col(region_column), self._kind(region_column)) if there else None
-            read = self.frame.withColumn("__p", contacts.phone(F.when(~gap, raw), country, default))
+            frame, region = self.frame, F.lit(None).cast("string")
+            if there:
+                known = contacts.regions_of(frame, country).select(F.col("country").alias("__country"), F.col("region").alias("__region"))
+                frame, region = frame.join(known, country == F.col("__country"), "left"), F.col("__region")
+            read = contacts.with_phones(frame, F.when(~gap, raw), region, default, "__p").drop("__country", "__region")
+            read = save(read, "phones")  # read once, whatever is told of it
             valid = F.coalesce(F.col("__p.valid"), F.lit(False))
             told = read.select(ROW, raw.alias("raw"), F.col("__p").alias("p"))
             ok, bad, via = F.col("p.valid"), ~F.col("p.valid"), F.col("p.valid") & F.col("p.via").isNotNull()
@@ -547,11 +552,13 @@ class Cleaner:
     def _by_value(self, op: str, columns: Any, function: Callable[[str | None], str | None], what: str) -> Cleaner:
         for c in self._present(op, columns):
             raw = C.as_text(col(c), self._kind(c))
-            told = self.frame.select(ROW, raw.alias("raw"), text.by_value(function)(raw).alias("new"))
+            made = save(self.frame.withColumn("__new", text.by_value(function)(raw)), "values")
+            told = made.select(ROW, raw.alias("raw"), F.col("__new").alias("new"))
             differs = ~F.col("raw").eqNullSafe(F.col("new"))
             n = told.agg(F.count_if(differs)).first()[0]
             some = [{"row": r[0], "from": short(r.raw), "to": short(r.new)} for r in told.filter(differs).orderBy(ROW).limit(10).collect()]
-            self._replace({c: text.by_value(function)(raw)})
+            columns = self.frame.columns
+            self.frame = made.withColumn(c, F.col("__new")).select(columns)
             self._record(op, f"{what} in '{c}': {n} cell(s) changed.", columns=[c], cells_changed=n, examples=some)
         return self
 
