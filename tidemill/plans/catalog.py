@@ -319,13 +319,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tidemill.plans import values  # noqa: F401  it registers more
+    from tidemill.plans import tables, values  # noqa: F401  they register more
 
     return {**_QUERIES, "flagship": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemill.plans import values  # noqa: F401
+    from tidemill.plans import tables, values  # noqa: F401
 
     price = """CASE o_orderkey % 6 WHEN 0 THEN floor(o_totalprice) + 0.5 WHEN 1 THEN -floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) + 0.25
       WHEN 3 THEN floor(o_totalprice) / 100.0 WHEN 4 THEN 1234000 + 100 + CAST(floor(o_totalprice) AS BIGINT) % 900 + 0.5 ELSE NULL END::DOUBLE"""
