@@ -18,9 +18,8 @@ without spread; below the resolution of their rates they are spread evenly by a
 hash of the counts.
 
 DataFrame functions only. Texts are read once; the steps run over the stored
-vectors, by pre-aggregated sums and a histogram of distances for each group, so
-no group meets in one task, and what they join with is one stored row for each
-group and start.
+vectors, by sums for each bin of a histogram of distances, so no group meets in
+one task, and what they join with is one stored row for each group and start.
 """
 
 from __future__ import annotations
@@ -139,20 +138,17 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
 def _factored(sums: DataFrame, keys: list[str]) -> DataFrame:
     """keys, centre (m_i), Cholesky factor (l_i_j) and log_det of rows with m_i and covariances s_i_j."""
-    out = sums
-    for i, j in _PAIRS:
-        value = F.col(f"s_{i}_{j}")
-        for k in range(j):
-            value = value - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-        out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(RIDGE))) if i == j else value / F.col(f"l_{j}_{j}"))
-    log_det = reduce(lambda a, b: a + b, (2 * F.log(f"l_{i}_{i}") for i in range(P)))
-    return out.select(*keys, *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS), log_det.alias("log_det"))
+    made = []
+    for i, j in _PAIRS:  # each column may name the ones ahead of it
+        value = " - ".join([f"s_{i}_{j}", *(f"l_{i}_{k} * l_{j}_{k}" for k in range(j))])
+        made.append(f"sqrt(greatest({value}, {RIDGE}D)) AS l_{i}_{i}" if i == j else f"({value}) / l_{j}_{j} AS l_{i}_{j}")
+    log_det = " + ".join(f"2 * ln(l_{i}_{i})" for i in range(P))
+    return sums.selectExpr(*keys, *(f"m_{i}" for i in range(P)), *made, f"{log_det} AS log_det")
 
 
-def _moments(x: list[Column], weight: Column | None = None) -> list[Column]:
+def _moments(x: list[Column]) -> list[Column]:
     """Aggregates: means m_i and mean products p_i_j of the columns x."""
-    total = lambda c: F.avg(c) if weight is None else F.sum(c * weight) / F.sum(weight)
-    return [*(total(c).alias(f"m_{i}") for i, c in enumerate(x)), *(total(x[i] * x[j]).alias(f"p_{i}_{j}") for i, j in _PAIRS)]
+    return [*(F.avg(c).alias(f"m_{i}") for i, c in enumerate(x)), *(F.avg(x[i] * x[j]).alias(f"p_{i}_{j}") for i, j in _PAIRS)]
 
 
 def _covariances(keys: list[str]) -> list[Column]:
@@ -196,12 +192,11 @@ def starts(vectors: DataFrame) -> DataFrame:
 
 def _measured(out: DataFrame) -> DataFrame:
     """Rows with the statistics and an estimate, and the squared Mahalanobis `distance`."""
+    made = []
     for i, name in enumerate(NAMES):
-        value = F.col(name) - F.col(f"m_{i}")
-        for j in range(i):
-            value = value - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
-        out = out.withColumn(f"z_{i}", value / F.col(f"l_{i}_{i}"))
-    return out.withColumn("distance", reduce(lambda a, b: a + b, (F.col(f"z_{i}") ** 2 for i in range(P))))
+        value = " - ".join([name, f"m_{i}", *(f"l_{i}_{j} * z_{j}" for j in range(i))])
+        made.append(f"({value}) / l_{i}_{i} AS z_{i}")
+    return out.selectExpr("*", *made, " + ".join(f"z_{i} * z_{i}" for i in range(P)) + " AS distance")
 
 
 def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -210,18 +205,22 @@ def distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def concentrated(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Estimates (group, start, ...) from the SHARE of each group's vectors that are nearest to the given ones (stored)."""
-    near = F.floor(BINS * F.log(F.col("distance") + 1e-12)).cast("int").alias("bin")
-    sizes = distances(vectors, estimates).select("group", "start", near).groupBy("group", "start", "bin").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("group", "start").orderBy("bin")
-    upto, wanted = F.sum("n").over(order), SHARE * F.sum("n").over(Window.partitionBy("group", "start"))
-    part = F.struct(F.col("bin").alias("last"), ((wanted - (upto - F.col("n"))) / F.col("n")).alias("part"))
-    last = sizes.select("group", "start", part.alias("e"), (upto >= wanted).alias("enough")).filter("enough").groupBy("group", "start").agg(F.min("e").alias("e"))
-    bounded = save(estimates.join(last.select("group", "start", "e.*"), ["group", "start"]), "bounds")
-    measured = distances(vectors, bounded).select("group", "start", *NAMES, near, "last", "part").filter("bin <= last")
-    weight = F.when(F.col("bin") < F.col("last"), F.lit(1.0)).otherwise(F.col("part"))
-    moments = measured.groupBy("group", "start").agg(*_moments([F.col(n) for n in NAMES], weight))
-    return save(_factored(moments.select(*_covariances(["group", "start"])), ["group", "start"]), "estimates")
+    """Estimates (group, start, ...) from the SHARE of each group's vectors that are nearest to the given ones.
+
+    The vectors are read once: sums for each bin of the distance's logarithm, of which
+    there are some thousand for each group and start, then the bins that are needed.
+    """
+    means, products = [f"m_{i}" for i in range(P)], [f"p_{i}_{j}" for i, j in _PAIRS]
+    measured = distances(vectors, estimates).selectExpr("group", "start", f"CAST(floor({BINS}D * ln(distance + 1e-12D)) AS INT) AS bin", *NAMES)
+    sums = [f"sum({NAMES[i]}) AS m_{i}" for i in range(P)] + [f"sum({NAMES[i]} * {NAMES[j]}) AS p_{i}_{j}" for i, j in _PAIRS]
+    bins = measured.groupBy("group", "start", "bin").agg(F.count("*").alias("n"), *map(F.expr, sums))
+    order = "PARTITION BY group, start"
+    ahead = f"coalesce(sum(n) OVER ({order} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    # The bin that fills the share is taken by a part.
+    taken = bins.selectExpr("*", f"least(1.0D, ({SHARE}D * sum(n) OVER ({order}) - {ahead}) / n) AS part").filter("part > 0")
+    moments = taken.groupBy("group", "start").agg(*(F.expr(f"sum({n} * part) / sum(n * part) AS {n}") for n in means + products))
+    covariances = [f"p_{i}_{j} - m_{i} * m_{j} AS s_{i}_{j}" for i, j in _PAIRS]
+    return _factored(moments.selectExpr("group", "start", *means, *covariances), ["group", "start"])
 
 
 def estimates(vectors: DataFrame, steps: int = 50, least_fall: float = 1e-6) -> DataFrame:
@@ -231,19 +230,20 @@ def estimates(vectors: DataFrame, steps: int = 50, least_fall: float = 1e-6) ->
     not corrected for consistency. start tells which search found it.
     """
     now = save(starts(vectors), "starts")
-    for _ in range(2):
-        now = concentrated(vectors, now)
-    best = F.min(F.struct("log_det", F.struct(*(c for c in now.columns if c != "log_det")).alias("e")))
-    now = save(now.groupBy("group").agg(best.alias("b")).select("b.e.*", "b.log_det"), "best")
+    now = save(concentrated(vectors, save(concentrated(vectors, now), "estimates")), "estimates")
+    columns = [c for c in now.columns if c != "group"]
+    best = F.min(F.struct("log_det", F.struct(*(c for c in columns if c != "log_det")).alias("e")))
+    now = now.groupBy("group").agg(best.alias("b")).select("group", "b.e.*", "b.log_det")
+    now = save(now.select("group", *columns, F.lit(True).alias("falls")), "best")
     for _ in range(steps):
-        new = concentrated(vectors, now)
-        before = now.select("group", F.col("log_det").alias("before"))
-        fell = new.join(before, "group").filter(F.col("before") - F.col("log_det") > least_fall).count()
-        if not fell:
+        # Only groups whose determinant still falls take another step.
+        new = concentrated(vectors, now.filter("falls").drop("falls")).select("group", F.struct(*columns).alias("new"))
+        fall = F.coalesce(F.col("log_det") - F.col("new.log_det"), F.lit(0.0))
+        both = now.join(new, "group", "left").select("group", F.when(fall > 0, F.col("new")).otherwise(F.struct(*columns)).alias("e"), (fall > least_fall).alias("falls"))
+        now = save(both.select("group", "e.*", "falls"), "estimates")
+        if not now.filter("falls").limit(1).count():
             break
-        better = new.join(before, "group").filter(F.col("log_det") < F.col("before")).select(*new.columns)
-        now = save(better.union(now.join(better.select("group"), "group", "left_anti").select(*new.columns)), "estimates")
-    return now
+    return now.drop("falls")
 
 
 def _vectors(passed: DataFrame) -> tuple[DataFrame, DataFrame]:
