@@ -22,16 +22,16 @@ from tidemill.llm.storage import rows_where, small_batches
 
 #: Families of ISO 639-1 codes; a code that isn't here is a family of its own.
 FAMILIES = {
-    "germanic": "de en nl sv da no nb nn is af fy lb yi",
-    "romance": "fr es it pt ro ca gl oc la",
-    "slavic": "ru uk be pl cs sk bg sr hr bs sl mk",
-    "uralic": "fi et hu",
-    "turkic": "tr az kk uz ky tk tt",
-    "semitic": "ar he mt am",
-    "indic": "hi bn ur pa gu mr ne si",
-    "iranian": "fa ps ku tg",
+    "germanic": ("de", "en", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
+    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl", "oc", "la"),
+    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "bs", "sl", "mk"),
+    "uralic": ("fi", "et", "hu"),
+    "turkic": ("tr", "az", "kk", "uz", "ky", "tk", "tt"),
+    "semitic": ("ar", "he", "mt", "am"),
+    "indic": ("hi", "bn", "ur", "pa", "gu", "mr", "ne", "si"),
+    "iranian": ("fa", "ps", "ku", "tg"),
 }
-_FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+_FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 BITS, ORDERS = 13, (1, 2, 3, 4)
 _LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 

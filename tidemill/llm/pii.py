@@ -20,32 +20,32 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: How long IBANs are, by country.
+#: How long IBANs are, by country.
 IBAN_LENGTHS = {
-    15: "NO",
-    16: "BE",
-    18: "DK FI FK FO GL NL SD",
-    19: "MK SI",
-    20: "AT BA EE KZ LT LU MN XK",
-    21: "CH HR LI LV",
-    22: "BG BH CR DE GB GE IE ME RS VA",
-    23: "AE GI IL IQ OM SO TL",
-    24: "AD CZ ES MD PK RO SA SE SK TN VG",
-    25: "LY PT ST",
-    26: "IS TR",
-    27: "BI DJ FR GR IT MC MR SM",
-    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
-    29: "BR EG PS QA UA",
-    30: "JO KW MU YE",
-    31: "MT SC",
-    32: "LC",
-    33: "RU",
+    15: ("NO",),
+    16: ("BE",),
+    18: ("DK", "FI", "FK", "FO", "GL", "NL", "SD"),
+    19: ("MK", "SI"),
+    20: ("AT", "BA", "EE", "KZ", "LT", "LU", "MN", "XK"),
+    21: ("CH", "HR", "LI", "LV"),
+    22: ("BG", "BH", "CR", "DE", "GB", "GE", "IE", "ME", "RS", "VA"),
+    23: ("AE", "GI", "IL", "IQ", "OM", "SO", "TL"),
+    24: ("AD", "CZ", "ES", "MD", "PK", "RO", "SA", "SE", "SK", "TN", "VG"),
+    25: ("LY", "PT", "ST"),
+    26: ("IS", "TR"),
+    27: ("BI", "DJ", "FR", "GR", "IT", "MC", "MR", "SM"),
+    28: ("AL", "AZ", "BY", "CY", "DO", "GT", "HN", "HU", "LB", "NI", "PL", "SV"),
+    29: ("BR", "EG", "PS", "QA", "UA"),
+    30: ("JO", "KW", "MU", "YE"),
+    31: ("MT", "SC"),
+    32: ("LC",),
+    33: ("RU",),
 }
-_COUNTRIES = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+_COUNTRIES = "|".join(c for codes in IBAN_LENGTHS.values() for c in codes)
 #: An IBAN at a text's start: as long as its country's are, or as long as it goes.
 _IBAN = (
     "^(?:"
-    + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+    + "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
     + rf"|(?!{_COUNTRIES})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
 )
 MORE = {
