@@ -8,7 +8,7 @@ from tidemill import cli
 from tidemill.functions.text import clean_key_of
 from tidemill.operators.cleaner import Cleaner
 from tidemill.operators.evidence import layout
-from tidemill.operators.profiling import Profile, profile
+from tidemill.operators.profiling import Profile, infer_types, profile
 from tidemill.operators.spellings import clusters, spelling_clusters
 from tidemill.operators.validation import validate
 from tidemill.plans.pipeline import check_steps, content_hash, run_pipeline
@@ -244,14 +244,15 @@ def test_visit_of_chains_hubs_and_others(spark, in_task):
     from tidemill.operators import dedup
 
     rng = random.Random(2)
-    chain = [(i + 1, i) for i in range(120)]
-    hub = [(1_000 + i, 500) for i in range(300)]
+    large = in_task == 100_000
+    chain = [(i + 1, i) for i in range(2_000 if large else 120)]
+    hub = [(10_000 + i, 5_500) for i in range(50_000 if large else 300)]
     loose = {tuple(sorted(rng.sample(range(5_000, 5_090), 2), reverse=True)) for _ in range(160)}
     pairs = [(a, b, rng.choice([0.9, 0.95])) for a, b in [*chain, *hub, *loose]]
     df = spark.createDataFrame([(*p, 0, 0) for p in pairs], "row long, kept_row long, score double, la long, ka long")
     if in_task == 7:
-        df = df.filter("row < 40 OR row >= 5000")
-        pairs = [p for p in pairs if p[0] < 40 or p[0] >= 5_000]
+        df = df.filter("row < 40 OR row BETWEEN 5000 AND 9999")
+        pairs = [p for p in pairs if p[0] < 40 or 5_000 <= p[0] < 10_000]
     got = {r.row for r in dedup._visited(df, in_task).collect()}
     assert got == {*greedy(pairs)}
 
@@ -305,3 +306,16 @@ def test_spelling_clusters_equal_all_pairs(spark):
                 alone[root(a)] = root(b)
     roots = {w: root(clean_key_of(w)) for w in words}
     assert len({*roots.values()}) == len(got) and len({(roots[w], group[w]) for w in words}) == len(got)
+
+
+def test_types_of_many_columns_take_as_many_jobs_as_of_few(spark):
+    def jobs(n):
+        df = spark.range(50).select(F.col("id").alias(ROW), *((F.col("id") % (i + 2)).cast("string").alias(f"c{i}") for i in range(n)))
+        spark.sparkContext.setJobGroup(f"types of {n}", "")
+        try:
+            infer_types(df)
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"types of {n}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert 0 < jobs(40) == jobs(3)

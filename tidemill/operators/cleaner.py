@@ -263,7 +263,7 @@ class Cleaner:
 
         value = C.as_text(col(column), self._kind(column))
         values = self.frame.select(value.alias("v"), F.col(ROW)).filter(~C.is_missing(F.col("v"), "string")).groupBy("v").agg(F.count("*").alias("n"), F.min(ROW).alias("at"))
-        told = values.select("v", "n", "at", text.by_value(label)(F.col("v")).alias("label"), text.canonical_key(F.col("v")).alias("key"))
+        told = save(values.select("v", "n", "at", text.by_value(label)(F.col("v")).alias("label"), text.canonical_key(F.col("v")).alias("key")), "labels")
         mapped = told.filter("label is not null and label <> v")
         cells, variants = mapped.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         # A key that matches nothing is told once, by the spelling that comes first.
@@ -443,7 +443,11 @@ class Cleaner:
         chosen("method", method)
         chosen("action", action)
         cols = [c for c in names(columns) if c in self.columns]
-        values = {c: self._numbers(c) for c in cols}
+        parsed = {c: f"__n{i}" for i, c in enumerate(cols)}
+        columns = self.frame.columns
+        if cols:
+            self.frame = save(self.frame.withColumns({n: self._numbers(c) for c, n in parsed.items()}), "numbers")  # texts are parsed once
+        values = {c: F.col(n) for c, n in parsed.items()}
         bounds = fences(self.frame, values, method, factor, z)
         whole = ("int", "bigint", "smallint", "tinyint")
         bounds = {c: (float(math.ceil(a)), float(math.floor(b))) if self._kind(c) in whole else (a, b) for c, (a, b) in bounds.items()}
@@ -468,7 +472,8 @@ class Cleaner:
                 if not n:
                     new[c] = F.greatest(F.least(F.when(values[c].isNotNull(), values[c]), F.lit(bounds[c][1])), F.when(values[c].isNotNull(), F.lit(bounds[c][0])))
                     new[c] = F.when(values[c].isNotNull(), new[c])
-        self._replace(new)
+        self.frame = self.frame.withColumns(new).select(*(f"`{c}`" for c in [*columns, *(c for c in new if c not in columns)]))
+        self._stored()
         total = sum(counts[c] for c in touched)
         message = f"{'Capped' if action == 'cap' else 'Flagged'} {total} outlier(s) across {len(touched)} column(s) via {method}."
         return self._record("handle_outliers", message, columns=touched, outliers=total, method=method, action=action, fences={c: list(bounds[c]) for c in touched}, examples=examples)
@@ -488,12 +493,14 @@ class Cleaner:
         chosen("invalid", invalid)
         for c in self._present("standardize_emails", columns):
             raw, gap = C.as_text(col(c), self._kind(c)), self._missing(c)
-            told = self.frame.select(ROW, raw.alias("raw"), F.when(~gap, contacts.email(raw, fix_typos)).alias("e"))
+            read = save(self.frame.withColumn("__e", F.when(~gap, contacts.email(raw, fix_typos))), "emails")  # read once, whatever is told of it
+            told = read.select(ROW, raw.alias("raw"), F.col("__e").alias("e"))
             bad = F.col("e").isNotNull() & ~F.col("e.valid")
             changed, fixed, n_bad = told.agg(F.count_if(F.col("e.value") != F.col("raw")), F.count_if(F.col("e.fixed")), F.count_if(bad)).first()
             examples = [{"row": r[0], "value": short(r.raw)} | ({"suggestion": r.e.suggestion} if r.e.suggestion else {}) for r in told.filter(bad).orderBy(ROW).limit(20).collect()]
-            e = F.when(~gap, contacts.email(raw, fix_typos))
-            self._settle(c, e["value"], F.coalesce(~e["valid"], F.lit(False)), invalid)
+            self.frame = read
+            self._settle(c, F.col("__e.value"), F.coalesce(~F.col("__e.valid"), F.lit(False)), invalid)
+            self.frame = self.frame.drop("__e")
             fate = {"keep": "kept", "null": "set to null", "flag": "flagged"}[invalid]
             message = f"Standardised emails in '{c}': {changed} cell(s) changed, {fixed} domain typo(s) fixed, {n_bad} invalid" + (f" ({fate})." if n_bad else ".")
             self._record("standardize_emails", message, columns=[c], cells_changed=changed, typos_fixed=fixed, invalid=n_bad, invalid_examples=examples, on_invalid=invalid)

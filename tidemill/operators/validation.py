@@ -95,7 +95,7 @@ def _found(v: Column, pattern: str) -> Column:
     java = "(?Ud)" + pattern.replace(r"\Z", r"\z").replace("(?P<", "(?<")
     if not re.search(r"\(\?P[=>]|\(\?\(|\[\^?[^\]]*(?:\[|&&)", pattern):
         try:
-            SparkSession.active().range(1).select(F.lit("x").rlike(java)).collect()
+            SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(java)
             return v.rlike(java)
         except Exception:  # the engine's own complaint about the pattern
             pass
