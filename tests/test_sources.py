@@ -162,3 +162,7 @@ def test_prefix_results_as_trees(spark):
     places = spark.createDataFrame([(k * 7,) for k, _ in parts], f"`{ROW}` long").repartition(3)
     assert sorted(r[0] for r in renumbered(places, 5).collect()) == [*range(150)]
     assert renumbered(places.limit(0), 5).count() == 0
+    turned = {r[0]: r[1] for r in renumbered(places.select((-F.col(ROW)).alias(ROW), F.col(ROW).alias("old")), 5).select("old", ROW).collect()}
+    assert turned == {7 * k: i for i, (k, _) in enumerate(reversed(parts))}
+    below = df.select((F.col("k") - 200).alias("k"), "v")
+    assert {r.k + 200: r.v for r in before_each(below, "k", "v", False, 3).collect()} == want

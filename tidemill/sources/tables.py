@@ -65,7 +65,8 @@ def before_each(parts: DataFrame, key: str, value: str, forward: bool = True, fa
     what a group carries on comes from the groups' own table by the same rule, so no
     window orders all parts.
     """
-    rows = parts.select(F.col(key).alias("k"), F.col(value).alias("v"), F.floor(F.col(key) / fan).alias("g"))
+    least = parts.agg(F.min(key)).first()[0] or 0  # keys may be negative
+    rows = parts.select(F.col(key).alias("k"), F.col(value).alias("v"), F.floor((F.col(key) - least) / fan).alias("g"))
     inside = Window.partitionBy("g").orderBy(F.col("k") if forward else -F.col("k")).rowsBetween(Window.unboundedPreceding, -1)
     told = rows.select("k", "g", F.last("v", ignorenulls=True).over(inside).alias("v"))
     groups = rows.groupBy("g").agg((F.max_by if forward else F.min_by)("v", F.when(F.col("v").isNotNull(), F.col("k"))).alias("u"))
@@ -77,7 +78,8 @@ def before_each(parts: DataFrame, key: str, value: str, forward: bool = True, fa
 
 def _sums_before(parts: DataFrame, fan: int) -> DataFrame:
     """(__b, __s): for each part the sum of __n of the parts before it, by a tree like that of before_each."""
-    rows = parts.withColumn("__g", F.floor(F.col("__b") / fan))
+    least = parts.agg(F.min("__b")).first()[0] or 0  # places may be negative
+    rows = parts.withColumn("__g", F.floor((F.col("__b") - least) / fan))
     inside = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     told = rows.select("__b", "__g", F.coalesce(F.sum("__n").over(inside), F.lit(0)).alias("__s"))
     groups = rows.groupBy("__g").agg(F.sum("__n").alias("__n"))
