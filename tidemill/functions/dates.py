@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+def _lower(c: Column) -> Column:
+    """Letters A to Z in lower case."""
+    return F.translate(c, ascii_uppercase, ascii_lowercase)
+
+
 def _parts(s: Column, pattern: str, order: str, mark: str = "") -> Column:
     """[year, month, day, hour, minute, second, half, mark] of a text with the pattern, matched once; no date: one element.
 
@@ -40,11 +46,43 @@ def _parts(s: Column, pattern: str, order: str, mark: str = "") -> Column:
     return F.split(F.regexp_replace(s, pattern + _TIME, f"{order}|$4|$5|$6|$7|{mark}"), r"\|")
 
 
+def _days(year: Column, month: Column) -> Column:
+    """Days of a month; dates that don't exist are told by it, not by an exception for each."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
+def _dated(t: Column) -> Column:
+    """What `read_date` returns, of a date's parts."""
+    numeric, a, b = t["numeric"], t["a"], t["b"]
+    now = date.today().year
+    guess = _int(t["year"]) + (now // 100) * 100
+    near = F.when(guess >= now + 50, guess - 100).when(guess < now - 50, guess + 100).otherwise(guess)
+    year = F.when(numeric & (F.length(t["year"]) == 2), near).otherwise(_int(t["year"]))
+    hour = F.coalesce(t["hour"], F.lit(0))
+    hour = F.when((t["half"] == "p") & (hour < 12), hour + 12).when((t["half"] == "a") & (hour == 12), F.lit(0)).otherwise(hour)
+    second = F.coalesce(t["second"], F.lit(0).cast("decimal(8,6)"))
+
+    def made(year: Column, month: Column, day: Column) -> Column:
+        there = month.between(1, 12) & day.between(1, _days(year, month))
+        return F.when(there, F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(t["minute"], F.lit(0)), second))
+
+    def orders(y: Column) -> Column:
+        month_first = F.when(numeric & (a > 12), made(y, b, a)).otherwise(made(y, a, b))
+        day_first = F.when(numeric & ((a > 12) | (b <= 12)), made(y, b, a)).otherwise(made(y, a, b))
+        stamps = {k: F.coalesce(t["iso"], v).cast("timestamp_ntz").alias(k) for k, v in (("month_first", month_first), ("day_first", day_first))}
+        return F.struct(numeric.alias("numeric"), a.alias("a"), b.alias("b"), *stamps.values())
+
+    return let(year, orders)
+
+
 def read_date(c: Column) -> Column:
-    """The text's date in parts, each layout's pattern matched once: (iso, year, a, b, numeric, hour, minute, second, half).
+    """The text's date in parts, each layout's pattern matched once: (numeric, a, b, month_first, day_first).
 
-    iso is the timestamp of an ISO text; else a and b are month and day, or of a
-    numeric date the first and second number. Null for what has no date's shape.
+    month_first and day_first are the timestamps that the two orders of day and month
+    give, the same where only one order can be. a and b are a numeric date's first and
+    second number. Null for what has no date's shape; two-digit years lie within 50
+    years of now.
     """
 
     def layout(s: Column) -> Column:
@@ -58,18 +96,18 @@ def read_date(c: Column) -> Column:
         )
 
     def told(s: Column) -> Column:
-        is_iso = s.rlike(ISO)
         stamp = s.try_cast("timestamp")
         iso = F.when(s.rlike(_OFFSET), F.to_utc_timestamp(stamp, F.current_timezone())).otherwise(stamp).cast("timestamp_ntz")
 
         def fields(p: Column) -> Column:
-            month = F.coalesce(_int(p[1]), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(p[1], 1, 3))).cast("int"))
-            whole = (F.size(p) == 8) & ~is_iso
-            values = {"iso": F.when(is_iso, iso), "year": F.when(whole, p[0]), "a": F.when(whole, month), "b": F.when(whole, _int(p[2])), "numeric": whole & (p[7] == "n")}
-            values |= {"hour": F.when(whole, _int(p[3])), "minute": F.when(whole, _int(p[4])), "second": F.when(whole, p[5].try_cast("decimal(8,6)")), "half": F.when(whole, F.lower(p[6]))}
-            return F.struct(*(v.alias(k) for k, v in values.items()))
+            """Of all parts or of a null; only digits are cast, as a failed cast costs an exception for each row."""
+            month = F.when(p[1] < "A", _int(p[1])).otherwise(F.array_position(F.array(*map(F.lit, MONTHS)), _lower(F.substring(p[1], 1, 3))).cast("int"))
+            number = lambda x: F.when(x != "", _int(x))
+            values = {"iso": F.when(p.isNull() & s.rlike(ISO), iso), "year": p[0], "a": month, "b": _int(p[2]), "numeric": F.coalesce(p[7] == "n", F.lit(False))}
+            values |= {"hour": number(p[3]), "minute": number(p[4]), "second": F.when(p[5] != "", p[5].try_cast("decimal(8,6)")), "half": _lower(p[6])}
+            return let(F.struct(*(v.alias(k) for k, v in values.items())), _dated)
 
-        return let(F.when(is_iso, F.array().cast("array<string>")).otherwise(layout(s)), fields)
+        return let(F.when(~s.rlike(ISO), let(layout(s), lambda p: F.when(F.size(p) == 8, p))), fields)
 
     return F.when(looks_like_date(c), let(strip(c), told))
 
@@ -101,20 +139,9 @@ def vote_columns(df: DataFrame, columns: list[str]) -> dict[str, tuple[bool, int
 def as_timestamp(read: Column, dayfirst: bool = False) -> Column:
     """The date of what `read_date` has read, null where it names a day that does not exist.
 
-    A numeric date that can be read only one way is read that way whatever the
-    vote; two-digit years lie within 50 years of now.
+    A numeric date that can be read only one way is read that way whatever the vote.
     """
-    now = date.today().year
-    y, a, b = _int(read["year"]), read["a"], read["b"]
-    guess = y + (now // 100) * 100
-    near = F.when(guess >= now + 50, guess - 100).when(guess < now - 50, guess + 100).otherwise(guess)
-    year = F.when(read["numeric"] & (F.length(read["year"]) == 2), near).otherwise(y)
-    day_first = read["numeric"] & F.when(a > 12, True).when(b > 12, False).otherwise(dayfirst)
-    hour = F.coalesce(read["hour"], F.lit(0))
-    hour = F.when((read["half"] == "p") & (hour < 12), hour + 12).when((read["half"] == "a") & (hour == 12), F.lit(0)).otherwise(hour)
-    second = F.coalesce(read["second"], F.lit(0).cast("decimal(8,6)"))
-    made = F.try_make_timestamp_ntz(year, F.when(day_first, b).otherwise(a), F.when(day_first, a).otherwise(b), hour, F.coalesce(read["minute"], F.lit(0)), second)
-    return F.coalesce(read["iso"], made).cast("timestamp_ntz")
+    return read["day_first"] if dayfirst else read["month_first"]
 
 
 def parse_date(c: Column, dayfirst: bool = False) -> Column:

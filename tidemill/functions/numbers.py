@@ -29,12 +29,6 @@ def _count(s: Column, mark: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))
 
 
-def _last(s: Column, mark: str) -> Column:
-    """Position of the last mark, 0 where there is none."""
-    found = F.instr(F.reverse(s), mark)
-    return F.when(found > 0, F.length(s) - found + 1).otherwise(0)
-
-
 def core(c: Column) -> Column:
     """(text, negative, percent) of a number's text, null where it is none."""
 
@@ -44,7 +38,7 @@ def core(c: Column) -> Column:
 
     def unsigned(t: Column, closed: Column) -> Column:
         percent = t.endswith("%")
-        digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "%$", ""), CURRENCY, ""), f"[{SPACE}'’_]", "")
+        digits = F.regexp_replace(t, f"%$|{CURRENCY}|[{SPACE}'’_]", "")
         return let(F.regexp_replace(digits, r"^\+", ""), lambda d: finished(d, closed, percent))
 
     def finished(d: Column, closed: Column, percent: Column) -> Column:
@@ -59,31 +53,27 @@ def core(c: Column) -> Column:
     return let(strip(c), lambda s: F.when(s.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$"), simple(s)).when(known(s), bare(s))).cast(_CORE)
 
 
-def ambiguous_mark(text: Column) -> Column:
-    """The separator of a core like `1.000`, which may be a thousand or one; else null."""
-    return F.when(text.rlike(r"^(?!0[.,])[0-9]{1,3}\.[0-9]{3}$"), ".").when(text.rlike(r"^(?!0[.,])[0-9]{1,3},[0-9]{3}$"), ",")
+#: Cores that may be thousands or ones, such as `1.000`, by their separator.
+AMBIGUOUS = {".": r"^(?!0[.,])[0-9]{1,3}\.[0-9]{3}$", ",": r"^(?!0[.,])[0-9]{1,3},[0-9]{3}$"}
 
 
-def _plain(text: Column, hint: Column) -> Column:
-    """The core's digits with a point for the decimal mark."""
+def ambiguous_mark(text: Column) -> Column:
+    """The separator of an ambiguous core, else null."""
+    return F.when(text.rlike(AMBIGUOUS["."]), ".").when(text.rlike(AMBIGUOUS[","]), ",")
 
-    def read(s: Column) -> Column:
-        comma, dot = _last(s, ","), _last(s, ".")
-        both = (comma > 0) & (dot > 0)
-        point = lambda x: F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-        without = lambda x, m: F.replace(x, F.lit(m), F.lit(""))
-        return (
-            F.when((hint == ",") & ~(both & (dot > comma)) & (_count(s, ",") <= 1), point(s))
-            .when((hint == ".") & ~(both & (comma > dot)) & (_count(s, ".") <= 1), without(s, ","))
-            .when(both & (comma > dot), point(s))
-            .when(both, without(s, ","))
-            .when(s.rlike("^[^,]*,[0-9]{1,2}$"), F.replace(s, F.lit(","), F.lit(".")))
-            .when(comma > 0, without(s, ","))
-            .when((_count(s, ".") > 1) & s.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$"), without(s, "."))
-            .otherwise(s)
-        )
 
-    return let(text, read)
+def _plain(s: Column, hints: tuple[str | None, str | None]) -> Column:
+    """The core's digits with a point for the decimal mark; s is a column or a field of one."""
+    without = lambda mark: F.replace(s, F.lit(mark), F.lit(""))
+    comma_to_point = F.replace(without("."), F.lit(","), F.lit("."))
+    dots = F.when(s.rlike(AMBIGUOUS["."]), without(".")).otherwise(s) if hints[0] == "," else s
+    decimal = s.rlike("^[^,]*,[0-9]{1,2}$" + (f"|{AMBIGUOUS[',']}" if hints[1] == "," else ""))
+    return (
+        F.when(~s.contains(",") & (_count(s, ".") <= 1), dots)
+        .when(~s.contains(","), F.when(s.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})+$"), without(".")).otherwise(s))
+        .when(F.when(s.contains("."), s.rlike(",[0-9]*$")).otherwise(decimal), comma_to_point)
+        .otherwise(without(","))
+    )
 
 
 def parse_number(c: Column, kind: str = "string", hints: tuple[str | None, str | None] = (None, None)) -> Column:
@@ -110,11 +100,8 @@ def read_number(c: Column) -> Column:
 def number_of(read: Column, hints: tuple[str | None, str | None]) -> Column:
     """The number of what `read_number` has read."""
     k = read["core"]
-    mark = ambiguous_mark(k["text"])
-    hint = F.when(mark == ".", F.lit(hints[0])).when(mark == ",", F.lit(hints[1])).otherwise(F.lit(None).cast("string"))
-    number = _plain(k["text"], hint).try_cast("double")
-    number = F.when(k["percent"], number / 100.0).otherwise(number)
-    return F.coalesce(read["exact"], F.when(k["negative"], -number).otherwise(number))
+    number = _plain(k["text"], hints).try_cast("double") / F.when(k["percent"], 100.0).otherwise(1.0)
+    return F.coalesce(read["exact"], number * F.when(k["negative"], -1.0).otherwise(1.0))
 
 
 def parse_boolean(c: Column, kind: str = "string") -> Column:
@@ -132,22 +119,17 @@ def round_half_away(c: Column) -> Column:
 BUCKETS = tuple(f"{what}{mark}" for what in ("thousands", "decimal", "decimal3") for mark in ".,")
 
 
-def shown(text: Column) -> Column:
-    """Which of BUCKETS a number's core is evidence for, or `ambiguous`."""
-
-    def labels(s: Column) -> Column:
-        comma, dot = _last(s, ","), _last(s, ".")
-        tail = lambda mark: F.when(F.length(F.substring_index(s, mark, -1)) == 3, F.lit(f"decimal3{mark}")).otherwise(F.lit(f"decimal{mark}"))
-        grouped = s.rlike(r"^[0-9]{1,3}(?:[.][0-9]{3})+$|^[0-9]{1,3}(?:,[0-9]{3})+$")
-        none = F.array().cast("array<string>")
-        out = F.when((comma > dot) & (dot > 0), F.array(F.lit("thousands."), tail(","))).when((dot > comma) & (comma > 0), F.array(F.lit("thousands,"), tail(".")))
-        out = out.when(ambiguous_mark(s).isNotNull(), F.array(F.lit("ambiguous")))
-        for mark, at in ((".", dot), (",", comma)):
-            many = _count(s, mark) > 1
-            out = out.when((at > 0) & many & grouped, F.array(F.lit(f"thousands{mark}"))).when((at > 0) & ~many, F.array(tail(mark)))
-        return out.otherwise(none)
-
-    return F.coalesce(let(text, labels), F.array().cast("array<string>"))
+def shown(s: Column) -> Column:
+    """Which of BUCKETS a number's core is evidence for, or `ambiguous`; s is a column or a field of one."""
+    tail = lambda mark: F.when(F.length(F.substring_index(s, mark, -1)) == 3, F.lit(f"decimal3{mark}")).otherwise(F.lit(f"decimal{mark}"))
+    none = F.array().cast("array<string>")
+    last = lambda mark, other: F.array(F.lit(f"thousands{other}"), tail(mark))
+    out = F.when(s.isNull() | ~s.rlike("[.,]"), none).when(s.contains(".") & s.contains(","), F.when(s.rlike(",[0-9]*$"), last(",", ".")).otherwise(last(".", ",")))
+    out = out.when(ambiguous_mark(s).isNotNull(), F.array(F.lit("ambiguous")))
+    for mark in ".,":
+        grouped = F.when(s.rlike(rf"^[0-9]{{1,3}}(?:[{mark}][0-9]{{3}})+$"), F.array(F.lit(f"thousands{mark}"))).otherwise(none)
+        out = out.when(s.contains(mark), F.when(_count(s, mark) > 1, grouped).otherwise(F.array(tail(mark))))
+    return out
 
 
 @dataclass
@@ -187,8 +169,9 @@ def read_columns(df: DataFrame, columns: list[str], row: str, reads: dict[str, C
     """
     if not columns:
         return {}
-    texts = {c: (reads or {}).get(c, read_number(F.col(f"`{c}`")))["core"]["text"] for c in columns}
-    seen = df.select(row, *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)), *(shown(texts[c]).alias(f"e{i}") for i, c in enumerate(columns)))
+    texts = [(reads or {}).get(c, read_number(F.col(f"`{c}`")))["core"]["text"].alias(f"t{i}") for i, c in enumerate(columns)]
+    seen = df.select(row, *(F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)), *texts)
+    seen = seen.withColumns({f"e{i}": shown(F.col(f"t{i}")) for i in range(len(columns))})
     aggs = []
     for i in range(len(columns)):
         for k, bucket in enumerate((*BUCKETS, "ambiguous")):

@@ -201,7 +201,7 @@ class Cleaner:
             mark = numbers.ambiguous_mark(numbers.core(old)["text"]) if C.is_text(kinds[c]) else F.lit(None)
             some = lambda where, n, *shown: told.filter(where).orderBy(ROW).select(ROW, *shown).limit(n).collect()
             if fact["unparsed"]:
-                fact["examples"] = [short(r[1]) for r in some(lost[c] & mark.isNull(), 5, old)]
+                fact["examples"] = [short(r[1]) for r in some(lost[c] & ((F.instr(old.cast("string"), ".") + F.instr(old.cast("string"), ",") == 0) | mark.isNull()), 5, old)]
             if fact["fractions"]:
                 fact["fraction_examples"] = [(r[0], short(r[1]), r[2]) for r in some(fraction[c], 20, old, numbers.round_half_away(F.col(number[c])).cast("long"))]
             if c in readings and readings[c].ambiguous:
