@@ -69,6 +69,11 @@ LAYOUTS = (
 
 def layout(v: Column, dayfirst: bool = True) -> Column:
     """The layout of a date, such as DD/MM/YYYY; null for what is no day of the calendar."""
+    # Most values have no date's characters at all; the long chain for the rest would make generated code too large to be compiled.
+    return F.when(v.rlike(r"^(?:[0-9]{1,4}[-/. ]|[A-Za-z]{3,10}\.? [0-9])"), C.let(v, lambda x: _layout(x, dayfirst)))
+
+
+def _layout(v: Column, dayfirst: bool) -> Column:
     months = F.create_map(*(F.lit(x) for i, names in enumerate(MONTHS, 1) for name in names for x in (name, i)))
     found = F.lit(None).cast("string")
     for label, pattern, order in reversed(LAYOUTS):
@@ -86,8 +91,7 @@ def layout(v: Column, dayfirst: bool = True) -> Column:
         zero = F.lit(0)
         real = F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(8,6)")).isNotNull()
         found = F.when(v.rlike(pattern) & real, told).otherwise(found)
-    # Most values have no date's characters at all.
-    return F.when(v.rlike(r"^(?:[0-9]{1,4}[-/. ]|[A-Za-z]{3,10}\.? [0-9])"), found)
+    return found
 
 
 def _int(c: Column) -> Column:
