@@ -99,3 +99,37 @@ def test_quantiles_are_exact(spark, in_memory, bins):
         values = sorted(r["abcd".index(c)] for r in rows)
         assert np.allclose(got[c], np.quantile(values, shares), rtol=1e-12), c
     assert got["c"] is None
+
+
+def test_dates_at_the_edges(spark):
+    cases = {
+        "29/02/2024": "2024-02-29",
+        "29/02/2023": None,
+        "29/02/1900": None,
+        "31/04/2023": None,
+        "12/31/2023": "2023-12-31",
+        "05/02/2023": "2023-02-05",
+        "2023.13.05": None,
+        "2023/2/28 11:05 pm": "2023-02-28 23:05:00",
+        "2023-02-28 12:00 am": "2023-02-28",
+        "March 3, 2021": "2021-03-03",
+        "3 MAR 2021": "2021-03-03",
+        "2023-02-28T10:00:00+02:00": "2023-02-28 08:00:00",
+        "2023-02-30": None,
+        "no date": None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(k, v if v is None or " " in v else f"{v} 00:00:00") for k, v in cases.items()], "v string, want string")
+    got = rows.select("v", "want", dates.parse_date(F.col("v"), True).cast("string").alias("got"), dates.parse_date(F.col("v"), False).cast("string").alias("other")).collect()
+    assert [(r.v, r.got) for r in got] == [(r.v, r.want) for r in got]
+    assert {r.v: r.other for r in got}["05/02/2023"] == "2023-05-02 00:00:00"
+
+
+def test_numbers_by_hints(spark):
+    texts = ["1.000", "1,000", "0.500", "1.234,5", "1,234.5", "1.234.567", "12,5", "1,2,3", "(1,000)", "-0", "5 %", "US$ 3", "1.2.3", "x", "", None]
+    none = [1.0, 1000.0, 0.5, 1234.5, 1234.5, 1234567.0, 12.5, 123.0, -1000.0, 0.0, 0.05, 3.0, None, None, None, None]
+    swapped = [1000.0, 1.0, 0.5, 1234.5, 1234.5, 1234567.0, 12.5, 123.0, -1.0, 0.0, 0.05, 3.0, None, None, None, None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").coalesce(1)
+    for hints, want in (((None, None), none), ((".", "."), none), ((",", ","), swapped)):
+        assert [r[0] for r in df.select(numbers.parse_number(F.col("v"), hints=hints)).collect()] == want
