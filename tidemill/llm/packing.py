@@ -19,12 +19,13 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,84 +38,142 @@ from tidemill.llm.storage import save, small_batches
 WEIGHTS = (1.0, 0.1, 0.1)
 
 
+#: The pattern by which the tokenizer cuts words into parts, and the words that may be cut by it here: letters
+#: and marks up to Latin Extended-A whose normalisation is lower-casing one by one (not so U+0130), no white
+#: space and no special token's bracket.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = "^[!-;=?-~\u00a1-\u012f\u0131-\u017f]+$"
+
+
+def _spans(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The spans of ids, one after another."""
+    return ids[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist
+
+
+class Memory:
+    """ids of strings met before, in one array. It is emptied when it holds `most` strings or 32 times as many
+    ids, and strings of over 64 characters are forgotten after their batch."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.at, self.ids, self.ends = {}, np.zeros(1 << 10, "<u4"), np.zeros(1 << 10, np.int64)
+
+    def __call__(self, strings: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all strings, one after another, and how many each has; encode gives these for distinct new ones."""
+        if len(self.at) > self.most or len(self.ids) > 32 * self.most:
+            self._empty()
+        coded, at = strings.dictionary_encode(), self.at
+        keys = _listed(coded.dictionary)
+        place = np.fromiter(map(at.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            short = pc.utf8_length(coded.dictionary.take(pa.array(new))).to_numpy() <= 64
+            kept, new = new[short], np.append(new[short], new[~short])
+            ids, lengths = encode(coded.dictionary.take(pa.array(new)))
+            n, m = len(at), int(self.ends[len(at)])
+            self._room(n + len(new) + 1, m + len(ids))
+            self.ids[m : m + len(ids)] = ids
+            self.ends[n + 1 : n + 1 + len(new)] = m + np.cumsum(lengths)
+            place[new] = np.arange(n, n + len(new))
+            at.update(zip(map(keys.__getitem__, kept.tolist()), place[kept].tolist()))
+        place = place[coded.indices.to_numpy()]
+        starts = self.ends[place]
+        lengths = self.ends[place + 1] - starts
+        return _spans(self.ids, starts, lengths), lengths
+
+    def _room(self, strings: int, ids: int) -> None:
+        for name, n in (("ends", strings), ("ids", ids)):
+            x = getattr(self, name)
+            if n > len(x):
+                setattr(self, name, np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)]))
+
+
+def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
 class WordIds:
-    """ids of texts, as little-endian unsigned 32-bit integers.
-
-    The tokenizer sees no word across ASCII white space, so words are encoded
-    once and remembered. Words of plain Latin letters and marks, whose
-    normalisation is lower-casing alone, are cut by the tokenizer's own pattern
-    and only the new ones of their parts go through its merges; all others go
-    through the whole tokenizer. The memories are bounded: they are emptied when
-    they hold `most` entries, and words of over 64 bytes are never kept.
+    """ids of texts, and where each text's begin and end.
+
+    The tokenizer sees no word across ASCII white space, so a batch's words are cut,
+    told apart and looked up as columns, and only new ones are encoded. Words of
+    plain Latin letters and marks, whose normalisation is lower-casing alone, are
+    cut by the tokenizer's own pattern and only the new ones of their parts go
+    through its merges; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Memory(most), Memory(most)
         with open(path) as f:
             kind = json.load(f)
         split, level = kind["pre_tokenizer"]["pretokenizers"]
         steps = [n["type"] for n in kind["normalizer"]["normalizers"]]
-        plain = steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and level["type"] == "ByteLevel" and not level["add_prefix_space"]
-        #: Letters and marks up to Latin Extended-A, no white space and no special token's bracket.
-        self.plain = regex.compile(r"[!-;=?-~\u00a1-\u017f]+").fullmatch if plain else lambda w: None
-        self.cut = regex.compile(split["pattern"]["Regex"]).findall if plain else None
+        self.cuts = steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and split["invert"] and split["pattern"] == {"Regex": PARTS} and level["type"] == "ByteLevel" and not level["add_prefix_space"]
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.bytes = {b: chr(256 + hidden.index(b)) for b in hidden}
 
-    def _encode(self, word: str) -> bytes:
-        if not self.plain(word):
-            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        out, parts = [], self.parts
-        for part in self.cut(word.lower()):
-            ids = parts.get(part)
-            if ids is None:
-                shown = part.encode().decode("latin-1").translate(self.bytes)
-                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-                if len(part) <= 64:
-                    parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        if len(self.parts) > self.most:
-            self.parts = {}
-        known, seen = self.known, set()
-        for words in split:
-            seen.update(words)
-        long = []
-        for w in [w for w in seen if w not in known]:
-            known[w] = self._encode(w.decode())
-            if len(w) > 64:
-                long.append(w)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in long:
-            del known[w]
-        return out
+    def _merge(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        merge = self.tokenizer.model.tokenize
+        shown = (p if p.isascii() else p.encode().decode("latin-1").translate(self.bytes) for p in _listed(parts))
+        return _joined([[t.id for t in merge(p)] for p in shown])
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, PLAIN) if self.cuts else pa.array([False] * len(words))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), PARTS, r"\0 "))
+        ids, lengths = self.parts(cut.flatten(), self._merge)
+        ends = np.append(0, np.cumsum(lengths))[cut.offsets.to_numpy()]
+        whole, sizes = _joined([self.tokenizer.encode(w, add_special_tokens=False).ids for w in _listed(words.filter(pc.invert(plain)))])
+        starts, lengths, plain = np.empty(len(words), np.int64), np.empty(len(words), np.int64), plain.to_numpy(zero_copy_only=False)
+        starts[plain], lengths[plain] = ends[:-1], np.diff(ends)
+        starts[~plain], lengths[~plain] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        return _spans(np.append(ids, whole), starts, lengths), lengths
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, one after another, and where they end, from 0 on; a null counts as empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ids, lengths = self.words(words.flatten(), self._encode)
+        return ids, np.append(0, np.cumsum(lengths))[words.offsets.to_numpy()]
 
 
 _memory: dict[str, WordIds] = {}
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of up to size bytes, or one that is larger, so that few words are told apart more than once."""
+    held, n = [], 0
+    for batch in batches:
+        if held and n + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+        held.append(batch)
+        n += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _memory:
             _memory[path] = WordIds(path)
-        encode, end = _memory[path], np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in _grouped(batches):
+            ids, ends = _memory[path](batch.column(1))
+            ids, ends = np.insert(ids, ends[1:], end_id), (ends + np.arange(len(ends))).tolist()
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, first, end in zip(batch.column(0).to_pylist(), ends, ends[1:]):
+                for piece, at in enumerate(range(first, end, capacity)):
+                    part = ids[at : min(at + capacity, end)]
+                    rows.append((doc, piece, at - first, len(part), zlib.crc32(part)))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
