@@ -149,7 +149,7 @@ class WordIds:
 _memory: dict[str, WordIds] = {}
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of up to size bytes, or one that is larger, so that few words are told apart more than once."""
     held, n = [], 0
     for batch in batches:
