@@ -1,5 +1,7 @@
+import itertools
 import random
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -130,3 +132,31 @@ def test_words_met_before_cost_about_what_splitting_and_looking_each_up_does(doc
     list(run(iter(batches)))
     plainly = min(seconds(lambda: [b"".join(map(known.__getitem__, t.encode().split())) for b in batches for t in b.column(1).to_pylist()]) for _ in range(5))
     assert min(seconds(lambda: list(run(iter(batches)))) for _ in range(5)) < 1.25 * plainly  # 0.7 as measured, 2.1 when each word was a Python object
+
+
+def test_a_worker_holds_a_bounded_part_of_the_words_it_meets():
+    words = map("".join, itertools.product("bcdfgh", "aeiou", "klmnpq", "aeiou", "rstvwxz", "aeiouy", "bdgkmnpst"))  # 340,200 words
+    encode = packing.WordIds(TOKENIZER)
+    tracemalloc.start()
+    for end in ("x", "z"):
+        more = list(itertools.islice(words, 170_000))
+        for some in itertools.batched((w + end for w in more), 10_000):
+            ids, ends = encode(pa.array([" ".join(some)]))
+        assert ids.tolist() == ids_of([" ".join(some)])[0][:-1] and ends.tolist() == [0, len(ids)]
+    held = tracemalloc.get_traced_memory()[0] / 1e6
+    tracemalloc.stop()
+    assert held < 90
+
+
+def test_texts_are_read_few_rows_at_a_time_and_the_session_stays_as_it_was(spark, docs, monkeypatch):
+    key, seen, save = "spark.sql.parquet.columnarReaderBatchSize", [], packing.save
+    monkeypatch.setattr(packing, "save", lambda *a: (seen.append(spark.conf.get(key)), save(*a))[1])
+    pack_documents(docs)
+    assert spark.conf.get(key) == "4096"
+    spark.conf.set(key, "1000")
+    try:
+        pack_documents(docs)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.unset(key)
+    assert seen == ["256", "1000"]

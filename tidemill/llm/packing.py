@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemill.llm.storage import save, small_batches
+from tidemill.llm.storage import save, short_scans, small_batches
 
 #: What tokens, documents and attention cost weigh in the choice of a bin: tokens
 #: first, so that no more sequences are opened than by tokens alone; the others
@@ -106,10 +106,11 @@ class WordIds:
     told apart and looked up as columns, and only new ones are encoded. Words of
     plain Latin letters and marks, whose normalisation is lower-casing alone, are
     cut by the tokenizer's own pattern and only the new ones of their parts go
-    through its merges; all others go through the whole tokenizer.
+    through its merges; all others go through the whole tokenizer. A quarter of a million
+    words and as many parts take about 100 MB, which each Python worker of an executor holds.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -287,7 +288,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, max_docs: int | None = None, m
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, **options) -> DataFrame:
     """Packs whole documents (doc_id, text); only longer ones than a sequence are cut. options: those of `pack`."""
-    return pack(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, capacity), capacity, **options)
+    with short_scans(docs.sparkSession):
+        return pack(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), end_id, capacity), capacity, **options)
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.sources.storage import new_path, save, shared_root
 
-__all__ = ["new_path", "rows_where", "save", "shared_root", "small_batches"]
+__all__ = ["new_path", "rows_where", "save", "shared_root", "short_scans", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> None:
@@ -23,6 +24,24 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) ->
             spark.conf.set(key, str(value))
 
 
+@contextmanager
+def short_scans(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Has the jobs that are run within read so many rows of Parquet at a time.
+
+    All texts of such a batch stand in one array on the heap, which is copied to one of
+    twice the size when it is full. A value that the session's owner has set stays.
+    """
+    key, default = "spark.sql.parquet.columnarReaderBatchSize", "4096"
+    ours = spark.conf.get(key, default) == default
+    if ours:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        if ours:
+            spark.conf.set(key, default)
+
+
 def rows_where(docs: DataFrame, text: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of docs whose text is to be kept, all columns as they are, in one pass and without a shuffle.
 
