@@ -11,18 +11,19 @@ of original bytes it covers.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.packing import Memory, _grouped, _joined, _listed
 from tidemill.llm.storage import small_batches
 
 SPACE = "▁"
@@ -110,11 +111,12 @@ class CharacterMap:
 class Encoder:
     """ids, pieces' source spans and decoding of a SentencePiece model.
 
-    `most` bounds the number of chunks that are remembered; chunks of over 64
-    characters are not kept.
+    Texts are taken as columns: the chunks of a batch are cut, told apart and looked
+    up together, and only new ones go to the library. `most` bounds the number of
+    chunks that are remembered; chunks of over 64 characters are not kept.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -130,81 +132,113 @@ class Encoder:
         self.full = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.full.id_to_piece(i) for i in range(len(self.full))]
         own = [p for i, p in enumerate(pieces) if not (self.full.is_control(i) or self.full.is_unknown(i) or self.full.is_byte(i))]
-        self.sizes = [1 if self.full.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)]
-        self.end = self.full.eos_id()
+        self.end, self.unknown = self.full.eos_id(), self.full.unk_id()
         bytes_known = any(self.full.is_byte(i) for i in range(len(pieces)))
-        #: May a text be cut ahead of each run of spaces and around line ends?
-        self.divisible = bytes_known and self.escape and not any(SPACE in p.lstrip(SPACE) or "\n" in p or " " in p for p in own)
-        self.most, self.known = most, {}
+        #: May a text be cut ahead of each run of spaces and around line ends? Then a space mark is one byte in its chunks.
+        self.divisible = bytes_known and self.escape and SPACE in own and not any(SPACE in p.lstrip(SPACE) or "\n" in p or " " in p for p in own)
+        self.sizes = np.array([1 if self.full.is_byte(i) else self._size(p) for i, p in enumerate(pieces)])
+        self.decimals = pa.array([f"{i} " for i in range(len(pieces))], pa.large_string())
+        self.known = Memory(most)
+
+    def _size(self, piece: str) -> int:
+        return len(piece.encode()) - 2 * piece.count(SPACE) * self.divisible
+
+    def _normalised(self, data: np.ndarray, starts: np.ndarray, folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of the normalised texts, where each begins (and the last ends), and the source offset of each byte and of the end.
+
+        data are the texts' bytes and starts where each begins in them. If folded, a space mark is one byte, a space.
+        """
+
+        def only(keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return out[keep], np.append(0, np.cumsum(keep))[starts], at[np.append(keep, True)]
+
+        out, at = data, np.arange(len(data) + 1)
+        if self.map.first[data].any():
+            found = [(a, *self.map.replaced(data[a:b].tobytes())) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+            out = np.frombuffer(b"".join([new for _, new, _ in found]), np.uint8)
+            at = np.append(np.concatenate([a + source for a, _, source in found]), len(data))
+            starts = np.append(0, np.cumsum([len(new) for _, new, _ in found]))
+        if self.trim:
+            for last in (False, True):  # runs of spaces and those that lead, then one that is left at an end
+                space, border = out == 32, np.zeros(len(out) + 1, bool)
+                border[starts] = True
+                out, starts, at = only(~(space & (border[1:] if last else np.append(True, space)[:-1] | border[:-1])))
+        mark = SPACE.encode() if self.escape and not folded else b" "
+        if folded:
+            hits = np.flatnonzero(out[:-2] == 0xE2)
+            hits = hits[(out[hits + 1] == 0x96) & (out[hits + 2] == 0x81)]
+            if len(hits):
+                keep, out = np.ones(len(out), bool), out.copy()
+                out[hits], keep[hits + 1], keep[hits + 2] = 32, False, False
+                out, starts, at = only(keep)
+        elif self.escape:
+            size = np.where(out == 32, len(mark), 1)
+            where = np.append(0, np.cumsum(size))
+            marks = where[:-1][out == 32]
+            out, starts, at = np.repeat(out, size), where[starts], np.repeat(at, np.append(size, 1))
+            for i, byte in enumerate(mark):
+                out[marks + i] = byte
+        if self.dummy:
+            full = np.diff(starts) > 0
+            where = np.repeat(starts[:-1][full], len(mark))
+            out, at = np.insert(out, where, np.tile(np.frombuffer(mark, np.uint8), full.sum())), np.insert(at, where, at[where])
+            starts = starts + len(mark) * np.append(0, np.cumsum(full))
+        return out, starts, at
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised text in UTF-8, and the source offset of each of its bytes and of its end."""
-        data = text.encode()
-        out, at = self.map.replaced(data)
-        if self.trim and b" " in out:
-            space = np.frombuffer(out, np.uint8) == 32
-            keep = ~(space & np.append(True, space[:-1]))
-            keep[len(out.rstrip(b" ")) :] = False
-            out, at = np.frombuffer(out, np.uint8)[keep].tobytes(), at[keep]
-        mark = SPACE.encode() if self.escape else b" "
-        if self.escape:
-            at = np.repeat(at, np.where(np.frombuffer(out, np.uint8) == 32, len(mark), 1))
-            out = out.replace(b" ", mark)
-        if self.dummy and out:
-            out, at = mark + out, np.concatenate([np.repeat(at[:1], len(mark)), at])
-        return out, np.append(at, len(data))
-
-    def _encode_plain(self, chunks: list[str]) -> list[tuple[bytes, tuple[int, ...], bytes]]:
-        """Of each normalised chunk: its ids as text, its ids, and the pieces' lengths in bytes."""
-        out = []
-        for chunk, ids in zip(chunks, self.plain.encode(chunks, num_threads=1)):
-            sizes = [self.sizes[i] for i in ids]
-            if sum(sizes) != len(chunk.encode()):  # unknown characters: ask the library
-                sizes = [len(p.surface.encode()) for p in self.plain.encode(chunk, out_type="immutable_proto").pieces]
-            out.append((" ".join(map(str, ids)).encode(), tuple(ids), np.array(sizes, "<u4").tobytes()))
-        return out
-
-    def _learn(self, keys: set[str]) -> list[str]:
-        new = [k for k in keys if k not in self.known]
-        chunks = [k if k[:1] in (SPACE, "\n", "\0") else SPACE + k for k in new]
-        self.known.update(zip(new, self._encode_plain([c[1:] if c[:1] == "\0" else c for c in chunks])))
-        return [k for k in new if len(k) > 64]
-
-    def _chunks(self, text: str) -> tuple[list[str], np.ndarray]:
-        """Keys of a text's chunks, and its alignment.
-
-        A key stands for itself with a space ahead, unless it begins with a line
-        end, a space mark or a zero byte, which stands for a chunk as it is.
-        """
-        normal, at = self.normalise(text)
-        whole = normal.decode()
-        if self.divisible and whole[:1] == SPACE and whole[1:2] != "\n" and SPACE + SPACE not in whole and whole[-1] != SPACE and "\0" not in whole:
-            return whole[1:].replace("\n", SPACE + "\n").split(SPACE), at
+        data = np.frombuffer(text.encode(), np.uint8)
+        out, _, at = self._normalised(data, np.array([0, len(data)]), False)
+        return out.tobytes(), at
+
+    def _encode(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the normalised chunks and how many each has. An unknown piece's is its length beyond the last id."""
+        texts = _listed(pc.replace_substring(chunks, " ", SPACE) if self.divisible else chunks)
+        found = self.plain.encode(texts, num_threads=1)
+        ids, lengths = _joined(found)
+        if (ids == self.unknown).any():
+            for i, text in enumerate(texts):
+                if self.unknown in found[i]:
+                    found[i] = [len(self.sizes) + self._size(p.surface) if p.id == self.unknown else p.id for p in self.plain.encode(text, return_type="proto").pieces]
+            ids, lengths = _joined(found)
+        return ids, lengths
+
+    def _cuts(self, out: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where chunks begin and the last ends."""
+        cut = np.zeros(len(out) + 1, bool)
+        cut[starts] = True
         if self.divisible:
-            parts = re.findall(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n", whole)
-        else:
-            parts = [whole] if whole else []
-        return [p if p[0] == SPACE else "\0" + p for p in parts], at
-
-    def __call__(self, texts: list[str | None], spans: bool = True) -> list[tuple[bytes, list[int], np.ndarray | None]]:
-        """For each text: ids as text, ids, and the pieces' (begin, end) source bytes."""
-        if len(self.known) > self.most:
-            self.known = {}
-        cut = [self._chunks(t or "") for t in texts]
-        long = self._learn({k for keys, _ in cut for k in keys})
-        known, out = self.known, []
-        for keys, at in cut:
-            got = [known[k] for k in keys]
-            ids = list(chain.from_iterable([g[1] for g in got]))
-            where = None
-            if spans:
-                ends = np.cumsum(np.frombuffer(b"".join([g[2] for g in got]), "<u4"), dtype=np.int64)
-                begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                where = np.stack([at[begins], at[ends]], axis=1) if len(ends) else np.zeros((0, 2), np.int64)
-            out.append((b" ".join([g[0] for g in got]), ids, where))
-        for k in long:
-            del known[k]
-        return out
+            space, line = out == 32, out == 10
+            cut[:-1] |= line
+            cut[1:] |= line
+            cut[1:-1] |= space[1:] & ~space[:-1]
+        return np.flatnonzero(cut)
+
+    def __call__(self, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """ids of all texts, one after another; where they end, from 0 on; and the pieces' (begin, end) bytes in their texts.
+
+        A null counts as empty.
+        """
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        own = at - at[0]
+        out, starts, source = self._normalised(data, own, self.divisible)
+        cuts = self._cuts(out, starts)
+        chunks = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(out)))
+        ids, lengths = self.known(chunks, self._encode)
+        ends = np.append(0, np.cumsum(lengths))[np.searchsorted(cuts, starts)]
+        odd, where = ids >= len(self.sizes), None
+        if spans:
+            sizes = self.sizes[np.where(odd, 0, ids)]
+            sizes[odd] = ids[odd] - len(self.sizes)
+            stops = np.cumsum(sizes)
+            where = np.stack([source[stops - sizes], source[stops]], axis=1)
+            full = np.diff(ends) > 0
+            where[ends[1:][full] - 1, 1] = own[1:][full]
+            where -= np.repeat(own[:-1], np.diff(ends))[:, None]
+        ids[odd] = self.unknown
+        return ids, ends, where
 
     def decode(self, ids: list[int]) -> str:
         return self.full.decode(ids)
@@ -218,26 +252,38 @@ def _encoded(path: str, columns: list[str]):
         if path not in _memory:
             _memory[path] = Encoder(path)
         encoder = _memory[path]
-        end = str(encoder.end).encode()
-        make = {
-            "ids": (pa.list_(pa.int32()), lambda line, ids, at: ids),
-            "begins": (pa.list_(pa.int64()), lambda line, ids, at: at[:, 0]),
-            "ends": (pa.list_(pa.int64()), lambda line, ids, at: at[:, 1]),
-            "n_tokens": (pa.int64(), lambda line, ids, at: len(ids)),
-            "ids_sha256": (pa.string(), lambda line, ids, at: hashlib.sha256(line).hexdigest()),
-            "decoded": (pa.string(), lambda line, ids, at: encoder.decode(ids)),
-            "decoded_sha256": (pa.string(), lambda line, ids, at: hashlib.sha256(encoder.decode(ids).encode()).hexdigest()),
-            "ends_crc32": (pa.int64(), lambda line, ids, at: zlib.crc32(at[:, 1].astype("<u4").tobytes())),
-        }
-        spans = bool({"begins", "ends", "ends_crc32"} & {*columns})
-        for batch in batches:
-            found: list[list] = [[] for _ in columns]
-            for line, ids, at in encoder(batch.column(1).to_pylist(), spans):
-                line = line + b" " + end if line else end
-                ids.append(encoder.end)
-                for values, c in zip(found, columns):
-                    values.append(make[c][1](line, ids, at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, make[c][0]) for v, c in zip(found, columns))], ["doc_id", *columns])
+        spans, decodes = bool({"begins", "ends", "ends_crc32"} & {*columns}), bool({"decoded", "decoded_sha256"} & {*columns})
+        for batch in _grouped(batches):
+            ids, ends, where = encoder(batch.column(1), spans)
+            ids, last = np.insert(ids, ends[1:], encoder.end).astype("<i4"), ends + np.arange(len(ends))
+            parts, decoded = list(pairwise(last.tolist())), []
+            if decodes:
+                every = ids.tolist()
+                decoded = [encoder.decode(every[a:b]) for a, b in parts]
+
+            def lists(bounds: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+            def ids_sha256() -> list[str]:
+                line = encoder.decimals.take(pa.array(ids))  # each id with a space behind it
+                at, data = np.frombuffer(line.buffers()[1], np.int64), memoryview(line.buffers()[2] or b"")
+                return [hashlib.sha256(data[a : b - 1]).hexdigest() for a, b in pairwise(at[last].tolist())]
+
+            def ends_crc32() -> list[int]:
+                at = where[:, 1].astype("<u4")
+                return [zlib.crc32(at[a:b]) for a, b in pairwise(ends.tolist())]
+
+            make = {
+                "ids": lambda: lists(last, ids, pa.int32()),
+                "begins": lambda: lists(ends, where[:, 0], pa.int64()),
+                "ends": lambda: lists(ends, where[:, 1], pa.int64()),
+                "n_tokens": lambda: pa.array(np.diff(last), pa.int64()),
+                "ids_sha256": lambda: pa.array(ids_sha256(), pa.string()),
+                "decoded": lambda: pa.array(decoded, pa.string()),
+                "decoded_sha256": lambda: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+                "ends_crc32": lambda: pa.array(ends_crc32(), pa.int64()),
+            }
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(make[c]() for c in columns)], ["doc_id", *columns])
 
     return encode
 
