@@ -257,6 +257,31 @@ def test_visit_of_chains_hubs_and_others(spark, in_task):
     assert got == {*greedy(pairs)}
 
 
+def test_no_table_of_duplicates_goes_through_the_driver(spark, monkeypatch):
+    """Their files may be small and their rows as many as the input's, so no join broadcasts them, nor is each chain a group of its own."""
+    from tidemill.operators import cleaner, dedup, graph
+    from tidemill.sources.storage import save
+
+    plans, visits = [], []
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, name)
+
+    for module in (cleaner, dedup, graph):
+        monkeypatch.setattr(module, "save", recorded)
+    deal = dedup._greedy_by
+    monkeypatch.setattr(dedup, "_greedy_by", lambda pairs, unit, tasks: visits.append(tasks) or deal(pairs, unit, tasks))
+    monkeypatch.setattr(dedup.fuzzy_pairs, "__defaults__", (8192, 50))
+    base = ["".join(random.Random(i).choices("abcdefgh", k=30)) for i in range(60)]
+    rows = [(t,) for b in base for t in (b, b[:27] + "zzz", b[:24] + "yyyzzz", b)]
+    c = Cleaner(frame(spark, rows, "name string")).deduplicate("name", fuzzy=True, flag=True)
+    plans += [df._jdf.queryExecution().executedPlan().toString() for df in (c.frame, c.reviews[0])]
+    assert {r[ROW]: r.duplicate_of for r in c.frame.collect() if r.is_duplicate} == {4 * i + k: 4 * i for i in range(60) for k in (1, 3)}
+    assert c.reviews[0].count() == 120 and visits == [16]
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.7, 0.8, 0.88, 0.95, 1.0])
 def test_similarity_join_finds_the_pairs_of_brute_force(spark, threshold):
     from tidemill.operators import dedup

@@ -424,10 +424,11 @@ class Cleaner:
         listed = [{k: v for k, v in r.asDict().items() if v is not None} for r in pairs.orderBy("row").limit(LISTED).collect()]
         values = F.struct(*(col(c) for c in self.columns))
         sides = [self.frame.select(F.col(ROW).alias(r), values.alias(v)) for r, v in (("row", "values"), ("kept_row", "kept_values"))]
-        self.reviews.append(pairs.join(sides[0], "row").join(sides[1], "kept_row").select("row", "kept_row", "match", "score", "key", "kept_key", "values", "kept_values"))
+        self.reviews.append(pairs.join(sides[0].hint("merge"), "row").join(sides[1].hint("merge"), "kept_row").select("row", "kept_row", "match", "score", "key", "kept_key", "values", "kept_values"))
         how = f"{exact} exact on {subset if subset else 'all columns'}" + (f", {near} fuzzy at threshold {threshold}" if fuzzy else "")
         common = {"columns": subset, "duplicates": exact + near, "exact": exact, "fuzzy": near, "keep": keep, "pairs": listed}
-        marked = pairs.select(F.col("row").alias(ROW), F.col("kept_row").alias("duplicate_of"))
+        # Pairs may be as many as rows: small files of them are no reason to send them through the driver.
+        marked = pairs.select(F.col("row").alias(ROW), F.col("kept_row").alias("duplicate_of")).hint("merge")
         if flag:
             old = [c for c in self.frame.columns if c not in ("is_duplicate", "duplicate_of")]
             self.frame = self.frame.select(old).join(marked, ROW, "left").select(*old, F.col("duplicate_of").isNotNull().alias("is_duplicate"), "duplicate_of")
