@@ -306,6 +306,41 @@ def test_similarity_join_finds_the_pairs_of_brute_force(spark, threshold):
         assert len(got) == len({*got}) and {*got} == want
 
 
+@pytest.mark.parametrize("q, tile", [(2, 10_000), (3, 25), (4, 10_000)])
+def test_similarity_join_by_grams_of_any_length(spark, q, tile):
+    """Texts of other lengths, doubled grams, and characters that keys don't have."""
+    from tidemill.operators import dedup
+
+    rng = random.Random(q)
+    texts = {"a", "ab", "aa", "aé", "a" * 40, "ab" * 20}
+    while len(texts) < 200:
+        old = rng.choice([*texts]) if rng.random() < 0.7 else "a" + "".join(rng.choices("abc12 ", k=rng.randrange(1, 45)))
+        i = rng.randrange(1, len(old) + 1)
+        texts.add(rng.choice([old, old[:i] + rng.choice("ab1") + old[i:], old[: i - 1] + old[i:] or "a", old[:i] + "zz" + old[i + 2 :]]).strip() or "a")
+    texts = sorted(texts)
+    rng.shuffle(texts)
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts[:i]) if x[:1] == y[:1] and SequenceMatcher(None, x, y).ratio() >= 0.8}
+    heads = spark.createDataFrame([(t[:1], t, 0, i, 0, i) for i, t in enumerate(texts)], "block string, key string, a long, row long, last_a long, last_row long")
+    got = [(r.row, r.kept_row) for r in dedup.near_pairs(heads, 0.8, tile, q).collect()]
+    assert len(got) == len({*got}) and {*got} == want
+
+
+def test_many_texts_are_met_in_small_buckets(spark, monkeypatch):
+    """The length of grams follows from the buckets' sizes, so that near places of a gram are few among many texts."""
+    from tidemill.operators import dedup
+
+    taken = []
+    scored = dedup._scored
+    monkeypatch.setattr(dedup, "_TRIED", 1_000)
+    monkeypatch.setattr(dedup, "_scored", lambda threshold, q, *more: taken.append(q) or scored(threshold, q, *more))
+    rng = random.Random(4)
+    texts = ["a" + "".join(rng.choices("0123456789abcdef", k=31)) for _ in range(40_000)]
+    texts[3::10] = [t[:-1] + "z" for t in texts[2::10]]
+    heads = spark.createDataFrame([("a", t, 0, i, 0, i) for i, t in enumerate(texts)], "block string, key string, a long, row long, last_a long, last_row long")
+    assert {(r.row, r.kept_row) for r in dedup.near_pairs(heads, 0.9, 8192).collect()} == {(i, i - 1) for i in range(3, 40_000, 10)}
+    assert taken[0] > 2
+
+
 def test_spelling_clusters_equal_all_pairs(spark):
     from tidemill.functions.text import same_value
 

@@ -101,9 +101,13 @@ class _Texts:
     """Keys as codes of characters, one text behind the other."""
 
     def __init__(self, keys: pa.Array):
-        points = np.frombuffer("".join(keys.to_pylist()).encode("utf-32-le"), np.uint32)
-        self.codes = _CODES[np.minimum(points, 255)]
         self.size = pc.utf8_length(keys).to_numpy().astype(np.int64)
+        data = keys.cast(pa.large_string())
+        ends = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        points = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        if len(points) != self.size.sum():  # not all of them are ASCII
+            points = np.minimum(np.frombuffer("".join(keys.to_pylist()).encode("utf-32-le"), np.uint32), 255)
+        self.codes = _CODES[points]
         self.start = np.cumsum(self.size) - self.size
         self.text = np.repeat(np.arange(len(keys)), self.size)
         self.at = np.arange(len(self.codes)) - self.start[self.text]
@@ -190,6 +194,11 @@ def _bits(texts: _Texts) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def _bit_count(words: np.ndarray) -> np.ndarray:
+    """Bits of each row of four words: four bytes of counts, summed by a product."""
+    return (np.bitwise_count(words).view(np.uint32)[:, 0] * np.uint32(0x01010101)) >> np.uint32(24)
+
+
 def _common(a: str, masks: dict[str, int], size: int) -> int:
     """Length of the longest common subsequence of a and the text whose characters' places are masks."""
     whole = s = (1 << size) - 1
@@ -221,14 +230,26 @@ class _Buckets:
         """Places of pairs whose lengths, places of the gram and characters allow the threshold.
 
         What stands ahead of the gram in one text and not in the other is unmatched.
+        Where a text has few others at near places, these are listed and characters left to the bigrams.
         """
-        unary, size = _unary(self.texts), self.size
-        held, n = [], 0
-        far = int(self.size.max() * 2 * (1 - self.threshold) / (2 - self.threshold) + 1e-9)
+        size, each = self.size, np.arange(self.n)
+        most = int(size.max())
+        far = most - int(self.least[2 * most]) if most == size.min() else int(most * 2 * (1 - self.threshold) / (2 - self.threshold) + 1e-9)
         place = self.group * (int(self.at.max()) + far + 2) + self.at
+        behind = np.searchsorted(place, place + far, "right") - each - 1
+        if behind.sum() <= 64 * self.n:
+            load = np.cumsum(behind) // 250_000
+            for part in np.split(each, np.flatnonzero(np.diff(load)) + 1):
+                n = behind[part]
+                k = np.repeat(part, n)
+                l = k + 1 + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+                fits = place[l] - place[k] <= size[l] - self.least[size[l] + size[k]]
+                yield k[fits], l[fits]
+            return
+        unary, held, n = _unary(self.texts), [], 0
         for begin in range(0, self.n - 1, 128):
-            one = np.arange(begin, min(begin + 128, self.n))
-            other = np.arange(begin + 1, np.searchsorted(place, place[one[-1]] + far, "right"))
+            one = each[begin : begin + 128]
+            other = each[begin + 1 : one[-1] + behind[one[-1]] + 1]
             if not len(other):
                 continue
             m = self.least[size[other] + size[one, None]]
@@ -272,15 +293,16 @@ class _Buckets:
     def _candidates(self) -> Iterator[tuple[int, int]]:
         c, bits = self.c, _bits(self.texts)
         for k, l in self._met():
+            # Each unmatched character breaks two bigrams of its own text and one of the other.
+            m = self.least[self.size[k] + self.size[l]]
+            mine, others = self.size[k] - m, self.size[l] - m
+            one, other = bits[k], bits[l]
+            ok = (_bit_count(one & ~other) <= 2 * mine + others) & (_bit_count(other & ~one) <= 2 * others + mine)
+            k, l = k[ok], l[ok]
             ok = (self.gram[k] == self.gram[l]) & (self.blocks[k] == self.blocks[l]) & (c["row"][k] != c["row"][l])
             ok &= (c["x"][k] == c["y"][k]) | (c["chunk"][k] != c["chunk"][l])
-            k, l = k[ok], l[ok]
             total = self.size[k] + self.size[l]
             m = self.least[total]
-            # Each unmatched character breaks two bigrams of its own text and one of the other.
-            mine, others = self.size[k] - m, self.size[l] - m
-            ok = np.bitwise_count(bits[k] & ~bits[l]).sum(axis=1) <= 2 * mine + others
-            ok &= np.bitwise_count(bits[l] & ~bits[k]).sum(axis=1) <= 2 * others + mine
             length = np.ones(len(k), np.int64)
             for q in dict.fromkeys((2, self.q)):
                 length[_shared(q, m, total) >= 1] = q
